@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import simhash
+from waymark.llm import language_id, line_dedup, packing, quality, sentencepiece_codec, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_language_id": language_id.op3_language_id,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_quality_rules": quality.op6_quality_rules,
+        "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
         "op9_simhash": simhash.op9_simhash,
+        "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": line_dedup.OP1_SQL}
