@@ -65,7 +65,7 @@ def neighbourhood(line: str) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def _mix(h: np.ndarray, length: int, place) -> np.ndarray:
-    x = h ^ (np.uint64(length) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.asarray(place, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    x = h ^ np.uint64(length * 0x9E3779B97F4A7C15 % (1 << 64)) ^ (np.asarray(place, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     x ^= x >> np.uint64(32)
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
