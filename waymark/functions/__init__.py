@@ -1 +1 @@
-"""Waymark functions."""
+"""Column expressions: Markdown, paths and routes, text scores."""

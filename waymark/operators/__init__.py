@@ -1 +1 @@
-"""Waymark operators."""
+"""DataFrame operators."""

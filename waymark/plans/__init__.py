@@ -1 +1 @@
-"""Waymark plans."""
+"""Whole flows: building an index, and the named queries."""

@@ -1 +1 @@
-"""Waymark sources."""
+"""Readers: files, manifests, human documents, federated texts."""

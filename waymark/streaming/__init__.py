@@ -1 +1 @@
-"""Waymark streaming."""
+"""Incremental rebuilds."""
