@@ -82,8 +82,11 @@ def test_index_build(spark, tmp_path):
     assert h["retry-pattern"]["humanDoc"] == "/docs/retry" and h["retry-pattern"]["notes"][0] == "Playbook pattern: retry-pattern"
     assert h["top"]["target"]["path"] == "packages/top" and h["top"]["checks"] == ["pnpm --filter top test"]
     assert h["auth"]["readBeforeEditing"] == ["docs/for-agents/packages/auth.md", "AGENTS.md"]
+    with pytest.raises(ValueError):  # an empty edit root
+        index.write(ix, str(tmp_path / "ix"))
+    ix = built(spark, ownership={"auth": {"path": "src/auth"}})[1]
     one = index.write(ix, str(tmp_path / "ix"))
-    assert one == index.stored_hash(spark, str(tmp_path / "ix")) == built(spark)[1].hash()
+    assert one == index.stored_hash(spark, str(tmp_path / "ix")) == built(spark, ownership={"auth": {"path": "src/auth"}})[1].hash()
     assert gates.freshness(one, one, spark).first()["ok"] and not gates.freshness(None, one, spark).first()["ok"]
     assert validate.handoffs(ix.handoff).where(F.size("issues") > 0).count() == 0
     other = built(spark, ownership={})[1]
