@@ -95,3 +95,12 @@ def test_scores(spark):
     assert (got["a"], got["b"]) == (16, 280)
     assert one(spark, text.wants_owner(F.col("t")), t="éedit") is True and one(spark, text.wants_owner(F.col("t")), t="credits") is False
     assert one(spark, text.content_hash(F.col("t")), t='{"b": 1, "a": [true, null]}') == one(spark, text.content_hash(F.col("t")), t='{"a":[true,null],"b":1}')
+
+
+def test_rewritten_links(spark):
+    link = lambda url, source="docs/guides/a.md": one(spark, paths.rewrite_link(F.col("u"), F.col("s"), "https://git.example/r", "main"), u=url, s=source)
+    assert [link("b.md#x"), link("../c.md"), link("../../src/x.ts"), link("../../../up.md"), link("#x"), link("https://a/b.md"), link("../../pkg/")] == [
+        "/docs/guides/b/#x", "/docs/c/", "https://git.example/r/blob/main/src/x.ts", "../../../up.md", "#x", "https://a/b.md", "https://git.example/r/tree/main/pkg",
+    ]
+    public = lambda p: one(spark, paths.is_public(F.col("p"), ["PLAN.md"], ["landing"], ["DRAFT"]), p=p)
+    assert [public(p) for p in ("a.md", "./PLAN.md", "landing/x.md", "x/DRAFT-1.md")] == [True, False, False, False]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from waymark import config, tables
 from waymark.operators import conformance, doctor, gates, handoff, memory, retrieve, search, sinks, validate
 from waymark.plans import index
-from waymark.sources import human
+from waymark.plans.facade import Waymark
+from waymark.sources import files, human
 from waymark.streaming import rebuild
 
 
@@ -224,3 +225,35 @@ def test_debounce_as_a_stream_equals_the_batch(spark, tmp_path):
     batch = {(r["key"], r["n"]) for r in rebuild.debounce(events, "root").collect()}
     assert batch == {("a", 3), ("a", 1), ("b", 1)}
     assert {(r["key"], r["n"]) for r in seen} <= batch and ("a", 3) in {(r["key"], r["n"]) for r in seen}
+
+
+def test_facade(spark, tmp_path):
+    settings, ix, pages = built(spark, ownership={"auth": {"path": "src/auth"}})
+    now = index.write(ix, str(tmp_path / "ix"))
+    w = Waymark(spark, str(tmp_path / "ix"), settings)
+    assert w.handoff_resolve("auth").first()["editRoots"] == ["src/auth"] and w.search("auth").first()["id"] == "auth"
+    assert w.document("billing").first()["title"] == "Billing" and w.retrieve("billing", 1).first()["chunkKey"] == "local:ownership:billing"
+    assert w.gate_status(spark.createDataFrame(DOCS, "path string, raw string"), pages, now).first()["all_ok"]
+    for call in (lambda: w.handoff_resolve("nope"), lambda: w.document("nope")):
+        with pytest.raises(KeyError):
+            call()
+    with pytest.raises(ValueError):
+        w.search("x", 1000)
+    with pytest.raises(FileNotFoundError):
+        Waymark(spark, str(tmp_path / "none"), settings)
+
+
+def test_files(spark, tmp_path):
+    for name, body in {"docs/a.md": "# A", "docs/node_modules/x.md": "no", "p/one/package.json": '{"name": "@s/one"}', "p/two/package.json": "broken", "p/three/project.json": '{"targets": {"test": {}}}', "pnpm-lock.yaml": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    root = str(tmp_path)
+    assert [tuple(r) for r in files.scan_markdown(spark, root).collect()] == [("docs/a.md", 3, "# A")]
+    with pytest.raises(files.LimitError):
+        files.scan_markdown(spark, root, max_bytes=2)
+    manifests = files.scan_manifests(spark, root)
+    assert [tuple(r)[:3] for r in files.discover_packages(manifests, ["p/*"]).collect()] == [("one", "p/one", "@s/one")]
+    assert [(r["id"], r["checks"]) for r in handoff.ranked_projects(files.project_rows(manifests)).collect()] == [("three", ["npx nx run three:test"])]
+    assert files.package_manager(root) == "pnpm" and files.workspace_patterns("packages:\n  - 'a/*'\n  - b\nother: x\n- no") == ["a/*", "b"]
+    src = files.federated_sources(spark, [{"id": "s", "llmsTxt": "u", "rawBaseUrl": "b"}, {"id": "t", "llmsTxt": "bad"}, {"id": "o", "llmsTxt": "u", "includeInRetriever": False}], lambda u: {"u": "text"}[u])
+    assert [tuple(r) for r in src.collect()] == [("s", "u", "text", "b")]

@@ -117,14 +117,37 @@ def same_origin(a: Column, b: Column) -> Column:
     return ~(web(a) & web(b)) | (full(a) == full(b))
 
 
-def rewrite_link(url: Column, pages: Column, repo: str, branch: str, site: str) -> Column:
-    """A relative Markdown link as a site route if it is one of pages, else as a file of the repository; other links stay."""
-    target = F.regexp_replace(url, r"\A\./", "")
-    route = F.concat(F.lit(site.rstrip("/") + "/"), F.regexp_replace(F.regexp_replace(target, r"#.*\z", ""), r"\.mdx?\z", ""), F.regexp_extract(target, r"#.*\z", 0))
-    kind = F.when(F.regexp_replace(target, r"[?#].*\z", "").rlike(r"/\z"), "tree").otherwise("blob")
-    stays = url.rlike(r"\A(?:[a-z][a-z0-9+.-]*:|#|/)")
-    known = F.array_contains(pages, F.regexp_replace(target, r"#.*\z", ""))
-    return F.when(stays, url).when(known, route).otherwise(F.concat(F.lit(f"{repo.rstrip('/')}/"), kind, F.lit(f"/{branch}/"), target))
+def resolved(path: Column) -> Column:
+    """A path without . and .. segments; null if it leaves its root."""
+    step = lambda seen, part: F.when(part.isin("", "."), seen).when(part == "..", F.when(F.size(seen) > 0, F.slice(seen, F.lit(1), F.size(seen) - 1))).otherwise(F.concat(seen, F.array(part)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def rewrite_link(url: Column, source: Column, repo: str, branch: str, base: str = "", docs_root: str = "docs") -> Column:
+    """A link of the document source (a path of the repository): a relative Markdown file below docs_root as a route of the site, another
+    file of the repository as its address there; anchors, full addresses and paths that leave the repository stay.
+    """
+    path, suffix = F.regexp_extract(url, r"\A([^?#]+)", 1), F.regexp_extract(url, r"\A[^?#]+([?#].*)?\z", 1)
+    folder = F.regexp_replace(source, r"[^/]*\z", "")
+    target = resolved(F.concat(folder, F.coalesce(F.try_url_decode(path), path)))
+    head = docs_root.strip("/") + "/"
+    slug = F.regexp_replace(F.substring(target, len(head) + 1, 1 << 30), r"\.md\z", "")
+    page = F.concat(F.lit(f"{base}/docs/"), slug, F.lit("/"), suffix)
+    kind = F.when(path.endswith("/"), "tree").otherwise("blob")
+    file = F.concat(F.lit(repo.rstrip("/") + "/"), kind, F.lit(f"/{branch}/"), target, suffix)
+    stays = (url == "") | url.startswith("#") | url.startswith("/") | url.rlike(r"(?i)\A[a-z]+:") | target.isNull()
+    return F.when(stays, url).when(target.startswith(head) & path.endswith(".md"), page).otherwise(file)
+
+
+def is_public(path: Column, names: list[str], folders: list[str], marks: list[str]) -> Column:
+    """Whether a document may be published: not one of names, not in folders, and no segment beginning with a mark."""
+    p = F.regexp_replace(to_posix(path), r"\A\.?/", "")
+    out = ~p.isin(names) if names else F.lit(True)
+    for f in folders:
+        out = out & ~p.startswith(f.rstrip("/") + "/")
+    for m in marks:
+        out = out & ~p.startswith(m) & ~p.contains("/" + m)
+    return out
 
 
 def doc_id(package: Column, module: Column, own: Column, path: Column) -> Column:
