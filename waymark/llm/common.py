@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bounds of one Arrow batch handed to Python, so that a batch of very long texts stays small.
-BATCH_ROWS = 1024
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,8 +33,8 @@ UNKNOWN = "und"
 VERDICT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
 
-def symbol_table(samples: dict[str, str]) -> np.ndarray:
-    """Code point -> symbol: letters by their lower case, all else a gap."""
+def symbol_table(samples: dict[str, str]) -> tuple[np.ndarray, int]:
+    """Code point -> symbol, letters by their lower case, all else a gap; and the number of symbols."""
     counts: dict[str, int] = {}
     for text in samples.values():
         for c in text.lower():
@@ -47,7 +47,7 @@ def symbol_table(samples: dict[str, str]) -> np.ndarray:
         c = chr(k)
         if c.isalpha():
             table[k] = own.get(low, 0) if len(low := c.lower()) == 1 else own.get(low[0], 0)
-    return table
+    return table, len(own) + 2
 
 
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
@@ -100,8 +100,8 @@ class LanguageModel:
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
-        self.table = symbol_table(samples)
-        width = self.width = ALPHABET + 2
+        self.table, self.width = symbol_table(samples)
+        width = self.width
         rows, firsts, sizes, at = [np.zeros((1, width), np.int32)], [], [], 1
         for lang in self.langs:
             seen = symbols(samples[lang], self.table).tolist()

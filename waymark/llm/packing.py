@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Mean number of pieces in a group; a group is one task's work and memory.
 GROUP_PIECES = 8192
-#: Words whose ids a Python worker keeps at most; beyond that it starts afresh.
-CACHE_WORDS = 400_000
+#: Words whose ids a task keeps at most; beyond that it starts afresh.
+CACHE_WORDS = 200_000
 
 
 class ByteBpe:
@@ -38,8 +39,10 @@ class ByteBpe:
     """
 
     def __init__(self, path: str | None = None, ranks: str | None = None) -> None:
-        self.library = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.path = path or public_tokenizers.path(TOKENIZER)
+        self.library: Tokenizer | None = None  # rarely needed, and large
+        with open(self.path, encoding="utf-8") as f:
+            self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(ranks or public_tokenizers.path(RANKS), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe
@@ -50,6 +53,7 @@ class ByteBpe:
         if not text:
             return b""
         if any(x in text for x in self.specials):
+            self.library = self.library or Tokenizer.from_file(self.path)
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = self.words(text)
         cache = self.cache
@@ -95,6 +99,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rng.integers(0, 1 << 62, len(rows)))], names=PIECE.names)
+    bpe.cache.clear()  # the worker outlives the task
 
 
 def first_fit(lengths: list[int], capacity: int = SEQUENCE) -> tuple[list[int], list[int]]:

@@ -212,6 +212,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a.append(sha(ids).hexdigest())
             b.append(sha(decoded).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=ENCODED.names)
+    # units stay for the worker's next task: they are bounded, and most of a task's work would be to learn them anew
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ PRIOR, SHRINK, DRIFT = 0.05, 1.64, 0.3
 #: Besides whole tokens, beginnings of so many letters have weights, for inflected forms; a token takes its best weight.
 STEMS = (4, 5)
 #: Tokens whose weight a Python worker remembers at most.
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 150_000
 #: p-value below which a segment is significant.
 SIGNIFICANT = 0.05
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -222,6 +222,7 @@ def scorer(spark: SparkSession, model: ToxicModel) -> Callable:
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([sent.value.score(t) for t in texts], dtype=float)
+        sent.value.scores.clear()  # the worker outlives the task
 
     scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(scores, DoubleType())
