@@ -11,6 +11,8 @@ A frontmatter column is array<struct<key, raw>>; of repeated keys the last count
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +22,17 @@ _INLINE = SPACE.replace(r"\n", "")
 _HEAD = r"(?s)\A---(?=\r?\n)(.*?)\r?\n---\r?\n(.*)\z"
 
 
+#: The same characters as a text.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def non_empty(c: Column) -> Column:
@@ -30,7 +41,8 @@ def non_empty(c: Column) -> Column:
 
 
 def collapsed(c: Column) -> Column:
-    return trimmed(F.regexp_replace(c, rf"[{SPACE}]+", " "))
+    # single spaces stay untouched
+    return trimmed(F.regexp_replace(c, rf"[{SPACE}]{{2,}}|[{SPACE.replace(' ', '')}]", " "))
 
 
 def _unquoted(c: Column) -> Column:
@@ -49,19 +61,19 @@ def _no_mark(raw: Column) -> Column:
 
 def frontmatter(raw: Column) -> Column:
     """Entries of the frontmatter of an agent document; empty without one."""
-    block = F.substring(F.regexp_extract(_no_mark(raw), _HEAD, 1), 2, 1 << 30)
+    block = F.when(raw.rlike(r"\A\uFEFF?---\r?\n"), F.substring(F.regexp_extract(_no_mark(raw), _HEAD, 1), 2, 1 << 30)).otherwise("")
     lines = F.filter(F.transform(F.split(block, r"\r?\n"), trimmed), lambda x: (x != "") & ~x.startswith("#"))
     return _entries(lines, rf"(?s)\A([A-Za-z0-9_-]+):[{SPACE}]*(.*)\z", True)
 
 
 def body(raw: Column) -> Column:
     """What follows the frontmatter; the whole text without one."""
-    return F.when(_no_mark(raw).rlike(_HEAD), F.regexp_extract(_no_mark(raw), _HEAD, 2)).otherwise(raw)
+    return F.when(raw.rlike(r"\A\uFEFF?---\r?\n") & _no_mark(raw).rlike(_HEAD), F.regexp_extract(_no_mark(raw), _HEAD, 2)).otherwise(raw)
 
 
 def _last(entries: Column, key: str) -> Column:
     own = F.filter(entries, lambda e: e["key"] == key)
-    return F.get(own, F.size(own) - 1)["raw"]
+    return F.try_element_at(own, F.lit(-1))["raw"]
 
 
 def fm_string(entries: Column, key: str) -> Column:
@@ -83,9 +95,9 @@ def fm_list(entries: Column, key: str) -> Column:
     return F.when(raw.startswith("[") & raw.endswith("]"), items).when(one.isNotNull(), F.array(one))
 
 
-def first_heading(raw: Column) -> Column:
-    """The first line of one # and text."""
-    found = F.regexp_extract(body(raw), rf"(?md)^[{_INLINE}]*#[{_INLINE}]+([^\n]*[^{SPACE}][^\n]*)$", 1)
+def first_heading(raw: Column, own_body: Column | None = None) -> Column:
+    """The first line of one # and text. own_body is body(raw), for callers that have it."""
+    found = F.regexp_extract(body(raw) if own_body is None else own_body, rf"(?md)^[{_INLINE}]*#[{_INLINE}]+([^\n]*[^{SPACE}][^\n]*)$", 1)
     return non_empty(trimmed(found))
 
 
@@ -95,7 +107,7 @@ def _last_index(text: Column, part: str) -> Column:
     return F.when(at > 0, F.length(text) - at - (len(part) - 1)).otherwise(F.lit(-1))
 
 
-def first_paragraph(raw: Column, most: int = 400) -> Column:
+def first_paragraph(raw: Column, most: int = 400, own_body: Column | None = None) -> Column:
     """The first block of prose, cut at a sentence or a word if longer than most; null without one.
 
     Headings and rules are passed over even inside a block; tables and task lists end a block or are passed over
@@ -116,24 +128,26 @@ def first_paragraph(raw: Column, most: int = 400) -> Column:
         )
 
     start = F.struct(F.lit("").alias("held"), F.lit(False).alias("done"))
-    lines = F.transform(F.split(body(raw), "\n"), trimmed)
-    text = collapsed(F.aggregate(lines, start, step)["held"])
-    cut = F.substring(text, 1, most)
-    sentence = F.greatest(*[_last_index(cut, p) for p in (". ", "! ", "? ")])
-    word = _last_index(cut, " ")
-    shorter = F.when(sentence > most * 0.4, F.substring(cut, F.lit(1), sentence + 1)).when(word > 0, F.substring(cut, F.lit(1), word)).otherwise(cut)
-    return non_empty(F.when(F.length(text) <= most, text).otherwise(trimmed(shorter)))
+    lines = F.transform(F.split(body(raw) if own_body is None else own_body, "\n"), trimmed)
+
+    def shortened(cut: Column) -> Column:
+        ends = F.greatest(*[_last_index(cut, p) for p in (". ", "! ", "? ")])
+        by_word = let(_last_index(cut, " "), lambda word: F.when(word > 0, F.substring(cut, F.lit(1), word)).otherwise(cut))
+        return trimmed(let(ends, lambda sentence: F.when(sentence > most * 0.4, F.substring(cut, F.lit(1), sentence + 1)).otherwise(by_word)))
+
+    whole = collapsed(F.aggregate(lines, start, step)["held"])
+    return let(whole, lambda text: non_empty(F.when(F.length(text) <= most, text).otherwise(let(F.substring(text, 1, most), shortened))))
 
 
-def search_body(raw: Column, most: int = 6000) -> Column:
+def search_body(raw: Column, most: int = 6000, own_body: Column | None = None) -> Column:
     """The body without code fences, images, links and marks, on one line."""
-    text = body(raw)
+    text = body(raw) if own_body is None else own_body
     text = F.regexp_replace(text, r"```[\s\S]*?```", " ")
     text = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]+\)", " ")
     text = F.regexp_replace(text, r"\[[^\]]*\]\([^)]+\)", " ")
     text = F.regexp_replace(text, rf"(?m)^#+[{SPACE}]+", "")
     text = F.regexp_replace(text, r"[|>*_`#]", " ")
-    return non_empty(F.substring(collapsed(text), 1, most))
+    return let(F.substring(collapsed(text), 1, most), non_empty)
 
 
 def plain_frontmatter(raw: Column) -> Column:

@@ -23,11 +23,12 @@ def build_knowledge(raw: DataFrame, settings: Settings) -> DataFrame:
     root = settings.agent_root.rstrip("/") + "/"
     below = F.substring("path", len(root) + 1, 1 << 30)
     docs = raw.where(F.col("path").startswith(root)).where(paths.matches_globs(below, settings.include, settings.exclude))
-    fm = docs.withColumn("frontmatter", markdown.frontmatter(F.col("raw")))
+    fm = docs.withColumns({"frontmatter": markdown.frontmatter(F.col("raw")), "own_body": markdown.body(F.col("raw"))})
+    text = F.col("own_body")
     ident = F.coalesce(fm_string(F.col("frontmatter"), "id"), fm_string(F.col("frontmatter"), "package"), markdown.slug_from_path(F.col("path")))
     out = fm.withColumn("id", ident).select(
-        "id", F.lit("agent-doc").alias("type"), F.coalesce(markdown.first_heading(F.col("raw")), F.col("id")).alias("title"), "path",
-        F.coalesce(fm_string(F.col("frontmatter"), "purpose"), markdown.first_paragraph(F.col("raw"))).alias("description"), markdown.search_body(F.col("raw")).alias("body"), "frontmatter", "raw", *(["pos"] if "pos" in raw.columns else []),
+        "id", F.lit("agent-doc").alias("type"), F.coalesce(markdown.first_heading(F.col("raw"), text), F.col("id")).alias("title"), "path",
+        F.coalesce(fm_string(F.col("frontmatter"), "purpose"), markdown.first_paragraph(F.col("raw"), 400, text)).alias("description"), markdown.search_body(F.col("raw"), 6000, text).alias("body"), "frontmatter", "raw", *(["pos"] if "pos" in raw.columns else []),
     )
     return out if "pos" in raw.columns else with_position(out, "path")
 

@@ -20,9 +20,13 @@ from waymark.streaming import rebuild
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Tables whose rows cost much work each.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def bound(spark: SparkSession, sf_dir: str, statement: str, *names: str) -> DataFrame:
     """A binding over the named tables of the data directory."""
-    return spark.sql(_framed(statement, names), **{n: tables.read(spark, sf_dir, n) for n in names})
+    return spark.sql(_framed(statement, names), **{n: tables.spread(tables.read(spark, sf_dir, n)) if n in TEXTS else tables.read(spark, sf_dir, n) for n in names})
 
 
 def _framed(statement: str, names: tuple[str, ...]) -> str:

@@ -22,6 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the cluster has cores, dealt out by its first column; larger scans as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """The columns of a schema, in its order; those that are missing as nulls."""
     fields = df.sparkSession.createDataFrame([], schema).schema.fields
