@@ -131,6 +131,19 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, []), licenses.known(spark)).count() == 0
 
 
+def test_licenses_of_long_texts_and_every_notice(spark):
+    full = {k: t for k, t in licenses.TEXTS if k in ("Apache-2.0", "GPL-2.0", "LGPL-2.1", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0")}
+    assert len(full) == 6
+    lines = ["Released under CC BY 4.0.", "x\nDistributed under the CC BY-SA 4.0.\ny", "Distributed under CC BY", "released", "Some of https version 3", "sub licence"]
+    texts = [*full.values(), *lines]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts), licenses.known(spark)).collect()}
+    assert [got[k]["license_id"] for k in range(len(full))] == list(full)
+    assert [got[k]["notices"] for k in range(len(full), len(texts))] == ["CC-BY-4.0", "CC-BY-SA-4.0", "", "", "", ""]
+    own = spark.createDataFrame([("A", "notice", "Free of charge"), ("B", "notice", "http version 3"), ("C", "notice", "Sub-license")], "license_id string, kind string, text string")
+    for listed, want in ((own.where("license_id != 'B'"), "A,C"), (own, "A,B,C")):
+        assert licenses.scan(docs(spark, ["FREE of charge!\nHTTPS v3\nsublicence"]), listed).collect()[0]["notices"] == want
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [

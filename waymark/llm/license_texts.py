@@ -1,4 +1,7 @@
-"""Short public licence texts, by SPDX id, without copyright lines, and one-line notices."""
+"""Public licence texts, by SPDX id, and one-line notices. Short texts are here, without copyright lines; long ones are files of license_full."""
+
+import re
+from importlib import resources
 
 _GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -35,8 +38,20 @@ Permission is granted to anyone to use this software for any purpose, including
     ),
 )
 
-#: (SPDX id, whole text), each with and without its title.
-TEXTS = [(k, t) for k, t, _ in _PLAIN] + [(k, f"{title}\n\n{t}") for k, t, title in _PLAIN]
+
+
+def _forms(text: str) -> list[str]:
+    """A long text as it stands, without the advice behind its end, and without what stands around it between double rules."""
+    end = re.search(r"END OF TERMS AND CONDITIONS", text)
+    ruled = re.split(r"^={60,}$", text, flags=re.M)
+    return [text] + ([text[: end.start()], text[: end.end()]] if end else []) + ([ruled[2]] if len(ruled) > 3 else [])
+
+
+#: (SPDX id, whole text) of the files; what follows ~ in a name tells versions of one text apart.
+_FULL = [(f.name.removesuffix(".txt").split("~")[0], t) for f in sorted(resources.files("waymark.llm").joinpath("license_full").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt") for t in _forms(f.read_text("utf-8"))]
+
+#: (SPDX id, whole text): short ones with and without their title, then the long ones.
+TEXTS = [(k, t) for k, t, _ in _PLAIN] + [(k, f"{title}\n\n{t}") for k, t, title in _PLAIN] + _FULL
 
 _NAMES = (
     ("MIT", "MIT License"), ("MIT", "MIT license (MIT)"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache 2.0 License"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"),
@@ -45,5 +60,5 @@ _NAMES = (
 )
 _PHRASES = ("Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "This project is licensed under the {}.", "Distributed under the {}.", "SPDX-License-Identifier: {}")
 
-#: (SPDX id, whole line); all hold "licen" and those that don't are left out.
-NOTICES = [(k, line) for k, name in _NAMES for phrase in _PHRASES if "licen" in (line := phrase.format(k if "SPDX" in phrase else name)).lower()]
+#: (SPDX id, whole line).
+NOTICES = [(k, phrase.format(k if "SPDX" in phrase else name)) for k, name in _NAMES for phrase in _PHRASES]
