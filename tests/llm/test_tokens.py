@@ -157,6 +157,28 @@ def test_html(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><form><td>x</td></form></tr></table>", "x"), ("<table><tbody><td>x<td>y<tr><td>z</table>w", "x  y\nz\n\nw"), ("<table><tbody><form><tr><td>x</td></tr></form></tbody></table>", "x"), ("<table><tr>a <b>b</b><td>x</table>", "a b\n\nx"),
+        ("<table><thead><p>h</p><tr><th>x<tbody>t<tr><div hidden>n<td>y</table>", "h\n\nt\n\nx\ny"), ("<table><td>x</td><tr><td>y</table>", "x\ny"), ("<table><colgroup><col>c<tr><td>x</table>", "c\n\nx"), ("<table><colgroup><a>c</a><td>x</table>", "c\n\nx"),
+        ("<table><form hidden>f<tr><td>x</table>", "f\n\nx"), ("<table><div><tr><td>x<td>y</table>", "x  y"), ("<table><tr hidden>a<td>n</table>", "a"), ("<table hidden><tr>a<td>n</table>", "a"), ("<table><tr><td>x<table><tr>i<td>y</table></table>", "xi\ny"),
+        ("<table><tr><td>a<table><tr><td>b</table>c<td>d</table>e", "a  d\nb\nc\n\ne"), ("<table><tr><td>x<tr><table><tr><td>y</table>", "x\n\ny"), ("<table><tr><td><template><td>n</template>x</table>", "x"), ("<tr>a<td>x", "a x"), ("<table><caption>c<td>x</table>", "c\nx"),
+    ],
+)
+def test_html_between_table_parts(page, text):
+    assert html_text.visible_text(page) == text
+
+
+def test_html_loses_no_word_in_odd_tables():
+    rng = random.Random(3)
+    tags = [f"<{e}{n}>" for e in ("", "/") for n in "table thead tbody tfoot tr td th caption colgroup form div p b a span ul li".split()] + ["<col>", "<br>"]
+    for _ in range(3000):
+        parts = [x for k in range(rng.randrange(2, 25)) for x in (rng.choice(tags), *[f" w{k}w "] * (rng.random() < 0.6))]
+        page = "<table>" * rng.randrange(2) + "".join(parts)
+        assert sorted(html_text.visible_text(page).replace("\n", " ").replace("- ", " ").split()) == sorted(x.strip() for x in parts if x[0] == " "), page
+
+
 def test_html_table(spark):
     frame = spark.createDataFrame([(1, "u", "<p>a", "t"), (1, "u", "<p>a", "t"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_text.extract(frame).collect()) == [(0, ""), (1, "a"), (1, "a")]

@@ -33,6 +33,13 @@ IMPLIED = {
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
+#: What stands directly in these and is no part of a table is shown before the table.
+TABLE_PARTS = frozenset("table thead tbody tfoot tr colgroup".split())
+#: A part of a table, and the innermost open elements that may hold it.
+HOLDERS = {"tr": frozenset("table thead tbody tfoot".split()), "col": frozenset({"table", "colgroup"})} | dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), frozenset({"table"})) | dict.fromkeys(("td", "th"), frozenset("table thead tbody tfoot tr".split()))
+#: Elements that stay where they are in a table.
+STAYS = frozenset("script style template".split())
+FOREIGN = frozenset("template svg math".split())
 WALLS = frozenset("table td th caption button object template html".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -64,10 +71,10 @@ def parse(page: str) -> Node:
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
-            stack[-1].children.append(html.unescape(page[at:]))
+            _add(stack, html.unescape(page[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            _add(stack, html.unescape(page[at : m.start()]))
         at = m.end()
         if m[1]:
             _close(stack, m[1].lower())
@@ -75,25 +82,58 @@ def parse(page: str) -> Node:
             name, attrs = m[2].lower(), attributes(m[3]) if m[3].strip(" /\n\t") else {}
             _make_room(stack, name)
             node = Node(name, attrs)
-            stack[-1].children.append(node)
+            in_table = _add(stack, node)
             if name in RAW or name in RCDATA:
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 body = page[at : end.start() if end else size]
                 node.children.append(html.unescape(body) if name in RCDATA else body)
                 at = end.end() if end else size
-            elif name not in VOID:
+            elif name not in VOID and not (name == "form" and in_table):
                 stack.append(node)
         elif m[0].startswith("<![CDATA["):
-            stack[-1].children.append(m[0][9:].removesuffix("]]>"))
+            _add(stack, m[0][9:].removesuffix("]]>"))
     return root
 
 
+def _add(stack: list[Node], child: Node | str) -> bool:
+    """Put the child into the open element, or before the table if it stands between a table's parts; whether it does."""
+    here = stack[-1]
+    blank = not child.strip(" \t\n\f\r") if isinstance(child, str) else child.name in HOLDERS or child.name in STAYS
+    if here.name in TABLE_PARTS and not blank:
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name == "table":
+                stack[k - 1].children.insert(-1, child)
+                return True
+            if stack[k].name in FOREIGN:
+                break
+    here.children.append(child)
+    return False
+
+
+def _to_table(stack: list[Node], name: str) -> bool:
+    """Close all up to the element that holds a part of a table, with a row for a cell that has none; whether there is one."""
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k].name in HOLDERS[name]:
+            del stack[k + 1 :]
+            if name in ("td", "th") and stack[k].name != "tr":
+                stack.append(Node("tr", {}))
+                stack[k].children.append(stack[-1])
+            return True
+        if stack[k].name in FOREIGN:
+            break
+    return False
+
+
 def _make_room(stack: list[Node], name: str) -> None:
     """Close what the opening of name implies closed."""
+    if name in HOLDERS and _to_table(stack, name):
+        return
+    if stack[-1].name == "colgroup" and name not in STAYS:
+        stack.pop()
     if name in IMPLIED:
         ends, scope = IMPLIED[name]
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in scope:
+            if stack[k].name in scope or stack[k].name in FOREIGN:
                 break
             if stack[k].name in ends:
                 del stack[k:]
@@ -106,19 +146,21 @@ def _make_room(stack: list[Node], name: str) -> None:
                 break
             if stack[k].name in WALLS:
                 break
+    if name == "table" and stack[-1].name in TABLE_PARTS:
+        _close(stack, "table")
     if name in ("body", "main", "div", "p", "article", "section", "h1") and len(stack) > 1 and stack[-1].name == "head":
         stack.pop()
 
 
 def _close(stack: list[Node], name: str) -> None:
     if name in ("br", "p") and not any(n.name == name for n in stack):
-        stack[-1].children.append(Node(name, {}))
+        _add(stack, Node(name, {}))
         return
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].name == name:
             del stack[k:]
             return
-        if stack[k].name in WALLS and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
+        if stack[k].name in WALLS and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "template"):
             return
 
 
