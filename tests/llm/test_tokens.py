@@ -179,6 +179,12 @@ def test_html_loses_no_word_in_odd_tables():
         assert sorted(html_text.visible_text(page).replace("\n", " ").replace("- ", " ").split()) == sorted(x.strip() for x in parts if x[0] == " "), page
 
 
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 40, 400])
+def test_html_lays_out_tables_at_any_depth(depth):
+    inner = "<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>"
+    assert html_text.visible_text("<table><tr><td>" * depth + inner + "</table>" * depth + "e") == "a    bb\nccc  d\n\ne"
+
+
 def test_html_table(spark):
     frame = spark.createDataFrame([(1, "u", "<p>a", "t"), (1, "u", "<p>a", "t"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_text.extract(frame).collect()) == [(0, ""), (1, "a"), (1, "a")]

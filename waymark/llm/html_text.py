@@ -49,10 +49,10 @@ _SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "name")
+    __slots__ = ("attrs", "children", "lines", "name")
 
     def __init__(self, name: str, attrs: dict[str, str]) -> None:
-        self.name, self.attrs, self.children = name, attrs, []
+        self.name, self.attrs, self.children, self.lines = name, attrs, [], []
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -215,14 +215,28 @@ class Page:
 
 def render(node: Node) -> str:
     """The visible text of a tree."""
+    for table in reversed(_tables(node)):
+        table.lines = table_lines(table)
     page = Page()
-    _emit(node, page, False, 0)
+    _emit(node, page, False)
     page.end_line()
     return "\n".join(page.lines).strip("\n")
 
 
-def _emit(root: Node, page: Page, pre: bool, depth: int) -> None:
-    """Walk with a stack of its own, so that deep nesting can't exhaust Python's."""
+def _tables(root: Node) -> list[Node]:
+    """Tables that aren't hidden, each before those in it."""
+    found, work = [], [root]
+    while work:
+        node = work.pop()
+        if not hidden(node):
+            if node.name == "table":
+                found.append(node)
+            work.extend(c for c in node.children if isinstance(c, Node))
+    return found
+
+
+def _emit(root: Node, page: Page, pre: bool) -> None:
+    """Walk with a stack of its own, so that deep nesting can't exhaust Python's. Tables are laid out already."""
     work: list = [(root, pre, None)]
     while work:
         item, pre, undo = work.pop()
@@ -247,10 +261,10 @@ def _emit(root: Node, page: Page, pre: bool, depth: int) -> None:
             if label and (name == "img" or item.attrs.get("type", "text").lower() in ("button", "submit", "reset", "text")):
                 page.text(label, False)
             continue
-        if name == "table" and depth < 8:
+        if name == "table":
             page.end_line()
             page.gap = True
-            for line in table_lines(item, depth + 1):
+            for line in item.lines:
                 page.now = [line]
                 page.end_line(keep=bool(line))
             page.gap = True
@@ -305,8 +319,8 @@ def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def table_lines(table: Node, depth: int) -> list[str]:
-    """Caption, then rows with their cells padded to columns; spans take their columns and rows."""
+def table_lines(table: Node) -> list[str]:
+    """Of a table whose inner tables are laid out: caption, then rows with their cells padded to columns; spans take their columns and rows."""
     out: list[str] = []
     rows: list[Node] = []
     parts: dict[str, list[Node]] = {"thead": [], "tbody": [], "tfoot": []}
@@ -318,7 +332,7 @@ def table_lines(table: Node, depth: int) -> list[str]:
         elif hidden(c):
             continue
         elif c.name == "caption":
-            out += cell_lines(c, depth)
+            out += cell_lines(c)
         elif c.name in parts:
             parts[c.name] += [r for r in c.children if isinstance(r, Node) and r.name == "tr" and not hidden(r)]
         elif c.name == "tr":
@@ -326,7 +340,7 @@ def table_lines(table: Node, depth: int) -> list[str]:
         elif c.name not in ("col", "colgroup"):
             loose.children.append(c)
     if loose.children:
-        out = cell_lines(loose, depth) + out
+        out = cell_lines(loose) + out
     rows = parts["thead"] + parts["tbody"] + parts["tfoot"]
     grid: list[dict[int, list[str]]] = [{} for _ in rows]
     taken: set[tuple[int, int]] = set()
@@ -340,7 +354,7 @@ def table_lines(table: Node, depth: int) -> list[str]:
                 x += 1
             across, down = _span(cell, "colspan", 1000), min(_span(cell, "rowspan", 65534) or len(rows), len(rows) - y)
             across = max(1, across)
-            grid[y][x] = cell_lines(cell, depth)
+            grid[y][x] = cell_lines(cell)
             spans[y, x] = across
             if down > 1 or across > 1:
                 taken.update((y + j, x + k) for j in range(down) for k in range(across))
@@ -374,13 +388,13 @@ def _span(cell: Node, name: str, most: int) -> int:
     return min(int(value), most) if re.fullmatch(r"\d{1,9}", value) else 1
 
 
-def cell_lines(cell: Node, depth: int) -> list[str]:
+def cell_lines(cell: Node) -> list[str]:
     page = Page()
     for c in cell.children:
         if isinstance(c, str):
             page.text(c, False)
         else:
-            _emit(c, page, False, depth)
+            _emit(c, page, False)
     page.end_line()
     return [x for x in page.lines if x]
 
