@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waymark.llm import language_id, line_dedup, packing, simhash, toxicity
 from waymark.llm.common import bound_batches, materialize, read_table
 
-#: Documents of a lower language score go; chance is one over the number of languages.
+#: Documents of a lower language score go, where there are four languages; chance is one over the number of languages.
 MIN_LANGUAGE_SCORE = 0.3
 
 
@@ -22,12 +22,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn("_score", score(F.col("text"))).where("_score < 0.5").select(docs.columns)
 
 
+def score_floor(n_langs: int) -> float:
+    """The least language score that stays: as many times chance for any number of languages, at most 1."""
+    return min(1.0, MIN_LANGUAGE_SCORE * 4 / max(1, n_langs))
+
+
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is told: not those without a letter, nor of a score near chance."""
     bound_batches(spark)
-    verdict = language_id.classifier(spark, language_id.fit(docs))
+    model = language_id.fit(docs)
+    verdict = language_id.classifier(spark, model)
     told = docs.withColumn("_verdict", verdict(F.col("text")))
-    return told.where((F.col("_verdict.lang_pred") != language_id.UNKNOWN) & (F.col("_verdict.score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    return told.where((F.col("_verdict.lang_pred") != language_id.UNKNOWN) & (F.col("_verdict.score") >= score_floor(len(model.langs)))).select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

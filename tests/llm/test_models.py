@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -34,6 +35,34 @@ def test_phrases_match_brute_force():
             assert got[k, j] == longest_phrases(bytes(c.tolist()), sample)
 
 
+@pytest.mark.parametrize("dense", [0, 1 << 30])
+def test_every_letter_counts_in_wide_alphabets(monkeypatch, dense):
+    monkeypatch.setattr(language_id, "DENSE_BYTES", dense)
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + k) for k in range(400)]
+    samples = {k: "".join(rng.choice(own) for _ in range(2000)) for k, own in (("x", letters[:250]), ("y", letters[150:]))}
+    model = language_id.LanguageModel(samples)
+    assert model.width == 402 and (model.step is None) == (dense == 0)
+    texts = ["".join(rng.choice([*letters, " ", "q"]) for _ in range(rng.randrange(1, 300))) for _ in range(20)] + [samples["y"][5:300], ""]
+    codes = [language_id.symbols(t, model.table) for t in texts]
+    got, plain = model.phrases(codes), lambda c: "".join(map(chr, c.tolist()))
+    for k, c in enumerate(codes):
+        for j, lang in enumerate(model.langs):
+            assert got[k, j] == longest_phrases(plain(c), plain(language_id.symbols(samples[lang], model.table)))
+
+
+def test_every_sampled_document_is_learned_from(spark):
+    docs = spark.createDataFrame([(k, chr(0x4E00 + k) * 5000, "zz", 0.5, "x", 3) for k in range(150)], SCHEMA)
+    learned = docs.where(~language_id.held_out()).count()
+    assert learned > 100 and language_id.fit(docs).width == learned + 2
+    assert language_id.level([5, 100, 100], 105) == 50 and language_id.level([1, 2], 9) == 2 and language_id.level([], 9) == 0
+
+
+@pytest.mark.parametrize(("n", "floor"), [(0, 1.0), (1, 1.0), (4, 0.3), (40, 0.03)])
+def test_language_floor_follows_the_number_of_languages(n, floor):
+    assert corpus_pipeline.score_floor(n) == pytest.approx(floor)
+
+
 def test_long_text_is_the_sum_of_its_blocks():
     model = language_id.LanguageModel({"x": "abcab abc", "y": "zzyx"})
     c = language_id.symbols("abc zz" * 1000, model.table)

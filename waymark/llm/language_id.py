@@ -24,8 +24,8 @@ from waymark.llm.common import bound_batches, read_table
 TRAIN_CHARS = 32_768
 TRAIN_DOCS = 256
 MAX_LANGS = 64
-#: Letters of the samples that get a symbol of their own, the most frequent first; symbol 0 is any other letter, 1 a gap.
-ALPHABET = 94
+#: Bytes up to which the transitions of all automata are one table of all symbols; beyond, each is looked up among those that exist.
+DENSE_BYTES = 128 << 20
 BLOCK = 512
 #: Share of the evidence, in bits, that counts for the score: neighbouring phrases aren't independent.
 TEMPER = 0.1
@@ -34,15 +34,18 @@ VERDICT = StructType([StructField("lang_pred", StringType()), StructField("score
 
 
 def symbol_table(samples: dict[str, str]) -> tuple[np.ndarray, int]:
-    """Code point -> symbol, letters by their lower case, all else a gap; and the number of symbols."""
+    """Code point -> symbol, letters by their lower case, all else a gap; and the number of symbols.
+
+    Every letter of the samples has a symbol of its own; symbol 0 is any other letter, 1 a gap.
+    """
     counts: dict[str, int] = {}
     for text in samples.values():
         for c in text.lower():
             if c.isalpha():
                 counts[c] = counts.get(c, 0) + 1
-    letters = sorted(counts, key=lambda c: (-counts[c], c))[:ALPHABET]
+    letters = sorted(counts, key=lambda c: (-counts[c], c))
     own = {c: k + 2 for k, c in enumerate(letters)}
-    table = np.ones(sys.maxunicode + 1, np.uint8)
+    table = np.ones(sys.maxunicode + 1, np.min_scalar_type(len(own) + 1))
     for k in range(sys.maxunicode + 1):
         c = chr(k)
         if c.isalpha():
@@ -60,8 +63,8 @@ def symbols(text: str, table: np.ndarray) -> np.ndarray:
     return codes[(codes[:1] == 1).sum() : len(codes) - (codes[1:][-1:] == 1).sum()]
 
 
-def suffix_automaton(text: list[int], width: int) -> np.ndarray:
-    """Transitions (states x width) of the suffix automaton of a symbol sequence; state 0 is the root, -1 none."""
+def suffix_automaton(text: list[int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix automaton of a symbol sequence: number of states, and of each transition the state, the symbol and the next state; state 0 is the root."""
     step: list[dict[int, int]] = [{}]
     length, link = [0], [-1]
     last = 0
@@ -88,36 +91,50 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
                     step[p][c] = twin
                     p = link[p]
         last = cur
-    out = np.full((len(step), width), -1, np.int32)
-    for s, to in enumerate(step):
-        if to:
-            out[s, list(to)] = list(to.values())
-    return out
+    state, symbol, to = np.array([(s, c, t) for s, own in enumerate(step) for c, t in own.items()], np.int64).reshape(-1, 3).T
+    return len(step), state, symbol, to
 
 
 class LanguageModel:
-    """Automata of all languages in one table; entries are offsets of rows, 0 means no transition."""
+    """Automata of all languages in one table, or in sorted lists where that were too large; entries are offsets of rows, 0 means no transition."""
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
         self.table, self.width = symbol_table(samples)
         width = self.width
-        rows, firsts, sizes, at = [np.zeros((1, width), np.int32)], [], [], 1
+        moves, firsts, sizes, at = [], [], [], 1
         for lang in self.langs:
             seen = symbols(samples[lang], self.table).tolist()
-            step = suffix_automaton(seen, width)
-            n = len(step)
-            step = np.where(step < 0, 0, (step + at) * width).astype(np.int32)
-            unseen = (at + n) * width  # a state without transitions: a symbol that the sample lacks is a phrase of its own
-            step[0][step[0] == 0] = unseen
-            firsts.append(step[0])
-            rows += [step, np.zeros((1, width), np.int32)]
+            n, state, symbol, to = suffix_automaton(seen)
+            # a state without transitions: a symbol that the sample lacks is a phrase of its own
+            first = np.full(width, (at + n) * width, np.int64)
+            first[symbol[state == 0]] = (to[state == 0] + at) * width
+            firsts.append(first)
+            key = (state + at) * width + symbol
+            order = np.argsort(key)
+            moves.append((key[order], (to[order] + at) * width))
             sizes.append(max(2, len(seen)))
             at += n + 1
-        self.step = np.concatenate(rows).reshape(-1)
-        self.first = np.concatenate(firsts) if firsts else np.zeros(0, np.int32)
+        self.first = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+        self.step, self.moves = None, []
+        if at * width * 4 <= DENSE_BYTES:
+            self.step = np.zeros(at * width, np.int32)
+            for key, to in moves:
+                self.step[key] = to
+            self.first = self.first.astype(np.int32)
+        else:
+            end = np.array([np.iinfo(np.int64).max])
+            self.moves = [(np.concatenate((key, end)), np.concatenate((to, [0]))) for key, to in moves]
         self.bits = np.array([math.log2(n) for n in sizes])
 
+    def _next(self, lang: int, at: np.ndarray) -> np.ndarray:
+        """Where the transitions at these offsets lead."""
+        if self.step is not None:
+            return self.step.take(at)
+        key, to = self.moves[lang]
+        k = np.searchsorted(key, at)
+        return np.where(key.take(k) == at, to.take(k), 0)
+
     def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
         """Phrases of each symbol sequence (rows) against each language (columns)."""
         owner, blocks = [], []
@@ -143,7 +160,7 @@ class LanguageModel:
                 if not m:
                     break
                 now = grid[t, :m]
-                to = self.step.take(state[:m] + now)
+                to = self._next(j, state[:m] + now)
                 ended = to == 0
                 count[:m] += ended
                 state[:m] = np.where(ended, first.take(now), to)
@@ -170,6 +187,17 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def level(lengths: list[int], total: int) -> int:
+    """The most characters that each text may give so that all give total at most."""
+    left, most = total, 0
+    for k, n in enumerate(sorted(lengths)):
+        most = min(n, left // (len(lengths) - k))
+        if most < n:
+            break
+        left -= n
+    return most
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model of the labelled rows that aren't held out: at most TRAIN_DOCS documents of a language, chosen by a hash of the id,
     and TRAIN_CHARS characters of those. The driver gets this bounded sample only. The MAX_LANGS most frequent
@@ -188,11 +216,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         few = F.broadcast(docs.sparkSession.createDataFrame(ids, chosen.schema))
         got = usable.join(few, ["id", "lang"], "left_semi").where(F.col("text").isNotNull()).select("lang", "id", F.substring("text", 1, TRAIN_CHARS).alias("text")).dropDuplicates(["lang", "id"])
         sample = got.toPandas().sort_values(["lang", "id"])
-        share = 4 * TRAIN_CHARS // TRAIN_DOCS
         for lang, own in sample.groupby("lang"):
-            # a share of each first, so that one long document isn't the whole sample; then the rest
-            parts = [t[:share] for t in own["text"]] + [t[share:] for t in own["text"]]
-            samples[str(lang)] = "\n".join(p for p in parts if p)[:TRAIN_CHARS]
+            # all give alike, so that no long document is the whole sample; what short ones leave goes to the others
+            texts = [t for t in own["text"] if t]
+            share = level([len(t) for t in texts], TRAIN_CHARS - max(0, len(texts) - 1))
+            samples[str(lang)] = "\n".join(t[:share] for t in texts)
     return LanguageModel({k: v for k, v in samples.items() if any(c.isalpha() for c in v)})
 
 
