@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
@@ -162,8 +163,8 @@ def test_html(page, text):
     [
         ("<table><tr><form><td>x</td></form></tr></table>", "x"), ("<table><tbody><td>x<td>y<tr><td>z</table>w", "x  y\nz\n\nw"), ("<table><tbody><form><tr><td>x</td></tr></form></tbody></table>", "x"), ("<table><tr>a <b>b</b><td>x</table>", "a b\n\nx"),
         ("<table><thead><p>h</p><tr><th>x<tbody>t<tr><div hidden>n<td>y</table>", "h\n\nt\n\nx\ny"), ("<table><td>x</td><tr><td>y</table>", "x\ny"), ("<table><colgroup><col>c<tr><td>x</table>", "c\n\nx"), ("<table><colgroup><a>c</a><td>x</table>", "c\n\nx"),
-        ("<table><form hidden>f<tr><td>x</table>", "f\n\nx"), ("<table><div><tr><td>x<td>y</table>", "x  y"), ("<table><tr hidden>a<td>n</table>", "a"), ("<table hidden><tr>a<td>n</table>", "a"), ("<table><tr><td>x<table><tr>i<td>y</table></table>", "xi\ny"),
-        ("<table><tr><td>a<table><tr><td>b</table>c<td>d</table>e", "a  d\nb\nc\n\ne"), ("<table><tr><td>x<tr><table><tr><td>y</table>", "x\n\ny"), ("<table><tr><td><template><td>n</template>x</table>", "x"), ("<tr>a<td>x", "a x"), ("<table><caption>c<td>x</table>", "c\nx"),
+        ("<table><form hidden>f<tr><td>x</table>", "f\n\nx"), ("<table><div><tr><td>x<td>y</table>", "x  y"), ("<table><tr hidden>a<td>n</table>", "a"), ("<table hidden><tr>a<td>n</table>", "a"), ("<table><tr><td>x<table><tr>i<td>y</table></table>", "xi\n\ny"),
+        ("<table><tr><td>a<table><tr><td>b</table>c<td>d</table>e", "a  d\n\nb\n\nc\n\ne"), ("<table><tr><td>x<tr><table><tr><td>y</table>", "x\n\ny"), ("<table><tr><td><template><td>n</template>x</table>", "x"), ("<tr>a<td>x", "a x"), ("<table><caption>c<td>x</table>", "c\nx"),
     ],
 )
 def test_html_between_table_parts(page, text):
@@ -185,6 +186,142 @@ def test_html_lays_out_tables_at_any_depth(depth):
     assert html_text.visible_text("<table><tr><td>" * depth + inner + "</table>" * depth + "e") == "a    bb\nccc  d\n\ne"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<details><summary>s</summary>n</details>y", "s\ny"), ("<details open><summary>s</summary>x</details>y", "s\nx\ny"), ("<div style='visibility:hidden'>n<b style='visibility: visible'>x</b>n</div>y", "x\ny"), ("<table><tr><td>a<tr style='visibility:collapse'><td>n</table>", "a"),
+        ("<table><tr><td><p>a<p>b<td>c</table>", "a  c\n\nb"), ("<a href=\"x>y", "y"), ("<a b = 'c>d' e>x", "x"), ("<ul><li><blockquote>q<li>r</ul>", "- > q\n\n- r"), ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c<tr><td>d<td>e<td>f</table>", "a     b\n      c\nd  e  f"),
+    ],
+)
+def test_html_visibility_and_spacing(page, text):
+    assert html_text.visible_text(page) == text
+
+
+LONG = 200_000
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<p>x", "<table><tr><td>x", "<table><tr><td>a<td>b<tr><td>c<td>", "<ul><li>x", "<blockquote><table><tr><td>x", "<tr><td rowspan=60000 colspan=100>x", "<tr><td rowspan={} colspan=3>x", '<a "', "<b></div>", "<!--"])
+def test_html_takes_linear_time(unit):
+    n = LONG // len(unit)
+    page = "<table>" * unit.startswith("<tr>") + "".join(unit.format(n // 2 + k % (n // 2)) for k in range(n))
+    began = time.process_time()
+    text = html_text.visible_text(page)
+    assert time.process_time() - began < 5
+    assert sum(text.count(c) for c in "xabc") == n * sum(unit.partition("<td")[2].count(f">{c}") or unit.count(f">{c}") for c in "xabc")
+
+
+def some_html(rng, depth, counter):
+    """Random markup, end tags left out where they are implied, and its tree: (name, children) or a word."""
+    out, tree = [], []
+    for _ in range(rng.randrange(1, 4)):
+        kind = rng.choice(["text", "p", "div", "ul", "ol", "blockquote", "table", "gone"] if depth else ["text"])
+        if kind == "text":
+            counter[0] += 1
+            tree.append(f"w{counter[0]}")
+            out.append(f" {tree[-1]}\n")
+        elif kind == "gone":
+            out.append(rng.choice(["<div hidden> no </div>", "<script>no</script>", "<p style='display:none'>no</p>", "<!-- no -->"]))
+        elif kind == "p":
+            inner, own = some_html(rng, 0, counter)
+            out.append(f"<p>{inner}</p>")
+            tree.append(("p", own))
+        elif kind in ("ul", "ol", "table"):
+            parts, own = [], []
+            for _ in range(rng.randrange(1, 4)):
+                if kind == "table":
+                    cells = [some_html(rng, depth - 1 if rng.random() < 0.3 else 0, counter) for _ in range(rng.randrange(1, 4))]
+                    parts.append("<tr>" + "".join(f"<td>{h}" + rng.choice(["", "</td>"]) for h, _ in cells) + rng.choice(["", "</tr>"]))
+                    own.append([t for _, t in cells])
+                else:
+                    h, t = some_html(rng, depth - 1, counter)
+                    parts.append(f"<li>{h}" + rng.choice(["", "</li>"]))
+                    own.append(t)
+            out.append(f"<{kind}>{''.join(parts)}</{kind}>")
+            tree.append((kind, own))
+        else:
+            h, t = some_html(rng, depth - 1, counter)
+            out.append(f"<{kind}>{h}</{kind}>")
+            tree.append((kind, t))
+    return "".join(out), tree
+
+
+class Plain:
+    """A renderer by plain recursion over a tree, tables bottom up as texts."""
+
+    def __init__(self):
+        self.lines, self.gap, self.inline = [], False, []
+        self.prefix = self.first = ""
+
+    def put(self, line):
+        if self.gap and self.lines:
+            self.lines.append("")
+        self.gap = False
+        self.lines.append(((self.first or self.prefix) + line).rstrip())
+        self.first = ""
+
+    def flush(self):
+        if self.inline:
+            self.put(" ".join(self.inline))
+        self.inline = []
+
+    def space(self, kind):
+        self.gap = self.gap or kind in ("p", "blockquote", "table") or kind in ("ul", "ol") and not self.prefix
+
+    def walk(self, nodes):
+        for node in nodes:
+            if isinstance(node, str):
+                self.inline.append(node)
+                continue
+            kind, own = node
+            self.flush()
+            self.space(kind)
+            if kind == "table":
+                for line in self.table(own):
+                    self.put(line)
+            elif kind in ("ul", "ol"):
+                before = self.prefix
+                for k, item in enumerate(own):
+                    self.flush()
+                    mark = f"{k + 1}. " if kind == "ol" else "- "
+                    self.prefix, self.first = before + " " * len(mark), before + mark
+                    self.walk(item)
+                    self.flush()
+                    self.prefix, self.first = before, ""
+            else:
+                before, first = self.prefix, self.first
+                if kind == "blockquote":
+                    self.prefix, self.first = before + "> ", first and first + "> "
+                self.walk(own)
+                self.flush()
+                self.prefix, self.first = before, self.first and first
+            self.space(kind)
+
+    def table(self, rows):
+        cells = [[Plain.of(c) for c in row] for row in rows]
+        wide = [max((len(x) for row in cells if len(row) > k for x in row[k]), default=0) for k in range(max(map(len, cells)))]
+        for row in cells:
+            for k in range(max(map(len, row))):
+                line = ""
+                for x, cell in enumerate(row):
+                    if k < len(cell) and cell[k]:
+                        at = sum(w + 2 for w in wide[:x] if w)
+                        line = line + " " * max(at - len(line), 2 if line else 0) + cell[k]
+                yield line
+
+    @staticmethod
+    def of(tree):
+        out = Plain()
+        out.walk(tree)
+        out.flush()
+        return out.lines
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_html_matches_plain_recursion(seed):
+    page, tree = some_html(random.Random(seed), 4, [0])
+    assert html_text.visible_text(page) == "\n".join(Plain.of(tree)).strip("\n"), page
+
+
 def test_html_table(spark):
     frame = spark.createDataFrame([(1, "u", "<p>a", "t"), (1, "u", "<p>a", "t"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_text.extract(frame).collect()) == [(0, ""), (1, "a"), (1, "a")]
