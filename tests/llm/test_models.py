@@ -63,11 +63,38 @@ def test_language_floor_follows_the_number_of_languages(n, floor):
     assert corpus_pipeline.score_floor(n) == pytest.approx(floor)
 
 
-def test_long_text_is_the_sum_of_its_blocks():
-    model = language_id.LanguageModel({"x": "abcab abc", "y": "zzyx"})
-    c = language_id.symbols("abc zz" * 1000, model.table)
-    parts = [c[k : k + language_id.BLOCK] for k in range(0, len(c), language_id.BLOCK)]
-    assert (model.phrases([c])[0] == model.phrases(parts).sum(axis=0)).all()
+@pytest.mark.parametrize(("dense", "abreast"), [(0, 2), (1 << 30, 2), (1 << 30, 24), (0, 1)])
+def test_long_texts_are_parsed_whole(monkeypatch, dense, abreast):
+    """Long and short texts in one batch, side by side and alone."""
+    monkeypatch.setattr(language_id, "DENSE_BYTES", dense)
+    monkeypatch.setattr(language_id, "ABREAST", abreast)
+    rng = random.Random(abreast)
+    samples = {"x": "".join(rng.choice("abc ") for _ in range(500)), "y": "".join(rng.choice("bcd ") for _ in range(700))}
+    model = language_id.LanguageModel(samples)
+    texts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (5000, 1, 3000, 1025, 1024, 1023, 40, 2)] + ["", samples["x"] * 3]
+    codes = [language_id.symbols(t, model.table) for t in texts]
+    got = model.phrases(codes)
+    for k, c in enumerate(codes):
+        for j, lang in enumerate(model.langs):
+            assert got[k, j] == longest_phrases(bytes(c.tolist()), bytes(language_id.symbols(samples[lang], model.table).tolist()))
+
+
+def test_two_scripts_and_many_languages(spark, monkeypatch):
+    """Every language is learned, and languages with alphabets of their own are told apart by single letters."""
+    monkeypatch.setattr(language_id, "TOTAL_CHARS", 40_000)
+    rng, rows = random.Random(7), []
+    for lang in range(80):
+        letters = [chr(0x4E00 + 40 * lang + k) for k in range(40)]
+        rows += [(100 * lang + k, "".join(rng.choice(letters) for _ in range(80)), f"l{lang}") for k in range(15)]
+    docs = spark.createDataFrame([(i, t, lang, 0.5, "x", 3) for i, t, lang in rows], SCHEMA)
+    model = language_id.fit(docs)
+    assert len(model.langs) == 80
+    truth = {i: lang for i, _, lang in rows}
+    held = [r for r in language_id.identify(docs, model).collect() if r["held_out"]]
+    assert len(held) > 150 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
+    monkeypatch.setattr(language_id, "MAX_LANGS", 79)
+    with pytest.raises(ValueError):
+        language_id.fit(docs)
 
 
 def words(rng, stems, n):

@@ -2,8 +2,8 @@
 
 A suffix automaton of a bounded sample of labelled text stands for each language. A text is parsed
 against it from left to right into longest matches (phrases); a language that needs fewer phrases,
-normalised by the length of its sample, is likelier. The parse starts anew at each block of BLOCK characters, so
-that all blocks of a batch are walked side by side; the counts of a text's blocks are added up.
+normalised by the length of its sample, is likelier. All texts of a batch are walked side by side, each from its
+first character to its last; where few are long enough to go on, each goes on alone.
 """
 
 from __future__ import annotations
@@ -18,15 +18,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from waymark.llm.common import bound_batches, read_table
+from waymark.llm.common import BROADCAST_ROWS, bound_batches, read_table, release_memory
 
-#: Fit: characters of each language's sample, sampled documents of a language at most, and languages at most.
+#: Fit: characters of each language's sample, of all samples together (many languages share it), and sampled documents of a language, at most.
 TRAIN_CHARS = 32_768
+TOTAL_CHARS = 1 << 21
 TRAIN_DOCS = 256
-MAX_LANGS = 64
+#: Languages from which labels are taken as broken: an error, since every language is learned.
+MAX_LANGS = 10_000
 #: Bytes up to which the transitions of all automata are one table of all symbols; beyond, each is looked up among those that exist.
 DENSE_BYTES = 128 << 20
-BLOCK = 512
+#: Texts that are worth walking side by side.
+ABREAST = 24
 #: Share of the evidence, in bits, that counts for the score: neighbouring phrases aren't independent.
 TEMPER = 0.1
 UNKNOWN = "und"
@@ -126,6 +129,7 @@ class LanguageModel:
             end = np.array([np.iinfo(np.int64).max])
             self.moves = [(np.concatenate((key, end)), np.concatenate((to, [0]))) for key, to in moves]
         self.bits = np.array([math.log2(n) for n in sizes])
+        self.by_key: dict[int, dict[int, int]] = {}
 
     def _next(self, lang: int, at: np.ndarray) -> np.ndarray:
         """Where the transitions at these offsets lead."""
@@ -137,36 +141,65 @@ class LanguageModel:
 
     def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
         """Phrases of each symbol sequence (rows) against each language (columns)."""
-        owner, blocks = [], []
-        for k, c in enumerate(codes):
-            for at in range(0, len(c), BLOCK):
-                owner.append(k)
-                blocks.append(c[at : at + BLOCK])
         out = np.zeros((len(codes), len(self.langs)), np.int64)
-        if not blocks or not self.langs:
-            return out
-        sizes = np.fromiter(map(len, blocks), np.int64, len(blocks))
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
         order = np.argsort(-sizes, kind="stable")
-        grid = np.zeros((BLOCK, len(blocks)), np.int32)
-        for column, k in enumerate(order):
-            grid[: sizes[k], column] = blocks[k]
-        live = np.searchsorted(-sizes[order], -np.arange(BLOCK), side="left")  # blocks longer than t
-        owner = np.array(owner)[order]
-        for j in range(len(self.langs)):
-            first = self.first[j * self.width : (j + 1) * self.width]
-            state, count = first.take(grid[0]), np.ones(len(blocks), np.int64)
-            for t in range(1, BLOCK):
-                m = live[t]
-                if not m:
-                    break
-                now = grid[t, :m]
-                to = self._next(j, state[:m] + now)
-                ended = to == 0
-                count[:m] += ended
-                state[:m] = np.where(ended, first.take(now), to)
-            np.add.at(out[:, j], owner, count)
+        order = order[sizes[order] > 0]
+        if not len(order) or not self.langs:
+            return out
+        abreast = int(sizes[order[ABREAST - 1]]) if len(order) >= ABREAST else 1
+        live = np.searchsorted(-sizes[order], -np.arange(abreast), side="left")  # texts longer than t
+        states, counts = np.zeros((len(self.langs), len(order)), np.int64), np.zeros((len(self.langs), len(order)), np.int64)
+        for start in range(0, abreast, 1024):  # the grid is made in slices, so that its size is bounded
+            stop = min(abreast, start + 1024)
+            grid = np.zeros((stop - start, live[start]), np.int32)
+            for column in range(live[start]):
+                part = codes[order[column]][start:stop]
+                grid[: len(part), column] = part
+            for j in range(len(self.langs)):
+                first = self.first[j * self.width : (j + 1) * self.width]
+                state, count = states[j], counts[j]
+                for t in range(start, stop):
+                    m = live[t]
+                    now = grid[t - start, :m]
+                    if t:
+                        to = self._next(j, state[:m] + now)
+                        ended = to == 0
+                        count[:m] += ended
+                        state[:m] = np.where(ended, first.take(now), to)
+                    else:
+                        state[:], count[:] = first.take(now), 1
+        for column in range(len(order)):
+            if sizes[order[column]] <= abreast:
+                break
+            rest = codes[order[column]][abreast:].tolist()
+            for j in range(len(self.langs)):
+                counts[j, column] += self._alone(j, int(states[j, column]), rest)
+        out[order] = counts.T
         return out
 
+    def _alone(self, lang: int, state: int, rest: list[int]) -> int:
+        """Phrases that begin in the rest of one sequence."""
+        first, count = self.first[lang * self.width : (lang + 1) * self.width].tolist(), 0
+        if self.step is not None:
+            step = memoryview(self.step)
+            for c in rest:
+                state = step[state + c]
+                if not state:
+                    count += 1
+                    state = first[c]
+            return count
+        if lang not in self.by_key:
+            key, to = self.moves[lang]
+            self.by_key[lang] = dict(zip(key.tolist(), to.tolist(), strict=True))
+        get = self.by_key[lang].get
+        for c in rest:
+            state = get(state + c, 0)
+            if not state:
+                count += 1
+                state = first[c]
+        return count
+
     def classify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes = [symbols(t, self.table) if t else np.zeros(0, np.uint8) for t in texts]
         bits = self.phrases(codes) * self.bits
@@ -198,30 +231,39 @@ def level(lengths: list[int], total: int) -> int:
     return most
 
 
+def sample_of(texts: list[str], total: int) -> str:
+    """Texts joined to at most total characters, to which all give alike, so that no long one is the whole; what short ones leave goes to the others."""
+    texts = [t for t in texts if t]
+    share = level([len(t) for t in texts], total - max(0, len(texts) - 1))
+    return "\n".join(t[:share] for t in texts)[:total]
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model of the labelled rows that aren't held out: at most TRAIN_DOCS documents of a language, chosen by a hash of the id,
-    and TRAIN_CHARS characters of those. The driver gets this bounded sample only. The MAX_LANGS most frequent
-    languages are learned. Rows with a null id, text or language are not learned from.
+    and TRAIN_CHARS characters of those, less where that were over TOTAL_CHARS for all languages. Every language is learned; more
+    than MAX_LANGS are an error. Samples are cut where the rows are, one language in a task, so the driver gets TOTAL_CHARS characters.
+    Rows with a null id, text or language are not learned from; of rows that repeat an id and a language one counts.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    langs = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    narrow = usable.where(F.col("lang").isin(langs)).select("id", "lang", F.xxhash64("id").alias("h"))
+    narrow = usable.select("id", "lang", F.xxhash64("id").alias("h"))
     lots = 32
     near = Window.partitionBy("lang", F.pmod(F.col("h"), F.lit(lots))).orderBy("h", "id")
-    chosen = narrow.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= TRAIN_DOCS // lots).select("id", "lang")
-    ids = [tuple(r) for r in chosen.collect()]  # at most MAX_LANGS * TRAIN_DOCS
-    samples: dict[str, str] = {}
-    if ids:
-        few = F.broadcast(docs.sparkSession.createDataFrame(ids, chosen.schema))
-        got = usable.join(few, ["id", "lang"], "left_semi").where(F.col("text").isNotNull()).select("lang", "id", F.substring("text", 1, TRAIN_CHARS).alias("text")).dropDuplicates(["lang", "id"])
-        sample = got.toPandas().sort_values(["lang", "id"])
-        for lang, own in sample.groupby("lang"):
-            # all give alike, so that no long document is the whole sample; what short ones leave goes to the others
-            texts = [t for t in own["text"] if t]
-            share = level([len(t) for t in texts], TRAIN_CHARS - max(0, len(texts) - 1))
-            samples[str(lang)] = "\n".join(t[:share] for t in texts)
-    return LanguageModel({k: v for k, v in samples.items() if any(c.isalpha() for c in v)})
+    chosen = narrow.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= TRAIN_DOCS // lots).select("id", "lang").distinct()
+    n_langs = usable.select("lang").distinct().limit(MAX_LANGS + 1).count()
+    if n_langs > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    total = min(TRAIN_CHARS, TOTAL_CHARS // max(1, n_langs))
+    few = F.broadcast(chosen) if n_langs * TRAIN_DOCS <= BROADCAST_ROWS else chosen
+    got = usable.where(F.col("text").isNotNull()).join(few, ["id", "lang"]).select("lang", "id", F.substring("text", 1, total).alias("text"))
+    got = got.groupBy("lang", "id").agg(F.min("text").alias("text"))
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "text": [sample_of(group["text"].tolist(), total)]})
+
+    samples = {r["lang"]: r["text"] for r in got.groupBy("lang").applyInPandas(joined, "lang string, text string").collect()}
+    return LanguageModel({str(k): v for k, v in samples.items() if any(c.isalpha() for c in v)})
 
 
 def classifier(spark: SparkSession, model: LanguageModel) -> Callable:
@@ -233,6 +275,7 @@ def classifier(spark: SparkSession, model: LanguageModel) -> Callable:
         for texts in batches:
             langs, scores = own.classify(texts.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        release_memory()
 
     verdicts.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(verdicts, VERDICT)
