@@ -60,10 +60,12 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Where the cluster names none, a local one serves a local master; else it is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder_for(spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master)
+
+
+def folder_for(folder: str | None, master: str) -> str:
     if folder:
         return folder.rstrip("/")
-    master = spark.sparkContext.master
     if master == "local" or master.startswith("local["):
         return f"/tmp/waymark-checkpoints-{os.getuid()}"
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

@@ -1,7 +1,7 @@
 """Line dedup: equal and nearly equal lines keep their earliest occurrence.
 
 Lines are compared by their canonical text (lower case, white space as one space). Two lines are near if one
-edit of a character at most parts them. Near lines are found by deletion neighbourhoods: a line emits the hash of itself
+edit of a character at most parts them and the shorter has near_chars characters. Near lines are found by deletion neighbourhoods: a line emits the hash of itself
 and of each text with one character deleted. A text equal to another's deletion is a near pair; so are two deletions at
 the same place (a substitution). Each candidate is checked by its edit distance.
 
@@ -9,11 +9,13 @@ A line takes part in the neighbourhood join only if it can have a near line at a
 the last half of the shorter line intact, so hashes of halves that occur once rule their lines out, exactly.
 
 In each bucket lines are linked to the bucket's earliest line only, which is enough to know whether
-a line has an earlier near line; no bucket makes all pairs.
+a line has an earlier near line; no bucket makes all pairs. Buckets hold distinct lines that differ at one place, so their
+size is bounded by the letters in use, not by how often a line occurs: copies are combined before.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -25,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from waymark.llm.common import bound_batches, materialize, read_table
+from waymark.llm.common import bound_batches, drop, fresh, materialize, named, read_table, release_memory, small
 
-#: Canonical characters: shorter lines (and blank ones) always stay; near lines are sought from NEAR_CHARS on.
-MIN_CHARS = 16
-NEAR_CHARS = 32
-#: Rows of a semi-join's small side up to which it is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Canonical characters from which equal lines are sought (blank lines always stay), and from which near ones are.
+MIN_CHARS = 1
+NEAR_CHARS = 16
+#: Edits that may part near lines: 0 or 1.
+EDITS = 1
+#: Rows of one Arrow batch of variants.
+VARIANT_ROWS = 1 << 16
 
 _gaps = re.compile("[\t\x0b\f\r ]+").sub
 BASE = 0x5DEECE66D1CE4E5B | 1
@@ -71,114 +75,154 @@ def _mix(h: np.ndarray, length: int, place) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether one edit at most parts the texts, in linear time."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = len(os.path.commonprefix((a, b)))
+    return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
+
+
 LINES = StructType([StructField("id", LongType()), StructField("row", LongType()), StructField("line_no", IntegerType()), StructField("h1", LongType()), StructField("h2", LongType()), StructField("keys", ArrayType(LongType()))])
 TEXTS = StructType([*LINES.fields[:5], StructField("line", StringType())])
+VARIANTS = StructType([*LINES.fields[:5], StructField("kind", IntegerType()), StructField("key", LongType())])
 
 
-def _split(with_text: bool):
+def _split(min_chars: int, near_chars: int):
+    """(id, row, text) -> LINES; keys only of lines that may have near ones."""
+
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("line_no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
         for batch in batches:
             rows = []
             for doc_id, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for k, line in enumerate((text or "").split("\n")):
                     own = canonical(line)
-                    if len(own) >= MIN_CHARS:
+                    if len(own) >= min_chars:
                         h = xxhash.xxh3_128_intdigest(own.encode("utf-8", "surrogatepass"))
-                        last = own if with_text else halves(own) if len(own) >= NEAR_CHARS else []
-                        rows.append((doc_id, row, k, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), last))
-            if rows:
-                schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("line_no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("line", pa.string()) if with_text else ("keys", pa.list_(pa.int64()))])
-                for at in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096], strict=True), schema.types, strict=True)], schema=schema)
+                        rows.append((doc_id, row, k, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), halves(own) if len(own) >= near_chars else []))
+            for at in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096], strict=True), schema.types, strict=True)], schema=schema)
+        release_memory()
 
     return lines
 
 
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, row, text, wanted array<struct(line_no, h1, h2)>) -> TEXTS of the wanted lines."""
+    for batch in batches:
+        rows = []
+        for doc_id, row, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            lines = (text or "").split("\n")
+            rows += [(doc_id, row, w["line_no"], w["h1"], w["h2"], canonical(lines[w["line_no"]])) for w in wanted]
+        if rows:
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=TEXTS.names)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, line) -> (h1, h2, kind, key): 0 the line, 1 a deletion, 2 a deletion with its place."""
+    """TEXTS -> VARIANTS, kind 0 the line, 1 a deletion, 2 a deletion with its place."""
     for batch in batches:
-        for h1, h2, line in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for *place, line in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
             own, less, placed = neighbourhood(line)
             keys = np.concatenate(([own], less, placed))
             kinds = np.repeat(np.array([0, 1, 2], np.int32), [1, len(less), len(placed)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), h1)), pa.array(np.full(len(keys), h2)), pa.array(kinds), pa.array(keys)], names=["h1", "h2", "kind", "key"])
-
-
-def _semi(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """left semi join; right, a written table, is broadcast if its counted size allows."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, "left_semi")
+            for at in range(0, len(keys), VARIANT_ROWS):
+                part = keys[at : at + VARIANT_ROWS]
+                same = [pa.array([v] * len(part), t) for v, t in zip(place, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(kinds[at : at + VARIANT_ROWS]), pa.array(part)], names=VARIANTS.names)
+    release_memory()
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row"), F.col(text_col).alias("text"))
+    return docs.select(named(id_col).cast("long").alias("id"), F.xxhash64(named(id_col).cast("long"), named(text_col)).alias("row"), named(text_col).alias("text"))
 
 
 def _place() -> Column:
     return F.struct(F.col("id").isNull().alias("last"), "id", "row", "line_no")
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, kept array<int>): of the lines of at least MIN_CHARS canonical characters, the numbers of those that stay. Rows without such lines are absent."""
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, edits: int = EDITS) -> DataFrame:
+    """(id, row, kept array<int>): of the lines of at least min_chars canonical characters, the numbers of those that stay. Rows without such lines are absent.
+
+    Nulls, ties and repeated rows: see with_lines_deduped.
+    """
+    if edits not in (0, 1):
+        raise ValueError("edits must be 0 or 1")
     base = _base(docs, id_col, text_col)
-    firsts = materialize(base.mapInArrow(_split(False), LINES).groupBy("h1", "h2").agg(F.min(_place()).alias("at"), F.first("keys").alias("keys")))
-    keyed = firsts.select("h1", "h2", F.explode("keys").alias("key"))
-    shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key"))
-    suspects = materialize(_semi(keyed, shared, ["key"]).select("h1", "h2").distinct())
-    near = materialize(near_dropped(base, firsts, suspects))
-    stay = firsts.join(F.broadcast(near), ["h1", "h2"], "left_anti") if near.count() <= BROADCAST_ROWS else firsts.join(near, ["h1", "h2"], "left_anti")
+    lines = base.mapInArrow(_split(max(1, min_chars), near_chars if edits else 1 << 62), LINES)
+    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(_place()).alias("at"), F.first("keys").alias("keys")))
+    stay = firsts
+    if edits:
+        keyed = firsts.select("h1", "h2", F.explode("keys").alias("key"))
+        shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key"))
+        suspects = materialize(keyed.join(small(shared), ["key"], "left_semi").select("h1", "h2").distinct())
+        near = near_dropped(base, firsts, suspects)
+        drop(shared, suspects)
+        stay = firsts.join(small(near), ["h1", "h2"], "left_anti")
     return stay.groupBy(F.col("at.id").alias("id"), F.col("at.row").alias("row")).agg(F.collect_list("at.line_no").alias("kept"))
 
 
 def near_dropped(base: DataFrame, firsts: DataFrame, suspects: DataFrame) -> DataFrame:
-    """(h1, h2) of the suspect lines with an earlier near line."""
-    texts = _semi(base.mapInArrow(_split(True), TEXTS), suspects, ["h1", "h2"])
-    lines = materialize(texts.groupBy("h1", "h2").agg(F.min(_place()).alias("at"), F.first("line").alias("line")))
-    keys = materialize(lines.select("h1", "h2", "line").mapInArrow(_neighbours, "h1 long, h2 long, kind int, key long"))
+    """(h1, h2), a written table: the suspect lines with an earlier near line, each once.
+
+    Only the documents that hold a suspect line first are read again, for the line's text. Empty tables give an empty one.
+    """
+    at = firsts.join(small(suspects), ["h1", "h2"], "left_semi").select("at.id", "at.row", F.struct("at.line_no", "h1", "h2").alias("w"))
+    wanted = materialize(at.groupBy("id", "row").agg(F.collect_list("w").alias("wanted")))  # as long as a document's lines
+    own = small(wanted.select(F.col("id").alias("own_id"), F.col("row").alias("own_row"), "wanted"))
+    texts = base.join(own, (F.col("row") == F.col("own_row")) & F.col("id").eqNullSafe(F.col("own_id"))).select("id", "row", "text", "wanted")
+    lines = materialize(texts.mapInArrow(_wanted, TEXTS).groupBy("h1", "h2").agg(F.min(_place()).alias("at"), F.first("line").alias("line")))
+    keys = materialize(lines.select("at.id", "at.row", "at.line_no", "h1", "h2", "line").mapInArrow(_neighbours, VARIANTS))
     live = materialize(keys.groupBy("key").count().where("count > 1").select("key"))
-    keys = materialize(_semi(keys, live, ["key"]).join(lines.select("h1", "h2", "at"), ["h1", "h2"]))
-    one = F.struct("at", "h1", "h2")
-    whole = keys.where("kind = 0").select("key", one.alias("a"))
-    deleted = keys.where("kind = 1").select("key", one.alias("b"))
-    placed = keys.where("kind = 2").select("key", one.alias("b"))
+    one = F.struct(_place().alias("at"), "h1", "h2")
+    met = materialize(keys.join(small(live), ["key"], "left_semi").select("kind", "key", one.alias("b")))
+    whole, deleted, placed = (met.where(F.col("kind") == k).select("key", "b") for k in range(3))
     hubs = placed.groupBy("key").agg(F.min("b").alias("a"))
-    pairs = whole.join(deleted, "key").unionByName(hubs.join(placed, "key")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a.at < b.at").distinct()
+    pairs = whole.withColumnRenamed("b", "a").join(deleted, "key").unionByName(hubs.join(placed, "key")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a.at < b.at").distinct()
     text = lines.select("h1", "h2", "line")
     told = pairs.select(F.col("a.h1").alias("h1"), F.col("a.h2").alias("h2"), F.col("b.h1").alias("g1"), F.col("b.h2").alias("g2")).join(text, ["h1", "h2"])
     told = told.join(text.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other")), ["g1", "g2"])
-    return told.where(F.levenshtein("line", "other", 1) >= 0).select(F.col("g1").alias("h1"), F.col("g2").alias("h2")).distinct()
+    is_near = F.pandas_udf(lambda a, b: pd.Series([within_one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
+    near = materialize(told.where(is_near("line", "other")).select(F.col("g1").alias("h1"), F.col("g2").alias("h2")).distinct())
+    drop(wanted, lines, keys, live, met)
+    return near
 
 
 KEPT = StructType([StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_kept", LongType()), StructField("n_long_kept", LongType())])
 
 
-def with_lines_deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "_deduped") -> DataFrame:
+def with_lines_deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "_deduped", min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, edits: int = EDITS) -> DataFrame:
     """docs with a struct column out: (text, n_lines, n_kept, n_long_kept).
 
     A line is dropped if an earlier line of the corpus, in the order of id, then row hash, then line
-    number, is equal or near to it, whether or not that one stays. Rows equal in id and text count as one
-    document and get the same result; null ids come last. A null text stays null and has one empty line. Extra columns stay.
+    number, is equal or near to it, whether or not that one stays. Lines under min_chars canonical characters and blank ones stay.
+    Rows equal in id and text count as one document and get the same result; null ids come last. A null text stays null and has
+    one empty line. Extra columns of any name but out stay.
     """
     bound_batches(docs.sparkSession)
+    least = max(1, min_chars)
 
     def keep(texts: pd.Series, kept: pd.Series) -> pd.DataFrame:
         rows = []
         for text, own in zip(texts, kept, strict=True):
             lines, stay = (text or "").split("\n"), set() if own is None else set(own)
-            left = [x for k, x in enumerate(lines) if k in stay or len(canonical(x)) < MIN_CHARS]
+            left = [x for k, x in enumerate(lines) if k in stay or len(canonical(x)) < least]
             rows.append((None if text is None else "\n".join(left), len(lines), len(left), len(stay)))
         return pd.DataFrame(rows, columns=KEPT.names)
 
-    names = docs.columns
-    kept = kept_lines(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("kept").alias("_kept"))
-    marked = docs.withColumn("_own", F.xxhash64(F.col(id_col).cast("long"), text_col))
-    joined = marked.join(kept, (F.col("_own") == F.col("_row")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
-    return joined.select(*names, F.pandas_udf(keep, KEPT)(F.col(text_col), F.col("_kept")).alias(out))
+    names = [c for c in docs.columns if c != out]
+    own, an_id, a_row, of_it = fresh(docs.columns, "own", "an_id", "a_row", "of_it")
+    kept = kept_lines(docs, id_col, text_col, min_chars, near_chars, edits).select(F.col("id").alias(an_id), F.col("row").alias(a_row), F.col("kept").alias(of_it))
+    marked = docs.select("*", F.xxhash64(named(id_col).cast("long"), named(text_col)).alias(own))
+    joined = marked.join(kept, (F.col(own) == F.col(a_row)) & named(id_col).cast("long").eqNullSafe(F.col(an_id)), "left")
+    return joined.select(*map(named, names), F.pandas_udf(keep, KEPT)(named(text_col), F.col(of_it)).alias(out))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, edits: int = EDITS) -> DataFrame:
     """(doc_id, n_lines, n_kept, text) of every row; see with_lines_deduped."""
-    done = with_lines_deduped(docs.select(id_col, text_col), id_col, text_col)
-    return done.select(F.col(id_col).alias("doc_id"), "_deduped.n_lines", "_deduped.n_kept", "_deduped.text")
+    done = with_lines_deduped(docs.select(named(id_col), named(text_col)), id_col, text_col, "_deduped", min_chars, near_chars, edits)
+    return done.select(named(id_col).alias("doc_id"), "_deduped.n_lines", "_deduped.n_kept", "_deduped.text")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
