@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import materialize
+from waymark.llm.common import drop, materialize
 
 
 def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(u long, v long) undirected links -> (node, root): root is the smallest node of the component.
 
-    Large-star then small-star per round until the links are stars. Every step aggregates minima with
-    map-side combining and joins them back, so no neighbourhood is gathered into one task. Nulls and
+    Large-star then small-star per round until the links are stars, told by the sums of the links' hashes. Minima are combined
+    before their shuffle and joined back; a hub's links are the splittable side of that join, which adaptive execution deals out
+    where they are many. The links of a round are deleted when the next ones are written. Nulls and
     self-links are ignored; repeated links count once; an empty table gives an empty result.
     Nodes without a link are not returned.
     """
@@ -21,12 +22,13 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         .select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo"))
         .distinct()
     )
+    seen = _signature(edges)
     for _ in range(max_rounds):
         after = materialize(_small_star(_large_star(edges)))
+        drop(edges)
         # stars: every node has one link, to a root that has no smaller neighbour
-        changed = after.join(edges, ["hi", "lo"], "left_anti").limit(1).count() or edges.join(after, ["hi", "lo"], "left_anti").limit(1).count()
-        edges = after
-        if not changed:
+        edges, before, seen = after, seen, _signature(after)
+        if seen == before:
             break
     else:
         raise RuntimeError("components did not converge")
@@ -34,6 +36,12 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
 
 
+def _signature(edges: DataFrame) -> tuple:
+    """Count and two hash sums of distinct links."""
+    a, b = F.xxhash64("hi", "lo"), F.xxhash64("lo", "hi")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(a), F.bit_xor(b), F.sum(a.cast("decimal(20,0)"))).first())
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour to the smallest of the neighbourhood (itself included)."""
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))

@@ -15,6 +15,7 @@ cells are linked exactly without pairs: fingerprints at distance 2 or less have
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from waymark.llm.common import materialize, read_table
+from waymark.llm.common import drop, fresh, join_hot, materialize, named, read_table, release_memory, small
 from waymark.llm.components import connected_components
 
 SEED = 42
@@ -56,9 +57,11 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(texts: pd.Series) -> pd.Series:
-    """Fingerprints of a batch, as signed longs."""
-    return pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
+def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Fingerprints of batches, as signed longs."""
+    for texts in batches:
+        yield pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
+    release_memory()
 
 
 def embed(fp: Column) -> Column:
@@ -79,19 +82,21 @@ def cell_masks(blocks: int) -> list[int]:
 def near_links(fps: DataFrame, cell_max: int = CELL_MAX, blocks: int | None = None) -> DataFrame:
     """Distinct fingerprints (fp long) -> links (u, v) whose components are those of distance <= 2.
 
-    Of the members of a large cell only links that keep the components are returned, not all pairs.
+    Of the members of a large cell only links that keep the components are returned, not all pairs. Fingerprints must not be null; a
+    repeated one counts once more in its cells. An empty table gives no links.
     """
+    total = fps.count()
     if blocks is None:
-        n = fps.count()
-        blocks = next(b for most, b in BLOCKS if n <= most)
+        blocks = next(b for most, b in BLOCKS if total <= most)
     masks = F.array(*[F.lit(m) for m in cell_masks(blocks)])
     cells = (
         fps.select("fp", embed(F.col("fp")).alias("e"))
         .select("fp", "e", F.posexplode(F.transform(masks, lambda m: F.col("e").bitwiseAND(m))).alias("way", "at"))
         .select("fp", "e", F.xxhash64("way", "at").alias("cell"))
     )
-    counts = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    live = materialize(cells.join(counts, "cell"))
+    counts = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    live = materialize(join_hot(cells, counts.withColumn("size", F.col("n")), "cell", "size", total))
+    drop(counts)
     small = live.where(F.col("n") <= cell_max)
     a, b = small.select("cell", F.col("fp").alias("u"), F.col("e").alias("eu")), small.select("cell", F.col("fp").alias("v"), F.col("e").alias("ev"))
     pairs = (
@@ -107,6 +112,35 @@ def near_links(fps: DataFrame, cell_max: int = CELL_MAX, blocks: int | None = No
     return pairs.unionByName(hubs.select("u", F.explode("vs").alias("v")).where("u <> v")).distinct()
 
 
+def _first() -> Column:
+    """Order of rows: id, nulls last, then the hashes of the text and of the rest."""
+    return F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "row_hash")
+
+
+def _hashes(docs: DataFrame, text_col: str) -> tuple[Column, Column]:
+    """Hashes of the text and of all other columns that can be hashed."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return F.xxhash64(named(text_col)), F.xxhash64(*[named(c) for c, kind in kinds.items() if c != text_col and "map<" not in kind and "variant" not in kind])
+
+
+def _classes(each: DataFrame, cell_max: int) -> DataFrame:
+    """Of rows (id, fp, text_hash, row_hash): (fp, n, component_id, first) of each fingerprint, first being the first row of the class. A written table."""
+    fps = materialize(each.groupBy("fp").agg(F.min("id").alias("first_id"), F.min(_first()).alias("own_first"), F.count("*").alias("n")))
+    roots = connected_components(near_links(fps.select("fp"), cell_max))
+    linked = roots.join(fps, F.col("node") == F.col("fp"))
+    firsts = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("own_first").alias("first"))
+    changed = roots.join(firsts, "root").select(F.col("node").alias("fp"), "component_id", "first")
+    classes = fps.join(changed, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("first", "own_first").alias("first"))
+    return materialize(classes)
+
+
+def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, text_hash, row_hash) of every row, a written table."""
+    text_hash, row_hash = _hashes(docs, text_col)
+    fp = F.pandas_udf(fingerprints, LongType())(named(text_col))
+    return materialize(docs.select(named(id_col).alias("id"), fp.alias("fp"), text_hash.alias("text_hash"), row_hash.alias("row_hash")))
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_max: int = CELL_MAX) -> DataFrame:
     """One row per row of docs: (id, fp long, component_id).
 
@@ -114,38 +148,38 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most. A null or empty text has fingerprint 0 and is linked like any other. A repeated id keeps its
     rows. A null id is never a component_id unless its class has no other id. Other columns are ignored.
     """
-    each = materialize(docs.select(F.col(id_col).alias("id"), F.pandas_udf(fingerprints, LongType())(F.col(text_col)).alias("fp")))
-    fps = materialize(each.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("n")))
-    roots = connected_components(near_links(fps.select("fp"), cell_max))
-    linked = roots.join(fps, F.col("node") == F.col("fp"))
-    firsts = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    changed = linked.join(firsts, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = fps.join(changed, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id"))
-    return with_class(each, materialize(classes)).select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-#: A key is hot if it holds more than this share of the rows; so there are fewer than 1 / share hot keys.
-HOT_SHARE = 1 / 512
+    each = _prints(docs.select(named(id_col), named(text_col)), id_col, text_col)
+    return with_class(each.select("id", "fp"), _classes(each, cell_max)).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Join (fp, component_id) to the rows. Hot fingerprints, fewer than 512 by definition, go by broadcast; the rest by a shuffle."""
-    total = rows.count()
-    hot = classes.where(F.col("n") > total * HOT_SHARE).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot"))
-    cold = classes.where(F.col("n") <= total * HOT_SHARE).select("fp", "component_id")
-    marked = rows.join(F.broadcast(hot), "fp", "left")
-    held = marked.where("is_hot").select("id", "fp", F.col("hot_id").alias("component_id"))
-    return held.unionByName(marked.where("is_hot is null").select("id", "fp").join(cold, "fp").select("id", "fp", "component_id"))
+    """(id, fp) rows, each with the component_id of its fp in classes (fp, n, component_id), n being the number of rows that have the fp.
+
+    Hot fingerprints go by broadcast, the rest by a shuffle. Rows of a null or unknown fp would go; fingerprints are never null.
+    """
+    return join_hot(rows, classes.select("fp", "component_id", "n"), "fp", "n", rows.count())
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its class; of rows that repeat an id, one stays.
+    """One row of each class of docs: that of the smallest id; of several with it, the one of the least text hash, then row hash.
 
-    Rows with a null id belong to no class and stay.
+    Rows that share an id but not the text are told apart. Rows with a null id come last in their class. Of
+    rows that are equal in all columns one stays. Extra columns of any name stay.
     """
-    keep = simhash_classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col).select(F.col("component_id").alias(id_col)).distinct()
-    kept = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    each = _prints(docs, id_col, text_col)
+    key = ["id", "text_hash", "row_hash"]
+    chosen = _classes(each, CELL_MAX).select(*[F.col(f"first.{k}").alias(k) for k in key]).distinct()
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash")) & (F.col(f"{a}.row_hash") == F.col(f"{b}.row_hash"))
+    repeated = each.groupBy(*key).count().where("count > 1").drop("count")
+    chosen = materialize(chosen.alias("a").join(repeated.withColumn("is_repeated", F.lit(True)).alias("b"), same("a", "b"), "left").select(*[F.col(f"a.{k}") for k in key], F.coalesce("is_repeated", F.lit(False)).alias("is_repeated")))
+    an_id, text_hash, row_hash, flag, own_text, own_row = fresh(docs.columns, "an_id", "text_hash", "row_hash", "is_repeated", "own_text", "own_row")
+    of_text, of_row = _hashes(docs, text_col)
+    few = small(chosen).toDF(an_id, text_hash, row_hash, flag)
+    kept = docs.select("*", of_text.alias(own_text), of_row.alias(own_row)).join(few, named(id_col).eqNullSafe(F.col(an_id)) & (F.col(own_text) == F.col(text_hash)) & (F.col(own_row) == F.col(row_hash)))
+    out = kept.where(~F.col(flag))
+    if not chosen.where("is_repeated").isEmpty():
+        out = out.unionByName(kept.where(F.col(flag)).dropDuplicates([id_col, own_text, own_row]))
+    return out.select(*map(named, docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
