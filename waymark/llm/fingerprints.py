@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from waymark.llm.common import bound_batches, materialize, read_table
+from waymark.llm.common import BROADCAST_ROWS, bound_batches, join_hot, materialize, named, read_table, release_memory, small
 
 
 def canonical(text: str | None) -> bytes:
@@ -87,6 +87,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(rows)
     if last is not None:
         yield out([(last[0], *[None] * 6, part, 2, last[1])])
+    release_memory()
 
 
 def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,32 +119,53 @@ def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return walked.where("edge = 0").select("doc_id", *RESULT.names).unionByName(ended)
 
 
-def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, class_id) of every row: class_id is the smallest id of the rows of equal canonical text.
+KIND = StructType([StructField("digest", StringType()), StructField("canon", StringType())])
+
+
+def _both(texts: pd.Series) -> pd.DataFrame:
+    found = [printed(t) for t in texts]
+    return pd.DataFrame({"digest": [d for _, d in found], "canon": [c.decode("utf-8", "replace") for c, _ in found]}, columns=KIND.names)
 
-    Rows are grouped by digest and canonical bytes together, with copies combined before the shuffle, so equal
-    digests of different bytes fall apart: all but the first of these bytes get the digest with a number behind it. A null
-    text is empty. A null id is a class_id only where the class has no other. Other columns are ignored.
-    """
-    bound_batches(docs.sparkSession)
-    kind = StructType([StructField("canon", StringType()), StructField("digest", StringType())])
 
-    def both(texts: pd.Series) -> pd.DataFrame:
-        found = [printed(t) for t in texts]
-        return pd.DataFrame({"canon": [c.decode("utf-8", "replace") for c, _ in found], "digest": [d for _, d in found]}, columns=kind.names)
+def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: DataFrame | None = None) -> DataFrame:
+    """Rows (doc_id, fingerprint, ...), each with class_id and class_rows: the smallest id of the rows of equal canonical text, and their number.
 
-    each = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(both, kind)(F.col(text_col)).alias("p")).select("doc_id", "p.digest", "p.canon")
-    groups = materialize(each.groupBy("digest", "canon").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")))
-    numbered = groups.withColumn("k", F.row_number().over(Window.partitionBy("digest").orderBy("canon")))
-    names = numbered.select("digest", "canon", "class_id", F.when(F.col("k") > 1, F.concat_ws("-", "digest", "k")).otherwise(F.col("digest")).alias("fingerprint"))
-    clashing = groups.groupBy("digest").count().where("count > 1").select("digest")
-    plain = names.join(clashing, "digest", "left_anti").drop("canon")
-    told = each.join(plain, "digest", "left").select("doc_id", "digest", "canon", "class_id", "fingerprint")
-    sure = told.where("fingerprint is not null").select("doc_id", "fingerprint", "class_id")
-    rest = told.where("fingerprint is null").select("doc_id", "digest", "canon").join(names, ["digest", "canon"]).select("doc_id", "fingerprint", "class_id")
-    return sure.unionByName(rest)
+    Rows are grouped by digest. In buckets of two or more the canonical bytes are compared: only their texts are shuffled, and copies are combined before
+    that, so a bucket of any size is a few texts a task. Equal digests of different bytes fall apart: all but the first of these bytes get the digest with a
+    number behind it. A null text is empty. A null id is a class_id only where the class has no other. Other columns are ignored.
+
+    prints: rows (doc_id, fingerprint, ...) of docs with their plain digests, where a caller has them; their other columns stay.
+    """
+    bound_batches(docs.sparkSession)
+    both = F.pandas_udf(_both, KIND)
+    kinds = docs.select(named(id_col).alias("doc_id"), both(named(text_col)).alias("p"))
+    each = materialize(kinds.select("doc_id", F.col("p.digest").alias("fingerprint"))) if prints is None else prints
+    groups = materialize(each.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows")))
+    shared = groups.where("class_rows > 1")
+    texts = kinds.select(F.col("p.digest").alias("fingerprint"), F.col("p.canon").alias("canon"))
+    clashing = materialize(texts.join(small(shared.select("fingerprint")), "fingerprint", "left_semi").groupBy("fingerprint").agg(F.collect_set("canon").alias("canons")).where("size(canons) > 1"))
+    if not clashing.isEmpty():
+        return _parted(each, kinds, groups, clashing)
+    if shared.count() <= BROADCAST_ROWS:  # a text of its own is its own class
+        out = each.join(F.broadcast(shared), "fingerprint", "left")
+        return out.select(*each.columns, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"))
+    return join_hot(each, groups.withColumn("size", F.col("class_rows")), "fingerprint", "size", each.count()).select(*each.columns, "class_id", "class_rows")
+
+
+def _parted(each: DataFrame, kinds: DataFrame, groups: DataFrame, clashing: DataFrame) -> DataFrame:
+    """exact_classes where digests clash: their few buckets go by digest and bytes. Rows of prints in them are told by their id."""
+    own = kinds.select("doc_id", F.col("p.digest").alias("fingerprint"), F.col("p.canon").alias("canon")).join(small(clashing.select("fingerprint")), "fingerprint", "left_semi")
+    byte_groups = own.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
+    k = F.row_number().over(Window.partitionBy("fingerprint").orderBy("canon"))
+    names = byte_groups.withColumn("k", k).withColumn("own_name", F.when(F.col("k") > 1, F.concat_ws("-", "fingerprint", "k")).otherwise(F.col("fingerprint")))
+    rows = own.join(names, ["fingerprint", "canon"]).groupBy("fingerprint", "doc_id").agg(F.min(F.struct("own_name", "class_id", "class_rows")).alias("n"))
+    told = each.alias("e").join(rows.alias("r"), (F.col("e.fingerprint") == F.col("r.fingerprint")) & F.col("e.doc_id").eqNullSafe(F.col("r.doc_id")))
+    split = told.select(*[(F.col("r.n.own_name") if c == "fingerprint" else F.col(f"e.{c}")).alias(c) for c in each.columns], F.col("r.n.class_id").alias("class_id"), F.col("r.n.class_rows").alias("class_rows"))
+    whole = each.join(small(clashing.select("fingerprint")), "fingerprint", "left_anti").select(*each.columns).join(groups, "fingerprint").select(*each.columns, "class_id", "class_rows")
+    return whole.unionByName(split)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text."""
-    return with_following(read_table(spark, sf_dir, "documents"))
+    """Fingerprints of every document and of its edited text, and the class of the documents of its canonical text."""
+    docs = read_table(spark, sf_dir, "documents")
+    return exact_classes(docs, prints=with_following(docs))
