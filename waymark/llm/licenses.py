@@ -1,12 +1,14 @@
 """License scan by canonical digests, with DataFrame functions only.
 
-A text and the known licences are normalised alike: lower case, lines of copyright notices dropped,
-equivalent spellings replaced, all but letters and digits as single spaces. A whole text is looked up by the
+A text and the known licences are normalised alike: lower case, lines of copyright notices dropped, all but letters and
+digits as single spaces, and each word that has an equivalent spelling replaced by it. A whole text is looked up by the
 digest of the result in a hash join. So are its single lines, for short notices such as "Released under the MIT License."
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,28 +17,27 @@ from pyspark.sql import functions as F
 from waymark.llm.common import read_table
 from waymark.llm.license_texts import NOTICES, TEXTS
 
-#: Spellings that count as equal, applied in this order to text of single words.
-SPELLINGS = (
-    ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
-    ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalisations", "capitalizations"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"), ("emphasised", "emphasized"), ("favour", "favor"),
-    ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"), ("noncommercial", "non commercial"),
-    ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sub license", "sublicense"), ("sub licensed", "sublicensed"),
-    ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent"), ("v2", "version 2"), ("v3", "version 3"), ("http", "https"),
-)
+# Spellings that count as equal, word by word.
+SPELLINGS = {
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "holder": "owner", "holders": "owners", "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact",
+    "authorisation": "authorization", "authorised": "authorized", "calibre": "caliber", "cancelled": "canceled", "capitalisations": "capitalizations", "catalogue": "catalog", "categorise": "categorize", "centre": "center", "emphasised": "emphasized", "favour": "favor",
+    "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling", "labour": "labor", "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "noncommercial": "non commercial",
+    "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sublicense": "sub license", "sublicence": "sub license",
+    "sublicensed": "sub licensed", "sublicenced": "sub licensed", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "percent": "per cent", "v2": "version 2", "v3": "version 3", "http": "https",
+}
 
-
-#: A line that begins with a copyright notice.
-_COPYRIGHT = r"^[^a-z0-9\n]*(copyright +(\(c\)|©|[0-9])|\(c\)|©)[^\n]*$"
+#: A line of a copyright notice: with a year, a mark, a name after "by" or a place to fill in; or the reservation of all rights alone.
+_NOTICE_LINE = r"^[^a-z0-9\n]*(?:(?:copyright|\(c\)|©)[^\n]*(?:19|20)[0-9][0-9][^\n]*|copyright[ \t]*(?:\(c\)|©|by |[\[<{])[^\n]*|©[^\n]*|all rights reserved[^a-z0-9\n]*)$"
 
 
 def normal(text: Column) -> Column:
     """The normalised text; nulls count as empty."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, r"(?md)" + _COPYRIGHT, " ")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, "[^a-z0-9]+", " ")), F.lit(" "))
-    for was, becomes in SPELLINGS:
-        out = F.replace(out, F.lit(f" {was} "), F.lit(f" {becomes} "))
-    return F.trim(out)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    noted = low.contains("copyright") | low.contains("©") | low.contains("(c)") | low.contains("all rights reserved")
+    bare = F.when(noted, F.regexp_replace(low, "(?md)" + _NOTICE_LINE, " ")).otherwise(low)
+    words = F.split(F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " ")), " ")
+    table = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
+    return F.array_join(F.transform(words, lambda w: F.when(w.isin(list(SPELLINGS)), F.element_at(table, w)).otherwise(w)), " ")
 
 
 #: Known texts at most; public lists have some hundreds.
@@ -44,7 +45,7 @@ MAX_LICENSES = 10_000
 #: What nearly every notice holds, in all its spellings.
 NOTICE_PART = "licen"
 #: Words that a spelling may have brought into normalised text; a line need not hold them.
-_BROUGHT = frozenset(word for _, becomes in SPELLINGS for word in becomes.split())
+_BROUGHT = frozenset(word for becomes in SPELLINGS.values() for word in becomes.split())
 
 
 def notice_parts(notices: list[str]) -> list[str]:
@@ -96,23 +97,26 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents"), known(spark))
 
 
-def _sql_normal(text: str) -> str:
-    out = f"concat(' ', trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '(?m){_COPYRIGHT}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), ' ')"
-    for was, becomes in SPELLINGS:
-        out = f"replace({out}, ' {was} ', ' {becomes} ')"
-    return f"trim({out}, ' ')"
+def plain_digest(text: str) -> str:
+    """The digest without Spark, for the SQL's known texts."""
+    words = re.findall("[a-z0-9]+", re.sub("(?m)" + _NOTICE_LINE, " ", text.lower()))
+    return hashlib.sha256(" ".join(SPELLINGS.get(w, w) for w in words).encode()).hexdigest()
 
 
-def _sql_list(rows: list[tuple[str, str]]) -> str:
-    return ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in rows)
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join("('{}', '{}')".format(a.replace("'", "''"), b.replace("'", "''")) for a, b in rows)
 
 
+#: Whole texts and all lines, word by word.
 OP4_SQL = f"""
-WITH whole AS (SELECT sha256({_sql_normal("text")}) AS digest, min(id) AS license_id FROM (VALUES {_sql_list(TEXTS)}) AS t(id, text) GROUP BY 1),
-notice AS (SELECT sha256({_sql_normal("text")}) AS digest, min(id) AS id FROM (VALUES {_sql_list(NOTICES)}) AS t(id, text) GROUP BY 1),
-line AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE contains(lower(x), '{NOTICE_PART}')),
-hit AS (SELECT doc_id, list_sort(list_distinct(list(n.id))) AS notices FROM (SELECT doc_id, sha256({_sql_normal("x")}) AS digest FROM line) JOIN notice n USING (digest) GROUP BY doc_id),
-d AS (SELECT doc_id, sha256({_sql_normal("text")}) AS digest FROM documents)
-SELECT d.doc_id, d.digest, w.license_id, array_to_string(coalesce(h.notices, []), ',') AS notices
-FROM d LEFT JOIN whole w USING (digest) LEFT JOIN hit h USING (doc_id)
+WITH spelling(w, becomes) AS (VALUES {_values(list(SPELLINGS.items()))}),
+whole AS (SELECT digest, min(id) AS license_id FROM (VALUES {_values([(plain_digest(t), k) for k, t in TEXTS])}) AS t(digest, id) GROUP BY digest),
+notice AS (SELECT digest, min(id) AS id FROM (VALUES {_values([(plain_digest(t), k) for k, t in NOTICES])}) AS t(digest, id) GROUP BY digest),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+piece AS (SELECT r, 0 AS k, text AS x FROM d UNION ALL SELECT r, generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) FROM d),
+word AS (SELECT r, k, unnest(own) AS w, generate_subscripts(own, 1) AS i FROM (SELECT r, k, string_split(trim(regexp_replace(regexp_replace(lower(x), '(?m){_NOTICE_LINE}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), ' ') AS own FROM piece)),
+normal AS (SELECT r, k, sha256(string_agg(coalesce(becomes, w), ' ' ORDER BY i)) AS digest FROM word LEFT JOIN spelling USING (w) GROUP BY r, k),
+hit AS (SELECT r, string_agg(DISTINCT id, ',' ORDER BY id) AS notices FROM normal JOIN notice USING (digest) WHERE k > 0 GROUP BY r)
+SELECT d.doc_id, n.digest, w.license_id, coalesce(h.notices, '') AS notices
+FROM d JOIN normal n ON n.r = d.r AND n.k = 0 LEFT JOIN whole w ON w.digest = n.digest LEFT JOIN hit h ON h.r = d.r
 """
