@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import json
+import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +15,13 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from waymark.llm.common import bound_batches, materialize, read_table
+from waymark.llm.common import bound_batches, materialize, named, read_table, release_memory
 
 SEQUENCE = 1024
 END_ID = 0
@@ -45,7 +47,7 @@ class ByteBpe:
             self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(ranks or public_tokenizers.path(RANKS), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe
+        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.cache: dict[str, bytes] = {}
 
@@ -63,10 +65,10 @@ class ByteBpe:
             pass
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        one = self.bpe.encode_single_piece
+        one = self.bpe.encode_ordinary  # a word of the pattern is one piece by itself, too
         for w in words:
             if w not in cache:
-                cache[w] = np.array(one(w.encode()), "<u4").tobytes()
+                cache[w] = np.array(one(w), "<u4").tobytes()
         return b"".join(map(cache.__getitem__, words))
 
 
@@ -84,22 +86,31 @@ def codec() -> ByteBpe:
 PIECE = StructType([StructField(c, LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt")])
 
 
+def salt(doc_id: int | None, start: int, crc: int, times: int) -> int:
+    """A piece's random number: of its content, and of how often the task has met it, so that copies part and other pieces' numbers don't depend on the split."""
+    return xxhash.xxh3_64_intdigest(struct.pack("<?qqqq", doc_id is None, doc_id or 0, start, crc, times)) >> 2
+
+
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> pieces of at most SEQUENCE ids. salt: a random number, fixed once the pieces are written."""
-    bpe, rng = codec(), np.random.default_rng(TaskContext.get().partitionId())
+    """(doc_id, text) -> pieces of at most SEQUENCE ids."""
+    bpe, met = codec(), Counter()
     end = np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = bpe.encode(text) + end
-            n = len(ids) // 4
+            n, own = len(ids) // 4, (doc_id, zlib.crc32(ids))
+            times = met[own]
+            met[own] = times + 1
             for at in range(0, n, SEQUENCE):
                 part = ids[4 * at : 4 * (at + SEQUENCE)]
-                rows.append((doc_id, at, len(part) // 4, zlib.crc32(part), n))
+                crc = zlib.crc32(part)
+                rows.append((doc_id, at, len(part) // 4, crc, n, salt(doc_id, at, crc, times)))
         if rows:
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(rng.integers(0, 1 << 62, len(rows)))], names=PIECE.names)
+            yield pa.RecordBatch.from_arrays(columns, names=PIECE.names)
     bpe.cache.clear()  # the worker outlives the task
+    release_memory()
 
 
 def first_fit(lengths: list[int], capacity: int = SEQUENCE) -> tuple[list[int], list[int]]:
@@ -149,7 +160,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_
     columns are ignored. Sequence ids are unique: the group's number times 2^32 plus the bin's.
     """
     bound_batches(docs.sparkSession)
-    pieces = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECE))
+    pieces = materialize(docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(cut, PIECE))
     groups = max(1, -(-pieces.count() // group_pieces))
     return pieces.withColumn("bundle", F.col("salt") % groups).groupBy("bundle").applyInPandas(pack_group, PACKED)
 
