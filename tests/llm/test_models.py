@@ -144,6 +144,45 @@ def test_segments_match_the_definition(seed):
     assert sorted((a, b) for a, b, _ in toxicity.segments(np.array(w))) == sorted(maximal_segments(w))
 
 
+def test_weights_law_and_calibration_match_plain_versions():
+    rng = random.Random(12)
+    draw = lambda n: [[rng.choice(["good", "gooder", "word", "vile", "vilest", "odd"][: 3 if n % 2 else 6]) for _ in range(12)] for _ in range(20)]
+    toxic, clean = draw(2), draw(1)
+    got = toxicity.weigh(toxic, clean)
+    parts = lambda w: {w} | {w[:n] + "*" for n in (4, 5) if len(w) > n}
+    seen = lambda docs, x: sum(any(x in parts(w) for w in d) for d in docs)
+    every = {x for d in toxic + clean for w in d for x in parts(w)}
+    na, nb = (sum(seen(docs, x) for x in every) for docs in (toxic, clean))
+    expected = {}
+    for x in every:
+        a, b = seen(toxic, x), seen(clean, x)
+        ya, yb = a + 0.05 * (a + b), b + 0.05 * (a + b)
+        total = 0.05 * (na + nb)
+        if a >= toxicity.MIN_TOXIC_DOCS:
+            s = np.log(ya / (na + total - ya)) - np.log(yb / (nb + total - yb)) - toxicity.SHRINK * (1 / ya + 1 / yb) ** 0.5 - toxicity.DRIFT
+            if s > 0:
+                expected[x] = s
+    assert got == pytest.approx(expected) and any(x.startswith("vil") for x in got)
+    mixed = clean + [["vile", "word", "vilest", "good"]] * 60
+    scale, location = toxicity.law(got, mixed)
+    scores = toxicity.TokenScores(got)
+    every = [scores[w] for d in mixed for w in d]
+    assert sum(np.exp(scale * s) for s in every) / len(every) == pytest.approx(1, abs=1e-4)
+    tops = [scale * max([s for *_, s in toxicity.segments(scores.of(d))], default=0) - np.log(len(d)) for d in mixed]
+    assert location == pytest.approx(np.quantile(tops, 0.95) + np.log(-np.log(0.95)))
+    x = np.array([rng.uniform(0, 3) for _ in range(40)] + [rng.uniform(2, 6) for _ in range(40)])
+    y = np.array([0] * 40 + [1] * 40)
+    wrong = lambda cut: ((x > cut) != y).sum()
+    assert wrong(toxicity.calibrate(x, y)[1]) == min(wrong(c) for c in [*x, *(x - 1e-9), -1])
+
+
+def test_fit_is_bounded_in_characters(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 3000)
+    docs = spark.createDataFrame([(k, f"w{k} " + ("vile " if k % 2 else "good ") * 200, "x", 0.5, "x", 3) for k in range(30)], SCHEMA)
+    model = toxicity.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int"))
+    assert "vile" in model.weights and model.score("vile " * 5) > 0.5 > model.score("good " * 5)
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows, marks = [], []
@@ -201,6 +240,44 @@ def test_forest_tells_outliers():
     assert forest.anomaly(np.full((1, 4), 6.0))[0] > forest.anomaly(rng.normal(size=(50, 4))).max()
 
 
+def test_forest_matches_plain_path_lengths():
+    rng = np.random.default_rng(3)
+    sample, rows = rng.normal(size=(300, 3)).round(1), rng.normal(size=(20, 3)).round(1) * 2
+    forest = quality.IsolationForest(sample)
+
+    def harmonic_depth(n):
+        return 0 if n < 2 else 1 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def grow(rng, own, depth):
+        """The same draws in the same order, as nested tuples."""
+        todo, tree = [(own, depth, path := [])], {}
+        while todo:
+            own, depth, path = todo.pop()
+            low, high = own.min(axis=0), own.max(axis=0)
+            columns = np.nonzero(high > low)[0]
+            if depth == quality.DEPTH or len(own) < 2 or not len(columns):
+                tree[tuple(path)] = depth + harmonic_depth(len(own))
+                continue
+            c = int(rng.choice(columns))
+            at = rng.uniform(low[c], high[c])
+            tree[tuple(path)] = (c, at)
+            left = own[:, c] < at
+            todo += [(own[left], depth + 1, [*path, 0]), (own[~left], depth + 1, [*path, 1])]
+        return tree
+
+    def length(tree, row):
+        path = ()
+        while isinstance(tree[path], tuple):
+            c, at = tree[path]
+            path += (int(row[c] >= at),)
+        return tree[path]
+
+    rng = np.random.default_rng(7)
+    trees = [grow(rng, sample[rng.choice(300, quality.DRAWN, replace=False)], 0) for _ in range(quality.TREES)]
+    expected = [2 ** (-np.mean([length(t, r) for t in trees]) / harmonic_depth(quality.DRAWN)) for r in rows]
+    assert forest.anomaly(rows) == pytest.approx(expected)
+
+
 def test_quality(spark):
     rng = random.Random(8)
     rows, marks = [], []

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import time
+import unicodedata
 import zlib
 
 import duckdb
@@ -68,6 +70,10 @@ def test_packing(spark):
         assert at <= packing.SEQUENCE
     total = sum(r["length"] for r in got)
     assert len(sequences) * packing.SEQUENCE < total * 1.25
+    own = sum(len(parts) == 1 and parts[0][1] == packing.SEQUENCE for parts in sequences.values())
+    assert own >= 2
+    one, other = (sorted(map(tuple, packing.pack(docs(spark, texts).repartition(n), group_pieces=50).collect())) for n in (2, 7))
+    assert one == other  # another split, the same packs
     assert packing.pack(docs(spark, [])).count() == 0
 
 
@@ -85,6 +91,33 @@ def test_first_fit_matches_a_plain_scan(seed):
     assert packing.first_fit(lengths) == (bins, offsets)
 
 
+def plain_canonical(text):
+    fold = lambda t: unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+    return re.sub(r"\s+", " ", fold(text)).strip()
+
+
+def test_fingerprint_classes(spark, tmp_path):
+    """op2 over a table: classes by plain canonical texts, and its exact columns by SQL."""
+    texts = ["One  two", "one TWO", None, "", "  ", "unique", "ﬁne", "FINE", "one two "] * 3 + [t.replace("\0", "") for t in ODD[:40]]
+    docs(spark, texts).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in fingerprints.op2_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    first, count = {}, {}
+    for k, t in enumerate(texts):
+        canon = plain_canonical(t or "")
+        first.setdefault(canon, k)
+        count[canon] = count.get(canon, 0) + 1
+    for k, t in enumerate(texts):
+        canon = plain_canonical(t or "")
+        assert (got[k]["class_id"], got[k]["class_rows"]) == (first[canon], count[canon]) and got[k]["fingerprint"] == got[first[canon]]["fingerprint"]
+    assert len({r["fingerprint"] for r in got.values()}) == len(first)
+    sql = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')),
+        n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS f FROM d)
+        SELECT doc_id, length(t), sha256(left(t, length(t) - length(t) // 3) || left(f, length(t) // 3)) FROM n ORDER BY 1"""
+    # length and left count characters as written, not code points, only where marks combine; none stand alone here
+    assert duckdb.sql(sql).fetchall() == [(k, got[k]["n_chars"], got[k]["edited_sha256"]) for k in range(len(texts))]
+
+
 def test_fingerprints(spark):
     texts = [None, "", "One  Two three", "one two\nTHREE", "Straße ﬁne", "STRASSE FINE", "é é", "x" * 100_000, *ODD[:60]]
     got = {r["doc_id"]: r for r in fingerprints.with_following(docs(spark, texts).repartition(7)).collect()}
@@ -95,7 +128,7 @@ def test_fingerprints(spark):
         edited = text[: len(text) - cut] + following[:cut]
         r = got[k]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        canon = [fingerprints.canonical(x) for x in (text, edited, following)]
+        canon = [plain_canonical(x) for x in (text, edited, following)]
         assert (r["near_edited"], r["near_next"]) == (float(canon[0] == canon[1]), float(canon[0] == canon[2]))
         assert (r["fingerprint"] == r["edited_fingerprint"]) == (canon[0] == canon[1])
     assert got[2]["fingerprint"] == got[3]["fingerprint"] and got[4]["fingerprint"] == got[5]["fingerprint"] != got[2]["fingerprint"]
@@ -116,16 +149,20 @@ def test_equal_digests_of_other_bytes_fall_apart(spark, monkeypatch):
 
 def test_licenses(spark):
     mit = dict(licenses.TEXTS)["MIT"]
+    apache = next(t for k, t in licenses.TEXTS if k == "Apache-2.0" and "[yyyy]" in t)
     texts = [
         f"Copyright (c) 2020 Someone\n\n{mit}", mit.upper().replace(" ", "  "), mit + " more", "prose\nReleased under the MIT License.\nprose", "released under the mit licence", None, "", "License",
         "Licensed under the Apache License, Version 2.0.\nThis work is licensed under the GNU General Public License, version 3.", "word " * 50_000,
+        f"Copyright Jane Roe 2020\n\n{mit}", f"Copyright 2019, Jane Roe\nAll rights reserved.\n\n{dict(licenses.TEXTS[:7])['BSD-2-Clause']}", apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Jane Roe"),
+        "licence licence licence", "license license license",
     ]
     frame = docs(spark, texts).unionByName(docs(spark, texts[:1]))
     rows = licenses.scan(frame, licenses.known(spark)).collect()
     got = {r["doc_id"]: r for r in rows}
     assert len(rows) == len(texts) + 1
-    assert [got[k]["license_id"] for k in range(len(texts))] == ["MIT", "MIT", *[None] * 8]
-    assert [got[k]["notices"] for k in range(len(texts))] == ["", "", "", "MIT", "MIT", "", "", "", "Apache-2.0,GPL-3.0", ""]
+    assert [got[k]["license_id"] for k in range(len(texts))] == ["MIT", "MIT", *[None] * 8, "MIT", "BSD-2-Clause", "Apache-2.0", None, None]
+    assert [got[k]["notices"] for k in range(len(texts))] == ["", "", "", "MIT", "MIT", "", "", "", "Apache-2.0,GPL-3.0", "", "", "", "", "", ""]
+    assert got[13]["digest"] == got[14]["digest"] and all(got[k]["digest"] == licenses.plain_digest(t or "") for k, t in enumerate(texts))
     con = duckdb.connect()
     con.register("documents", docs(spark, texts).toPandas()[["doc_id", "text"]])
     assert sorted(con.sql(f"SELECT doc_id, digest, license_id, notices FROM ({licenses.OP4_SQL})").fetchall()) == sorted(tuple(got[k]) for k in range(len(texts)))

@@ -267,7 +267,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def classifier(spark: SparkSession, model: LanguageModel) -> Callable:
-    """text column -> struct (lang_pred, score)."""
+    """text column -> struct (lang_pred, score). A null text or one without a letter is `und` with score 0; equal costs go to the language that sorts first."""
     sent = spark.sparkContext.broadcast(model)
 
     def verdicts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

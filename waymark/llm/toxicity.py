@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from waymark.llm.common import bound_batches, read_table
-from waymark.llm.language_id import held_out
+from waymark.llm.common import bound_batches, drop, materialize, read_table, release_memory
+from waymark.llm.language_id import held_out, level
 
 #: Labelled documents of each label that a fit takes at most. Each half is calibrated by the weights of the other.
 FIT_DOCS = 1536
+#: Characters of all of them that a fit takes at most; where there are more, all give alike.
+FIT_CHARS = 1 << 25
 #: A token must occur in so many different toxic documents of the sample.
 MIN_TOXIC_DOCS = 3
 #: Weight of the Dirichlet prior against the sample; standard errors that a weight loses; cost of each token.
@@ -184,9 +186,9 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
-    """A model of labelled rows that aren't held out: the FIT_DOCS of each label with the least id hash, one of equal texts.
+    """A model of labelled rows that aren't held out: the FIT_DOCS of each label with the least id hash, one of equal texts, and FIT_CHARS of their characters.
 
-    Null ids, texts and labels are not learned from. Without both labels the model finds nothing.
+    Null ids, texts and labels are not learned from. A text of both labels counts as toxic. Without both labels the model finds nothing.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(F.col("id").isNotNull() & ~held_out("id")).withColumn("h", F.xxhash64("id"))
     ids = [r for y in (0, 1) for r in marks.where(F.col("y") == y).groupBy("id", "y", "h").count().orderBy("h", "id").limit(FIT_DOCS).select("id", "y").collect()]
@@ -196,9 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counted = F.pandas_udf(lambda s: s.map(tokens), ArrayType(StringType()))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id").where(F.col("text").isNotNull())
     sample = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.min("id").alias("id"), F.max("y").alias("y"), F.min("text").alias("text"))
+    sample = materialize(sample)
+    share = level([r[0] for r in sample.select(F.length("text")).collect()], FIT_CHARS)  # a number for each of the sampled rows
     halves: dict[tuple[int, int], list[list[str]]] = {(y, part): [] for y in (0, 1) for part in (0, 1)}
-    for r in sample.select("h", "y", counted("text").alias("words")).orderBy("h").toLocalIterator():
+    for r in sample.select("h", "y", counted(F.substring("text", 1, share)).alias("words")).orderBy("h").toLocalIterator():
         halves[r["y"], r["h"] & 1].append([*map(sys.intern, r["words"])])
+    drop(sample)
     x, y = [], []
     for part in (0, 1):
         other = trained(halves[1, 1 - part], halves[0, 1 - part])
@@ -216,20 +221,24 @@ def trained(toxic: list[list[str]], clean: list[list[str]]) -> ToxicModel:
 
 
 def scorer(spark: SparkSession, model: ToxicModel) -> Callable:
-    """text column -> score."""
+    """text column -> score, 0 to 1; a null or empty text has the score of no evidence. Equal texts have equal scores."""
     sent = spark.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([sent.value.score(t) for t in texts], dtype=float)
         sent.value.scores.clear()  # the worker outlives the task
+        release_memory()
 
     scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(scores, DoubleType())
 
 
 def toxic_passages(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, passages array<struct(start, end, score, p_value)>): the significant passages of every row as character spans."""
+    """(id, passages array<struct(start, end, score, p_value)>): the significant passages of every row as character spans.
+
+    A null or empty text has none. Repeated rows and null ids stay; other columns are ignored.
+    """
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     spans = F.pandas_udf(lambda s: s.map(lambda t: [tuple(x.values()) for x in sent.value.passages(t)]), ArrayType(SEGMENT))
