@@ -1,6 +1,7 @@
 """Operators against literal folds and small frames."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,30 +25,52 @@ def owners(spark, rows):
 def fold(rows, want):
     """Paths by the order-dependent rule: a later row takes a path if it scores more, or as much as an owner, or nearly as an owner that is wanted."""
     best, first = {}, {}
-    for k, (kind, path, score) in enumerate(rows):
+    for k, (kind, path, score, ident) in enumerate(rows):
         first.setdefault(path, k)
         if path not in best or score > best[path][1] or (score == best[path][1] and kind == "ownership" != best[path][0]) or (want and kind == "ownership" != best[path][0] and score >= best[path][1] - 20):
-            best[path] = (kind, score, k)
-    return best
-
-
-def test_search_matches_the_fold(spark):
-    rng = random.Random(3)
-    words = ["core", "auth", "edit", "os", "pkg-x", "data"]
-    know = [(f"{rng.choice(words)}-{k}", " ".join(rng.choices(words, k=3)), f"docs/{rng.choice(words)}{rng.randrange(6)}.md", rng.choice([None, "about core"]), " ".join(rng.choices(words, k=8))) for k in range(40)]
-    own = [(f"{rng.choice(words)}{k}", f"packages/{k}", rng.choice(words), rng.choice([None, f"docs/{rng.choice(words)}{rng.randrange(6)}.md"])) for k in range(15)]
-    asked = spark.createDataFrame([(1, "core auth"), (2, "edit core"), (3, "os"), (4, "!"), (5, "core core")], "query_id int, term string")
-    k, o = knowledge(spark, know), owners(spark, own)
-    scored = search.scored(k, o, asked).collect()
-    got = search.search(k, o, asked, 100).collect()
-    for q, want in ((1, False), (2, True), (3, False), (5, False)):
-        rows = sorted((r for r in scored if r["query_id"] == q), key=lambda r: (r["type"] == "ownership", r["pos"]))
-        expected = fold([(r["type"], r["path"], r["score"]) for r in rows], want)
-        mine = {r["path"]: (r["type"], r["score"]) for r in got if r["query_id"] == q}
-        assert mine == {p: v[:2] for p, v in expected.items()}
-        ranks = [(r["rank"], -r["score"]) for r in got if r["query_id"] == q]
-        assert [s for _, s in sorted(ranks)] == sorted(s for _, s in ranks)
-    assert not [r for r in got if r["query_id"] == 4]
+            best[path] = (kind, score, ident)
+    return best, first
+
+
+def plain_scores(know, own, term):
+    """Every entry's score, one after another, by the rules as written."""
+    low, out = term.lower(), []
+    words = [t for t in re.split("[^a-z0-9@/_-]+", low) if len(t) >= 2]
+    want = bool(re.search(r"(?i)\b(package|module|pkg|edit|change|where|owns?|ownership|handoff|start)\b", term))
+    for kind, ident, path, hay in [("knowledge", i, p, f"{i} {t} {d or ''} {p} {b}") for i, t, p, d, b in know] + [("ownership", i, d or p, f"{i} {p} {u or ''}  {d or ''} ") for i, p, u, d in own]:
+        hay, me = hay.lower(), ident.lower()
+        base, score = re.sub(r"\.mdx?$", "", path.split("/")[-1].lower()), 0
+        for t in words:
+            if t in hay:
+                score += len(t) * (2 if kind == "ownership" else 1) + len(t) * bool(re.search(f"(?:^|[^a-z0-9]){re.escape(t)}(?:[^a-z0-9]|$)", hay))
+        score += 200 * (low.strip() in (me, base)) + 200 * (len(words) == 1 and words[0] in (me, base))
+        for t in words:
+            score += 120 if me == t else 40 if me.startswith(t + "-") or me.endswith("-" + t) else 30 if t in me and len(me) <= len(t) + 4 else 0
+            score += 100 * (base == t)
+        score += max(0, 40 - len(me)) if me in words else 0
+        score += (40 if want else 15) if kind == "ownership" else 0
+        if score > 0:
+            out.append((kind, path, score, ident))
+    return words, want, out
+
+
+@pytest.mark.parametrize(("seed", "k", "block"), [(3, 100, 256), (4, 5, 4), (5, 1, 256), (6, 20, 3)])
+def test_search_matches_the_fold(spark, monkeypatch, seed, k, block):
+    monkeypatch.setattr(search, "BLOCK", block)
+    rng = random.Random(seed)
+    words = ["core", "auth", "edit", "os", "pkg-x", "data", "@x/core", "a_b", "co", "authority-core/x"]
+    know = [(f"{rng.choice(words)}-{j}", " ".join(rng.choices(words, k=3)), f"docs/{rng.choice(words[:6])}{rng.randrange(6)}.md", rng.choice([None, "about core"]), " ".join(rng.choices(words, k=8))) for j in range(40)]
+    own = [(f"{rng.choice(words[:6])}{j}", f"packages/{j}", rng.choice(words), rng.choice([None, f"docs/{rng.choice(words[:6])}{rng.randrange(6)}.md"])) for j in range(30)]
+    terms = ["core auth", "edit core", "os", "!", "core core", "unheard", "where is nothing", know[0][0], own[3][0], "pkg-x @x/core", "b", "co-", "x/ty-core"]
+    got = search.search(knowledge(spark, know), owners(spark, own), spark.createDataFrame(list(enumerate(terms)), "query_id int, term string"), k).collect()
+    for q, term in enumerate(terms):
+        tokens, want, rows = plain_scores(know, own, term)
+        best, first = fold(rows, want) if tokens else ({}, {})
+        order = sorted(best, key=lambda p: (-best[p][1], best[p][2].lower() not in tokens, best[p][0] != "ownership", [(c.isalnum(), c) for c in best[p][2]], first[p]))[:k]
+        mine = [(r["path"], r["type"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert sorted(s for *_, s in mine) == sorted(best[p][1] for p in order), term
+        assert k < 100 or {m[0]: m[1:] for m in mine} == {p: v[:2] for p, v in best.items()}, term
+        assert all(best[p][:2] == (t, s) for p, t, s in mine), term
 
 
 def test_exact_id_beats_a_mention(spark):

@@ -20,32 +20,6 @@ def wants_owner(term: Column) -> Column:
     return term.rlike(_INTENT) | term.rlike(_QUESTION)
 
 
-def spaced(hay: Column) -> Column:
-    """hay with a space for all but letters and digits, and at the ends: a word of these stands in it between spaces."""
-    return F.concat(F.lit(" "), F.regexp_replace(hay, "[^a-z0-9]", " "), F.lit(" "))
-
-
-def hay_score(words: Column, hay: Column, weight: int = 1, padded: Column | None = None) -> Column:
-    """For each token occurrence found in hay: its length times weight, and its length again if it stands as a word.
-
-    padded is spaced(hay), for callers that score a hay many times; only tokens with other signs need a pattern.
-    """
-    padded = spaced(hay) if padded is None else padded
-
-    def one(total: Column, t: Column) -> Column:
-        pattern = F.regexp_like(hay, F.concat(F.lit("(?:^|[^a-z0-9])"), t, F.lit("(?:[^a-z0-9]|$)")))
-        odd = t.contains("-") | t.contains("/") | t.contains("_") | t.contains("@")
-        word = F.when(odd, pattern).otherwise(padded.contains(F.concat(F.lit(" "), t, F.lit(" "))))
-        return total + F.when(hay.contains(t), F.length(t) * weight + F.when(word, F.length(t)).otherwise(0)).otherwise(0)
-
-    return F.aggregate(words, F.lit(0), one)
-
-
-def plain_score(words: Column, hay: Column) -> Column:
-    """Lengths of the token occurrences found in hay."""
-    return F.aggregate(words, F.lit(0), lambda total, t: total + F.when(hay.contains(t), F.length(t)).otherwise(0))
-
-
 def identity_boost(ident: Column, path: Column, words: Column, term: Column) -> Column:
     """What an entry gains because its id or file name is, or nearly is, the term or one of its tokens."""
     own, whole = F.lower(ident), F.lower(F.trim(term))

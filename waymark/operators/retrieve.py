@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import markdown, paths, text
 from waymark.functions.markdown import non_empty
+from waymark.operators.search import held_tokens, token_counts
 from waymark.tables import small_side
 
 K = 8
@@ -47,11 +48,17 @@ def federated_links(sources: DataFrame) -> DataFrame:
 
 
 def federated_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Chunks that hold a token of the query in title, summary or path, with the tokens' summed lengths. Terms are the broadcast side."""
-    asked = small_side(queries.select("query_id", text.tokens(F.col("term"), "").alias("words")))
+    """Chunks that hold a token of the query in title, summary or path, with the tokens' summed lengths. Chunks are told apart by chunkKey, path and at.
+
+    Tokens meet the chunks' vocabulary by equality, as in search.
+    """
+    asked = queries.select("query_id", text.tokens(F.col("term"), "").alias("words"))
+    terms = small_side(token_counts(asked))
     hay = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), "path"))
-    rows = chunks.drop("score").withColumn("hay", hay).crossJoin(asked).where(F.exists("words", lambda t: F.col("hay").contains(t)))
-    return rows.withColumn("score", text.plain_score(F.col("words"), F.col("hay")).cast("long")).drop("hay", "words")
+    key = ["chunkKey", "path", "at"]
+    found = held_tokens(chunks.select(*key, hay.alias("hay")), key, terms.select("token").distinct(), "")
+    sums = found.join(terms, "token").groupBy("query_id", *key).agg(F.sum(F.col("n") * F.length("token")).cast("long").alias("score"))
+    return chunks.drop("score").join(sums, key)
 
 
 def hybrid(local: DataFrame, federated: DataFrame, k: int = K) -> DataFrame:

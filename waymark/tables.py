@@ -34,10 +34,11 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
-#: Rows up to which a counted side is broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows and characters up to which a counted side is broadcast.
+BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 32 << 20
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """The frame with a broadcast hint if few enough rows are counted, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """The frame with a broadcast hint if its rows and their characters, counted, are few enough, else as it is."""
+    n = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("rows"), F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("chars")).first()
+    return F.broadcast(df) if n["rows"] <= BROADCAST_ROWS and (n["chars"] or 0) <= BROADCAST_CHARS else df
