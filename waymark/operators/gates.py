@@ -8,13 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.config import Settings, style_rules
-from waymark.functions.markdown import header_field, non_empty
+from waymark.functions.markdown import header_field
 from waymark.functions.text import AFTER, BEFORE
 
 
-def _listed(item: Column, order: str, separator: str) -> Column:
-    """Ordered text of a group; a report, so as long as the group's defects."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("t")))), lambda x: x["t"]), separator)
+#: Defects that a message names; the rest are counted, and the functions that give defects give them all as rows.
+LISTED = 100
+
+
+def _listed(df: DataFrame, item: Column, order: str, separator: str) -> DataFrame:
+    """One row (n, text): the number of rows, and the first LISTED items in order."""
+    top = df.select(F.col(order).alias("o"), item.alias("t")).orderBy("o").limit(LISTED)
+    text = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), separator).alias("text"))
+    more = F.when(F.col("n") > LISTED, F.concat(F.lit(f"{separator}and "), (F.col("n") - LISTED).cast("string"), F.lit(" more"))).otherwise("")
+    return df.agg(F.count("*").alias("n")).crossJoin(text).select("n", F.concat("text", more).alias("text"))  # one row each
 
 
 def _result(df: DataFrame, gate: str, ok: Column, good: Column, bad: Column, expected: Column, actual: Column) -> DataFrame:
@@ -40,9 +47,9 @@ def missing_links(handoffs: DataFrame, human: DataFrame) -> DataFrame:
 
 def human_links(handoffs: DataFrame, human: DataFrame) -> DataFrame:
     local = handoffs.where(F.col("humanDoc").isNotNull() & ~F.col("humanDoc").rlike(r"\Ahttps?://"))
-    lost = missing_links(handoffs, human).agg(F.count("*").alias("n"), _listed(F.col("url"), "url", ", ").alias("urls"))
+    lost = _listed(missing_links(handoffs, human), F.col("url"), "url", ", ")
     both = lost.crossJoin(local.agg(F.count("*").alias("total")))  # one row each
-    return _result(both, "human-guide-links", F.col("n") == 0, F.format_string("Resolved %d humanDoc link(s)", "total"), F.concat(F.lit("Missing humanDoc link(s): "), "urls"), F.lit("all local humanDoc links resolve"), F.format_string("%d missing", "n"))
+    return _result(both, "human-guide-links", F.col("n") == 0, F.format_string("Resolved %d humanDoc link(s)", "total"), F.concat(F.lit("Missing humanDoc link(s): "), "text"), F.lit("all local humanDoc links resolve"), F.format_string("%d missing", "n"))
 
 
 def type_defects(docs: DataFrame, allowed: list[str] | None = None, index_doc: str | None = None) -> DataFrame:
@@ -56,8 +63,8 @@ def type_gate(docs: DataFrame, settings: Settings) -> DataFrame:
     if not settings.type_required:
         return spark.createDataFrame([("okf-type", True, "OKF type frontmatter not required", None, None)], "id string, ok boolean, message string, expected string, actual string")
     allowed = settings.allowed_types
-    bad = type_defects(docs, allowed, settings.index_doc).agg(F.count("*").alias("n"), _listed(F.col("path"), "path", ", ").alias("paths"))
-    return _result(bad, "okf-type", F.col("n") == 0, F.lit("All agent docs have OKF type frontmatter"), F.concat(F.lit("Missing or invalid OKF type frontmatter: "), "paths"), F.lit(f"type: {' | '.join(allowed)}" if allowed else "type frontmatter"), F.format_string("%d invalid", "n"))
+    bad = _listed(type_defects(docs, allowed, settings.index_doc), F.col("path"), "path", ", ")
+    return _result(bad, "okf-type", F.col("n") == 0, F.lit("All agent docs have OKF type frontmatter"), F.concat(F.lit("Missing or invalid OKF type frontmatter: "), "text"), F.lit(f"type: {' | '.join(allowed)}" if allowed else "type frontmatter"), F.format_string("%d invalid", "n"))
 
 
 def style_checks(raw: Column) -> dict[str, Column]:
@@ -87,15 +94,11 @@ def style_gate(docs: DataFrame, settings: Settings) -> DataFrame:
     if not rules:
         return docs.sparkSession.createDataFrame([("docs-style", True, "No docs-style rules configured", None, None)], "id string, ok boolean, message string, expected string, actual string")
     item = F.format_string("%s (%s)", F.col("path"), F.array_join("missing", ", "))
-    bad = style_defects(docs, rules, settings.index_doc).agg(F.count("*").alias("n"), _listed(item, "path", "; ").alias("items"))
-    return _result(bad, "docs-style", F.col("n") == 0, F.lit(f"All agent docs pass {profile} docs-style rules"), F.concat(F.lit("Docs style issues: "), "items"), F.lit(f"{profile}: {', '.join(rules)}"), F.format_string("%d file(s) with style issues", "n"))
+    bad = _listed(style_defects(docs, rules, settings.index_doc), item, "path", "; ")
+    return _result(bad, "docs-style", F.col("n") == 0, F.lit(f"All agent docs pass {profile} docs-style rules"), F.concat(F.lit("Docs style issues: "), "text"), F.lit(f"{profile}: {', '.join(rules)}"), F.format_string("%d file(s) with style issues", "n"))
 
 
 def run(results: list[DataFrame]) -> DataFrame:
     """All results with ``all_ok``, whether every gate passed."""
     both = reduce(DataFrame.unionByName, results)
     return both.crossJoin(both.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("all_ok")))  # a row a gate, and one row
-
-
-def front_type(raw: Column) -> Column:
-    return non_empty(header_field(raw, "type"))

@@ -18,7 +18,7 @@ from waymark.functions.markdown import fm_list, fm_string, non_empty
 def build_knowledge(raw: DataFrame, settings: Settings) -> DataFrame:
     """(path, raw[, pos]) agent documents -> knowledge columns, frontmatter and raw.
 
-    path is relative to the project; globs apply below the agent root. pos is the rank of the path, in byte order, unless given.
+    path is relative to the project; globs apply below the agent root. pos is in the byte order of the path, unless given.
     """
     root = settings.agent_root.rstrip("/") + "/"
     below = F.substring("path", len(root) + 1, 1 << 30)
@@ -33,12 +33,17 @@ def build_knowledge(raw: DataFrame, settings: Settings) -> DataFrame:
     return out if "pos" in raw.columns else with_position(out, "path")
 
 
-def with_position(df: DataFrame, *order: str) -> DataFrame:
-    """pos: dense order of the rows without gathering them in one task: the rank's partition and row within it."""
-    sized = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+def with_position(df: DataFrame, *order: str | Column) -> DataFrame:
+    """pos: a number that grows with the order of the rows, with gaps, without gathering them in one task: the rank's partition and row within it."""
+    sized = df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).sortWithinPartitions(*order)
     return sized.withColumn("pos", F.monotonically_increasing_id())
 
 
+def collated(column: str = "id") -> Column:
+    """The order of names for people: letters by the root collation, not by their bytes."""
+    return F.expr(f"`{column}` collate UNICODE")
+
+
 def seeds_from_frontmatter(knowledge: DataFrame) -> DataFrame:
     """Owners that documents declare: an id and an edit root, which packages and modules may leave to their id."""
     fm = lambda key: fm_string(F.col("frontmatter"), key)
@@ -186,7 +191,7 @@ def build_ownership(packages: DataFrame, explicit: DataFrame, seeds: DataFrame,
         "id", F.col("own_path").alias("path"), non_empty(F.col("e_group")).alias("group"), non_empty(F.col("e_layer")).alias("layer"), non_empty(F.coalesce("e_purpose", "s_purpose")).alias("purpose"), commands.alias("checks"),
         F.coalesce("e_agentDoc", "s_agentDoc", "guess", F.lit(settings.index_doc)).alias("agentDoc"), F.coalesce(non_empty(F.col("e_humanDoc")), non_empty(F.col("s_humanDoc")), "url").alias("humanDoc"), F.lit(None).cast("string").alias("readme"),
     )
-    return with_position(out, "id")
+    return with_position(out, collated())
 
 
 def handoffs(ownership: DataFrame, settings: Settings) -> DataFrame:
@@ -201,9 +206,21 @@ def handoffs(ownership: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def resolve(ids: DataFrame, handoff: DataFrame) -> DataFrame:
-    """(id) -> handoff rows; an id without one gives a row of nulls with found false."""
-    return ids.select("id").join(handoff.withColumn("id", F.col("target.id")), "id", "left").withColumn("found", F.col("target").isNotNull())
+def resolve(ids: DataFrame, handoff: DataFrame, ownership: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
+    """(id) -> handoff rows; an id without one gives a row of nulls with found false.
+
+    With ownership, an owner whose handoff isn't stored gets it made anew; there the documents to read may repeat.
+    """
+    rows = ids.select("id").join(handoff.withColumn("id", F.col("target.id")), "id", "left")
+    if ownership is not None:
+        s = settings or Settings()
+        made = handoffs(ownership.withColumn("agentDoc", F.coalesce("agentDoc", F.lit(s.agent_index))), s)
+        read = F.array_compact(F.array(non_empty(F.col("o.agentDoc")), F.lit("AGENTS.md")))
+        made = made.alias("h").join(ownership.alias("o"), F.col("h.target.id") == F.col("o.id")).select(*[(read if c == "readBeforeEditing" else F.col(f"h.{c}")).alias(c) for c in made.columns])
+        names = [c for c in made.columns if c in handoff.columns]
+        spare = made.select(F.col("target.id").alias("id"), F.struct(*names).alias("spare"))
+        rows = rows.join(spare, "id", "left").select("id", *[(F.when(F.col("target").isNotNull(), F.col(c)).otherwise(F.col(f"spare.{c}")) if c in names else F.col(c)).alias(c) for c in handoff.columns])
+    return rows.withColumn("found", F.col("target").isNotNull())
 
 
 def resolve_intent(ids: DataFrame, intents: DataFrame, source: str = "index.json") -> DataFrame:
@@ -245,3 +262,11 @@ def ranked_projects(manifests: DataFrame, prefix: str = "npx nx run", strict: bo
     run = lambda target, also=True: F.when(F.array_contains("targets", target) & F.lit(also), F.concat(F.lit(f"{prefix} "), F.col("name"), F.lit(f":{target}")))
     checks = F.array_compact(F.array(run("test"), run("lint", strict)))
     return got.select("id", "path", "name", F.when(F.size(checks) > 0, checks).alias("checks"), "pos", (F.col("n_paths") > 1).alias("collides"))
+
+
+def checked_projects(projects: DataFrame) -> DataFrame:
+    """Ranked projects by the collation of their ids; an id that stands for several paths is an error that names it."""
+    bad = projects.where("collides").select("id").orderBy("id").limit(5).collect()
+    if bad:
+        raise ValueError(f"one id for several projects: {', '.join(r['id'] for r in bad)}")
+    return with_position(projects.drop("pos", "collides"), collated())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.markdown import first_heading, first_paragraph, non_empty, slug_from_path
@@ -11,6 +11,9 @@ from waymark.operators.search import search
 
 #: Search score from which the best match counts as a duplicate.
 DUPLICATE = 16
+#: Candidates that a draft shows.
+DRAFT_LINES = 1000
+# Patterns, route words, reasons and texts below are output or decide it.
 SECRET = rf"(?i){BEFORE}(?:api[_-]?key|token|secret|password)\s*[:=]\s*\S+"
 EMAIL = rf"(?i){BEFORE}[A-Z0-9._%+-]+@(?!example\.com{AFTER})[A-Z0-9.-]+\.[A-Z]{{2,}}{AFTER}"
 _TARGET = rf"(?i){BEFORE}(?:package|module)\s+([a-z0-9._/-]+)\s+(?:owns|owner|responsible|routes?){AFTER}"
@@ -74,9 +77,12 @@ def line(df: DataFrame) -> DataFrame:
 
 
 def draft(classified: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row (ok, title, body). The draft is a text for people, as long as its candidates (pos orders them)."""
+    """One row (ok, title, body). The draft is a text for people: it shows the first DRAFT_LINES candidates by pos and counts the rest, which line() gives."""
     title = "Draft memory promotion"
-    lines = line(classified).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    top = line(classified).orderBy("pos").limit(DRAFT_LINES)
+    shown = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("shown"))
+    more = F.when(F.col("n") > DRAFT_LINES, F.concat(F.lit("\n- and "), (F.col("n") - DRAFT_LINES).cast("string"), F.lit(" more"))).otherwise("")
+    lines = classified.agg(F.count("*").alias("n")).crossJoin(shown).select(F.concat("shown", more).alias("lines"))  # one row each
     ok = findings.agg((F.count("*") == 0).alias("ok"))
     scan = F.when(F.col("ok"), "Safety scan: pass.").otherwise("Safety scan: blocked. Redact findings before PR.")
     body = F.concat_ws("\n", F.lit(f"# {title}"), F.lit(""), scan, F.lit(""), F.lit("## Candidates"), F.lit(""), F.when(F.col("lines") != "", F.col("lines")), F.lit(""), F.lit("## Policy"), F.lit(""), F.lit("- Draft only; never auto-merge."), F.lit("- Run the documentation gates before opening a PR."))
@@ -84,6 +90,6 @@ def draft(classified: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def first_candidates(candidates: DataFrame) -> DataFrame:
-    """One candidate of each id, agent memory before editor rules."""
-    w = Window.partitionBy("id").orderBy(F.desc("confidence"), "rawPath")
-    return candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """One candidate of each id, agent memory before editor rules, then by path: a combining aggregate."""
+    best = F.min_by(F.struct(*candidates.columns), F.struct(-F.col("confidence"), "rawPath"))
+    return candidates.groupBy("id").agg(best.alias("r")).select("r.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.config import Settings
@@ -15,15 +15,70 @@ TEXT_ENTRIES = 500
 
 
 def index_hash(knowledge: DataFrame, ownership: DataFrame, handoff: DataFrame) -> DataFrame:
-    """One row (contentHash): SHA-256 over the sorted digests of all rows' canonical JSON, with the version in front.
+    """One row (contentHash): SHA-256 over the digests of all rows' canonical JSON, with the version in front; for indexes of any size.
 
-    Positions, times and the project's name are no content. Rows are digested where they are; one 64-byte digest a row meets in the last
-    aggregate, in 4096 groups before it, so no task gathers them all.
+    Positions, times and the project's name are no content. Rows are digested where they are; digests meet in groups by their first
+    hexadecimal digits, six, then three, then none, so a task gathers as many as there are rows to 16 million, or 4096. A published
+    index has the hash of its whole canonical text instead; see payload.
     """
-    digest = lambda df, kind: df.select(F.sha2(F.concat(F.lit(kind + ":"), canonical_json(F.to_json(F.struct(*[c for c in df.columns if c in KEPT[kind]])))), 256).alias("h"))
-    rows = digest(knowledge, "knowledge").unionByName(digest(ownership, "ownership")).unionByName(digest(handoff, "handoff"))
-    groups = rows.groupBy(F.substring("h", 1, 3).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return groups.agg(F.sha2(F.concat(F.lit("v1:"), F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ""), F.lit(""))), 256).alias("contentHash"))
+    digest = lambda df, kind: df.select(F.sha2(F.concat(F.lit(kind + ":"), canonical_json(F.to_json(F.struct(*[c for c in df.columns if c in KEPT[kind]])))), 256).alias("h"), F.lit("").alias("g"))
+    rows = digest(knowledge, "knowledge").unionByName(digest(ownership, "ownership")).unionByName(digest(handoff, "handoff")).withColumn("g", F.substring("h", 1, 6))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "")
+    for digits in (6, 3):
+        rows = rows.groupBy(F.substring("g", 1, digits).alias("k")).agg(F.sha2(joined, 256).alias("h")).withColumnRenamed("k", "g")
+    return rows.agg(F.sha2(F.concat(F.lit("v1:"), F.coalesce(joined, F.lit(""))), 256).alias("contentHash"))
+
+
+#: Rows of a published index at most; so its text has a bounded size.
+MOST_KNOWLEDGE, MOST_PACKAGES = 10_000, 2_000
+
+
+def payload(knowledge: DataFrame, ownership: DataFrame, handoff: DataFrame, intents: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
+    """One row (json, contentHash): the canonical JSON of a published index and its SHA-256.
+
+    Keys are sorted at every level, nulls left out. knowledge and packages stand in the order of pos, the last of a repeated key counts elsewhere.
+    An index over the published limits is an error.
+    """
+    for df, most in ((knowledge, MOST_KNOWLEDGE), (ownership, MOST_PACKAGES)):
+        if df.limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} rows in a published index")
+    text = lambda df, kind: F.to_json(F.struct(*[c for c in df.columns if c in KEPT[kind]]))
+    listed = lambda df, value: df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("v")))), lambda x: x["v"]), ",").alias("j"))
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+
+    def keyed(df: DataFrame | None, key: str, value: Column | None) -> DataFrame:
+        spark = knowledge.sparkSession
+        if df is None:
+            return spark.createDataFrame([("",)], "j string")
+        pos = F.col("pos") if "pos" in df.columns else F.lit(0)
+        last = df.select(F.col(key).alias("k"), value.alias("v"), pos.alias("p")).groupBy("k").agg(F.max_by("v", "p").alias("v"))
+        return last.agg(F.array_join(F.array_sort(F.collect_list(F.concat(quoted(F.col("k")), F.lit(":"), "v"))), ",").alias("j"))
+
+    parts = {
+        "knowledge": listed(knowledge, text(knowledge, "knowledge")), "handoffs": keyed(handoff, "target.id", text(handoff, "handoff")), "packages": listed(ownership, quoted(F.col("id"))), "ownership": keyed(ownership, "id", text(ownership, "ownership")),
+        "intents": keyed(intents, "id", F.to_json(F.struct("id", "title", "paths")) if intents is not None else None), "changes": keyed(changes, "id", F.to_json(F.struct("id", "title", "startHere", "relatedPackages")) if changes is not None else None),
+    }
+    one = None
+    for name, df in parts.items():
+        part = df.select(F.col("j").alias(name))
+        one = part if one is None else one.crossJoin(part)  # one row each
+    whole = F.concat(F.lit('{"schemaVersion":1,"knowledge":['), "knowledge", F.lit('],"handoffs":{'), "handoffs", F.lit('},"lookup":{"packages":['), "packages", F.lit('],"ownership":{'), "ownership", F.lit('},"intents":{'), "intents", F.lit('},"changes":{'), "changes", F.lit("}}}"))
+    return one.select(canonical_json(whole).alias("json")).select("json", F.sha2("json", 256).alias("contentHash"))
+
+
+def index_json(payload_row: DataFrame, project: str, generated_at: str, previous: str | None = None) -> str:
+    """The text of a published index. Where a previous text has the same hash, its time stays, so that the bytes don't change."""
+    row = payload_row.first()
+    data = json.loads(row["json"])
+    if previous:
+        try:
+            old = json.loads(previous)
+            if old.get("contentHash") == row["contentHash"] and isinstance(old.get("generatedAt"), str):
+                generated_at = old["generatedAt"]
+        except (ValueError, AttributeError):
+            pass
+    out = {"schemaVersion": 1, "contentHash": row["contentHash"], "contentHashAlgo": "sha256-normalized-v1", "generatedAt": generated_at, "project": {"name": project, "root": "."}}
+    return json.dumps(out | {k: data[k] for k in ("knowledge", "handoffs", "lookup")}, indent=2, ensure_ascii=False) + "\n"
 
 
 KEPT = {

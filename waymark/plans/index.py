@@ -49,6 +49,14 @@ def write(index: Index, path: str) -> str:
     return now
 
 
+def export(index: Index, settings: Settings, project: str, generated_at: str, previous: str | None = None) -> str:
+    """The JSON text of the index, for an index within the published limits; previous is the text that is there."""
+    spark = index.knowledge.sparkSession
+    intents = spark.createDataFrame([(i["id"], i["title"], i.get("paths", []), k) for k, i in enumerate(settings.intents)], "id string, title string, paths array<string>, pos long")
+    changes = spark.createDataFrame([(c["id"], c["title"], c["startHere"], c.get("relatedPackages"), k) for k, c in enumerate(settings.changes)], "id string, title string, startHere string, relatedPackages array<string>, pos long")
+    return sinks.index_json(sinks.payload(index.knowledge, index.ownership, index.handoff, intents, changes), project, generated_at, previous)
+
+
 def stored_hash(spark: SparkSession, path: str) -> str | None:
     try:
         return spark.read.parquet(f"{path}/meta").first()["contentHash"]

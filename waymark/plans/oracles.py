@@ -90,7 +90,7 @@ def _search(asked: str, most: int) -> str:
 
 _FOUND = f"{_KNOW}, {_OWN}, {_TERMS}, {_search('terms', 20)}"
 _EDIT = "CASE WHEN human_doc IS NULL THEN concat('Human guide missing for ', id, '. Run: waymark bootstrap agent-docs') END"
-_DISCOVERED = "SELECT concat('d', cast(p_partkey % 400 AS string)) AS id, concat('packages/part', cast(p_partkey AS string)) AS path, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS name, p_partkey AS pos FROM part WHERE p_partkey <= 600"
+_DISCOVERED = "SELECT concat('d', cast(p_partkey % 400 AS string)) AS id, concat('packages/part', cast(p_partkey AS string)) AS path, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS name, p_partkey AS pos FROM part"
 _LOCAL = "SELECT human_doc AS url FROM own WHERE human_doc IS NOT NULL AND NOT regexp_matches(human_doc, '^https?://')"
 _CHUNKS = """SELECT r.query_id, r.rank, concat('waymark:', CASE WHEN r.type = 'ownership' THEN 'ownership' ELSE 'agent-doc' END, ':', r.id) AS "chunkKey", CASE WHEN r.type = 'ownership' THEN 'ownership' ELSE 'agent-doc' END AS type, r.id, r.path, nullif(k.title, '') AS title, coalesce(r.summary, o.purpose) AS summary, r.score
 FROM ranked r LEFT JOIN (SELECT id, path, arg_min(title, pos) AS title FROM know GROUP BY ALL) k ON k.id = r.id AND k.path = r.path LEFT JOIN own o ON o.id = r.id WHERE r.rank <= 8"""
@@ -115,7 +115,7 @@ FROM (SELECT * FROM ranked WHERE rank <= 8 QUALIFY row_number() OVER (PARTITION
     "question_packages": f"""WITH {_OWN}, {_TERMS} SELECT CAST(query_id AS BIGINT) AS query_id, arg_min(id, pos) AS id FROM terms, own WHERE list_contains(list_filter(string_split_regex(lower(term), '[^a-z0-9@/_-]+'), lambda t: length(t) >= 2), lower(id)) GROUP BY query_id""",
     "retriever_chunks": f"""WITH {_FOUND} SELECT CAST(query_id AS BIGINT) AS query_id, * EXCLUDE (query_id) FROM ({_CHUNKS})""",
     "ownership_seeds": f"WITH {_SEEDS} SELECT * FROM seed",
-    "packages_merge": f"""WITH {_SEEDS}, e AS (SELECT concat('d', cast(s_suppkey AS string)) AS id, CASE WHEN s_suppkey % 4 <> 0 THEN concat('explicit/', cast(s_suppkey AS string)) END AS path FROM supplier WHERE s_suppkey <= 90),
+    "packages_merge": f"""WITH {_SEEDS}, e AS (SELECT concat('d', cast(s_suppkey AS string)) AS id, CASE WHEN s_suppkey % 4 <> 0 THEN concat('explicit/', cast(s_suppkey AS string)) END AS path FROM supplier),
 d AS (SELECT id, arg_min(path, pos) AS path, arg_max(name, pos) FILTER (name IS NOT NULL) AS name, max(CASE WHEN pos % 2 = 0 THEN 'make test' END) AS checks FROM ({_DISCOVERED}) GROUP BY id),
 s AS (SELECT id, arg_min(path, CASE WHEN origin = 'path' THEN 1000000000 ELSE 0 END + pos) AS path FROM seed GROUP BY id)
 SELECT id, coalesce(e.path, d.path, s.path) AS path, d.name, d.checks FROM (SELECT id FROM e UNION SELECT id FROM d UNION SELECT id FROM s) LEFT JOIN e USING (id) LEFT JOIN d USING (id) LEFT JOIN s USING (id)""",
@@ -125,7 +125,7 @@ CASE WHEN human_doc LIKE 'http%' THEN 'external' WHEN human_doc IS NOT NULL THEN
   SELECT p.id, b.path, b.pos, CASE WHEN f.f_package = p.id THEN 1 WHEN b.id = p.id THEN 2 WHEN ends_with(b.path, '/packages/' || p.id || '.md') THEN 3 WHEN ends_with(b.path, '/' || p.id || '.md') THEN 7 WHEN contains(b.path, '/packages/' || p.id || '/') THEN 9 END AS rule
   FROM p, built b JOIN field f USING (pos) WHERE rule IS NOT NULL
 ) SELECT id, path AS guess FROM hit QUALIFY row_number() OVER (PARTITION BY id ORDER BY rule, pos) = 1""",
-    "human_doc_match": rf"""WITH p AS (SELECT concat(CASE p_partkey % 5 WHEN 0 THEN 'os-' WHEN 1 THEN '@x/' ELSE '' END, 'h', cast(p_partkey AS string), CASE WHEN p_partkey % 7 = 0 THEN '-pattern' ELSE '' END) AS id FROM part WHERE p_partkey <= 400),
+    "human_doc_match": rf"""WITH p AS (SELECT concat(CASE p_partkey % 5 WHEN 0 THEN 'os-' WHEN 1 THEN '@x/' ELSE '' END, 'h', cast(p_partkey AS string), CASE WHEN p_partkey % 7 = 0 THEN '-pattern' ELSE '' END) AS id FROM part),
 h AS (SELECT concat(CASE page_id % 4 WHEN 0 THEN 'packages/' WHEN 1 THEN 'site/deep/' WHEN 2 THEN 'my-' ELSE '' END, 'h', cast(page_id AS string), CASE WHEN page_id % 6 = 1 THEN '/index' ELSE '' END) AS key, concat('/docs/', cast(page_id AS string)) AS url, page_id AS pos FROM pages WHERE page_id IS NOT NULL),
 hit AS (SELECT p.id, h.url, h.pos, CASE WHEN key = id THEN 0 WHEN key = regexp_replace(id, '^@[^/]+/', '') THEN 1 WHEN key = regexp_replace(id, '^os-', '') THEN 2 WHEN key = regexp_replace(id, '-pattern$', '') THEN 3 WHEN key = 'packages/' || id THEN 4 WHEN key = 'reference/packages/' || id THEN 5 WHEN key = 'packages/' || id || '/index' THEN 6
   WHEN ends_with(key, '/' || id) OR ends_with(key, '/' || id || '/index') OR ends_with(key, '-' || id) THEN 7 END AS way FROM p, h WHERE way IS NOT NULL)
@@ -133,7 +133,7 @@ SELECT id, url FROM hit QUALIFY row_number() OVER (PARTITION BY id ORDER BY way,
     "human_doc_union": f"""WITH {_PAGES} SELECT id, url, path, source_pos FROM (SELECT *, CAST(pos % 2 AS BIGINT) AS source_pos FROM page WHERE path NOT LIKE 'docs/for-agents/%' AND path NOT LIKE '%/for-agents/%') QUALIFY row_number() OVER (PARTITION BY id ORDER BY source_pos, pos) = 1""",
     "route_collision": f"WITH {_PAGES} SELECT id, url, path FROM page QUALIFY row_number() OVER (PARTITION BY url ORDER BY path LIKE '%/index.md' DESC, pos DESC) = 1",
     "human_links_missing": f"WITH {_OWN}, {_PAGES} SELECT DISTINCT url FROM ({_LOCAL}) WHERE url NOT IN (SELECT url FROM page WHERE pos % 3 <> 0)",
-    "human_links_gate": f"""WITH {_OWN}, {_PAGES}, m AS (SELECT DISTINCT url FROM ({_LOCAL}) WHERE url NOT IN (SELECT url FROM page WHERE pos % 3 <> 0)), n AS (SELECT count(*) AS n, string_agg(url, ', ' ORDER BY url) AS urls FROM m)
+    "human_links_gate": f"""WITH {_OWN}, {_PAGES}, m AS (SELECT DISTINCT url FROM ({_LOCAL}) WHERE url NOT IN (SELECT url FROM page WHERE pos % 3 <> 0)), n AS (SELECT (SELECT count(*) FROM m) AS n, (SELECT string_agg(url, ', ' ORDER BY url) FROM (SELECT url FROM m ORDER BY url LIMIT 100)) || CASE WHEN (SELECT count(*) FROM m) > 100 THEN concat(', and ', (SELECT count(*) FROM m) - 100, ' more') ELSE '' END AS urls)
 SELECT 'human-guide-links' AS id, n = 0 AS ok, CASE WHEN n = 0 THEN concat('Resolved ', (SELECT count(*) FROM ({_LOCAL})), ' humanDoc link(s)') ELSE concat('Missing humanDoc link(s): ', urls) END AS message, CASE WHEN n > 0 THEN 'all local humanDoc links resolve' END AS expected, CASE WHEN n > 0 THEN concat(n, ' missing') END AS actual FROM n""",
     "docs_style_gate": rf"""WITH {_DOCS}, s AS ({_STYLE}), m AS (SELECT path, concat_ws(',',
   CASE WHEN NOT regexp_matches(raw, '(?m)^#\s+\S+') THEN 'title' END, CASE WHEN NOT ({_has("purpose")} OR regexp_matches(raw, '(?im)^##\s+(Purpose|Goal)\b')) THEN 'purpose' END, CASE WHEN NOT ({_has("audience")} OR regexp_matches(raw, '(?im)^##\s+Audience\b')) THEN 'audience' END,
@@ -147,9 +147,10 @@ g AS (SELECT CASE WHEN (SELECT count(*) FROM ({_LOCAL}) WHERE url NOT IN (SELECT
 s AS (SELECT *, CAST(15 + floor(a / total * 35 + 0.5) + floor(h / total * 20 + 0.5) + CASE WHEN gates_passed = 2 THEN 15 ELSE 5 END AS BIGINT) AS score FROM c, k, g)
 SELECT total, a AS with_agent_doc, h AS with_human_doc, docs, indexed, CAST(gates_passed AS BIGINT) AS gates_passed, CAST(2 AS BIGINT) AS gates, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade,
   CAST(floor(100 * a / total + 0.5) AS BIGINT) AS handoff_pct, CAST(floor(100 * h / total + 0.5) AS BIGINT) AS bridge_pct FROM s""",
-    "doctor_issues": f"""WITH {_OWN} SELECT CAST(1 AS BIGINT) AS kind, 'error' AS severity, 'index-stale' AS code, 'Index is stale. Run: waymark index' AS message, 'waymark index' AS action
+    "doctor_issues": f"""WITH {_OWN}, {_PAGES}, m AS (SELECT DISTINCT url FROM ({_LOCAL}) WHERE url NOT IN (SELECT url FROM page WHERE pos % 3 <> 0)) SELECT CAST(1 AS BIGINT) AS kind, 'error' AS severity, 'index-stale' AS code, 'Index is stale. Run: waymark index' AS message, 'waymark index' AS action
 UNION ALL SELECT 2, 'warn', 'missing-agent-doc', concat('Package "', id, '" has no dedicated agent doc.'), concat('waymark init --scaffold-workspaces  # or edit docs/for-agents/packages/', id, '.md') FROM own WHERE agent_doc IS NULL OR agent_doc = 'docs/d7.md'
-UNION ALL SELECT 3, 'info', 'missing-human-doc', concat('Package "', id, '" has no linked human guide.'), 'waymark bootstrap agent-docs' FROM own WHERE human_doc IS NULL""",
+UNION ALL SELECT 3, 'info', 'missing-human-doc', concat('Package "', id, '" has no linked human guide.'), 'waymark bootstrap agent-docs' FROM own WHERE human_doc IS NULL
+UNION ALL SELECT 4, 'warn', 'gate-human-guide-links', concat('Missing humanDoc link(s): ', (SELECT string_agg(url, ', ' ORDER BY url) FROM (SELECT url FROM m ORDER BY url LIMIT 100)), CASE WHEN (SELECT count(*) FROM m) > 100 THEN concat(', and ', (SELECT count(*) FROM m) - 100, ' more') ELSE '' END), 'waymark gate run' WHERE (SELECT count(*) FROM m) > 0""",
     "conformance_summary": """SELECT CASE WHEN doc_id % 2 = 0 THEN 'required' ELSE 'recommended' END AS level, count(*) FILTER (quality = 1) AS passed, count(*) FILTER (quality IS DISTINCT FROM 1 AND doc_id % 3 <> 0) AS failed, count(*) FILTER (quality IS DISTINCT FROM 1 AND doc_id % 3 = 0) AS excepted,
 bool_and(quality = 1 OR doc_id % 3 = 0) AS ok FROM labels GROUP BY 1""",
     "memory_classify": _CLASSIFY,
@@ -166,12 +167,12 @@ e AS (SELECT pos, path, unnest(sections) AS section, generate_subscripts(section
 t AS (SELECT *, coalesce(nullif(trim(regexp_extract(section, '(?m)^title:\s*(.+)$', 1)), ''), nullif(trim(regexp_extract(section, '(?m)^https?://\S+/([^/\s]+)$', 1)), ''), nullif(trim(regexp_extract(section, '(?m)^#+\s+(.+)$', 1)), ''), regexp_extract(path, '([^/]+)\.md$', 1)) AS title FROM e)
 SELECT concat('s', cast(pos % 3 AS string), ':federated:', coalesce(nullif(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), cast(ordinal AS string))) AS "chunkKey", path, title, left(trim(section, ' ' || chr(9) || chr(10) || chr(13)), 500) AS summary, CAST(ordinal AS BIGINT) AS ordinal FROM t""",
     "hybrid_retrieve": rf"""WITH {_FOUND}, local AS ({_CHUNKS}), fed AS (
-  SELECT query_id, concat('web:federated:', cast(page_id % 90 AS string)) AS "chunkKey", url AS path, page_id AS spot, CAST(list_sum(list_transform(list_filter(string_split_regex(lower(term), '[^a-z0-9]+'), lambda t: length(t) >= 2), lambda t: CASE WHEN contains(lower(concat('page ', cast(page_id AS string), ' ', substring(html, 1, 400), ' ', url)), t) THEN length(t) ELSE 0 END)) AS BIGINT) AS score
+  SELECT query_id, concat('web:federated:', cast(page_id % 90 AS string)) AS "chunkKey", url AS path, page_id AS spot, CAST(list_sum(list_transform(list_filter(string_split_regex(lower(term), '[^a-z0-9]+'), lambda t: length(t) >= 2), lambda t: CASE WHEN contains(lower(concat('page ', cast(page_id AS string), ' ', html, ' ', url)), t) THEN length(t) ELSE 0 END)) AS BIGINT) AS score
   FROM pages, terms WHERE page_id IS NOT NULL AND url IS NOT NULL
 ), every_one AS (SELECT query_id, "chunkKey", type, path, score, 0 AS side, rank AS spot FROM local UNION ALL SELECT query_id, "chunkKey", 'federated', path, score, 1, spot FROM fed WHERE score > 0),
 one AS (SELECT *, min((side, spot)) OVER (PARTITION BY query_id, "chunkKey") AS place FROM every_one QUALIFY row_number() OVER (PARTITION BY query_id, "chunkKey" ORDER BY score DESC, side, spot) = 1)
 SELECT CAST(query_id AS BIGINT) AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS rank, "chunkKey", type, path, score FROM one QUALIFY rank <= 8""",
-    "content_hash": """SELECT doc_id, sha256(concat('{"id":', doc_id, ',"meta":{"a":[', doc_id % 3, ',true,null],"lang":"', lang, '"},"source":"', source, '"}')) AS sha256 FROM documents""",
+    "content_hash": """SELECT doc_id, sha256(concat('{"id":', doc_id, ',"meta":{"a":["', doc_id % 3, '","é/\\""],"lang":', to_json(lang), '},"source":', to_json(source), ',"text":', to_json(text), '}')) AS sha256 FROM documents""",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank, id, round(s, 6) AS similarity FROM s QUALIFY rank <= 6""",
     "fixed_chunks": """WITH s AS (SELECT doc_id AS id, text, unnest(range(0, greatest(0, length(text) - 121) + 1, 780)) AS off FROM documents WHERE length(text) > 0) SELECT id, CAST(off / 780 AS BIGINT) AS ordinal, substring(text, off + 1, 900) AS chunk FROM s""",
@@ -198,7 +199,7 @@ UNION ALL SELECT 'declared-has-claims', id, NULL FROM j WHERE k % 8 = 0
 UNION ALL SELECT 'claim-unique', id, 'c' FROM x GROUP BY id HAVING count(*) > 1
 UNION ALL SELECT 'claim-floor', id, 'c' FROM x WHERE k % 3 = 0 AND k < 10
 UNION ALL SELECT 'claim-evidence', id, 'c' FROM x WHERE concat('org/n', k % 11) <> p_repo""",
-    "llms_txt": rf"""WITH {_KNOW}, t AS (SELECT pos, concat('- [', title, '](', path, ')', CASE WHEN description <> '' THEN concat(': ', substring(description, 1, 40)) ELSE '' END) AS item FROM know ORDER BY pos LIMIT 500)
+    "llms_txt": rf"""WITH {_KNOW}, t AS (SELECT pos, concat('- [', title, '](', path, ')', CASE WHEN description <> '' THEN concat(': ', description) ELSE '' END) AS item FROM know ORDER BY pos LIMIT 500)
 SELECT concat('# demo', chr(10), chr(10), '> Agent-readable documentation index.', chr(10), chr(10), '## Knowledge', chr(10), chr(10), string_agg(item, chr(10) ORDER BY pos), chr(10)) AS content FROM t""",
     "default_checks": f"""WITH d AS ({_DISCOVERED}), t AS (SELECT pos, coalesce(name, id) AS t FROM d)
 SELECT pos, 'npm' AS manager, concat('npm test -w ', t, ',npm run lint -w ', t) AS checks FROM t UNION ALL SELECT pos, 'pnpm', concat('pnpm --filter ', t, ' test,pnpm --filter ', t, ' lint') FROM t

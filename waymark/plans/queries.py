@@ -129,10 +129,10 @@ def _explicit(spark: SparkSession, d: str) -> DataFrame:
 
 
 DISCOVERED = """
-SELECT concat('d', cast(p_partkey % 400 as string)) AS id, concat('packages/part', cast(p_partkey as string)) AS path, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS name, p_partkey AS pos FROM part WHERE p_partkey <= 600
+SELECT concat('d', cast(p_partkey % 400 as string)) AS id, concat('packages/part', cast(p_partkey as string)) AS path, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS name, p_partkey AS pos FROM part
 """
 EXPLICIT = """
-SELECT concat('d', cast(s_suppkey as string)) AS id, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('explicit/', cast(s_suppkey as string)) END AS path, s_suppkey AS pos FROM supplier WHERE s_suppkey <= 90
+SELECT concat('d', cast(s_suppkey as string)) AS id, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('explicit/', cast(s_suppkey as string)) END AS path, s_suppkey AS pos FROM supplier
 """
 
 
@@ -160,7 +160,7 @@ def human_doc_match(spark: SparkSession, d: str) -> DataFrame:
     return handoff.human_doc_match(bound(spark, d, MATCH_PACKAGES, "part"), bound(spark, d, MATCH_HUMAN, "pages"))
 
 
-MATCH_PACKAGES = "SELECT concat(CASE p_partkey % 5 WHEN 0 THEN 'os-' WHEN 1 THEN '@x/' ELSE '' END, 'h', cast(p_partkey as string), CASE WHEN p_partkey % 7 = 0 THEN '-pattern' ELSE '' END) AS id FROM part WHERE p_partkey <= 400"
+MATCH_PACKAGES = "SELECT concat(CASE p_partkey % 5 WHEN 0 THEN 'os-' WHEN 1 THEN '@x/' ELSE '' END, 'h', cast(p_partkey as string), CASE WHEN p_partkey % 7 = 0 THEN '-pattern' ELSE '' END) AS id FROM part"
 MATCH_HUMAN = "SELECT concat(CASE page_id % 4 WHEN 0 THEN 'packages/' WHEN 1 THEN 'site/deep/' WHEN 2 THEN 'my-' ELSE '' END, 'h', cast(page_id as string), CASE WHEN page_id % 6 = 1 THEN '/index' ELSE '' END) AS id, concat('/docs/', cast(page_id as string)) AS url, page_id AS pos FROM pages WHERE page_id IS NOT NULL"
 
 
@@ -207,8 +207,8 @@ def doctor_score(spark: SparkSession, d: str) -> DataFrame:
 def doctor_issues(spark: SparkSession, d: str) -> DataFrame:
     """One row a defect."""
     own = ownership(spark, d)
-    results = gates.human_links(handoff.handoffs(own, settings()), pages(spark, d).where("pos < 0"))
-    return doctor.issues(own, results, settings().index_doc, True, False).where("kind < 4").select(F.col("kind").cast("long").alias("kind"), "severity", "code", "message", "action")
+    results = gates.human_links(handoff.handoffs(own, settings()), pages(spark, d).where("pos % 3 <> 0"))
+    return doctor.issues(own, results, settings().index_doc, True, False).select(F.col("kind").cast("long").alias("kind"), "severity", "code", "message", "action")
 
 
 def conformance_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -266,15 +266,15 @@ def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
 
 FEDERATED = """
 SELECT concat('web:federated:', cast(page_id % 90 as string)) AS "chunkKey", 'web' AS property, 'federated' AS type, cast(page_id % 90 as string) AS id, url AS path,
-  concat('page ', cast(page_id as string)) AS title, substring(html, 1, 400) AS summary, page_id AS at FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL
+  concat('page ', cast(page_id as string)) AS title, html AS summary, page_id AS at FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL
 """
 
 
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Hash of every document's canonical JSON, keys given out of order."""
+    """Hash of every document's canonical JSON, whole text included, keys given out of order."""
     docs = tables.read(spark, d, "documents")
-    raw = F.concat(F.lit('{"source": "'), "source", F.lit('", "id": '), F.col("doc_id").cast("string"), F.lit(', "meta": {"lang": "'), "lang", F.lit('", "a": ['), (F.col("doc_id") % 3).cast("string"), F.lit(", true, null]}}"))
-    return docs.select("doc_id", text.content_hash(raw).alias("sha256"))
+    meta = F.struct("lang", F.array((F.col("doc_id") % 3).cast("string"), F.lit("é/\"")).alias("a"))
+    return docs.select("doc_id", text.content_hash(F.to_json(F.struct("source", "text", F.col("doc_id").alias("id"), meta.alias("meta")))).alias("sha256"))
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -322,7 +322,7 @@ def _contract(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def llms_txt(spark: SparkSession, d: str) -> DataFrame:
     """The text index of the first 500 documents."""
-    return sinks.llms_text(knowledge(spark, d).withColumn("description", F.substring("description", 1, 40)), "demo")
+    return sinks.llms_text(knowledge(spark, d), "demo")
 
 
 def default_checks(spark: SparkSession, d: str) -> DataFrame:

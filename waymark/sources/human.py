@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import paths
@@ -130,9 +130,8 @@ def union(sources: list[DataFrame], agent_root: str) -> DataFrame:
     root = agent_root.rstrip("/")
     both = reduce(DataFrame.unionByName, [s.withColumn("source_pos", F.lit(k)) for k, s in enumerate(sources)])
     agent = (F.col("path") == root) | F.col("path").startswith(root + "/") | F.col("path").contains("/for-agents/") | F.col("path").endswith("/for-agents")
-    w = Window.partitionBy("id").orderBy("source_pos", "pos")
-    first = both.where(~agent).withColumn("n", F.row_number().over(w)).where("n = 1")
-    return first.select("id", "url", "path", "source_pos", "pos")
+    first = F.min_by(F.struct("url", "path", "source_pos", "pos"), F.struct("source_pos", "pos"))
+    return both.where(~agent).groupBy("id").agg(first.alias("r")).select("id", "r.*")
 
 
 def url_map(pages: DataFrame) -> DataFrame:
