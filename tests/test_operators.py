@@ -1,5 +1,7 @@
 """Operators against literal folds and small frames."""
 
+import hashlib
+import json
 import random
 import re
 
@@ -235,19 +237,118 @@ def test_sinks(spark):
     assert text.endswith("## Knowledge\n\n- [A](https://x/base/a%20b): desc\n- [B](https://x/base/b)\n")
     pages = spark.createDataFrame([("p", "/p", "d/p.md", 0), ("q", "/q", "d/q.md", 1)], tables.HUMAN_DOC)
     made = sinks.missing_drafts(pages, spark.createDataFrame([("docs/for-agents/human/q.md",)], "path string"), spark.createDataFrame([("d/p.md", "---\nx: 1\n---\nbody")], "path string, raw string"))
-    assert [r["path"] for r in made.collect()] == ["docs/for-agents/human/p.md"] and made.first()["content"].endswith("# p\n\nbody")
+    assert [r["path"] for r in made.collect()] == ["docs/for-agents/human/p.md"] and "# p\n\nDraft generated" in made.first()["content"] and "## Source summary\n\nbody\n" in made.first()["content"]
 
 
 def test_debounce_as_a_stream_equals_the_batch(spark, tmp_path):
     rows = [("a", f"2024-01-01 00:00:00.{ms:03d}") for ms in (0, 100, 300, 900)] + [("b", "2024-01-01 00:00:01.000"), ("a", "2024-01-01 01:00:00.000")]
-    events = spark.createDataFrame(rows, "root string, at string").select("root", F.to_timestamp("at").alias("ts"))
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    seen = []
-    q = rebuild.start(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), lambda df, _: seen.extend(df.collect()), str(tmp_path / "ck"))
-    q.awaitTermination(120)
-    batch = {(r["key"], r["n"]) for r in rebuild.debounce(events, "root").collect()}
-    assert batch == {("a", 3), ("a", 1), ("b", 1)}
-    assert {(r["key"], r["n"]) for r in seen} <= batch and ("a", 3) in {(r["key"], r["n"]) for r in seen}
+    frame = lambda rows: spark.createDataFrame(rows, "root string, at string").select("root", F.to_timestamp("at").alias("ts"))
+    events, source, seen = frame(rows), str(tmp_path / "in"), []
+    events.coalesce(1).write.parquet(source)
+    changes = lambda: spark.readStream.schema(events.schema).parquet(source)
+    told = lambda df: sorted((r["key"], str(r["start"]), r["n"]) for r in df)
+    assert rebuild.open_sessions(spark, str(tmp_path / "ck")).count() == 0
+    rebuild.run(changes(), lambda df, _: seen.extend(df.collect()), str(tmp_path / "ck"))
+    batch = rebuild.debounce(events, "root").collect()
+    assert told(seen) == told(batch) and {(r["key"], r["n"]) for r in batch} == {("a", 3), ("a", 1), ("b", 1)}
+    # later changes: what was flushed isn't sent again, and the new last session is
+    more = frame([("b", "2024-01-01 03:00:00.000"), ("c", "2024-01-01 03:00:00.100")])
+    more.coalesce(1).write.mode("append").parquet(source)
+    rebuild.run(changes(), lambda df, _: seen.extend(df.collect()), str(tmp_path / "ck"))
+    assert told(seen) == told(rebuild.debounce(events.unionByName(more), "root").collect())
+    assert rebuild.flush(spark, lambda df, _: seen.extend(df.collect()), str(tmp_path / "ck")) == 0
+
+
+def test_flush_by_a_time(spark, tmp_path):
+    source, seen = str(tmp_path / "in"), []
+    events = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:00:09")], "root string, at string").select("root", F.to_timestamp("at").alias("ts"))
+    events.coalesce(1).write.parquet(source)
+    rebuild.start(spark.readStream.schema(events.schema).parquet(source), lambda df, _: seen.extend(df.collect()), str(tmp_path / "ck"), late="1 hour").awaitTermination()
+    keep = lambda df, _: seen.extend(df.collect())
+    assert not seen and rebuild.flush(spark, keep, str(tmp_path / "ck"), "2024-01-01 00:00:05") == 1 and [r["key"] for r in seen] == ["a"]
+    assert rebuild.flush(spark, keep, str(tmp_path / "ck")) == 1 and [r["key"] for r in seen] == ["a", "b"]
+
+
+def test_hidden_files_are_scanned_and_links_are_not(spark, tmp_path):
+    for name in (".agent-memory/a.md", ".cursor/rules/b.mdc", "docs/_x/d.md", "docs/c.md", "docs/.hidden.md", "node_modules/n.md", "docs/coverage/n.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}")
+    (tmp_path / "docs/link.md").symlink_to(tmp_path / "docs/c.md")
+    (tmp_path / "docs/loop").symlink_to(tmp_path, target_is_directory=True)
+    assert sorted(r["path"] for r in files.scan_markdown(spark, str(tmp_path)).collect()) == [".agent-memory/a.md", "docs/.hidden.md", "docs/_x/d.md", "docs/c.md"]
+    assert sorted((r["source"], r["fact"]) for r in memory.ingest(files.scan_notes(spark, f"file://{tmp_path}")).collect()) == [("agent-memory", ".agent-memory/a.md"), ("cursor", ".cursor/rules/b.mdc")]
+    assert files.scan_files(spark, str(tmp_path), []).count() == 0
+    with pytest.raises(files.LimitError):
+        files.scan_markdown(spark, str(tmp_path), max_files=3)
+
+
+def test_settings_from_disk(tmp_path, monkeypatch):
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "waymark.config.json").write_text('{"project": "p", "human": {"plugin": "nextra", "options": {"root": "a"}}}')
+    settings, root = config.load(str(tmp_path / "a/b"))
+    assert settings.project == "p" and root == str(tmp_path) and len(settings.human) == 1
+    assert rebuild.watch_roots(settings, root) == [str(tmp_path / "a"), str(tmp_path)]
+    assert config.contained(root, "a/b") == str(tmp_path / "a/b") and config.contained(root, "../x") is None
+    (tmp_path / "out").symlink_to("/")
+    assert config.contained(root, "out/etc") is None
+    (tmp_path / "waymark.config.json").write_text("[]")
+    with pytest.raises(ValueError):
+        config.load(root)
+    assert files.project_name(root) == tmp_path.name and files.project_name(root, "own") == "own"
+    (tmp_path / "package.json").write_text('{"name": "@x/p", "packageManager": "yarn@4", "workspaces": ["a"]}')
+    assert files.project_name(root) == "@x/p" and files.package_manager(root) == "yarn" and files.is_workspace(root)
+    (tmp_path / "bun.lock").write_text("")
+    assert files.package_manager(root) == "bun"
+
+
+def test_federation_from_files(spark, tmp_path):
+    (tmp_path / "llms.txt").write_text("# Top\n[a](more.md)\n[gone](none.md)")
+    (tmp_path / "more.md").write_text("text\n## Part")
+    fetch = lambda address: files.fetch_text(address, str(tmp_path))
+    sources = files.federated_sources(spark, [{"id": "s", "llmsTxt": "llms.txt"}, {"id": "away", "llmsTxt": "http://127.0.0.1:9/none"}], lambda a: files.fetch_text(a, str(tmp_path), 0.5))
+    texts = files.fetch_texts(retrieve.federated_links(sources), fetch)
+    assert [(r["title"], r["path"]) for r in retrieve.federated_chunks(sources, texts).orderBy("at").collect()] == [("Top", "llms.txt"), ("more", "more.md"), ("Part", "more.md")]
+
+
+def test_published_index(spark):
+    settings, ix, _ = built(spark, ownership={"auth": {"path": "src/auth"}}, intents=[{"id": "i", "title": "t", "paths": ["p"]}], changes=[{"id": "c", "title": "t", "startHere": "s"}])
+    text = index.export(ix, settings, "demo", "2024-01-01T00:00:00.000Z")
+    data = json.loads(text)
+    payload = {k: data[k] for k in ("schemaVersion", "knowledge", "handoffs", "lookup")}
+    assert data["contentHash"] == hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    assert list(data) == ["schemaVersion", "contentHash", "contentHashAlgo", "generatedAt", "project", "knowledge", "handoffs", "lookup"]
+    assert data["lookup"]["packages"] == sorted(data["handoffs"]) and data["handoffs"]["billing"]["editRoots"] == ["src/billing"] and data["lookup"]["changes"]["c"]["startHere"] == "s"
+    assert index.export(ix, settings, "demo", "2025-01-01T00:00:00.000Z", text) == text != index.export(ix, settings, "demo", "2025-01-01T00:00:00.000Z", "broken")
+
+
+def test_names_are_in_the_order_of_people(spark):
+    names = ["b", "A", "a", "B", "é", "z", "10"]
+    packages = spark.createDataFrame([(n, "p", None, None) for n in names], "id string, path string, name string, checks array<string>")
+    none, know = spark.createDataFrame([], tables.OWNERSHIP), handoff.build_knowledge(spark.createDataFrame([], "path string, raw string"), config.Settings())
+    own = handoff.build_ownership(packages, none, spark.createDataFrame([], tables.SEED), know, human.empty(spark), config.Settings())
+    assert [r["id"] for r in own.orderBy("pos").collect()] == ["10", "a", "A", "b", "B", "é", "z"]
+    rows = spark.createDataFrame([("x", "x", "x", None, 0, True), ("y", "y", "y", None, 1, False)], "id string, path string, name string, checks array<string>, pos long, collides boolean")
+    with pytest.raises(ValueError):
+        handoff.checked_projects(rows)
+    assert handoff.checked_projects(rows.where("not collides")).count() == 1
+
+
+def test_messages_and_drafts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(gates, "LISTED", 2)
+    monkeypatch.setattr(memory, "DRAFT_LINES", 2)
+    docs = spark.createDataFrame([(f"{k}.md", "") for k in range(5)], "path string, raw string")
+    got = gates.type_gate(docs, config.parse({"require_type": True})).first()
+    assert (got["message"], got["actual"]) == ("Missing or invalid OKF type frontmatter: 0.md, 1.md, and 3 more", "5 invalid")
+    notes = memory.classify(spark.createDataFrame([(str(k), f"fact {k}", k) for k in range(5)], "id string, fact string, pos long"))
+    body = memory.draft(notes, memory.safety(notes)).first()["body"]
+    assert "- 1: agent" in body and "- 2: agent" not in body and "- and 3 more" in body
+
+
+def test_schemas():
+    doc = validate.json_schema("handoff")
+    assert doc["required"] == ["type", "source", "target", "startHere", "readBeforeEditing", "editRoots", "checks", "notes"]
+    assert doc["properties"]["target"]["required"] == ["type", "id"] and doc["properties"]["checks"] == {"type": "array", "items": {"type": "string", "minLength": 1, "maxLength": 256}, "maxItems": 32}
+    assert validate.json_schema("candidate")["properties"]["confidence"] == {"type": "number", "minimum": 0, "maximum": 1}
 
 
 def test_facade(spark, tmp_path):
@@ -257,6 +358,10 @@ def test_facade(spark, tmp_path):
     assert w.handoff_resolve("auth").first()["editRoots"] == ["src/auth"] and w.search("auth").first()["id"] == "auth"
     assert w.document("billing").first()["title"] == "Billing" and w.retrieve("billing", 1).first()["chunkKey"] == "local:ownership:billing"
     assert w.gate_status(spark.createDataFrame(DOCS, "path string, raw string"), pages, now).first()["all_ok"]
+    assert [r["id"] for r in w.listing("packages").collect()] == [r["id"] for r in ix.ownership.orderBy("pos").collect()] and json.loads(w.capabilities("demo"))["contentHash"] == now
+    (tmp_path / ".agent-memory").mkdir()
+    (tmp_path / ".agent-memory/n.md").write_text("The package auth owns this")
+    assert w.memory_draft(w.memory_ingest(str(tmp_path)).withColumn("pos", F.lit(1))).first()["ok"]
     for call in (lambda: w.handoff_resolve("nope"), lambda: w.document("nope")):
         with pytest.raises(KeyError):
             call()

@@ -11,25 +11,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions import paths
 from waymark.functions.markdown import trimmed
 
 MAX_TEXT = 4 << 20
 
 
 def evidence(declared: DataFrame, files: DataFrame, read_content: bool = True) -> DataFrame:
-    """declared rows (path, ...) with state (ok boolean, content, detail)."""
-    f = files.select("path", "size", "content", F.coalesce(F.col("is_file"), F.lit(True)).alias("is_file") if "is_file" in files.columns else F.lit(True).alias("is_file"))
-    rows = declared.join(f, "path", "left")
-    escapes = F.col("path").rlike(r"\A(?:/|\.\.(?:/|\z))|(?:/\.\.){1,}")
+    """declared rows (path, ...) with state (ok boolean, content, detail). Paths are resolved first: a/../b is b, and what leaves the root escapes."""
+    f = files.select(F.col("path").alias("at"), "size", "content", F.coalesce(F.col("is_file"), F.lit(True)).alias("is_file") if "is_file" in files.columns else F.lit(True).alias("is_file"))
+    rows = declared.withColumn("at", F.when(~F.col("path").startswith("/"), paths.resolved(F.col("path")))).join(f, "at", "left")
+    escapes = F.col("at").isNull()
     big = F.lit(read_content) & (F.col("size") > MAX_TEXT)
     unread = F.lit(read_content) & F.col("content").isNull()
     blank = F.lit(read_content) & (trimmed(F.col("content")) == "")
+    # Details are output, as are the rules' names and messages below
     detail = (
         F.when(escapes, "Path escapes the project root.").when(F.col("size").isNull(), "File does not exist.").when(~F.col("is_file"), "Path is not a regular file.").when(F.col("size") == 0, "File is empty.")
         .when(big, f"Text evidence exceeds {MAX_TEXT} bytes.").when(unread, "File is not readable text.").when(blank, "File is empty.").otherwise("File exists and is non-empty.")
     )
     ok = ~escapes & F.col("size").isNotNull() & F.col("is_file") & (F.col("size") > 0) & ~big & ~unread & ~blank
-    return rows.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("detail", detail).drop("size", "is_file")
+    return rows.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("detail", detail).drop("at", "size", "is_file")
+
+
+def raw_sources(declared: DataFrame, text_index: str) -> DataFrame:
+    """declared (path, pos) -> path: the first of those that resolve to one file, the text index itself left out."""
+    key = F.coalesce(paths.resolved(F.col("path")), "path")
+    rows = declared.withColumn("key", key).where(F.col("key") != text_index)
+    return rows.groupBy("key").agg(F.min_by("path", "pos").alias("path")).select("path")
 
 
 def _rule(df: DataFrame, rule: str, level: str, passed: Column, good: Column, bad: Column) -> DataFrame:
@@ -103,10 +112,19 @@ def rules(results: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, results)
 
 
+def documentation_standard(human: DataFrame, committed: DataFrame, generated: DataFrame, sources: DataFrame, handoffs: DataFrame, guidance: DataFrame, metadata: DataFrame, links: DataFrame, urls: DataFrame, starts: DataFrame, assets: DataFrame, diagrams: DataFrame, exceptions: DataFrame, text_index: bool = True, contract_ok: bool = True) -> DataFrame:
+    """The nine rules' results with their exceptions: (id, level, passed, message, exception, status, ok). Each argument is what the rule of its kind takes."""
+    drafts = [
+        human_docs(human), llms(committed, generated, sources, text_index), action_ready(handoffs), contribution(guidance), markers(metadata, "metadata", "required"), cross_links(links, urls, contract_ok), quickstarts(starts), visuals(assets),
+        markers(diagrams, "structured-diagrams", "recommended"),
+    ]
+    return apply_exceptions(rules(drafts), exceptions)
+
+
 def apply_exceptions(results: DataFrame, exceptions: DataFrame) -> DataFrame:
     """A failing rule with an exception (ruleId, reason, approvedBy, trackingUrl) is excepted and counts as ok."""
-    e = exceptions.groupBy(F.col("ruleId").alias("id")).agg(F.first(F.struct("reason", "approvedBy", "trackingUrl")).alias("exception"))
-    rows = results.join(F.broadcast(e), "id", "left")  # one exception a rule of the standard
+    e = exceptions.groupBy(F.col("ruleId").alias("id")).agg(F.min(F.struct("reason", "approvedBy", "trackingUrl")).alias("exception"))
+    rows = results.join(e, "id", "left")
     status = F.when(F.col("passed"), "pass").when(F.col("exception").isNotNull(), "excepted").otherwise("fail")
     return rows.withColumn("status", status).withColumn("ok", status != "fail").withColumn("exception", F.when(status == "excepted", F.col("exception")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import markdown, paths, text
 from waymark.functions.markdown import non_empty
+from waymark.operators.handoff import with_position
 from waymark.operators.search import held_tokens, token_counts
 from waymark.tables import small_side
 
@@ -29,13 +30,13 @@ def retrieve(matches: DataFrame, knowledge: DataFrame, ownership: DataFrame, pro
     return rows.select("query_id", "rank", chunk_key(F.lit(prop), kind, F.col("id")).alias("chunkKey"), F.lit(prop).alias("property"), kind.alias("type"), "id", "path", non_empty(F.col("k.k_title")).alias("title"), non_empty(F.coalesce("summary", "o_purpose")).alias("summary"), "score")
 
 
-def chunk_markdown(sources: DataFrame) -> DataFrame:
-    """(source_id, url, raw) -> one chunk for each section, in order (ordinal)."""
-    parts = sources.select("source_id", "url", F.posexplode(markdown.sections(F.col("raw"))).alias("ordinal", "section"))
+def chunk_markdown(sources: DataFrame, *more: str) -> DataFrame:
+    """(source_id, url, raw, more columns) -> one chunk for each section, in order (ordinal), with the columns asked for."""
+    parts = sources.select("source_id", "url", *more, F.posexplode(markdown.sections(F.col("raw"))).alias("ordinal", "section"))
     titled = parts.withColumn("title", markdown.section_title(F.col("section"), F.col("url")))
     ident = F.coalesce(non_empty(markdown.slug(F.col("title"))), F.col("ordinal").cast("string"))
     rows = titled.withColumn("id", ident)
-    return rows.select(chunk_key(F.col("source_id"), F.lit("federated"), F.col("id")).alias("chunkKey"), F.col("source_id").alias("property"), F.lit("federated").alias("type"), "id", F.col("url").alias("path"), "title", F.substring(markdown.trimmed(F.col("section")), 1, 500).alias("summary"), F.lit(0).cast("long").alias("score"), "ordinal")
+    return rows.select(chunk_key(F.col("source_id"), F.lit("federated"), F.col("id")).alias("chunkKey"), F.col("source_id").alias("property"), F.lit("federated").alias("type"), "id", F.col("url").alias("path"), "title", F.substring(markdown.trimmed(F.col("section")), 1, 500).alias("summary"), F.lit(0).cast("long").alias("score"), "ordinal", *more)
 
 
 def federated_links(sources: DataFrame) -> DataFrame:
@@ -47,6 +48,24 @@ def federated_links(sources: DataFrame) -> DataFrame:
     return out.select("source_id", "pos", F.col("link.title").alias("title"), "url", F.col("link.description").alias("description"))
 
 
+def federated_chunks(sources: DataFrame, texts: DataFrame) -> DataFrame:
+    """Chunks of the sources (source_id, url, raw[, base]) and of the texts (url, raw) that their links lead to, with their order at.
+
+    A source's own sections come first, then those of its links in the order of the links; links without a text are left out.
+    """
+    own = sources.select("source_id", "url", "raw", F.lit(-1).alias("link"))
+    led = federated_links(sources).select("source_id", "url", F.col("pos").alias("link")).join(texts.select("url", "raw"), "url").select("source_id", "url", "raw", "link")
+    rows = chunk_markdown(own.unionByName(led), "link")
+    return with_position(rows, "property", "link", "ordinal").withColumnRenamed("pos", "at").drop("link", "ordinal")
+
+
+def rag_documents(knowledge: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, content, source, type, title): each entry's file (path, content), or where that is away its title and description."""
+    spare = F.concat_ws("\n\n", non_empty(F.col("title")), non_empty(F.col("description")))
+    rows = knowledge.join(files.select("path", "content"), "path", "left")
+    return rows.select("id", F.coalesce("content", spare).alias("content"), F.col("path").alias("source"), "type", "title")
+
+
 def federated_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Chunks that hold a token of the query in title, summary or path, with the tokens' summed lengths. Chunks are told apart by chunkKey, path and at.
 

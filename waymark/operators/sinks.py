@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.config import Settings
 from waymark.functions import paths
+from waymark.functions.markdown import first_heading, first_paragraph, non_empty, trimmed
 from waymark.functions.text import canonical_json
 
 TEXT_ENTRIES = 500
@@ -98,18 +100,34 @@ def llms_text(knowledge: DataFrame, project: str, preamble: str | None = None, u
     return lines.select(F.concat(F.lit(head + "\n\n## Knowledge\n\n"), "lines", F.lit("\n")).alias("content"))
 
 
-def capabilities(settings: Settings, project: str, content_hash: str) -> str:
+def capabilities(settings: Settings, project: str, content_hash: str, version: str = "1", llms_out: str | None = "llms.txt") -> str:
     """JSON text of what the index offers."""
     names = ["index", "query", "search", "agent-handoff", "gates", "mcp", *(["human-docs"] if settings.human else [])]
-    return json.dumps({"schemaVersion": 1, "type": "capabilities", "project": {"name": project}, "contentHash": content_hash, "artifacts": {"index": settings.out_file}, "capabilities": names}, indent=2) + "\n"
+    artifacts = {"index": settings.out_file} | ({"llmsTxt": llms_out} if llms_out else {})
+    return json.dumps({"schemaVersion": 1, "type": "capabilities", "version": version, "project": {"name": project, "root": "."}, "contentHash": content_hash, "artifacts": artifacts, "capabilities": names}, indent=2) + "\n"
+
+
+def missing_drafts(human: DataFrame, existing: DataFrame, texts: DataFrame, folder: str = "docs/for-agents/human", tool: str = "waymark") -> DataFrame:
+    """(path, content): a draft agent document for each human document that has none. existing (path); texts (path, raw) of the human documents."""
+    rows = human.join(texts.select("path", "raw"), "path", "left").withColumn("target", F.concat(F.lit(folder + "/"), "id", F.lit(".md"))).join(existing.select(F.col("path").alias("target")), "target", "left_anti")
+    plain = F.regexp_replace(F.coalesce("raw", F.lit("")), r"\A---\n[\s\S]*?\n---\n?", "")
+    rows = rows.withColumn("own", plain).withColumns({"title": F.coalesce(first_heading(F.col("own"), F.col("own")), "id"), "said": first_paragraph(F.col("own"), 400, F.col("own"))})
+    summary = F.when(F.col("said").isNotNull(), F.concat(F.lit("## Source summary\n\n"), "said", F.lit("\n\n"))).otherwise("")
+    # The draft's text is output
+    content = F.concat(
+        F.lit("---\ntype: knowledge\ndraft: true\nid: "), "id", F.lit("\nhumanDoc: "), "url", F.lit("\n---\n\n# "), "title", F.lit(f"\n\nDraft generated by `{tool} bootstrap agent-docs` from existing human docs.\n\n"), summary,
+        F.lit("## Review checklist\n\n- TODO: confirm ownership, edit roots, and checks.\n- TODO: move this draft to the right agent-doc location if needed.\n"),
+    )
+    return rows.select(F.col("target").alias("path"), content.alias("content"))
 
 
-def missing_drafts(human: DataFrame, existing: DataFrame, texts: DataFrame, folder: str = "docs/for-agents/human") -> DataFrame:
-    """(path, content): a draft agent document for each human document that has none. existing (path); texts (path, raw)."""
-    target = F.concat(F.lit(folder + "/"), F.regexp_replace("id", r"[^A-Za-z0-9._/-]+", "-"), F.lit(".md"))
-    rows = human.join(texts.select("path", "raw"), "path", "left").withColumn("target", target).join(existing.select(F.col("path").alias("target")), "target", "left_anti")
-    plain = F.trim(F.regexp_replace("raw", r"\A---\n[\s\S]*?\n---\n?", ""))
-    return rows.select(F.col("target").alias("path"), F.concat_ws("\n", F.lit("---"), F.concat(F.lit("id: "), "id"), F.concat(F.lit("humanDoc: "), "url"), F.lit("---"), F.lit(""), F.concat(F.lit("# "), "id"), F.lit(""), plain).alias("content"))
+def scaffold_drafts(packages: DataFrame, existing: DataFrame, agent_root: str = "docs/for-agents", tool: str = "waymark") -> DataFrame:
+    """(path, content, created): the starter document of each discovered package (id, path); created is false where the document (path) is there already."""
+    rows = packages.select("id", F.col("path").alias("root"), F.concat(F.lit(f"{agent_root}/packages/"), "id", F.lit(".md")).alias("path")).join(existing.select("path", F.lit(True).alias("there")).distinct(), "path", "left")
+    # The document's text is output
+    head = F.concat(F.lit("---\ntype: package\ndraft: true\npackage: "), "id", F.lit("\neditRoot: "), "root", F.lit("\n---\n\n# "), "id")
+    content = F.concat(head, F.lit(f"\n\nDraft generated by `{tool} init --scaffold-workspaces`.\n\n## Ownership\n\n- Package: `"), "root", F.lit("`\n\n## Notes\n\n- TODO: describe responsibility, boundaries, and checks.\n"))
+    return rows.select("path", content.alias("content"), F.col("there").isNull().alias("created"))
 
 
 def ecosystem_block(products: DataFrame, heading: str, current: str | None = None, prefer: str = "home") -> DataFrame:
@@ -124,14 +142,69 @@ def ecosystem_block(products: DataFrame, heading: str, current: str | None = Non
     return products.where(link.isNotNull()).select("pos", F.lit(heading).alias("heading"), parts.alias("line"))
 
 
-def portal_entries(commands: DataFrame, products: DataFrame, handoffs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Union of portal entries (id, kind, title, aliases, answer) from four tables of that form, aliases distinct and at most 16."""
-    both = commands.unionByName(products).unionByName(handoffs).unionByName(documents)
-    return both.withColumn("aliases", F.slice(F.array_distinct("aliases"), 1, 16))
+#: Names of an entry at most.
+ALIASES = 16
+
+
+def entry_id(slug: Column) -> Column:
+    """Identifier of a document's entry: all but letters, digits and ._:- as colons."""
+    return F.concat(F.lit("doc:"), F.regexp_replace(slug, "[^A-Za-z0-9._:-]+", ":"))
+
+
+def described(raw: Column) -> Column:
+    """A document's declared description without quotes, else its first block that is no heading, fence or quote on one line; 240 characters at most. Null without one."""
+    head = F.regexp_extract(raw, r"\A---\r?\n([\s\S]*?)\r?\n---\r?\n", 1)
+    declared = F.regexp_replace(trimmed(F.regexp_extract(head, r"(?m)^description:\s*(.+)$", 1)), r"""\A['"]|['"]\z""", "")
+    blocks = F.transform(F.split(F.regexp_replace(raw, r"\A---\r?\n[\s\S]*?\r?\n---\r?\n", ""), r"\n\s*\n"), lambda x: trimmed(F.regexp_replace(x, r"(?m)^#+\s+.*$", "")))
+    prose = F.get(F.filter(blocks, lambda x: (x != "") & ~x.startswith("```") & ~x.startswith(">")), F.lit(0))
+    return F.coalesce(non_empty(F.substring(declared, 1, 240)), F.substring(F.regexp_replace(prose, r"\s+", " "), 1, 240))
+
+
+def document_entries(documents: DataFrame, public: DataFrame, origin: str, site: str) -> DataFrame:
+    """(id, kind, title, aliases, answer) of the public documents: documents (file, raw), public (file)."""
+    rows = documents.join(public.select("file"), "file", "left_semi").withColumn("slug", F.regexp_replace("file", r"\.md\z", ""))
+    title = F.coalesce(non_empty(trimmed(F.regexp_extract("raw", r"(?m)^#\s+(.+)$", 1))), "slug")
+    rows = rows.withColumns({"title": title, "said": F.coalesce(described(F.col("raw")), F.lit("Canonical documentation."))})
+    page = F.when(F.col("slug") == "index", F.lit(f"{origin}/docs/")).otherwise(F.concat(F.lit(f"{origin}/docs/"), "slug", F.lit("/")))
+    answer = F.concat(F.lit("## "), "title", F.lit("\n\n"), "said", F.lit("\n\n[Open the canonical guide]("), page, F.lit(f") · [Read raw Markdown]({origin}/raw/"), "file", F.lit(")"))
+    names = F.array("slug", "file", "title", F.concat(F.lit(f"{site} "), "title"))
+    return rows.select(entry_id(F.col("slug")).alias("id"), F.lit("document").alias("kind"), "title", names.alias("aliases"), answer.alias("answer"))
+
+
+def package_entries(handoffs: DataFrame, origin: str) -> DataFrame:
+    """Entries of the packages' handoffs: who owns what, where to start, what to edit and to check."""
+    ident = F.col("target.id")
+    purpose = F.coalesce(F.get("notes", F.lit(0)), F.concat(ident, F.lit(" ownership and checks")))
+    raw = F.concat(F.lit(f"{origin}/raw/"), F.regexp_replace("startHere", r"\Adocs/", ""))
+    answer = F.concat(F.lit("## "), ident, F.lit(" handoff\n\n"), purpose, F.lit(".\n\nStart at [**"), "startHere", F.lit("**]("), raw, F.lit("). Edit roots: **"), F.array_join("editRoots", ", "), F.lit("**. Checks: **"), F.array_join("checks", "**, **"), F.lit("**.\n\nThis answer was generated from the repository's own index."))
+    names = F.array(ident, F.concat(F.lit("who owns "), ident), F.concat(ident, F.lit(" handoff")), purpose)
+    return handoffs.select(F.concat(F.lit("package:"), ident).alias("id"), F.lit("package").alias("kind"), F.concat(ident, F.lit(" ownership handoff")).alias("title"), names.alias("aliases"), answer.alias("answer"))
+
+
+def portal_entries(*tables: DataFrame) -> DataFrame:
+    """Union of portal entries (id, kind, title, aliases, answer); aliases that are one in key form count once, the first, and ALIASES at most."""
+    both = reduce(DataFrame.unionByName, tables)
+    plain = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    first = F.filter("aliases", lambda x, k: F.array_position(F.transform("aliases", plain), plain(x)) == k + 1)
+    return both.withColumn("aliases", F.slice(first, 1, ALIASES))
+
+
+def diagnostics(knowledge: DataFrame, handoff: DataFrame, settings: Settings) -> DataFrame:
+    """(pos, message): what is said of an index that holds its starter only, or no handoffs."""
+    n = knowledge.agg(F.count("*").alias("docs"), F.max("path").alias("path")).crossJoin(handoff.agg(F.count("*").alias("handoffs")))  # one row
+    starter = (F.col("docs") == 1) & (F.col("path") == settings.index_doc)
+    # Messages are output
+    found = F.concat(
+        F.when(starter, F.array(F.lit(f"Only the starter {settings.index_doc} was indexed."), F.lit(f"Add agent docs under {settings.agent_root}/, then run {settings.tool} index again."))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("handoffs") == 0, F.array(F.lit("No ownership handoffs yet. Add routing.options.ownership, package frontmatter (package + editRoot), or a monorepo plugin."))).otherwise(F.array().cast("array<string>")),
+    )
+    return n.select(F.posexplode(found).alias("pos", "message"))
 
 
-def diagnostics(knowledge: DataFrame, handoff: DataFrame) -> DataFrame:
-    """(code, message): warnings about an index of one document or without handoffs."""
-    n = knowledge.agg(F.count("*").alias("docs")).crossJoin(handoff.agg(F.count("*").alias("handoffs")))  # one row
-    found = F.array_compact(F.array(F.when(F.col("docs") <= 1, F.struct(F.lit("single-doc").alias("code"), F.lit("The index holds one document or none.").alias("message"))), F.when(F.col("handoffs") == 0, F.struct(F.lit("no-handoffs").alias("code"), F.lit("The index holds no handoffs.").alias("message")))))
-    return n.select(F.explode(found).alias("d")).select("d.*")
+def next_commands(handoff: DataFrame, settings: Settings) -> DataFrame:
+    """(pos, command): what to run after an index was built."""
+    tool, root = settings.tool, settings.agent_root
+    first = handoff.agg(F.min("target.id").alias("id"))
+    some = F.array(F.format_string(f"{tool} query package %s --agent", "id"), F.lit(f"{tool} list packages --text"), F.lit(f"{tool} mcp"))
+    none = F.array(F.lit(f"mkdir -p {root}/packages"), F.lit(f"edit {root}/packages/<module>.md  # frontmatter: package + editRoot"), F.lit(f"{tool} index"))
+    return first.select(F.posexplode(F.when(F.col("id").isNotNull(), some).otherwise(none)).alias("pos", "command"))

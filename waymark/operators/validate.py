@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Limits of the published schemas. A field is (kind, least, most, required); of lists the limits are the items', behind them the list's own.
+SCHEMAS: dict[str, dict[str, tuple]] = {
+    "knowledge": {"id": ("text", 1, 256, True), "type": ("text", 1, 128, True), "title": ("text", 1, 256, True), "path": ("text", 1, 512, True), "description": ("text", 0, 2048, False), "body": ("text", 0, 8000, False)},
+    "ownership": {
+        "id": ("text", 1, 256, True), "path": ("text", 1, 512, True), "group": ("text", 1, 128, False), "layer": ("text", 1, 32, False), "purpose": ("text", 0, 1024, False), "checks": ("list", 1, 256, True, 32),
+        "agentDoc": ("text", 1, 512, False), "humanDoc": ("text", 1, 512, False), "readme": ("text", 1, 512, False),
+    },
+    "handoff": {
+        "type": ("one of", ("agent-handoff",), None, True), "schemaVersion": ("one of", (1,), None, False), "source": ("text", 1, 512, True),
+        "target.type": ("one of", ("package", "module", "app", "screen", "flow", "component", "intent", "change", "search"), None, True), "target.id": ("text", 1, 256, True), "target.path": ("text", 1, 512, False), "target.group": ("text", 1, 128, False), "target.layer": ("text", 1, 32, False),
+        "startHere": ("text", 1, 512, True), "readBeforeEditing": ("list", 1, 512, True, 64), "editRoots": ("list", 1, 512, True, 32), "checks": ("list", 1, 256, True, 32), "humanDoc": ("text", 1, 512, False),
+        "bridge.humanDoc": ("one of", ("linked", "missing", "external"), None, False), "bridge.action": ("text", 1, 256, False), "bridge.bootstrap": ("text", 1, 256, False), "notes": ("list", 1, 1024, True, 16),
+    },
+    "search": {"type": ("text", 1, 64, True), "id": ("text", 1, 256, True), "path": ("text", 1, 512, True), "summary": ("text", 0, 2048, False), "score": ("number", None, None, False)},
+    "candidate": {
+        "schemaVersion": ("one of", (1,), None, True), "id": ("text", 1, 1 << 30, True), "source": ("text", 1, 1 << 30, True), "rawPath": ("text", 1, 1 << 30, False), "fact": ("text", 1, 1 << 30, True), "suggestedType": ("text", 1, 1 << 30, True),
+        "confidence": ("number", 0, 1, True), "references": ("list", 1, 1 << 30, True, 1 << 30),
+    },
+    "intent": {"id": ("text", 1, 128, True), "title": ("text", 1, 256, True), "paths": ("list", 1, 512, True, 32)},
+    "change": {"id": ("text", 1, 128, True), "title": ("text", 1, 256, True), "startHere": ("text", 1, 512, True), "relatedPackages": ("list", 1, 256, False, 32)},
+}
+
+
 def _issue(path: str, ok: Column, message: str) -> Column:
     return F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(path).alias("path"), F.lit(message).alias("message")))
 
@@ -14,35 +39,47 @@ def _issues(*checks: Column) -> Column:
     return F.array_compact(F.array(*checks))
 
 
-def _text(name: str, least: int = 1, most: int = 1 << 30) -> Column:
-    return _issue(name, F.length(name).between(least, most), f"must have {least} to {most} characters")
+def _field(name: str, rule: tuple) -> Column:
+    kind, least, most, required, *size = rule
+    c = F.col(".".join(f"`{p}`" for p in name.split(".")))
+    if kind == "one of":
+        ok, message = c.isin(*least), f"must be one of {', '.join(map(str, least))}"
+    elif kind == "number":
+        ok, message = (c.isNotNull(), "must be a number") if least is None else (c.between(least, most), f"must be from {least} to {most}")
+    elif kind == "list":
+        ok, message = (F.size(c) <= size[0]) & F.forall(c, lambda x: F.length(x).between(least, most)), f"must hold at most {size[0]} texts of {least} to {most} characters"
+    else:
+        ok, message = F.length(c).between(least, most), f"must have {least} to {most} characters"
+    return _issue(name, ok if required else c.isNull() | ok, message)
 
 
-def knowledge(df: DataFrame) -> DataFrame:
-    """issues: ids, types, titles and paths are not empty."""
-    return df.withColumn("issues", _issues(*[_text(c) for c in ("id", "type", "title", "path")]))
+def checked(df: DataFrame, schema: str) -> DataFrame:
+    """df with issues array<struct<path, message>>: what breaks the named schema, in the order of its fields. Optional fields may be null; those that df lacks are not looked at."""
+    held = set(df.columns)
+    return df.withColumn("issues", _issues(*[_field(n, rule) for n, rule in SCHEMAS[schema].items() if n.split(".")[0] in held or rule[3]]))
 
 
 def handoffs(df: DataFrame) -> DataFrame:
-    """issues of handoff rows: kind and version, target, a start unless nothing is to be edited, texts that aren't empty, bridge states."""
-    full = lambda name: _issue(name, F.forall(name, lambda x: F.length(x) > 0), "must hold no empty text")
-    return df.withColumn(
-        "issues",
-        _issues(
-            _issue("type", F.col("type") == "agent-handoff", "must be agent-handoff"), _issue("schemaVersion", F.coalesce("schemaVersion", F.lit(1)) == 1, "must be 1"), _issue("target.type", F.col("target.type").isin("package", "module", "intent", "change", "pattern"), "is no target type"),
-            _issue("target.id", F.length("target.id") > 0, "must not be empty"), _issue("startHere", F.length("startHere") > 0, "must not be empty"), full("readBeforeEditing"), full("editRoots"), full("checks"),
-            _issue("bridge.humanDoc", F.col("bridge.humanDoc").isNull() | F.col("bridge.humanDoc").isin("linked", "external", "missing"), "is no bridge state"),
-        ),
-    )
-
-
-def candidates(df: DataFrame) -> DataFrame:
-    """issues of memory candidates: confidence within 0 and 1, known sources and types."""
-    return df.withColumn("issues", _issues(_text("id"), _text("fact"), _text("source"), _text("suggestedType"), _issue("confidence", F.col("confidence").between(0, 1), "must be from 0 to 1"), _issue("references", F.col("references").isNotNull(), "must be a list")))
-
-
-def search_rows(df: DataFrame) -> DataFrame:
-    return df.withColumn("issues", _issues(_text("type"), _text("id"), _text("path"), _issue("score", F.col("score").isNotNull(), "must be a number")))
+    """issues of handoff rows."""
+    return checked(df, "handoff")
+
+
+def json_schema(schema: str) -> dict:
+    """The named schema as a JSON Schema document."""
+    out: dict = {"$schema": "https://json-schema.org/draft/2020-12/schema", "title": schema, "type": "object", "additionalProperties": False, "properties": {}, "required": []}
+    for name, (kind, least, most, required, *size) in SCHEMAS[schema].items():
+        at, *inner = name.split(".")
+        here = out
+        if inner:
+            here = out["properties"].setdefault(at, {"type": "object", "additionalProperties": False, "properties": {}, "required": []})
+            at = inner[0]
+        text = {"type": "string"} | ({"minLength": least} if kind in ("text", "list") and least else {}) | ({"maxLength": most} if kind in ("text", "list") and most < 1 << 30 else {})
+        here["properties"][at] = {"enum": list(least)} if kind == "one of" else {"type": "number"} | ({"minimum": least, "maximum": most} if least is not None else {}) if kind == "number" else {"type": "array", "items": text} | ({"maxItems": size[0]} if size[0] < 1 << 30 else {}) if kind == "list" else text
+        if required:
+            here["required"].append(at)
+            if inner and (outer := name.split(".")[0]) not in out["required"]:
+                out["required"].append(outer)
+    return out
 
 
 def index_limits(knowledge_rows: DataFrame, packages: DataFrame, most_knowledge: int = 10_000, most_packages: int = 2_000) -> DataFrame:
@@ -52,10 +89,18 @@ def index_limits(knowledge_rows: DataFrame, packages: DataFrame, most_knowledge:
     return k.unionByName(p).withColumn("ok", F.col("n") <= F.col("most"))
 
 
-def resolver_post_conditions(df: DataFrame) -> DataFrame:
-    """issues: all paths are relative and stay below the root, and the start is among what is read."""
-    safe = lambda c: ~c.rlike(r"\A(?:/|[A-Za-z]:)|(?:\A|/)\.\.(?:/|\z)") & (F.length(c) > 0)
-    return df.withColumn("issues", _issues(_issue("startHere", safe(F.col("startHere")), "is no safe relative path"), _issue("editRoots", F.forall("editRoots", safe), "holds an unsafe path"), _issue("readBeforeEditing", F.array_contains("readBeforeEditing", F.col("startHere")), "lacks the start")))
+def resolver_post_conditions(df: DataFrame, asked: str | None = None) -> DataFrame:
+    """df (handoffs, and the id that was asked for) with issues: another target, a start that is missing or unsafe, lists that are empty, hold blanks or unsafe paths, or lack the start.
+
+    A safe path is relative, names no drive and has no .. part. asked is the column of the id, null for none.
+    """
+    safe = lambda c: (F.trim(c) != "") & ~c.rlike(r"\A(?:/|\\\\|[A-Za-z]:[\\/])") & ~F.array_contains(F.split(c, r"[\\/]+"), "..")
+    full = lambda name: (F.size(name) > 0) & F.forall(name, lambda x: F.trim(x) != "")
+    return df.withColumn("issues", _issues(
+        _issue("target.id", F.col("target.id") == F.col(asked) if asked else F.lit(True), "is another target"), _issue("startHere", safe(F.col("startHere")), "is missing or unsafe"),
+        _issue("readBeforeEditing", full("readBeforeEditing") & F.forall("readBeforeEditing", safe), "is missing or unsafe"), _issue("readBeforeEditing", F.array_contains("readBeforeEditing", F.col("startHere")), "lacks the start"),
+        _issue("editRoots", full("editRoots") & F.forall("editRoots", safe), "is missing or unsafe"), _issue("checks", full("checks"), "is missing"),
+    ))
 
 
 def forbidden_lines(files: DataFrame, pattern: str) -> DataFrame:
@@ -64,17 +109,59 @@ def forbidden_lines(files: DataFrame, pattern: str) -> DataFrame:
     return rows.select("path", (F.col("k") + 1).alias("line"), F.regexp_instr("text", F.lit(pattern)).alias("column"), "text")
 
 
+def usage_pattern(package: str) -> str:
+    """A line that uses a package of code: an import, a require, a dependency's key, or its name as a word of its own."""
+    own = re.escape(package)
+    ways = (rf"from\s+['\"]{own}['\"]", rf"(?:import|require)\s*\(\s*['\"]{own}['\"]\s*\)", rf"['\"]{own}['\"]\s*:", rf"(?:^|[\s\"']){own}(?:@|/|\"|'|\s|$)")
+    return "|".join(f"(?:{w})" for w in ways)
+
+
+def action_contract(files: DataFrame, action: str, version: str) -> DataFrame:
+    """(path, problem): what breaks the rules of a published action. files (path, content): the action's own and the workflows'."""
+    c = F.col("content")
+    own, flow = F.col("path") == action, F.col("path").rlike(r"(?:\A|/)\.github/workflows/[^/]+\.ya?ml\z")
+    steps = F.transform(F.regexp_extract_all(c, F.lit(r"run:\s*\|([\s\S]*?)(?=\n\s+- name:|\z)"), F.lit(1)), lambda x: x.rlike(r"\$\{\{\s*inputs\."))
+    rules = [(own & ~c.contains(field), f"{field} is missing") for field in ("name:", "description:", "branding:", "runs:", "using: composite")] + [
+        (own & ~c.contains(f"default: '{version}'"), "the default version differs"), (own & c.rlike(r"(?m)uses:\s+[^\n]+@(?:v|main|master)(?:\d+)?\s*$"), "a reference is mutable"), (own & F.exists(steps, lambda x: x), "an input enters a shell step directly"),
+        (flow & c.rlike(r"(?m)uses:\s+(?!\./)[^\s]+@(?![0-9a-f]{40}(?:\s|$))[^\s#]+"), "a reference is mutable"),
+    ]
+    return files.select("path", F.explode(F.array_compact(F.array(*[F.when(broken, F.lit(said)) for broken, said in rules]))).alias("problem"))
+
+
+def sources_hash(files: DataFrame) -> DataFrame:
+    """One row (sourceHash) of a listed set of files (path, content binary): SHA-256 over their paths and bytes, each followed by a zero byte, in the order of the paths."""
+    zero = F.lit(bytearray(1))
+    part = F.concat(F.col("path").cast("binary"), zero, F.col("content").cast("binary"), zero)
+    parts = F.array_sort(F.collect_list(F.struct("path", F.hex(part).alias("h"))))
+    return files.agg(F.concat(F.lit("sha256:"), F.sha2(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")), 256)).alias("sourceHash"))
+
+
+def unsynced_examples(readmes: DataFrame, examples: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, id) of examples (path, id, fixture) whose fenced text behind their mark in the README isn't the fixture's (path, content)."""
+    mark = F.concat(F.lit("<!-- readme-example:"), "id", F.lit(" -->"))
+    rows = examples.join(readmes.select("path", F.col("content").alias("readme")), "path", "left").join(files.select(F.col("path").alias("fixture"), F.col("content").alias("wanted")), "fixture", "left")
+    start = F.instr("readme", mark)
+    behind = F.when(start > 0, F.substring(F.col("readme"), start, F.lit(1 << 30)))
+    fenced = F.regexp_extract(behind, r"\n```[^\n]*\n((?:(?!\n```)[\s\S])*)\n```", 1)
+    good = (fenced != "") & (F.concat(fenced, F.lit("\n")) == F.col("wanted"))
+    return rows.where(~F.coalesce(good, F.lit(False))).select("path", "id")
+
+
 def digest_mismatches(files: DataFrame, expected: DataFrame) -> DataFrame:
     """(path, expected, actual) of files whose SHA-256 is not the expected one."""
     rows = expected.join(files.select("path", F.sha2("content", 256).alias("actual")), "path", "left")
     return rows.where(~F.col("sha256").eqNullSafe(F.col("actual"))).select("path", F.col("sha256").alias("expected"), "actual")
 
 
-def readme_audit(files: DataFrame, markers: list[str], max_images: int, max_badges: int) -> DataFrame:
-    """(path, rule, ok) for each README: required markers, image and badge budgets, alternative texts."""
+def readme_audit(files: DataFrame, markers: list[str], max_images: int, max_badges: int, min_images: int = 0) -> DataFrame:
+    """(path, rule, ok) for each README: required markers, budgets of content images and of badges, alternative texts."""
     c = F.col("content")
-    images = F.regexp_extract_all(c, F.lit(r"!\[([^\]]*)\]\([^)]+\)"), F.lit(0))
-    rules = [(f"marker:{m}", c.contains(m)) for m in markers] + [("image-budget", F.size(images) <= max_images), ("badge-budget", F.size(F.filter(images, lambda x: x.contains("shields.io"))) <= max_badges), ("alt-text", ~F.exists(images, lambda x: x.startswith("![]")))]
+    of = lambda pattern, alt, src: F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(alt)).alias("alt"), F.regexp_extract_all(c, F.lit(pattern), F.lit(src)).alias("src"))
+    images = F.concat(of(r"!\[([^\]]*)\]\(([^)]+)\)", 1, 2), of(r"""<img\s+[^>]*alt=["']([^"']*)["'][^>]*src=["']([^"']+)["'][^>]*>""", 1, 2))
+    shields = "https://img.shields.io/"
+    content = F.size(F.filter(images, lambda x: ~x["src"].startswith(shields)))
+    badges = F.size(F.regexp_extract_all(c, F.lit(re.escape(shields)), F.lit(0)))
+    rules = [(f"marker:{m}", c.contains(m)) for m in markers] + [("image-budget", content.between(min_images, max_images)), ("badge-budget", badges <= max_badges), ("alt-text", ~F.exists(images, lambda x: F.trim(x["alt"]) == ""))]
     return files.select("path", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in rules])).alias("r")).select("path", "r.*")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.config import Settings, gate_ids
-from waymark.operators import gates, handoff, memory, retrieve, search
-from waymark.sources.files import load_index
+from waymark.operators import gates, handoff, memory, retrieve, search, sinks
+from waymark.sources.files import load_index, scan_notes
 
 MOST = 100
 
@@ -30,7 +30,7 @@ class Waymark:
 
     def handoff_resolve(self, ident: str) -> DataFrame:
         """The handoff of a package; unknown ids are an error."""
-        got = handoff.resolve(self.spark.createDataFrame([(ident,)], "id string"), self.tables["handoff"]).where("found").drop("found", "id")
+        got = handoff.resolve(self.spark.createDataFrame([(ident,)], "id string"), self.tables["handoff"], self.tables["ownership"], self.settings).where("found").drop("found", "id")
         if got.isEmpty():
             raise KeyError(ident)
         return got
@@ -60,6 +60,22 @@ class Waymark:
         }
         return gates.run([runs[g]() for g in gate_ids(self.settings) if g in runs])
 
+    def listing(self, kind: str) -> DataFrame:
+        """Ids of packages, or id, title and path of knowledge, in their order."""
+        if kind == "packages":
+            return handoff.listing(self.tables["ownership"].orderBy("pos"))
+        if kind == "knowledge":
+            return handoff.listing(self.tables["knowledge"].orderBy("pos"), "title", "path")
+        raise ValueError("kind must be packages or knowledge")
+
+    def capabilities(self, project: str) -> str:
+        """What the index offers, as JSON."""
+        return sinks.capabilities(self.settings, project, self.tables["meta"].first()["contentHash"])
+
+    def memory_ingest(self, root: str) -> DataFrame:
+        """Candidates of the notes below root, one of each id."""
+        return memory.first_candidates(memory.ingest(scan_notes(self.spark, root)))
+
     def memory_classify(self, candidates: DataFrame) -> DataFrame:
         return memory.classify(candidates, self.tables["knowledge"], self.tables["ownership"])
 

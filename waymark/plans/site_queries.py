@@ -83,7 +83,7 @@ def exact_answers(spark: SparkSession, d: str) -> DataFrame:
 def missing_drafts(spark: SparkSession, d: str) -> DataFrame:
     """Drafts of pages without an agent document."""
     pages = human.union([Q.pages(spark, d)], "docs/for-agents")
-    texts = pages.select("path", F.concat(F.lit("---\na: b\n---\nText of "), "id").alias("raw"))
+    texts = pages.select("path", F.concat(F.lit("---\na: b\n---\n"), F.when(F.col("pos") % 3 == 0, F.concat(F.lit("# Head "), "id", F.lit("\n\n"))).otherwise(""), F.lit("Text of "), "id").alias("raw"))
     have = pages.where("pos % 2 = 0").select(F.concat(F.lit("docs/for-agents/human/"), "id", F.lit(".md")).alias("path"))
     return sinks.missing_drafts(pages, have, texts)
 
@@ -173,7 +173,7 @@ WHERE NOT regexp_matches(path, '(^|/)\.[^/]*$') AND (path LIKE '(main)/%' OR pat
 g AS (SELECT id, arg_max(name, CASE WHEN project_json THEN 1000000000000 ELSE 0 END + pos) AS name, bool_or(targets LIKE '%test%') AS t, bool_or(targets LIKE '%lint%') AS l, count(DISTINCT path) > 1 AS collides FROM v GROUP BY id)
 SELECT id, name, CASE WHEN t OR l THEN concat_ws(',', CASE WHEN t THEN concat('npx nx run ', name, ':test') END, CASE WHEN l THEN concat('npx nx run ', name, ':lint') END) END AS checks, collides FROM g""",
     "exact_answers": "SELECT CAST(n_nationkey AS BIGINT) AS query_id, concat('n', n_nationkey) AS id FROM nation WHERE n_nationkey % 3 <> 2",
-    "missing_drafts": rf"""WITH page AS ({B.PAGES}) SELECT concat('docs/for-agents/human/', id, '.md') AS path, concat('---', chr(10), 'id: ', id, chr(10), 'humanDoc: ', url, chr(10), '---', chr(10), chr(10), '# ', id, chr(10), chr(10), 'Text of ', id) AS content FROM (SELECT * FROM page WHERE path NOT LIKE 'docs/for-agents/%' AND path NOT LIKE '%/for-agents/%' QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1) WHERE pos % 2 = 1""",
+    "missing_drafts": rf"""WITH page AS ({B.PAGES}) SELECT concat('docs/for-agents/human/', id, '.md') AS path, concat('---', chr(10), 'type: knowledge', chr(10), 'draft: true', chr(10), 'id: ', id, chr(10), 'humanDoc: ', url, chr(10), '---', chr(10), chr(10), '# ', CASE WHEN pos % 3 = 0 THEN concat('Head ', id) ELSE id END, chr(10), chr(10), 'Draft generated by `waymark bootstrap agent-docs` from existing human docs.', chr(10), chr(10), '## Source summary', chr(10), chr(10), 'Text of ', id, chr(10), chr(10), '## Review checklist', chr(10), chr(10), '- TODO: confirm ownership, edit roots, and checks.', chr(10), '- TODO: move this draft to the right agent-doc location if needed.', chr(10)) AS content FROM (SELECT * FROM page WHERE path NOT LIKE 'docs/for-agents/%' AND path NOT LIKE '%/for-agents/%' QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1) WHERE pos % 2 = 1""",
     "doctor_badge": f"""WITH {_O}, c AS (SELECT count(*) AS n, count(*) FILTER (agent_doc IS NOT NULL AND agent_doc <> 'docs/d7.md') AS a, count(human_doc) AS h FROM own),
 s AS (SELECT n, CAST(floor(100 * a / n + 0.5) AS BIGINT) AS ap, CAST(floor(100 * h / n + 0.5) AS BIGINT) AS hp, CAST(45 + floor(a / n * 35 + 0.5) + floor(h / n * 20 + 0.5) AS BIGINT) AS score FROM c),
 k AS (SELECT *, CASE WHEN ap >= 80 THEN '2ea44f' WHEN ap >= 50 THEN 'dbab09' ELSE 'cb2431' END AS ac, CASE WHEN hp >= 80 THEN '2ea44f' WHEN hp >= 50 THEN 'dbab09' ELSE 'cb2431' END AS hc, CASE WHEN score >= 80 THEN '2ea44f' WHEN score >= 50 THEN 'dbab09' ELSE 'cb2431' END AS sc FROM s)
@@ -194,7 +194,7 @@ WHEN n_name LIKE '%A%' AND n_name LIKE '%Z%' THEN 'Found marker(s): A, Z' ELSE c
 x AS (SELECT path, concat(path, ' (', missing, ')') AS item FROM m WHERE missing <> ''), b AS (SELECT (SELECT count(*) FROM x) AS n, (SELECT string_agg(item, '; ' ORDER BY path) FROM (SELECT * FROM x ORDER BY path LIMIT 100)) || CASE WHEN (SELECT count(*) FROM x) > 100 THEN concat('; and ', (SELECT count(*) FROM x) - 100, ' more') ELSE '' END AS items)
 SELECT n = 0 AS ok, CASE WHEN n = 0 THEN 'All agent docs pass playbook-okf-soft docs-style rules' ELSE concat('Docs style issues: ', items) END AS message, CASE WHEN n > 0 THEN 'playbook-okf-soft: title, no-stale-wording' END AS expected, CASE WHEN n > 0 THEN concat(n, ' file(s) with style issues') END AS actual FROM b""",
     "intent_routes": """WITH p AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 120 ORDER BY p_partkey DESC) = 1) SELECT concat('i', p_partkey % 120) AS id, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_brand END AS "startHere", CASE WHEN p_partkey % 9 = 0 THEN '' ELSE concat(p_brand, ',', p_type) END AS read_first, p_name AS notes FROM p""",
-    "invalid_handoffs": f"""WITH {_O} SELECT id, concat_ws(',', CASE WHEN pos % 7 = 0 OR agent_doc IS NULL THEN 'startHere' END, CASE WHEN pos % 5 = 0 THEN 'editRoots' END) AS paths FROM own WHERE pos % 5 = 0 OR pos % 7 = 0 OR agent_doc IS NULL""",
+    "invalid_handoffs": f"""WITH {_O} SELECT id, concat_ws(',', CASE WHEN pos % 5 = 0 THEN 'target.path' END, CASE WHEN pos % 7 = 0 OR agent_doc IS NULL THEN 'startHere' END, CASE WHEN pos % 5 = 0 THEN 'editRoots' END) AS paths FROM own WHERE pos % 5 = 0 OR pos % 7 = 0 OR agent_doc IS NULL""",
     "rewritten_links": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('/base/docs/x/d', doc_id, '/#s') WHEN 1 THEN concat('https://git.example/r/blob/main/src/', doc_id, '.ts') WHEN 2 THEN concat('#h', doc_id) ELSE concat('../../../', doc_id, '.md') END AS url FROM documents WHERE doc_id IS NOT NULL""",
     "portal_products": """WITH p AS (SELECT CAST(n_nationkey AS BIGINT) AS pos, concat('n', n_nationkey) AS id, concat('https://', lower(replace(n_name, ' ', '-')), '.example.com') AS link FROM nation WHERE n_nationkey % 6 <> 1)
 SELECT pos, concat('- [', upper(id), '](', link, ')', CASE WHEN id = 'n12' THEN ' **(current)**' ELSE '' END, ' — Does it', CASE WHEN id < 'n2' THEN '!' ELSE '.' END, CASE WHEN id > 'n3' THEN ' Role: `helper`.' ELSE '' END) AS line FROM p""",

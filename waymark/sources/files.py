@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+import re
+import urllib.request
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import paths
-from waymark.operators.handoff import with_position
+from waymark.operators.handoff import collated, with_position
 
 SKIPPED = ("node_modules", ".git", "dist", "coverage", ".waymark")
 
@@ -20,23 +24,83 @@ class LimitError(ValueError):
     """A size limit is exceeded."""
 
 
+def store(root: str):
+    """The file system of an address and the path in it; null where only Spark reads it."""
+    if "://" not in root:
+        return fs.LocalFileSystem(), os.path.abspath(root)
+    try:
+        return fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
+    except (pa.ArrowInvalid, OSError):
+        return None
+
+
+def list_files(root: str, extensions: list[str], skip: tuple[str, ...] = SKIPPED) -> list[tuple[str, int]] | None:
+    """(path below root, bytes) of files with one of the endings, hidden ones too, by path in byte order. Skipped directories aren't entered and links aren't followed.
+
+    Null where the address can be read by Spark only.
+    """
+    place = store(root.rstrip("/") or "/")
+    if place is None:
+        return None
+    system, base = place
+    found, todo, ends = [], [base], tuple(extensions)
+    local = isinstance(system, fs.LocalFileSystem)
+    while todo:
+        here = todo.pop()
+        if local:
+            with os.scandir(here) as entries:
+                items = [(e.path, e.name, e.is_dir(follow_symlinks=False), e.stat(follow_symlinks=False).st_size) for e in entries if not e.is_symlink()]
+        else:
+            items = [(e.path, e.base_name, e.type == fs.FileType.Directory, e.size or 0) for e in system.get_file_info(fs.FileSelector(here))]
+        for path, name, is_dir, size in items:
+            if is_dir:
+                todo += [path] if name not in skip else []
+            elif ends and name.endswith(ends):
+                found.append((path[len(base.rstrip("/")) + 1 :], size))
+    return sorted(found, key=lambda x: x[0].encode())
+
+
+def _reader(root: str):
+    """(path, length) -> with content, a file a batch, read where the rows are."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = store(root)
+        for batch in batches:
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length], pa.int64()), pa.array([f.read()], pa.binary())], names=["path", "length", "content"])
+
+    return read
+
+
 def scan_files(spark: SparkSession, root: str, extensions: list[str], max_files: int | None = None, max_bytes: int | None = None, max_total: int | None = None, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
-    """(path below root, length, content) of files with one of the endings, skipped directories left out.
+    """(path below root, length, content) of files with one of the endings, in skipped directories none.
 
-    Limits are checked on file sizes before any content is read.
+    Names and sizes are listed on the driver, as Spark's readers do, but hidden files and directories count; limits are checked
+    on them before any content is read. Contents are read by the tasks. Of a store that only Spark reads, Spark's own reader
+    gives the files, without hidden ones.
     """
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    at = F.instr(F.col("path"), base.split("://")[-1].rstrip("/") + "/")
-    rel = F.substring(F.col("path"), at + len(base.split("://")[-1].rstrip("/")) + 1, F.lit(1 << 30))
-    skipped = F.exists(F.slice(F.split(rel, "/"), 1, F.greatest(F.size(F.split(rel, "/")) - 1, F.lit(0))), lambda s: s.isin(list(skip)))
-    keep = files.where(F.lit(False) if not extensions else F.col("path").rlike("(?:" + "|".join(e.replace(".", r"\.") for e in extensions) + r")\z")).where(~skipped)
-    if max_files or max_bytes or max_total:
-        n = keep.agg(F.count("*").alias("n"), F.max("length").alias("largest"), F.sum("length").alias("total")).first()
-        for value, most, what in ((n["n"], max_files, "files"), (n["largest"], max_bytes, "bytes in a file"), (n["total"], max_total, "bytes in all")):
-            if most and (value or 0) > most:
-                raise LimitError(f"more than {most} {what}: {value}")
-    return keep.select(rel.alias("path"), "length", "content")
+    root = root.rstrip("/") or "/"
+    listed = list_files(root, extensions, skip)
+    if listed is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        tail = root.split("://")[-1].partition("/")[2]
+        rel = F.regexp_replace(F.regexp_replace("path", r"\A[^:]+:/*[^/]*/", ""), r"\A" + re.escape(tail) + "/", "")
+        rows = files.select(rel.alias("path"), "length", "content")
+        for name in skip:
+            rows = rows.where(~F.concat(F.lit("/"), "path").contains(f"/{name}/"))
+        rows = rows.where(F.col("path").rlike("(?:" + "|".join(re.escape(e) for e in extensions) + r")\z") if extensions else F.lit(False))
+        n = rows.agg(F.count("*").alias("n"), F.max("length").alias("largest"), F.sum("length").alias("total")).first() if max_files or max_bytes or max_total else (0, 0, 0)
+        sizes = tuple(x or 0 for x in n)
+    else:
+        sizes = (len(listed), max((n for _, n in listed), default=0), sum(n for _, n in listed))
+        names = spark.createDataFrame(listed, "path string, length long")
+        tasks = max(1, min(len(listed), 4 * spark.sparkContext.defaultParallelism))
+        rows = names.repartition(tasks, "path").mapInArrow(_reader(root), "path string, length long, content binary")
+    for value, most, what in zip(sizes, (max_files, max_bytes, max_total), ("files", "bytes in a file", "bytes in all"), strict=True):
+        if most and value > most:
+            raise LimitError(f"more than {most} {what}: {value}")
+    return rows
 
 
 def scan_markdown(spark: SparkSession, root: str, **limits) -> DataFrame:
@@ -75,7 +139,7 @@ def discover_packages(manifests: DataFrame, patterns: list[str]) -> DataFrame:
     name = F.get_json_object("json", "$.name")
     ok = rows.where(F.try_parse_json("json").isNotNull())
     got = ok.select(F.coalesce(paths.package_id(name), paths.file_name(F.col("path"))).alias("id"), "path", name.alias("name"), F.lit(None).cast("array<string>").alias("checks"))
-    return with_position(got, "path")
+    return with_position(got, collated())
 
 
 def project_rows(manifests: DataFrame) -> DataFrame:
@@ -120,23 +184,55 @@ def project_name(root: str, configured: str | None = None) -> str:
     return configured or str(_manifest(root).get("name") or os.path.basename(os.path.abspath(root)))
 
 
-def federated_sources(spark: SparkSession, sources: list[dict], fetch: Callable[[str], str | None]) -> DataFrame:
-    """(source_id, url, raw, base) of the configured texts. fetch gets an address and gives its text; what it can't get, or
+#: Seconds that a fetch may take.
+TIMEOUT = 5
+
+
+def fetch_text(address: str, root: str = ".", timeout: float = TIMEOUT) -> str | None:
+    """The text of a web address or of a file, relative ones below root; null for what is away, too slow or no success."""
+    try:
+        if re.match(r"https?://", address):
+            with urllib.request.urlopen(address, timeout=timeout) as answer:  # noqa: S310
+                return answer.read().decode("utf-8", "replace")
+        with open(os.path.join(root, address), encoding="utf-8", errors="replace") as f:
+            return f.read()
+    except (OSError, ValueError):
+        return None
+
+
+def federated_sources(spark: SparkSession, sources: list[dict], fetch: Callable[[str], str | None] = fetch_text) -> DataFrame:
+    """(source_id, url, raw, base) of the configured texts, in their order. fetch gets an address and gives its text; what it can't get, or
     fails at, is left out. Sources are a list of the settings, fetched on the driver.
     """
     rows = []
     for s in sources:
         if s.get("includeInRetriever") is False or not s.get("llmsTxt"):
             continue
-        try:
-            raw = fetch(s["llmsTxt"])
-        except Exception:  # a source that is away is no error
-            raw = None
+        raw = _soft(fetch, s["llmsTxt"])
         if raw:
             rows.append((s["id"], s["llmsTxt"], raw, s.get("rawBaseUrl")))
     return spark.createDataFrame(rows, "source_id string, url string, raw string, base string")
 
 
+def _soft(fetch: Callable[[str], str | None], address: str) -> str | None:
+    try:
+        return fetch(address)
+    except Exception:  # a source that is away is no error
+        return None
+
+
+def fetch_texts(links: DataFrame, fetch: Callable[[str], str | None] = fetch_text) -> DataFrame:
+    """(url) -> (url, raw) of the distinct addresses that give a text, fetched by the tasks."""
+
+    def got(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(u, _soft(fetch, u)) for u in batch.column(0).to_pylist()]
+            rows = [r for r in rows if r[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], names=["url", "raw"])
+
+    return links.select("url").distinct().mapInArrow(got, "url string, raw string")
+
+
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables that write_index wrote; a missing index is a FileNotFoundError that says what to do."""
     try:
