@@ -77,6 +77,12 @@ def test_packing(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 1_200_000, "\n " * 500_000 + "x", "\t" * 1_000_000 + "<|endoftext|>", "x" * 300_000, "ab " * 100_000])
+def test_ids_of_extreme_texts(text):
+    lib = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    assert packing.ByteBpe().encode(text) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_first_fit_matches_a_plain_scan(seed):
     rng = random.Random(seed)

@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-import regex
 import tiktoken
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +28,13 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Mean number of pieces in a group; a group is one task's work and memory.
 GROUP_PIECES = 8192
-#: Words whose ids a task keeps at most; beyond that it starts afresh.
-CACHE_WORDS = 200_000
 
 
 class ByteBpe:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    The merges of a byte-level BPE never leave a word of the splitting pattern, so ids are kept by word. Texts
-    that hold a special token's string go to the tokenizers library, which gives it an id of its own.
+    Texts go through the merge table as they are. Those that hold a special token's string go to the tokenizers library, which gives it an id
+    of its own; so do those whose splitting pattern gives up, as on a million white spaces in a row.
     """
 
     def __init__(self, path: str | None = None, ranks: str | None = None) -> None:
@@ -48,28 +45,17 @@ class ByteBpe:
         with open(ranks or public_tokenizers.path(RANKS), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.cache: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(x in text for x in self.specials):
-            self.library = self.library or Tokenizer.from_file(self.path)
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.words(text)
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        one = self.bpe.encode_ordinary  # a word of the pattern is one piece by itself, too
-        for w in words:
-            if w not in cache:
-                cache[w] = np.array(one(w), "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, words))
+        if not any(x in text for x in self.specials):
+            try:
+                return self.bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:  # the pattern's stack is exhausted
+                pass
+        self.library = self.library or Tokenizer.from_file(self.path)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _codec: ByteBpe | None = None
@@ -109,7 +95,6 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=PIECE.names)
-    bpe.cache.clear()  # the worker outlives the task
     release_memory()
 
 
