@@ -42,7 +42,7 @@ def test_every_letter_counts_in_wide_alphabets(monkeypatch, dense):
     letters = [chr(0x4E00 + k) for k in range(400)]
     samples = {k: "".join(rng.choice(own) for _ in range(2000)) for k, own in (("x", letters[:250]), ("y", letters[150:]))}
     model = language_id.LanguageModel(samples)
-    assert model.width == 402 and (model.step is None) == (dense == 0)
+    assert model.width == 402 and model.dense == (dense > 0)
     texts = ["".join(rng.choice([*letters, " ", "q"]) for _ in range(rng.randrange(1, 300))) for _ in range(20)] + [samples["y"][5:300], ""]
     codes = [language_id.symbols(t, model.table) for t in texts]
     got, plain = model.phrases(codes), lambda c: "".join(map(chr, c.tolist()))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of one Arrow batch handed to Python, so that a batch of very long texts stays small.
-BATCH_ROWS = 512
-BATCH_BYTES = 4 << 20
+BATCH_ROWS = 256
+BATCH_BYTES = 2 << 20
 #: Rows of a counted side up to which it is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 #: A key is hot if it holds more than this share of the rows; so there are fewer than 1 / share hot keys.

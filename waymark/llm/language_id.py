@@ -119,18 +119,24 @@ class LanguageModel:
             sizes.append(max(2, len(seen)))
             at += n + 1
         self.first = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
-        self.step, self.moves = None, []
-        if at * width * 4 <= DENSE_BYTES:
-            self.step = np.zeros(at * width, np.int32)
-            for key, to in moves:
-                self.step[key] = to
-            self.first = self.first.astype(np.int32)
-        else:
-            end = np.array([np.iinfo(np.int64).max])
-            self.moves = [(np.concatenate((key, end)), np.concatenate((to, [0]))) for key, to in moves]
+        #: Sorted offsets and where they lead, by language; the table of all is made of them where it is used, so that it is never sent.
+        end = np.array([np.iinfo(np.int64).max])
+        self.moves = [(np.concatenate((key, end)), np.concatenate((to, [0]))) for key, to in moves]
+        self.size, self.dense = at * width, at * width * 4 <= DENSE_BYTES
+        self.step: np.ndarray | None = None
         self.bits = np.array([math.log2(n) for n in sizes])
         self.by_key: dict[int, dict[int, int]] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"step": None, "by_key": {}}
+
+    def _ready(self) -> None:
+        """Make the table of all transitions."""
+        if self.dense and self.step is None:
+            self.step = np.zeros(self.size, np.int32)
+            for key, to in self.moves:
+                self.step[key[:-1]] = to[:-1]
+
     def _next(self, lang: int, at: np.ndarray) -> np.ndarray:
         """Where the transitions at these offsets lead."""
         if self.step is not None:
@@ -147,6 +153,7 @@ class LanguageModel:
         order = order[sizes[order] > 0]
         if not len(order) or not self.langs:
             return out
+        self._ready()
         abreast = int(sizes[order[ABREAST - 1]]) if len(order) >= ABREAST else 1
         live = np.searchsorted(-sizes[order], -np.arange(abreast), side="left")  # texts longer than t
         states, counts = np.zeros((len(self.langs), len(order)), np.int64), np.zeros((len(self.langs), len(order)), np.int64)
