@@ -23,14 +23,14 @@ def build_knowledge(raw: DataFrame, settings: Settings) -> DataFrame:
     root = settings.agent_root.rstrip("/") + "/"
     below = F.substring("path", len(root) + 1, 1 << 30)
     docs = raw.where(F.col("path").startswith(root)).where(paths.matches_globs(below, settings.include, settings.exclude))
+    docs = docs if "pos" in raw.columns else with_position(docs, "path")  # before the texts are parsed, as range bounds read rows once more
     fm = docs.withColumns({"frontmatter": markdown.frontmatter(F.col("raw")), "own_body": markdown.body(F.col("raw"))})
     text = F.col("own_body")
     ident = F.coalesce(fm_string(F.col("frontmatter"), "id"), fm_string(F.col("frontmatter"), "package"), markdown.slug_from_path(F.col("path")))
-    out = fm.withColumn("id", ident).select(
+    return fm.withColumn("id", ident).select(
         "id", F.lit("agent-doc").alias("type"), F.coalesce(markdown.first_heading(F.col("raw"), text), F.col("id")).alias("title"), "path",
-        F.coalesce(fm_string(F.col("frontmatter"), "purpose"), markdown.first_paragraph(F.col("raw"), 400, text)).alias("description"), markdown.search_body(F.col("raw"), 6000, text).alias("body"), "frontmatter", "raw", *(["pos"] if "pos" in raw.columns else []),
+        F.coalesce(fm_string(F.col("frontmatter"), "purpose"), markdown.first_paragraph(F.col("raw"), 400, text)).alias("description"), markdown.search_body(F.col("raw"), 6000, text).alias("body"), "frontmatter", "raw", "pos",
     )
-    return out if "pos" in raw.columns else with_position(out, "path")
 
 
 def with_position(df: DataFrame, *order: str | Column) -> DataFrame:
@@ -77,6 +77,11 @@ def seeds_from_path(knowledge: DataFrame) -> DataFrame:
     return first_per(_seeds(rows, purpose, "path"), "id", "pos")
 
 
+def seeds(knowledge: DataFrame) -> DataFrame:
+    """Seeds of both kinds."""
+    return seeds_from_frontmatter(knowledge).unionByName(seeds_from_path(knowledge))
+
+
 def _seeds(rows: DataFrame, purpose: Column, origin: str) -> DataFrame:
     own = F.col("frontmatter")
     out = rows.where(F.col("seed_id").isNotNull() & F.col("seed_path").isNotNull())

@@ -48,10 +48,10 @@ def _owners(spark: SparkSession, d: str) -> DataFrame:
 
 def ownership_build(spark: SparkSession, d: str) -> DataFrame:
     """Owners of every package: settings, seeds, discovery, guessed documents, human pages and default commands, by rank."""
-    know = handoff.build_knowledge(Q.agent_docs(spark, d), Q.settings())
-    seeds = tables.conform(handoff.seeds_from_frontmatter(know).unionByName(handoff.seeds_from_path(know)), tables.SEED)
+    know = Q.parsed_docs(spark, d)
+    seeds = tables.written(tables.conform(handoff.seeds(know), tables.SEED))
     own, found = _owners(spark, d), Q._discovered(spark, d)
-    packages = handoff.merge_packages(own, found, seeds)
+    packages = tables.written(handoff.merge_packages(own, found, seeds))
     out = handoff.build_ownership(packages, own, seeds, know, Q.bound(spark, d, HUMAN, "pages"), Q.settings(), {"manager": "pnpm", "workspace": True})
     return out.select("id", "path", "purpose", F.array_join("checks", ",").alias("checks"), "agentDoc", "humanDoc")
 
@@ -406,6 +406,7 @@ def stored_index(spark: SparkSession, d: str) -> DataFrame:
         docs = files.scan_markdown(spark, root).select("path", "raw")
         built = index.build(spark, docs, human.empty(spark), s)
         now = index.write(built, f"{root}/index")
+        built.close()
         held = files.load_index(spark, f"{root}/index")
         return held["knowledge"].join(held["ownership"].select("id", F.col("path").alias("root")), "id", "left").select("id", "title", "path", "root", F.lit(held["meta"].first()["contentHash"] == now).alias("fresh"))
 

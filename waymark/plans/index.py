@@ -20,18 +20,27 @@ class Index:
     ownership: DataFrame
     handoff: DataFrame
 
+    def close(self) -> None:
+        """Delete the working tables that a build left in the shared folder; the index can't be read after that."""
+        tables.drop(*[df for df in (self.knowledge, self.ownership) if hasattr(df, "written_at")])
+
     def hash(self) -> str:
         return sinks.index_hash(self.knowledge, self.ownership, self.handoff).first()[0]
 
 
 def build(spark: SparkSession, docs: DataFrame, human: DataFrame, settings: Settings, discovered: DataFrame | None = None, checks: dict | None = None) -> Index:
-    """docs (path, raw) and human (id, url, path, pos) -> the index tables."""
-    know = H.build_knowledge(docs, settings)
-    seeds = H.seeds_from_frontmatter(know).unionByName(H.seeds_from_path(know))
+    """docs (path, raw) and human (id, url, path, pos) -> the index tables.
+
+    Documents are parsed once: knowledge, seeds and ownership are written to the shared folder, where later steps read the columns they need.
+    Without the texts' own column raw; close() deletes them.
+    """
+    know = tables.written(H.build_knowledge(docs, settings).drop("raw"))
+    seeds = tables.written(H.seeds(know))
     explicit = H.explicit_owners(spark, settings)
     found = discovered if discovered is not None else spark.createDataFrame([], tables.DISCOVERED)
-    packages = H.merge_packages(explicit, found, seeds if settings.ownership_from_corpus else seeds.where("origin = 'frontmatter'"))
-    owners = H.build_ownership(packages, explicit, seeds, know, human, settings, checks)
+    packages = tables.written(H.merge_packages(explicit, found, seeds if settings.ownership_from_corpus else seeds.where("origin = 'frontmatter'")))
+    owners = tables.written(H.build_ownership(packages, explicit, seeds, know, human, settings, checks))
+    tables.drop(seeds, packages)
     return Index(know, owners, H.handoffs(owners, settings))
 
 
@@ -42,7 +51,7 @@ def write(index: Index, path: str) -> str:
         raise ValueError(f"handoffs break the schema: {bad}")
     spark, now = index.knowledge.sparkSession, index.hash()
     if stored_hash(spark, path) != now:
-        index.knowledge.drop("raw", "frontmatter").write.mode("overwrite").parquet(f"{path}/knowledge")
+        index.knowledge.drop("frontmatter").write.mode("overwrite").parquet(f"{path}/knowledge")
         index.ownership.write.mode("overwrite").parquet(f"{path}/ownership")
         index.handoff.write.mode("overwrite").parquet(f"{path}/handoff")
         spark.createDataFrame([(1, now)], "schemaVersion int, contentHash string").withColumn("generatedAt", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/meta")

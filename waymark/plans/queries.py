@@ -110,9 +110,13 @@ def retriever_chunks(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("query_id").cast("long"), F.col("rank").cast("long"), "chunkKey", "type", "id", "path", "title", "summary", "score")
 
 
+def parsed_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Knowledge of the agent documents, parsed once for all that reads it."""
+    return tables.written(handoff.build_knowledge(agent_docs(spark, d), settings()).select("id", "path", "description", "frontmatter", "pos"))
+
+
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    know = handoff.build_knowledge(agent_docs(spark, d), settings())
-    return handoff.seeds_from_frontmatter(know).unionByName(handoff.seeds_from_path(know))
+    return handoff.seeds(parsed_docs(spark, d))
 
 
 def ownership_seeds(spark: SparkSession, d: str) -> DataFrame:

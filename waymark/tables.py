@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,34 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names for all executors in spark.checkpoint.dir; without it only a local master is served."""
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if folder:
+        return folder.rstrip("/")
+    if master == "local" or master.startswith("local["):
+        return f"/tmp/waymark-tables-{os.getuid()}"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read again: what is built on them neither repeats the work nor carries its plan."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/waymark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete written tables that are read no more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """The columns of a schema, in its order; those that are missing as nulls."""
     fields = df.sparkSession.createDataFrame([], schema).schema.fields
