@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 
@@ -344,6 +345,18 @@ def test_messages_and_drafts_are_bounded(spark, monkeypatch):
     assert "- 1: agent" in body and "- 2: agent" not in body and "- and 3 more" in body
 
 
+def test_written_tables(spark):
+    rows = spark.createDataFrame([(1, ["a"], None), (None, [], "x")], "k long, v array<string>, group string")
+    got = tables.written(rows)
+    assert got.schema == rows.schema and sorted(map(str, got.collect())) == sorted(map(str, rows.collect()))
+    none = tables.written(rows.limit(0))
+    assert none.schema == rows.schema and none.count() == 0
+    folder = tables.shared_dir(spark)
+    assert got.written_at.startswith(folder) and os.path.isdir(got.written_at)
+    tables.drop(got, none)
+    assert not os.path.exists(got.written_at) and not os.path.exists(none.written_at)
+
+
 def test_schemas():
     doc = validate.json_schema("handoff")
     assert doc["required"] == ["type", "source", "target", "startHere", "readBeforeEditing", "editRoots", "checks", "notes"]
