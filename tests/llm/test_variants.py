@@ -3,10 +3,14 @@
 import hashlib
 import random
 import re
+import time
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from waymark.llm import fill_middle
+from waymark.llm import fill_middle, spelling
 from waymark.llm.fill_middle import Sentinels
 
 RNG = random.Random(5)
@@ -84,3 +88,89 @@ def test_sentinels():
             Sentinels(*bad)
     with pytest.raises(ValueError):
         fill_middle.restore("<S>a<P>b<M>c", fill_middle.PSM, Sentinels())
+
+
+def one_edit(a, b):
+    """Whether one inserted, deleted or replaced letter makes b of a."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def plain_variants(counts, least, ratio):
+    words = {w: n for w, n in counts.items() if n >= least}
+    out = {}
+    for w, n in words.items():
+        near = [(-m, v) for v, m in words.items() if one_edit(w, v)]
+        form = min(near, default=(0, None))
+        out[w] = [n, len(near), form[1] if -form[0] >= ratio * n else None]
+    for w, row in out.items():
+        at = w
+        while out[at][2]:
+            at = out[at][2]
+        row.append(at)
+    return out
+
+
+def check_variants(got, counts, least, ratio):
+    want = plain_variants(counts, least, ratio)
+    assert {r["word"]: [r["n"], r["n_near"], r["form"], r["root"]] for r in got} == want and len(got) == len(want)
+    assert all(r["form_n"] == (want[r["form"]][0] if r["form"] else None) for r in got)
+    return want
+
+
+def test_spelling_of_texts(spark):
+    stems = ["banana", "Bananna", "ananas", "ÉTUDES", "études", "straße", "strasse", "letter", "lettter", "aaaaaa", "aaaaaaa", "x×÷yzzz"]
+    texts = [None, "", "12 !", "short words only", *[" ".join(RNG.choices(stems, [60, 2, 40, 1, 30, 3, 20, 40, 1, 30, 1, 1])[0] + RNG.choices(["", "s", "z"], [30, 3, 1])[0] for _ in range(RNG.randrange(1, 60))) + "日" for _ in range(150)]]
+    rows = [(k, t, 1, "o", "f", "m") for k, t in enumerate(texts)] + [(None, "banana banana", 1, "o", "f", "m"), (9, texts[9], 1, "o", "f", "m")]
+    counts = Counter()
+    for k, t, *_ in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if k is None else k}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= 6:
+                counts[run] += 1
+    made = spelling.word_counts(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("output", "word"), drop_every=199)
+    assert {r["word"]: r["n"] for r in made.collect()} == counts
+    want = check_variants(spelling.spelling_variants(made).collect(), counts, 5, 5)
+    assert any(r[2] for r in want.values())
+    empty = spelling.word_counts(spark.createDataFrame([], SCHEMA))
+    assert spelling.spelling_variants(empty).count() == 0
+
+
+def test_spelling_of_counts(spark):
+    words = ["", "a", "b", "ab", "aab", "aaab", "😀a", "😀b", "日本", "日木", *{"".join(RNG.choice("abé") for _ in range(RNG.randrange(1, 7))) for _ in range(150)}]
+    counts = {w: RNG.choice([1, 2, 3, 6, 7, 20, 60, 61, 400]) for w in words}
+    frame = spark.createDataFrame([(w, n, "x") for w, n in counts.items()] + [("a", 4, "x"), (None, 9, "x")], "word string, n long, root string")
+    counts["a"] += 4
+    del counts[""]
+    want = check_variants(spelling.spelling_variants(frame, 2, 3).collect(), counts, 2, 3)
+    assert max(sum(w != r[3] for w, r in want.items()), 0) > 20
+    with pytest.raises(ValueError):
+        spelling.spelling_variants(frame, 2, 1)
+
+
+def test_spelling_of_long_words(spark):
+    long = "".join(RNG.choice("abcd") for _ in range(30_000))
+    frame = spark.createDataFrame([(long, 50), (long[:777] + "x" + long[777:], 5), (long[:-1], 6), ("b" + long[1:] if long[0] != "b" else "a" + long[1:], 7)], "word string, n long")
+    began = time.time()
+    got = {len(r["word"]): r for r in spelling.spelling_variants(frame).collect() if r["word"] != long}
+    assert {r["form"] for r in got.values()} == {long} and {r["n_near"] for r in got.values()} == {1} and time.time() - began < 60
+
+
+def test_pieces_and_hashes(monkeypatch):
+    monkeypatch.setattr(spelling, "PIECE", 7)
+    outside = re.compile(r"[^a-z]")
+    for _ in range(200):
+        text = "".join(RNG.choice("abc ,") for _ in range(RNG.randrange(0, 80)))
+        pieces = list(spelling._pieces(text, outside))
+        assert "".join(pieces) == text and [w for p in pieces for w in re.findall("[a-z]+", p)] == re.findall("[a-z]+", text)
+    alphabet = np.array([ord(c) for c in "abc"], np.uint64)
+    for word in ("a", "abba", "aab", "cccc"):
+        made = [int(k) for keys, *_ in spelling.offers(word, alphabet) for k in keys.view(np.int64)]
+        want = {word[:i] + word[i + 1 :] for i in range(len(word))} | {word[:i] + c + word[i + d :] for i in range(len(word) + 1) for c in "abc" for d in (0, 1) if i + d <= len(word)}
+        want = {w for w in want if w and w != word}
+        assert sorted(made) == sorted(map(spelling.hash_of, want))

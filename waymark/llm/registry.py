@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import fill_middle, fingerprints, html_text, language_id, licenses, line_dedup, packing, quality, sentencepiece_codec, simhash, toxicity
+from waymark.llm import fill_middle, fingerprints, html_text, language_id, licenses, line_dedup, packing, quality, sentencepiece_codec, simhash, spelling, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
         "op11_fill_middle": fill_middle.op11_fill_middle,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op4_license_scan": licenses.OP4_SQL, "op11_fill_middle": fill_middle.OP11_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op4_license_scan": licenses.OP4_SQL, "op11_fill_middle": fill_middle.OP11_SQL, "op13_spelling_variants": spelling.OP13_SQL}
