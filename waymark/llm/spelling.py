@@ -3,7 +3,8 @@
 Each word of the vocabulary offers all texts that one deletion, replacement or insertion of a letter of the observed
 alphabet makes of it; those that are words themselves are its near words. Offers go as rolling hashes, each worked
 out in constant time from the word's own, so a word of n letters offers about 2 n alphabet-sized rows of fixed size,
-however long it is. They meet the vocabulary by equality. No distance is measured: of the few that meet, the offered
+however long it is. A Bloom filter of bounded size drops most that are no words before they are shuffled; the others
+meet the vocabulary by equality. No distance is measured: of the few that meet, the offered
 text is made and compared with the word met, so a collision of hashes links nothing.
 """
 
@@ -16,10 +17,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import bound_batches, drop, materialize, named, read_table, release_memory, small
+from waymark.llm.common import bound_batches, drop, materialize, named, read_table, release_memory
 
 #: Letters that make up words; runs of these are words.
 LETTERS = r"A-Za-zÀ-ÿ"
@@ -40,6 +42,10 @@ TASK_WORDS = 1024
 MOST_TASKS = 20_000
 BASE = 0x9E3779B97F4A7C15
 DELETED, REPLACED, INSERTED = 0, 1, 2
+#: Bits of the filter a word, and at most: 32 MB, whatever the vocabulary. A fuller filter lets more offers pass to the join, no fewer.
+WORD_BITS = 64
+MOST_BITS = 1 << 28
+MIXERS = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
 def _pieces(text: str, outside: re.Pattern) -> Iterator[str]:
@@ -146,19 +152,47 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 OFFER = "own long, key long, at int, letter int, kind int"
 
 
-def _offering(alphabet: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(word, key) -> offers, those of several words in one batch."""
+def _slots(keys: np.ndarray, width: int) -> list[np.ndarray]:
+    """Two places of each key in a filter of 2^width bits."""
+    return [(keys * np.uint64(m)) >> np.uint64(64 - width) for m in MIXERS]
+
+
+def _filter(vocabulary: DataFrame, n_words: int) -> np.ndarray:
+    """A Bloom filter of the vocabulary's keys, as 64-bit words; its bits are combined before they come to the driver."""
+    width = max(6, (min(MOST_BITS, WORD_BITS * max(1, n_words)) - 1).bit_length())
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_slots(batch.column(0).to_numpy().view(np.uint64), width))
+            bits = np.uint64(1) << (at & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bits.view(np.int64))], names=["at", "bits"])
+
+    rows = vocabulary.select("key").mapInArrow(places, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (width - 6), np.uint64)
+    table[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def _passed(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    width = len(table).bit_length() + 5
+    a, b = ((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) for at in _slots(keys, width))
+    return np.flatnonzero(a & b)
+
+
+def _offering(alphabet: np.ndarray, table: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(word, key) -> offers that the filter lets pass, those of several words in one batch."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        known, held, n = table.value, [], 0
         for batch in batches:
             for word, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for keys, at, letter, kind in offers(word, alphabet):
-                    held.append((np.full(len(keys), own, np.int64), keys.view(np.int64), at.astype(np.int32), letter.astype(np.int32), np.full(len(keys), kind, np.int32)))
-                    n += len(keys)
-                    if n >= OFFERS:
-                        yield joined(held)
-                        held, n = [], 0
+                    some = _passed(known, keys)
+                    held.append((np.full(len(some), own, np.int64), keys[some].view(np.int64), at[some].astype(np.int32), letter[some].astype(np.int32), np.full(len(some), kind, np.int32)))
+                    n += len(some)
+                if n >= OFFERS:
+                    yield joined(held)
+                    held, n = [], 0
         if held:
             yield joined(held)
         release_memory()
@@ -181,12 +215,12 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     alphabet = sorted(r["letter"] for r in seen.limit(MAX_ALPHABET + 1).collect())
     if len(alphabet) > MAX_ALPHABET:
         raise ValueError(f"an alphabet of more than {MAX_ALPHABET} letters")
-    tasks = min(MOST_TASKS, 1 + vocabulary.count() // TASK_WORDS)
-    made = vocabulary.select("word", "key").repartition(tasks, "key").mapInArrow(_offering(np.array([ord(c) for c in alphabet], np.uint64)), OFFER)
-    met = made.join(small(vocabulary.select("key").distinct()), "key", "left_semi")
+    n_words = vocabulary.count()
+    tasks, table = min(MOST_TASKS, 1 + n_words // TASK_WORDS), vocabulary.sparkSession.sparkContext.broadcast(_filter(vocabulary, n_words))
+    made = vocabulary.select("word", "key").repartition(tasks, "key").mapInArrow(_offering(np.array([ord(c) for c in alphabet], np.uint64), table), OFFER)
     own = vocabulary.select(F.col("key").alias("own"), "word")
     near = vocabulary.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pairs = met.join(own, "own").join(near, "key")
+    pairs = made.join(near, "key").join(own, "own")
     letter = F.element_at(F.lit(alphabet or [""]), F.col("letter") + 1)
     return pairs.where(_edited(F.col("word"), F.col("at"), letter, F.col("kind")) == F.col("near")).select("word", "near", "near_n").distinct()
 
