@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from waymark.llm import fill_middle, spelling
+from waymark.llm import fill_middle, multi_index, spelling
 from waymark.llm.fill_middle import Sentinels
 
 RNG = random.Random(5)
@@ -174,3 +174,66 @@ def test_pieces_and_hashes(monkeypatch):
         want = {word[:i] + word[i + 1 :] for i in range(len(word))} | {word[:i] + c + word[i + d :] for i in range(len(word) + 1) for c in "abc" for d in (0, 1) if i + d <= len(word)}
         want = {w for w in want if w and w != word}
         assert sorted(made) == sorted(map(spelling.hash_of, want))
+
+
+VECTORS = "vec_id long, embedding array<float>, rank int, score string"
+
+
+def plain_nearest(rows, k):
+    """{query: [(id, distance)]} of all valid rows by brute force."""
+    rows = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    common = Counter(len(v) for _, v in rows)
+    dims = min(common, key=lambda d: (-common[d], d))
+    rows = [(i, v) for i, v in rows if len(v) == dims]
+    return {i: sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in rows if j != i)[:k] for i, v in rows}
+
+
+def near_rows(spark, rows, k=10, **options):
+    frame = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], VECTORS)
+    got, dims = multi_index.prepared(frame)
+    book = multi_index.fit(got, dims, k)
+    out = {}
+    for r in multi_index.search(multi_index.build_index(got, book), got, book, k, **options).collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    return {q: [(s, v) for n, s, v in sorted(found)] for q, found in out.items()}, book
+
+
+def test_neighbours_of_odd_rows(spark):
+    rows = [(k, [float(RNG.randrange(-3, 4)) for _ in range(5)]) for k in range(300)]
+    rows += [(400, None), (401, []), (402, [0.0] * 5), (403, [1.0, None, 1.0, 1.0, 1.0]), (404, [float("nan")] * 5), (405, [float("inf")] * 5), (406, [1.0] * 4), (None, [1.0] * 5)]
+    rows += [(500 + k, [1.0, 2.0, 1.0, 0.0, 1.0]) for k in range(40)]
+    want = plain_nearest(rows, 10)
+    got, book = near_rows(spark, rows, radius=5)
+    assert got == want
+    some, _ = near_rows(spark, rows, radius=0)  # too small a ball is widened
+    assert some.keys() == want.keys() and all(len(v) == 10 for v in some.values())
+    few, _ = near_rows(spark, rows[:4])
+    assert few == plain_nearest(rows[:4], 10) and all(len(v) == 3 for v in few.values())
+    assert near_rows(spark, rows[:1])[0] == {} == near_rows(spark, [])[0] == near_rows(spark, [(1, None), (2, [0.0])])[0]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 26, 0])
+def test_neighbours_recall(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(multi_index, "BROADCAST_BYTES", broadcast_bytes)
+    monkeypatch.setattr(multi_index, "SEGMENT_BYTES", 200 * 8 * 32)
+    monkeypatch.setattr(multi_index, "BLOCK_BYTES", 150 * 8 * 32)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 32)) + 2 * rng.normal(size=(12, 32))[rng.integers(0, 12, 1500)]
+    rows = [(k, v) for k, v in enumerate(x.astype(np.float32).tolist())]
+    want = plain_nearest(rows, 10)
+    got, book = near_rows(spark, rows)
+    assert book.radius < 32 and got.keys() == want.keys()
+    assert np.mean([len({j for _, j in got[q]} & {j for _, j in want[q]}) / 10 for q in want]) >= 0.9
+    exact, _ = near_rows(spark, rows, radius=32)
+    assert exact == want
+
+
+def test_probing_finds_every_code_of_the_ball():
+    rng = np.random.default_rng(4)
+    for bits, n in ((64, 3000), (64, 50), (13, 500), (1, 5), (40, 1)):
+        codes = rng.integers(0, 1 << bits, n, dtype=np.uint64, endpoint=False) if bits < 64 else rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        codes[: n // 3] = codes[0]
+        tables = multi_index.Tables(codes, bits)
+        for r in range(0, bits + 1, max(1, bits // 9)):
+            code = codes[rng.integers(n)] ^ np.uint64(1)
+            assert tables.within(code, r).tolist() == np.flatnonzero(np.bitwise_count(codes ^ code) <= r).tolist()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import fill_middle, fingerprints, html_text, language_id, licenses, line_dedup, packing, quality, sentencepiece_codec, simhash, spelling, toxicity
+from waymark.llm import fill_middle, fingerprints, html_text, language_id, licenses, line_dedup, multi_index, packing, quality, sentencepiece_codec, simhash, spelling, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
         "op11_fill_middle": fill_middle.op11_fill_middle,
+        "op12_nearest_neighbours": multi_index.op12_nearest_neighbours,
         "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
