@@ -6,6 +6,7 @@ route they appear.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import paths
+from waymark.functions.literals import MAX_DEPTH, exported_literal
 from waymark.functions.markdown import non_empty, plain_frontmatter, plain_value, slug_from_path
 from waymark.operators.handoff import with_position
 
@@ -21,10 +23,10 @@ def _fm(key: str) -> Column:
     return plain_value(F.col("fm"), key)
 
 
-def _pages(raw: DataFrame, root: str, keep: Column, ident: Column, slug: Column, prefix: str | None) -> DataFrame:
+def _pages(raw: DataFrame, root: str, keep: Column, ident: Column, slug: Column, prefix: str | None, *more: str) -> DataFrame:
     rows = raw.where(F.col("path").rlike(r"\.mdx?\z")).withColumn("fm", plain_frontmatter(F.col("raw"))).where(keep)
-    got = rows.select(ident.alias("id"), paths.human_url(slug, prefix).alias("url"), F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("path"))
-    return with_position(got, "path")
+    got = rows.select(*more, ident.alias("id"), paths.human_url(slug, prefix).alias("url"), F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("path"))
+    return with_position(got, *more, "path")
 
 
 def _own_id() -> Column:
@@ -57,28 +59,46 @@ def meta_pages(files: DataFrame) -> DataFrame:
     return parsed.where("pages is not null")
 
 
-def sidebar(value) -> tuple[list[str], list[str]]:
-    """Document ids and generated directories of a sidebar, at any depth. value is parsed JSON."""
-    ids, folders, stack = set(), [], [value]
-    while stack:
-        v = stack.pop()
-        if isinstance(v, str):
-            ids.add(v)
-        elif isinstance(v, list):
-            stack += v
-        elif isinstance(v, dict):
-            if v.get("type") in ("doc", "ref") and isinstance(v.get("id"), str):
-                ids.add(v["id"])
-            if v.get("type") == "autogenerated" and isinstance(v.get("dirName"), str):
-                folders.append(v["dirName"])
-            stack += [x for x in v.values() if isinstance(x, list)]
-            if isinstance(v.get("link"), dict):
-                stack.append(v["link"])
-    return sorted(ids), folders
+#: Levels of a sidebar that are read, as many as a literal may have.
+MOST_LEVELS = 2 + MAX_DEPTH
+#: Every value of a sidebar that may hold or name documents: of objects the lists and the link, of lists everything.
+_WALK = f"""
+WITH RECURSIVE part(site, v) MAX RECURSION LEVEL {MOST_LEVELS} AS (
+  SELECT site, v FROM {{sidebars}}
+  UNION ALL
+  SELECT p.site, e.value FROM part p, LATERAL variant_explode(p.v) e
+  WHERE schema_of_variant(e.value) LIKE 'ARRAY%' OR e.key IS NULL AND schema_of_variant(e.value) RLIKE '^(OBJECT|STRING)' OR e.key = 'link' AND schema_of_variant(e.value) LIKE 'OBJECT%'
+)
+SELECT site, v, schema_of_variant(v) AS of FROM part
+"""
+
+
+def sidebar_entries(sidebars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site, raw) of sidebar files, JSON or a script that exports a literal -> (site, kind, name) of what they name, each once; (site, error) of those that can't be read.
+
+    kind doc names a document, folder a directory that is listed whole ('' for all). Sidebars are walked by a recursive query over all sites at once. Rows of a site that repeat add up.
+    """
+    spark = sidebars.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # sidebars are as many as there are sites; plans run later, so it stays
+    as_json = F.try_parse_json(F.col("raw"))
+    read = sidebars.select("site", as_json.alias("as_json"), F.when(as_json.isNull(), F.col("raw")).alias("source")).withColumn("literal", exported_literal(F.col("source")))
+    read = read.select("site", F.coalesce("as_json", "literal.value").alias("v"), F.when(F.col("as_json").isNull(), F.coalesce("literal.error", F.when(F.col("source").isNull(), "no source"))).alias("error"))
+    parts = spark.sql(_WALK, sidebars=read.where("v is not null").select("site", "v"))
+    of = lambda key: F.when(F.col("of").startswith("OBJECT"), F.try_variant_get("v", f"$.{key}", "string"))
+    is_text = lambda key: F.schema_of_variant(F.try_variant_get("v", f"$.{key}", "variant")) == "STRING"
+    doc = F.when(F.col("of") == "STRING", F.col("v").cast("string")).when(of("type").isin("doc", "ref") & is_text("id"), of("id"))
+    folder = F.when((of("type") == "autogenerated") & is_text("dirName"), F.when(of("dirName") == ".", "").otherwise(F.regexp_replace(of("dirName"), r"/\z", "")))
+    named = parts.select("site", F.explode(F.array(F.struct(F.lit("doc").alias("kind"), doc.alias("name")), F.struct(F.lit("folder").alias("kind"), folder.alias("name")))).alias("e"))
+    return named.select("site", "e.*").where("name is not null").distinct(), read.where("error is not null").select("site", "error")
 
 
 def docusaurus(raw: DataFrame, root: str = "docs", url_prefix: str | None = None, sidebars=None) -> DataFrame:
-    """sidebars: parsed JSON, or null for all pages. Index and readme files, and files named as their directory, stand for the directory."""
+    """Index and readme files, and files named as their directory, stand for the directory.
+
+    sidebars: parsed JSON of one site, a table (site, raw) of sidebar files of sites that raw names in a column site, or null for all pages. Sites
+    without a sidebar keep all pages, those whose sidebar can't be read none. A page offers its id and all its directories, which meet what
+    the sidebars name by equality. With a table the result has the site.
+    """
     parts = F.split("path", "/")
     folder = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
     stem = F.regexp_replace(paths.file_name(F.col("path")), r"\.mdx?\z", "")
@@ -87,14 +107,20 @@ def docusaurus(raw: DataFrame, root: str = "docs", url_prefix: str | None = None
     slug = F.coalesce(F.regexp_replace(F.regexp_replace(F.regexp_replace(_fm("slug"), r"\A\./", ""), r"\A/", ""), r"/\z", ""), file_slug)
     side = F.coalesce(F.concat_ws("/", non_empty(folder), _fm("id")), F.lit(""))
     side = F.when(_fm("id").isNotNull(), side).otherwise(paths.route_slug(F.col("path")))
-    keep = F.lit(True)
-    if sidebars is not None:
-        ids, folders = sidebar(sidebars)
-        keep = side.isin(ids) if ids else F.lit(False)
-        for f in folders:
-            head = "" if f == "." else f.removesuffix("/")
-            keep = keep | ((side == head) | side.startswith(head + "/") if head else F.lit(True))
-    return _pages(raw, root, keep, F.coalesce(_fm("package"), _fm("module"), side), slug, url_prefix)
+    ident = F.coalesce(_fm("package"), _fm("module"), side)
+    if sidebars is None:
+        return _pages(raw, root, F.lit(True), ident, slug, url_prefix)
+    if not isinstance(sidebars, DataFrame):
+        one = raw.sparkSession.createDataFrame([("", json.dumps(sidebars))], "site string, raw string")
+        return docusaurus(raw.withColumn("site", F.lit("")), root, url_prefix, one).drop("site")
+    entries, _ = sidebar_entries(sidebars)
+    ids = raw.where(F.col("path").rlike(r"\.mdx?\z")).withColumn("fm", plain_frontmatter(F.col("raw"))).select("site", "path", side.alias("side"))
+    steps = F.split("side", "/")
+    heads = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.struct(F.lit("folder").alias("kind"), F.array_join(F.slice(steps, F.lit(1), k), "/").alias("name")))
+    offered = ids.select("site", "path", F.explode(F.array_append(heads, F.struct(F.lit("doc").alias("kind"), F.col("side").alias("name")))).alias("o")).select("site", "path", "o.*")
+    listed = offered.join(entries, ["site", "kind", "name"], "left_semi").select("site", "path").distinct()
+    free = raw.join(sidebars.select("site").distinct(), "site", "left_anti")
+    return _pages(raw.join(listed, ["site", "path"], "left_semi").unionByName(free), root, F.lit(True), ident, slug, url_prefix, "site")
 
 
 def vitepress(raw: DataFrame, root: str = "docs", url_prefix: str | None = None, clean_urls: bool = False, src_exclude: list[str] | None = None) -> DataFrame:
