@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,8 @@ from waymark.operators import strict
 from waymark.plans import queries as Q
 from waymark.plans import site_queries
 from waymark.sources import human
-from waymark.tables import read, spread
+from waymark.streaming import requests
+from waymark.tables import read, shared_dir, spread
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -121,8 +123,18 @@ def sidebar_errors(spark: SparkSession, d: str) -> DataFrame:
     return human.sidebar_entries(_sites(files))[1]
 
 
+def rebuild_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of a stream of each user's events, an hour apart and served at once, as far as the stream's own time goes."""
+    events = read(spark, d, "events").select("user_id", "ts")
+    changes = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    at = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
+    requests.serve(requests.requests(changes, key="user_id", gap_ms=3_600_000), lambda batch: batch, f"{at}/out", f"{at}/state").awaitTermination()
+    served = spark.read.schema(requests.REQUEST).parquet(f"{at}/out")
+    return served.select("key", "number", "n", *[F.unix_micros(c).alias(f"{c}_us") for c in ("first", "last", "at")])
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (literal_sources, document_issues, sidebar_sites, sidebar_errors)}
+    return {f.__name__: f for f in (literal_sources, document_issues, sidebar_sites, sidebar_errors, rebuild_requests)}
 
 
 SQL: dict[str, str] = {
@@ -155,6 +167,10 @@ UNION ALL SELECT 'config', doc_id, 'require_type', 'must be true or false' FROM
     "sidebar_sites": rf"""WITH f AS ({site_queries.FILES}), s AS (SELECT *, pos // 25 AS number, {site_queries._ROUTE} AS side FROM f)
 SELECT concat('s', number) AS site, CASE WHEN pos % 5 = 0 THEN concat('pkg', cast(pos AS string)) ELSE side END AS id, concat('/docs/', side) AS url, concat('docs/', path) AS path
 FROM s WHERE number % 7 = 0 OR number % 7 <> 4 AND (pos % 3 < 2 OR number % 4 = 0 AND path LIKE 'guide/%')""",
+    "rebuild_requests": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id::VARCHAR AS key, row_number() OVER (PARTITION BY user_id ORDER BY k) AS number, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, epoch_us(max(ts)) + 3600000000 AS at_us
+FROM s GROUP BY user_id, k HAVING epoch_us(max(ts)) + 3600000000 <= (SELECT epoch_ms(max(ts)) * 1000 FROM g)""",
     "sidebar_errors": """SELECT DISTINCT concat('s', page_id // 25) AS site, 'sidebar isn''t declared with a value' AS error FROM pages WHERE page_id IS NOT NULL AND (page_id // 25) % 7 = 4""",
 }
 
