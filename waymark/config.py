@@ -8,8 +8,10 @@ import warnings
 from dataclasses import dataclass, field
 from typing import Any
 
+from waymark.functions import literals
+
 #: File names under which settings are sought, in this order, here and in up to twelve parent directories.
-NAMES = ("waymark.config.json", ".waymark.json")
+NAMES = ("waymark.config.ts", "waymark.config.mts", "waymark.config.js", "waymark.config.mjs", "waymark.config.json", ".waymark.json")
 PRESETS = {
     "minimal": ["index-freshness"],
     "standard": ["index-freshness", "human-guide-links"],
@@ -85,12 +87,12 @@ def find(start: str) -> str | None:
 
 
 def load(start: str) -> tuple[Settings, str]:
-    """Settings and their directory. Only JSON is read; no code is run."""
+    """Settings and their directory. JSON, or a script that exports a literal; no code is run."""
     path = find(start)
     if path is None:
         raise FileNotFoundError(f"no settings at or above {start}")
     with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+        data = json.load(f) if path.endswith(".json") else literals.read(f.read())
     if not isinstance(data, dict):
         raise ValueError("settings must be an object")
     return parse(data), os.path.dirname(path)

@@ -219,7 +219,8 @@ def issues(docs: DataFrame, schema: str | Rule, id_col: str = "id", json_col: st
     of = F.regexp_extract(F.schema_of_variant("v"), r"\A\w+", 0).alias("of")
     below = F.when(F.col("key_most").isNotNull(), F.struct("key_least", "key_most")).alias("below")
     both = F.concat("issues", F.when(F.col("v").isNull(), F.array().cast(ISSUES)).otherwise(_issues())).alias("issues")
-    opened = F.when(F.col("kind").isin("object", "entries", "list", "list or object") & F.col("of").isin("OBJECT", "ARRAY"), F.col("v")).alias("opened")
+    holds = (F.col("of") == "OBJECT") & F.col("kind").isin("object", "entries", "list or object") | (F.col("of") == "ARRAY") & F.col("kind").startswith("list")
+    opened = F.when(holds, F.col("v")).alias("opened")
     seen, kept = ["*", *_seen()], ["id", "path", "rule", below, both, "kind", opened]
     for level in range(levels):
         ruled = nodes.join(rules, ["parent", "key"], "left").select("*", of).select(*seen).select(*kept)

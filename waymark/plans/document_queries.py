@@ -126,7 +126,7 @@ def sidebar_errors(spark: SparkSession, d: str) -> DataFrame:
 def rebuild_requests(spark: SparkSession, d: str) -> DataFrame:
     """Requests of a stream of each user's events, an hour apart and served at once, as far as the stream's own time goes."""
     events = read(spark, d, "events").select("user_id", "ts")
-    changes = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    changes = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream reads no single file
     at = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
     requests.serve(requests.requests(changes, key="user_id", gap_ms=3_600_000), lambda batch: batch, f"{at}/out", f"{at}/state").awaitTermination()
     served = spark.read.schema(requests.REQUEST).parquet(f"{at}/out")

@@ -105,9 +105,9 @@ def requests(changes: DataFrame, done: DataFrame | None = None, key: str = "root
     session keeps its state in RocksDB from here on, as such operators need.
     """
     changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    rows = changes.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("time"), F.lit(CHANGE).alias("kind"), F.lit(0).cast("long").alias("number"))
+    rows = changes.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("time"), F.lit(CHANGE).alias("kind"), F.lit(0).cast("long").alias("number"))
     if done is not None:
-        rows = rows.unionByName(done.select(F.col("key").cast("string").alias("key"), F.col("ts").alias("time"), F.lit(DONE).alias("kind"), F.col("number").cast("long").alias("number")))
+        rows = rows.unionByName(done.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("time"), F.lit(DONE).alias("kind"), F.col("number").cast("long").alias("number")))
     rows = rows.where("key is not null and time is not null").withColumn("ts", F.unix_micros("time"))
     rows = rows.withWatermark("time", late) if mode == EVENT_TIME else rows
     got = rows.groupBy("key").transformWithStateInPandas(Requests(1000 * gap_ms, mode, done is not None), _RAW, "Append", mode)
