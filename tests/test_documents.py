@@ -1,5 +1,6 @@
 """Literals in code against a recursive reader, strict schemas against a plain walk, sidebars against a recursive visit."""
 
+import hashlib
 import json
 import random
 import re
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark import config
 from waymark.functions import literals
-from waymark.operators import strict
+from waymark.operators import search, sinks, strict
 from waymark.sources import human
 
 RNG = random.Random(11)
@@ -219,3 +220,40 @@ def test_a_deep_sidebar(spark):
     deep = '{"docs": ' + '[{"type": "category", "items": ' * 150 + '["a"]' + "}]" * 150 + "}"
     entries, errors = human.sidebar_entries(spark.createDataFrame([("s", deep)], "site string, raw string"))
     assert [tuple(r) for r in entries.collect()] == [("s", "doc", "a")] and errors.count() == 0
+
+
+def test_full_text_is_one_file_in_parts(spark, tmp_path):
+    files = [(f"{RNG.choice('abÄz')}/{RNG.choice(['b', 'B', 'é'])}{k}.md", RNG.choice(["", "x\ny", "日😀 text\n"]) * RNG.randrange(4)) for k in range(60)]
+    rows = sinks.full_text("head\n", spark.createDataFrame(files, "file string, raw string"))
+    got = sorted((r["part"], r["place"], r["file"], r["offset"], r["text"]) for r in rows.collect())
+    names = [r["file"] for r in spark.createDataFrame(files, "file string, raw string").orderBy(F.expr("file collate UNICODE")).collect()]
+    whole = "head\n" + "".join(f"\n\n---\n\n# Source: {f}\n\n{dict(files)[f]}" for f in names) + "\n"
+    assert [f for _, _, f, _, _ in got] == [None, *names]
+    assert all(whole[at : at + len(text)] == text for *_, at, text in got)
+    sinks.write_text(rows, str(tmp_path / "full"))
+    parts = sorted((tmp_path / "full").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == whole
+    digests = {r["file"]: (r["bytes"], r["sha256"]) for r in sinks.part_digests(spark, str(tmp_path / "full")).collect()}
+    assert digests == {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in parts}
+    assert sinks.full_text("only", spark.createDataFrame([], "file string, raw string")).collect()[0]["offset"] == 0
+
+
+def test_names_of_an_entry_count_once_in_their_compatibility_form(spark):
+    rows = [("a", ["ﬁne", "FINE", " fine ", None, "ｗｉｄｅ", "wide", *[f"n{k}" for k in range(20)]]), ("b", None), ("c", [])]
+    entries = spark.createDataFrame(rows, "id string, aliases array<string>")
+    got = {r["id"]: r["aliases"] for r in sinks.portal_entries(entries).collect()}
+    assert got == {"a": ["ﬁne", "ｗｉｄｅ", *[f"n{k}" for k in range(14)]], "b": None, "c": []}
+
+
+def test_tokens_are_found_alike_by_either_way(spark, monkeypatch):
+    words = ["ab", "a", "b-c", "abab", "@x/y", "b_", "9", "ba9", "zz"]
+    hays = ["".join(RNG.choice(["ab", "a", "b", "-", "_", " ", "@x/y", "9", "é", "."]) for _ in range(RNG.randrange(0, 40))) for _ in range(200)]
+    entries = spark.createDataFrame(list(enumerate(hays)), "k long, hay string")
+    for signs in (search.SIGNS, ""):
+        tokens = spark.createDataFrame([(w,) for w in words if not set(w) & set("@/_-") or signs], "token string")
+        both = [sorted(map(tuple, f(entries, ["k"], tokens, signs).collect())) for f in (search.held_tokens, search.vocabulary_tokens)]
+        assert both[0] == both[1] and len(both[0]) > 100
+    monkeypatch.setattr(search, "SEEN_CHARS", 100)
+    assert sorted(map(tuple, search.held_tokens(entries, ["k"], tokens, "").collect())) == both[0]
+    none = spark.createDataFrame([], "token string")
+    assert search.held_tokens(entries, ["k"], none).count() == 0

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from waymark import tables
 from waymark.config import Settings
 from waymark.functions import paths
 from waymark.functions.markdown import first_heading, first_paragraph, non_empty, trimmed
@@ -160,33 +163,92 @@ def described(raw: Column) -> Column:
     return F.coalesce(non_empty(F.substring(declared, 1, 240)), F.substring(F.regexp_replace(prose, r"\s+", " "), 1, 240))
 
 
+def _cited(*each: tuple[Column, Column, Column]) -> Column:
+    return F.array(*[F.struct(i.alias("id"), t.alias("title"), h.alias("href")) for i, t, h in each]).alias("citations")
+
+
 def document_entries(documents: DataFrame, public: DataFrame, origin: str, site: str) -> DataFrame:
-    """(id, kind, title, aliases, answer) of the public documents: documents (file, raw), public (file)."""
+    """(id, kind, title, aliases, answer, citations) of the public documents: documents (file, raw), public (file)."""
     rows = documents.join(public.select("file"), "file", "left_semi").withColumn("slug", F.regexp_replace("file", r"\.md\z", ""))
     title = F.coalesce(non_empty(trimmed(F.regexp_extract("raw", r"(?m)^#\s+(.+)$", 1))), "slug")
     rows = rows.withColumns({"title": title, "said": F.coalesce(described(F.col("raw")), F.lit("Canonical documentation."))})
     page = F.when(F.col("slug") == "index", F.lit(f"{origin}/docs/")).otherwise(F.concat(F.lit(f"{origin}/docs/"), "slug", F.lit("/")))
     answer = F.concat(F.lit("## "), "title", F.lit("\n\n"), "said", F.lit("\n\n[Open the canonical guide]("), page, F.lit(f") · [Read raw Markdown]({origin}/raw/"), "file", F.lit(")"))
     names = F.array("slug", "file", "title", F.concat(F.lit(f"{site} "), "title"))
-    return rows.select(entry_id(F.col("slug")).alias("id"), F.lit("document").alias("kind"), "title", names.alias("aliases"), answer.alias("answer"))
+    own = entry_id(F.col("slug"))
+    return rows.select(own.alias("id"), F.lit("document").alias("kind"), "title", names.alias("aliases"), answer.alias("answer"), _cited((own, F.col("title"), page)))
 
 
 def package_entries(handoffs: DataFrame, origin: str) -> DataFrame:
     """Entries of the packages' handoffs: who owns what, where to start, what to edit and to check."""
     ident = F.col("target.id")
     purpose = F.coalesce(F.get("notes", F.lit(0)), F.concat(ident, F.lit(" ownership and checks")))
-    raw = F.concat(F.lit(f"{origin}/raw/"), F.regexp_replace("startHere", r"\Adocs/", ""))
+    place = F.regexp_replace("startHere", r"\Adocs/", "")
+    raw = F.concat(F.lit(f"{origin}/raw/"), place)
+    guide = F.when(F.col("humanDoc").rlike(r"\Ahttps?://"), F.col("humanDoc")).otherwise(F.concat(F.lit(origin), F.coalesce("humanDoc", F.lit("/docs/getting-started")), F.lit("/")))
     answer = F.concat(F.lit("## "), ident, F.lit(" handoff\n\n"), purpose, F.lit(".\n\nStart at [**"), "startHere", F.lit("**]("), raw, F.lit("). Edit roots: **"), F.array_join("editRoots", ", "), F.lit("**. Checks: **"), F.array_join("checks", "**, **"), F.lit("**.\n\nThis answer was generated from the repository's own index."))
     names = F.array(ident, F.concat(F.lit("who owns "), ident), F.concat(ident, F.lit(" handoff")), purpose)
-    return handoffs.select(F.concat(F.lit("package:"), ident).alias("id"), F.lit("package").alias("kind"), F.concat(ident, F.lit(" ownership handoff")).alias("title"), names.alias("aliases"), answer.alias("answer"))
+    cited = _cited((F.concat(F.lit("human:"), ident), F.concat(ident, F.lit(" human guide")), guide), (entry_id(place), F.col("startHere"), raw))
+    return handoffs.select(F.concat(F.lit("package:"), ident).alias("id"), F.lit("package").alias("kind"), F.concat(ident, F.lit(" ownership handoff")).alias("title"), names.alias("aliases"), answer.alias("answer"), cited)
+
+
+def command_entries(commands: DataFrame, origin: str, site: str) -> DataFrame:
+    """Entries of commands (id, label, command, description)."""
+    ident = F.col("id")
+    answer = F.concat(F.lit("## "), "label", F.lit("\n\n```bash\n"), "command", F.lit("\n```\n\n"), "description")
+    names = F.array(ident, "command", "label", F.concat(F.lit("how do i "), ident), F.concat(F.lit(f"{site} "), ident))
+    return commands.select(F.concat(F.lit("command:"), ident).alias("id"), F.lit("command").alias("kind"), F.col("label").alias("title"), names.alias("aliases"), answer.alias("answer"), _cited((F.lit("doc:spec:cli"), F.lit("CLI reference"), F.lit(f"{origin}/docs/spec/cli/"))))
+
+
+def ecosystem_entries(products: DataFrame, current: str) -> DataFrame:
+    """Entries of the other products (id, name, role, hook, home)."""
+    own = F.concat(F.lit("ecosystem:"), "id")
+    answer = F.concat(F.lit("## "), "name", F.lit("\n\n"), "hook", F.lit("\n\n[Continue to "), "name", F.lit("]("), "home", F.lit(")"))
+    return products.where(F.col("id") != current).select(own.alias("id"), F.lit("document").alias("kind"), F.col("name").alias("title"), F.array("id", "name", "role", "hook").alias("aliases"), answer.alias("answer"), _cited((own, F.col("name"), F.col("home"))))
 
 
-def portal_entries(*tables: DataFrame) -> DataFrame:
-    """Union of portal entries (id, kind, title, aliases, answer); aliases that are one in key form count once, the first, and ALIASES at most."""
-    both = reduce(DataFrame.unionByName, tables)
-    plain = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-    first = F.filter("aliases", lambda x, k: F.array_position(F.transform("aliases", plain), plain(x)) == k + 1)
-    return both.withColumn("aliases", F.slice(first, 1, ALIASES))
+def portal_entries(*parts: DataFrame) -> DataFrame:
+    """Union of portal entries; of aliases that are one in key form (compatibility form, trimmed, single spaces, lower case) the first stays, and ALIASES at most. Null ones go."""
+    both = reduce(DataFrame.unionByName, parts).withColumn("aliases", F.array_compact("aliases"))
+    keyed = F.transform(F.pandas_udf(_nfkc_each, "array<string>")("aliases"), lambda x: F.lower(F.regexp_replace(F.trim(x), r"\s+", " ")))
+    first = F.filter("aliases", lambda x, k: F.array_position("alias_keys", F.get("alias_keys", k)) == k + 1)
+    return both.withColumn("alias_keys", keyed).withColumn("aliases", F.slice(first, 1, ALIASES)).drop("alias_keys")
+
+
+def _nfkc_each(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda xs: None if xs is None else [unicodedata.normalize("NFKC", x) for x in xs])
+
+
+def full_text(head: str, documents: DataFrame) -> DataFrame:
+    """(part, place, file, text, offset): the texts that make up one file, a head and each document (file, raw) under its name, in the files' order by collation.
+
+    part and place order the rows; offset is where a row's text begins in the whole, in code points, a line break after each. The rows are a written
+    table, dealt out by ranges; one number a part is all that is gathered.
+    """
+    spark = documents.sparkSession
+    first = spark.createDataFrame([(None, head)], "file string, text string")
+    body = documents.select("file", F.concat(F.lit("\n---\n\n# Source: "), "file", F.lit("\n\n"), "raw").alias("text"))
+    name = F.expr("coalesce(file, '') collate UNICODE")
+    dealt = first.unionByName(body).repartitionByRange(name, F.col("file")).sortWithinPartitions(name, F.col("file"))
+    rows = tables.written(dealt.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "file", "text"))
+    size = F.length("text") + 1
+    sums, starts, at = sorted(tuple(r) for r in rows.groupBy("part").agg(F.sum(size).alias("n")).collect()), [], 0
+    for part, n in sums:
+        starts.append((part, at))
+        at += n
+    begun = F.sum(size).over(Window.partitionBy("part").orderBy("place")) - size  # a part is what one task held
+    return rows.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part").select("part", "place", "file", "text", (F.col("start") + begun).alias("offset"))
+
+
+def write_text(rows: DataFrame, path: str) -> None:
+    """The texts of full_text as files of a folder, whose names' order is the text's; joined they are one file."""
+    rows.select("part", "place", "text").repartitionByRange("part", "place").sortWithinPartitions("part", "place").select("text").write.mode("overwrite").text(path)
+
+
+def part_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256) of each file of a folder that write_text made."""
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return parts.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def diagnostics(knowledge: DataFrame, handoff: DataFrame, settings: Settings) -> DataFrame:

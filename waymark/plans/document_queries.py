@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.literals import exported_literal
-from waymark.operators import strict
+from waymark.operators import handoff, sinks, strict
+from waymark.plans import bindings as B
 from waymark.plans import queries as Q
 from waymark.plans import site_queries
 from waymark.sources import human
@@ -133,8 +134,31 @@ def rebuild_requests(spark: SparkSession, d: str) -> DataFrame:
     return served.select("key", "number", "n", *[F.unix_micros(c).alias(f"{c}_us") for c in ("first", "last", "at")])
 
 
+def portal_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Portal entries of all kinds with their citations: commands, other products, packages and public documents whose titles have compatibility forms."""
+    key = lambda c: F.col(c).cast("string")
+    parts = read(spark, d, "part").where("p_partkey is not null and p_name is not null and p_brand is not null and p_type is not null")
+    docs = _documents(spark, d).where("lang is not null and text is not null")
+    title = F.concat(F.lit("\ufb01ne  "), "lang", F.lit(" "), key("doc_id"))
+    files = docs.select(F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("fine "), "lang", F.lit(" "), key("doc_id"))).otherwise(F.concat(F.lit("guide/d"), key("doc_id"))), F.lit(".md")).alias("file"), F.concat(F.lit("# "), title, F.lit("\n\n> quote\n\n"), F.md5(F.col("text").cast("binary"))).alias("raw"), "doc_id")
+    commands = parts.where("p_partkey % 2 = 0").select(F.concat(F.lit("c"), key("p_partkey")).alias("id"), F.col("p_name").alias("label"), F.concat(F.lit("run "), "p_brand").alias("command"), F.col("p_type").alias("description"))
+    products = parts.where("p_partkey % 2 = 1").select(F.concat(F.lit("p"), key("p_partkey")).alias("id"), F.upper("p_name").alias("name"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.col("p_brand")).alias("role"), F.col("p_type").alias("hook"), F.concat(F.lit("https://h/"), key("p_partkey")).alias("home"))
+    every = sinks.portal_entries(
+        sinks.document_entries(files, files.where("doc_id % 2 = 0"), "https://o", "site"), sinks.package_entries(handoff.handoffs(Q.ownership(spark, d), Q.settings()), "https://o"),
+        sinks.command_entries(commands, "https://o", "site"), sinks.ecosystem_entries(products, "p7"),
+    )
+    return every.select("id", "kind", "title", F.array_join("aliases", "|").alias("aliases"), F.sha2("answer", 256).alias("answer"), F.array_join(F.transform("citations", lambda c: F.concat(c["id"], F.lit(" "), c["title"], F.lit(" "), c["href"])), "|").alias("citations"))
+
+
+def portal_full_text(spark: SparkSession, d: str) -> DataFrame:
+    """Where each document begins in the one text of all documents."""
+    docs = _documents(spark, d).where("text is not null").select(F.concat(F.when(F.col("doc_id") % 2 == 0, "a/").otherwise("b/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".md")).alias("file"), F.col("text").alias("raw"))
+    rows = sinks.full_text("# All of it\n", docs)
+    return rows.select(F.coalesce("file", F.lit("")).alias("file"), "offset", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (literal_sources, document_issues, sidebar_sites, sidebar_errors, rebuild_requests)}
+    return {f.__name__: f for f in (literal_sources, document_issues, sidebar_sites, sidebar_errors, rebuild_requests, portal_catalog, portal_full_text)}
 
 
 SQL: dict[str, str] = {
@@ -171,6 +195,19 @@ FROM s WHERE number % 7 = 0 OR number % 7 <> 4 AND (pos % 3 < 2 OR number % 4 =
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id::VARCHAR AS key, row_number() OVER (PARTITION BY user_id ORDER BY k) AS number, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, epoch_us(max(ts)) + 3600000000 AS at_us
 FROM s GROUP BY user_id, k HAVING epoch_us(max(ts)) + 3600000000 <= (SELECT epoch_ms(max(ts)) * 1000 FROM g)""",
+    "portal_catalog": f"""WITH own AS ({B.OWNERSHIP}), part_ AS (SELECT * FROM part WHERE p_partkey IS NOT NULL AND p_name IS NOT NULL AND p_brand IS NOT NULL AND p_type IS NOT NULL),
+docs AS (SELECT doc_id AS k, lang, md5(text) AS said, CASE WHEN doc_id % 3 = 0 THEN concat('fine ', lang, ' ', doc_id) ELSE concat('guide/d', doc_id) END AS slug FROM documents WHERE doc_id % 2 = 0 AND lang IS NOT NULL AND text IS NOT NULL),
+doc AS (SELECT *, concat('\ufb01ne  ', lang, ' ', k) AS title, concat('https://o/docs/', slug, '/') AS page, concat('doc:', regexp_replace(slug, '[^A-Za-z0-9._:-]+', ':', 'g')) AS id FROM docs)
+SELECT id, 'document' AS kind, title, concat_ws('|', slug, concat(slug, '.md'), CASE WHEN k % 3 <> 0 THEN title END, concat('site ', title)) AS aliases,
+  sha256(concat('## ', title, chr(10), chr(10), said, chr(10), chr(10), '[Open the canonical guide](', page, ') · [Read raw Markdown](https://o/raw/', slug, '.md)')) AS answer, concat(id, ' ', title, ' ', page) AS citations FROM doc
+UNION ALL SELECT concat('command:c', p_partkey), 'command', p_name, concat_ws('|', 'c' || p_partkey, 'run ' || p_brand, p_name, 'how do i c' || p_partkey, 'site c' || p_partkey), sha256(concat('## ', p_name, chr(10), chr(10), '```bash', chr(10), 'run ', p_brand, chr(10), '```', chr(10), chr(10), p_type)), 'doc:spec:cli CLI reference https://o/docs/spec/cli/' FROM part_ WHERE p_partkey % 2 = 0
+UNION ALL SELECT concat('ecosystem:p', p_partkey), 'document', upper(p_name), concat_ws('|', 'p' || p_partkey, upper(p_name), CASE WHEN p_partkey % 3 <> 0 THEN p_brand END, p_type), sha256(concat('## ', upper(p_name), chr(10), chr(10), p_type, chr(10), chr(10), '[Continue to ', upper(p_name), '](https://h/', p_partkey, ')')), concat('ecosystem:p', p_partkey, ' ', upper(p_name), ' https://h/', p_partkey) FROM part_ WHERE p_partkey % 2 = 1 AND p_partkey <> 7
+UNION ALL SELECT concat('package:', id), 'package', concat(id, ' ownership handoff'), concat_ws('|', id, 'who owns ' || id, id || ' handoff', purpose),
+  sha256(concat('## ', id, ' handoff', chr(10), chr(10), purpose, '.', chr(10), chr(10), 'Start at [**', start, '**](https://o/raw/', place, '). Edit roots: **', path, '**. Checks: **npm test**.', chr(10), chr(10), 'This answer was generated from the repository''s own index.')),
+  concat('human:', id, ' ', id, ' human guide ', CASE WHEN human_doc LIKE 'http%' THEN human_doc ELSE concat('https://o', coalesce(human_doc, '/docs/getting-started'), '/') END, '|doc:', regexp_replace(place, '[^A-Za-z0-9._:-]+', ':', 'g'), ' ', start, ' https://o/raw/', place)
+FROM (SELECT *, coalesce(agent_doc, '') AS start, regexp_replace(coalesce(agent_doc, ''), '^docs/', '') AS place FROM own)""",
+    "portal_full_text": """WITH t AS (SELECT '' AS file, concat('# All of it', chr(10)) AS text UNION ALL SELECT file, concat(chr(10), '---', chr(10), chr(10), '# Source: ', file, chr(10), chr(10), text) FROM (SELECT concat(CASE WHEN doc_id % 2 = 0 THEN 'a/' ELSE 'b/' END, lpad(doc_id::VARCHAR, 12, '0'), '.md') AS file, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))
+SELECT file, (sum(length(text) + 1) OVER (ORDER BY file ROWS UNBOUNDED PRECEDING) - length(text) - 1)::BIGINT AS "offset", length(text) AS n_chars, md5(text) AS text_md5 FROM t""",
     "sidebar_errors": """SELECT DISTINCT concat('s', page_id // 25) AS site, 'sidebar isn''t declared with a value' AS error FROM pages WHERE page_id IS NOT NULL AND (page_id // 25) % 7 = 4""",
 }
 
