@@ -116,8 +116,46 @@ def usage_pattern(package: str) -> str:
     return "|".join(f"(?:{w})" for w in ways)
 
 
-def action_contract(files: DataFrame, action: str, version: str) -> DataFrame:
-    """(path, problem): what breaks the rules of a published action. files (path, content): the action's own and the workflows'."""
+# Files that hold code or declare packages, folders that are left out, the lockfile, and the form of an exact version.
+CODE_FILE = r"\.(?:ts|tsx|js|jsx|mjs|cjs|json)\z"
+LOCKFILE = "pnpm-lock.yaml"
+LEFT_OUT = r"(?:\A|/)(?:\.git|\.next|node_modules|coverage|dist|out|playwright-report|test-results|\.lighthouseci|\.(?!github/)[^/]*)/"
+EXACT_VERSION = r"^[0-9]+\.[0-9]+\.[0-9]+"
+
+
+def package_usages(files: DataFrame, names: DataFrame, left_out: str = LEFT_OUT) -> DataFrame:
+    """(path, line, name, text): lines of code that use one of names (name), for any number of names in one pass. files (path, content).
+
+    A use is a word, between quotes and white space, that is the name or goes on with @ or / behind it: so each word offers itself and what stands before its signs,
+    and these meet the names by equality. In the lockfile a name counts anywhere: there each run of signs that names are made of offers its parts of the names' lengths. A line
+    counts once a name. Other files, and those in left-out or hidden folders, aren't looked at. text is trimmed, 200 characters at most. Null paths and contents are left out.
+    """
+    path = F.col("path")
+    kept = files.where((path.rlike(CODE_FILE) | (path == LOCKFILE)) & ~path.rlike(left_out) & F.col("content").isNotNull())
+    lines = kept.select("path", F.posexplode(F.split("content", r"\r?\n")).alias("k", "text"))
+    sizes = [r[0] for r in names.where(F.length("name") > 0).select(F.length("name").alias("n")).distinct().orderBy("n").limit(MOST_SIZES + 1).collect()]
+    if len(sizes) > MOST_SIZES:
+        raise ValueError(f"names of more than {MOST_SIZES} lengths")
+    sign = lambda w, p: F.substring(w, p, F.lit(1))
+    heads = lambda w: F.transform(F.filter(F.sequence(F.lit(2), F.length(w) + 1), lambda p: (p > F.length(w)) | sign(w, p).isin("@", "/")), lambda p: F.substring(w, F.lit(1), p - 1))
+    none = F.array().cast("array<string>")
+    at_size = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda p: F.substring(w, p, n))).otherwise(none)
+    parts = lambda w: F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: at_size(w, n)))
+    full = lambda pattern: F.filter(F.split("text", pattern), lambda w: w != "")
+    offered = F.when(path == LOCKFILE, F.flatten(F.transform(full(r"[\s\"':,{}()\[\]]+"), parts))).otherwise(F.flatten(F.transform(full(r"[\s\"']+"), heads)))
+    met = lines.select("path", "k", "text", F.explode(F.array_distinct(offered)).alias("name")).join(names.select("name").distinct(), "name")
+    return met.select("path", (F.col("k") + 1).alias("line"), "name", F.substring(F.trim("text"), 1, 200).alias("text"))
+
+
+#: Different lengths of names that are looked for in lockfiles; package names have 214 characters at most.
+MOST_SIZES = 1024
+
+
+def action_contract(files: DataFrame, action: str | Column, version: str, gate: str | None = None, rebuild: str | None = None, exact: str | None = None) -> DataFrame:
+    """(path, problem): what breaks the rules of a published action. files (path, content): the action's own and the workflows'.
+
+    Where given: gate is the command that the action must run, rebuild one that it must not, exact the pattern to which it must hold its version (EXACT_VERSION).
+    """
     c = F.col("content")
     own, flow = F.col("path") == action, F.col("path").rlike(r"(?:\A|/)\.github/workflows/[^/]+\.ya?ml\z")
     steps = F.transform(F.regexp_extract_all(c, F.lit(r"run:\s*\|([\s\S]*?)(?=\n\s+- name:|\z)"), F.lit(1)), lambda x: x.rlike(r"\$\{\{\s*inputs\."))
@@ -125,6 +163,11 @@ def action_contract(files: DataFrame, action: str, version: str) -> DataFrame:
         (own & ~c.contains(f"default: '{version}'"), "the default version differs"), (own & c.rlike(r"(?m)uses:\s+[^\n]+@(?:v|main|master)(?:\d+)?\s*$"), "a reference is mutable"), (own & F.exists(steps, lambda x: x), "an input enters a shell step directly"),
         (flow & c.rlike(r"(?m)uses:\s+(?!\./)[^\s]+@(?![0-9a-f]{40}(?:\s|$))[^\s#]+"), "a reference is mutable"),
     ]
+    if gate or rebuild:
+        stale = ~c.contains(gate or "")
+        rules.append((own & (stale | c.contains(rebuild) if rebuild else stale), "the committed index isn't gated as it is"))
+    if exact:
+        rules.append((own & ~c.contains(exact), "the version isn't held to an exact one"))
     return files.select("path", F.explode(F.array_compact(F.array(*[F.when(broken, F.lit(said)) for broken, said in rules]))).alias("problem"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.literals import exported_literal
-from waymark.operators import handoff, sinks, strict
+from waymark.operators import handoff, sinks, strict, validate
 from waymark.plans import bindings as B
 from waymark.plans import queries as Q
 from waymark.plans import site_queries
@@ -157,8 +157,32 @@ def portal_full_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.coalesce("file", F.lit("")).alias("file"), "offset", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def package_uses(spark: SparkSession, d: str) -> DataFrame:
+    """Uses of all legacy packages in code that holds whole texts, by kind of file and line."""
+    k, key = F.col("doc_id"), F.col("doc_id").cast("string")
+    names = read(spark, d, "part").where("p_partkey is not null").select(F.concat(F.lit("@old/p"), F.col("p_partkey").cast("string")).alias("name"))
+    used = F.concat(F.lit("@old/p"), (k % 150).cast("string"))
+    folder = F.when(k % 6 == 0, "src/").when(k % 6 == 1, "node_modules/a/").when(k % 6 == 2, ".github/").when(k % 6 == 3, "docs/.hidden/").otherwise("lib/")
+    path = F.concat(folder, key, F.when(k % 5 == 0, ".tsx").when(k % 5 == 1, ".json").when(k % 5 == 2, ".md").otherwise(".mjs"))
+    around = lambda before, after: F.concat(F.lit(before), used, F.lit(after))
+    line = F.when(k % 7 == 0, around("  import x from '", "'")).when(k % 7 == 1, F.concat(around('"', '": "1", "'), used, F.lit('/sub"'))).when(k % 7 == 2, around("run ", "@1.2 now")).when(k % 7 == 3, around("x", "")).when(k % 7 == 4, around("", "-more")).otherwise(around("require( '", "' )"))
+    text = F.regexp_replace("text", r"[\r\n]+", " ")
+    docs = _documents(spark, d).where("text is not null").select(path.alias("path"), F.concat(text, F.lit("\r\n"), line, F.lit("\n"), text).alias("content"))
+    lock = spark.createDataFrame([("pnpm-lock.yaml", "a\n/x@old/p12(y):\n  '@old/p3-more': 1"), ("sub/pnpm-lock.yaml", "'@old/p3'")], "path string, content string")
+    return validate.package_usages(docs.unionByName(lock), names)
+
+
+def action_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Actions, one a document, that rebuild the index instead of gating it or leave the version open."""
+    k = F.col("doc_id")
+    head = F.concat(F.lit("name: a\ndescription: "), F.to_json(F.array("source")), F.lit("\nbranding:\nruns:\n  using: composite\ndefault: '1.0.0'\n"))
+    body = F.concat(head, F.when(k % 2 == 0, "run: waymark gate run\n").otherwise(""), F.when(k % 3 == 0, "run: waymark index\n").otherwise(""), F.when(k % 5 < 3, f"[[ $V =~ {validate.EXACT_VERSION}$ ]]\n").otherwise(""))
+    docs = _documents(spark, d).where("source is not null").select(F.concat(F.lit("action.yml#"), k.cast("string")).alias("path"), body.alias("content"))
+    return validate.action_contract(docs, F.col("path"), "1.0.0", "waymark gate run", "waymark index", validate.EXACT_VERSION)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (literal_sources, document_issues, sidebar_sites, sidebar_errors, rebuild_requests, portal_catalog, portal_full_text)}
+    return {f.__name__: f for f in (literal_sources, document_issues, sidebar_sites, sidebar_errors, rebuild_requests, portal_catalog, portal_full_text, package_uses, action_rules)}
 
 
 SQL: dict[str, str] = {
@@ -208,6 +232,11 @@ UNION ALL SELECT concat('package:', id), 'package', concat(id, ' ownership hando
 FROM (SELECT *, coalesce(agent_doc, '') AS start, regexp_replace(coalesce(agent_doc, ''), '^docs/', '') AS place FROM own)""",
     "portal_full_text": """WITH t AS (SELECT '' AS file, concat('# All of it', chr(10)) AS text UNION ALL SELECT file, concat(chr(10), '---', chr(10), chr(10), '# Source: ', file, chr(10), chr(10), text) FROM (SELECT concat(CASE WHEN doc_id % 2 = 0 THEN 'a/' ELSE 'b/' END, lpad(doc_id::VARCHAR, 12, '0'), '.md') AS file, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))
 SELECT file, (sum(length(text) + 1) OVER (ORDER BY file ROWS UNBOUNDED PRECEDING) - length(text) - 1)::BIGINT AS "offset", length(text) AS n_chars, md5(text) AS text_md5 FROM t""",
+    "package_uses": """WITH d AS (SELECT doc_id AS k, concat('@old/p', doc_id % 150) AS used, chr(39) AS q, concat(CASE doc_id % 6 WHEN 0 THEN 'src/' WHEN 2 THEN '.github/' ELSE 'lib/' END, doc_id, CASE doc_id % 5 WHEN 0 THEN '.tsx' WHEN 1 THEN '.json' ELSE '.mjs' END) AS path
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL AND doc_id % 5 <> 2 AND doc_id % 6 NOT IN (1, 3) AND doc_id % 7 NOT IN (3, 4) AND doc_id % 150 IN (SELECT p_partkey FROM part))
+SELECT path, 2 AS line, used AS name, CASE k % 7 WHEN 0 THEN concat('import x from ', q, used, q) WHEN 1 THEN concat('"', used, '": "1", "', used, '/sub"') WHEN 2 THEN concat('run ', used, '@1.2 now') ELSE concat('require( ', q, used, q, ' )') END AS text FROM d
+UNION ALL SELECT 'pnpm-lock.yaml', line, concat('@old/p', p_partkey), text FROM part JOIN (VALUES (1, 2, '/x@old/p12(y):'), (12, 2, '/x@old/p12(y):'), (3, 3, concat(chr(39), '@old/p3-more', chr(39), ': 1'))) v(p, line, text) ON p = p_partkey""",
+    "action_rules": """SELECT concat('action.yml#', doc_id) AS path, unnest(list_filter([CASE WHEN doc_id % 2 <> 0 OR doc_id % 3 = 0 THEN 'the committed index isn''t gated as it is' END, CASE WHEN doc_id % 5 >= 3 THEN 'the version isn''t held to an exact one' END], lambda x: x IS NOT NULL)) AS problem FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL""",
     "sidebar_errors": """SELECT DISTINCT concat('s', page_id // 25) AS site, 'sidebar isn''t declared with a value' AS error FROM pages WHERE page_id IS NOT NULL AND (page_id // 25) % 7 = 4""",
 }
 
