@@ -1,4 +1,4 @@
-"""Chunks: local search hits, federated text sections, both together, and vector neighbours."""
+"""Chunks: local search hits, federated text sections, and both together; answers by alias."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from waymark.functions import markdown, paths, text
 from waymark.functions.markdown import non_empty
 from waymark.operators.handoff import with_position
 from waymark.operators.search import held_tokens, token_counts
+from waymark.operators.vectors import exact_topk as vector_topk  # noqa: F401
 from waymark.tables import small_side
 
 K = 8
@@ -99,25 +100,6 @@ def fixed_chunks(docs: DataFrame, size: int = 900, overlap: int = 120) -> DataFr
     return docs.where(F.length("content") > 0).select("id", F.posexplode(F.transform(starts, lambda s: F.substring(F.col("content"), s + 1, F.lit(size)))).alias("ordinal", "chunk"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
-    """(query_id, rank, id, similarity): nearest vectors by cosine, exact. corpus (id, embedding), queries (query_id, embedding) as the stated, broadcast side.
-
-    A rank limit inside each task keeps k rows a query before the shuffle. Ties go to the smaller id; zero vectors have similarity 0.
-    """
-    norm = lambda c: F.sqrt(dot(c, c))
-    c = corpus.select("id", "embedding", norm(F.col("embedding")).alias("n"))
-    q = small_side(queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn")))
-    both = c.crossJoin(q)
-    scale = F.col("n") * F.col("qn")
-    rows = both.select("query_id", "id", F.when(scale > 0, dot(F.col("embedding"), F.col("q")) / scale).otherwise(0.0).alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
-
-
 def alias_key(c: Column) -> Column:
     """Compatibility form, trimmed, single spaces, lower case."""
     nfkc = F.pandas_udf(_nfkc, "string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waymark import tables
 from waymark.config import STYLE_PROFILES, Settings
 from waymark.functions import markdown, paths, text
-from waymark.operators import conformance, doctor, gates, handoff, memory, retrieve, search, sinks
+from waymark.operators import conformance, doctor, gates, handoff, memory, retrieve, search, sinks, vectors
 from waymark.plans import bindings as B
 from waymark.plans.oracles import SQL
 from waymark.sources import human
@@ -281,11 +281,22 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", text.content_hash(F.to_json(F.struct("source", "text", F.col("doc_id").alias("id"), meta.alias("meta")))).alias("sha256"))
 
 
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose ids are divisible by 50."""
+    e = tables.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return e, e.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+
+
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """The six nearest vectors of each vector whose id is divisible by 50."""
-    e = tables.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    out = retrieve.vector_topk(e, e.where("id % 50 = 0").withColumnRenamed("id", "query_id"))
-    return out.select("query_id", F.col("rank").cast("long"), "id", F.round("similarity", 6).alias("similarity"))
+    return vectors.exact_topk(*_vectors(spark, d)).select("query_id", F.col("rank").cast("long"), "id", F.round("similarity", 6).alias("similarity"))
+
+
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same by an inverted file: those found in the cells that each query is sent to, with no SQL; recall is measured against vector_topk."""
+    corpus, asked = _vectors(spark, d)
+    cells = vectors.fit(corpus)
+    return vectors.search_index(vectors.build_index(corpus, cells), asked, cells).select("query_id", F.col("rank").cast("long"), "id", "similarity")
 
 
 def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -351,7 +362,7 @@ def knowledge_urls(spark: SparkSession, d: str) -> DataFrame:
 def registry() -> dict[str, Query]:
     own = [
         search_rank, knowledge_build, frontmatter_fields, agent_search_envelope, ask_route, question_packages, retriever_chunks, ownership_seeds, packages_merge, handoff_build, agent_doc_guess, human_doc_match, human_doc_union, route_collision, human_links_gate, human_links_missing, docs_style_gate, okf_gate,
-        doctor_score, doctor_issues, conformance_summary, memory_classify, memory_safety, memory_duplicates, memory_draft_lines, llms_links, chunk_markdown, hybrid_retrieve, content_hash, vector_topk, fixed_chunks, debounce_sessions, link_graph_violations, llms_txt, default_checks, vitepress_routes, knowledge_urls,
+        doctor_score, doctor_issues, conformance_summary, memory_classify, memory_safety, memory_duplicates, memory_draft_lines, llms_links, chunk_markdown, hybrid_retrieve, content_hash, vector_topk, vector_index_topk, fixed_chunks, debounce_sessions, link_graph_violations, llms_txt, default_checks, vitepress_routes, knowledge_urls,
     ]
     return {f.__name__: f for f in own}
 
