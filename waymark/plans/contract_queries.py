@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +16,8 @@ from waymark.plans import bindings as B
 from waymark.plans import index
 from waymark.plans import oracles as O
 from waymark.plans import queries as Q
-from waymark.sources import files, human
+from waymark.sources import files, human, web
+from waymark.sources.stores import store
 from waymark.streaming import rebuild
 
 #: Explicit owners: ids of documents, of declared packages and of digits alone, with and without each value.
@@ -361,36 +361,33 @@ def relevant_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, d: str) -> str:
-    """A small project on disk: documents, some in hidden folders and in skipped ones, notes and editor rules, one of each a nation."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = f"{(folder or tempfile.gettempdir()).rstrip('/')}/waymark-tree-{uuid.uuid4().hex}"
-    system, base = files.store(root)
-    for r in tables.read(spark, d, "nation").select("n_nationkey", "n_name").collect():  # a table of fixed size
-        k, name = r["n_nationkey"], r["n_name"]
-        note = {f".agent-memory/m{k}.md": f"Fact of {name}\n"} if k % 2 == 0 else {f".cursor/rules/r{k}.mdc": f"# Rule {name}\n"}
-        for path, body in ({f"docs/{('_x/', '.h/', '')[k % 3]}d{k}.md": f"# {name}\n", f"docs/node_modules/n{k}.md": "no"} | note).items():
-            system.create_dir(f"{base}/{path}".rpartition("/")[0])
-            with system.open_output_stream(f"{base}/{path}") as f:
-                f.write(body.encode())
+    """A project on disk, written by the tasks: documents, some in hidden folders and in skipped ones, notes and editor rules, some of each supplier."""
+    root = f"{tables.shared_dir(spark)}/waymark-tree-{uuid.uuid4().hex}"
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    number = k.cast("string")
+    file = lambda *parts, text: F.struct(F.concat(*parts).alias("path"), text.alias("text"))
+    titled = F.concat(F.lit("# "), name, F.lit("\n"))
+    folder = F.when(k % 3 == 0, "_x/").when(k % 3 == 1, ".h/").otherwise("")
+    note = F.when(k % 2 == 0, file(F.lit(".agent-memory/m"), number, F.lit(".md"), text=F.concat(F.lit("Fact of "), name, F.lit("\n")))).otherwise(file(F.lit(".cursor/rules/r"), number, F.lit(".mdc"), text=F.concat(F.lit("# Rule "), name, F.lit("\n"))))
+    every = F.array(file(F.lit("docs/"), folder, F.lit("d"), number, F.lit(".md"), text=titled), file(F.lit("docs/node_modules/n"), number, F.lit(".md"), text=F.lit("no")), note)
+    rows = tables.read(spark, d, "supplier").where("s_suppkey is not null and s_name is not null").select(F.inline(every))
+    web.write_texts(rows, root).agg(F.sum("bytes")).first()
     return root
 
 
 def _of_tree(spark: SparkSession, d: str, read: Callable[[str], DataFrame]) -> DataFrame:
-    """What read gives of the tree, a few rows, which is removed then."""
+    """What read gives of the tree, as a written table; the tree is removed then."""
     root = _tree(spark, d)
     try:
-        df = read(root)
-        return spark.createDataFrame(df.collect(), df.schema)
+        return tables.written(read(root))
     finally:
-        system, base = files.store(root)
+        system, base = store(root)
         system.delete_dir(base)
 
 
 def scanned_documents(spark: SparkSession, d: str) -> DataFrame:
     """Markdown files of a tree on disk, with sizes and digests."""
-    return _of_tree(spark, d, lambda root: files.scan_markdown(spark, root, max_files=1000, max_bytes=1 << 20, max_total=1 << 26).select("path", "length", F.sha2("raw", 256).alias("sha256")))
+    return _of_tree(spark, d, lambda root: files.scan_markdown(spark, root, max_files=1 << 20, max_bytes=1 << 20, max_total=1 << 30).select("path", "length", F.sha2("raw", 256).alias("sha256")))
 
 
 def scanned_notes(spark: SparkSession, d: str) -> DataFrame:
@@ -507,11 +504,11 @@ SELECT false AS ok, 'Draft memory promotion' AS title, sha256(body) AS body, CAS
 SELECT doc_id, posix, NOT (doc_id % 4 = 1 OR doc_id % 4 = 2 OR posix = './PLAN.md') AS public, CASE doc_id % 3 WHEN 0 THEN doc_id % 2 = 0 WHEN 1 THEN false ELSE true END AS same, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 100) AS line FROM d""",
     "meta_lists": """SELECT CASE WHEN n_nationkey % 2 = 0 THEN concat('d', n_nationkey) ELSE '' END AS dir, concat('p', n_nationkey, ',...') AS pages FROM nation WHERE n_nationkey % 5 <> 0 AND n_nationkey % 3 <> 0 AND n_nationkey % 7 <> 1""",
     "human_urls": f"WITH {O._PAGES} SELECT id, url FROM page WHERE path NOT LIKE 'docs/for-agents/%' AND path NOT LIKE '%/for-agents/%' QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1",
-    "scanned_documents": """SELECT concat('docs/', CASE n_nationkey % 3 WHEN 0 THEN '_x/' WHEN 1 THEN '.h/' ELSE '' END, 'd', n_nationkey, '.md') AS path, CAST(length(n_name) + 3 AS BIGINT) AS "length", sha256(concat('# ', n_name, chr(10))) AS sha256 FROM nation
-UNION ALL SELECT concat('.agent-memory/m', n_nationkey, '.md'), length(n_name) + 9, sha256(concat('Fact of ', n_name, chr(10))) FROM nation WHERE n_nationkey % 2 = 0""",
-    "scanned_notes": """SELECT concat('m', n_nationkey) AS id, 'agent-memory' AS source, concat('.agent-memory/m', n_nationkey, '.md') AS "rawPath", concat('Fact of ', n_name) AS fact, 0.7::DOUBLE AS confidence FROM nation WHERE n_nationkey % 2 = 0
-UNION ALL SELECT concat('r', n_nationkey, '.mdc'), 'cursor', concat('.cursor/rules/r', n_nationkey, '.mdc'), concat('Rule ', n_name), 0.6 FROM nation WHERE n_nationkey % 2 = 1""",
-    "stored_index": """SELECT concat('d', n_nationkey) AS id, n_name AS title, concat('docs/', CASE n_nationkey % 3 WHEN 0 THEN '_x/' WHEN 1 THEN '.h/' ELSE '' END, 'd', n_nationkey, '.md') AS path, CAST(NULL AS VARCHAR) AS root, true AS fresh FROM nation""",
+    "scanned_documents": """SELECT concat('docs/', CASE s_suppkey % 3 WHEN 0 THEN '_x/' WHEN 1 THEN '.h/' ELSE '' END, 'd', s_suppkey, '.md') AS path, CAST(length(s_name) + 3 AS BIGINT) AS "length", sha256(concat('# ', s_name, chr(10))) AS sha256 FROM supplier
+UNION ALL SELECT concat('.agent-memory/m', s_suppkey, '.md'), length(s_name) + 9, sha256(concat('Fact of ', s_name, chr(10))) FROM supplier WHERE s_suppkey % 2 = 0""",
+    "scanned_notes": """SELECT concat('m', s_suppkey) AS id, 'agent-memory' AS source, concat('.agent-memory/m', s_suppkey, '.md') AS "rawPath", concat('Fact of ', s_name) AS fact, 0.7::DOUBLE AS confidence FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT concat('r', s_suppkey, '.mdc'), 'cursor', concat('.cursor/rules/r', s_suppkey, '.mdc'), concat('Rule ', s_name), 0.6 FROM supplier WHERE s_suppkey % 2 = 1""",
+    "stored_index": """SELECT concat('d', s_suppkey) AS id, s_name AS title, concat('docs/', CASE s_suppkey % 3 WHEN 0 THEN '_x/' WHEN 1 THEN '.h/' ELSE '' END, 'd', s_suppkey, '.md') AS path, CAST(NULL AS VARCHAR) AS root, true AS fresh FROM supplier""",
     "relevant_changes": """WITH e AS (SELECT ['a.MD', 'b.mdx', 'x/package.json', 'nx.json', 'waymark.config.json', 'c.ts', 'meta.json', 'mypackage.json'][CAST(event_id % 8 AS INT) + 1] AS path FROM events WHERE event_id IS NOT NULL) SELECT 'plain' AS kind, path, count(*) AS n FROM e WHERE path IN ('a.MD', 'b.mdx', 'waymark.config.json', 'meta.json') GROUP BY path UNION ALL SELECT 'manifests', path, count(*) FROM e WHERE path NOT IN ('c.ts', 'mypackage.json') GROUP BY path""",
 }
 

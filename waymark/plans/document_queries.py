@@ -13,7 +13,8 @@ from waymark.operators import handoff, sinks, strict, validate
 from waymark.plans import bindings as B
 from waymark.plans import queries as Q
 from waymark.plans import site_queries
-from waymark.sources import human
+from waymark.sources import human, web
+from waymark.sources.stores import store
 from waymark.streaming import requests
 from waymark.tables import read, shared_dir, spread
 
@@ -181,11 +182,36 @@ def action_rules(spark: SparkSession, d: str) -> DataFrame:
     return validate.action_contract(docs, F.col("path"), "1.0.0", "waymark gate run", "waymark index", validate.EXACT_VERSION)
 
 
+#: Bytes of a text from which it is too large, in the query.
+TEXT_BYTES = 8000
+
+
+def fetched_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What the files that the tasks write of all pages give when their addresses are fetched: most by path, some by a file address, some that aren't there, lie outside or are too large."""
+    root = f"{shared_dir(spark)}/waymark-texts-{uuid.uuid4().hex}"
+    k, number = F.col("page_id"), F.col("page_id").cast("string")
+    path = F.concat(F.lit("p"), (k % 16).cast("string"), F.lit("/"), number, F.lit(".html"))
+    pages = read(spark, d, "pages").where("page_id is not null")
+    full = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    asked = pages.select("page_id", F.when(k % 5 == 4, F.concat(path, F.lit(".gone"))).when(k % 5 == 3, F.concat(F.lit("../"), path)).when(k % 5 == 2, F.concat(F.lit(full + "/"), path)).otherwise(path).alias("url"))
+    system, base = store(root)
+    system.create_dir(base)
+    try:
+        web.write_texts(pages.select(path.alias("path"), F.col("html").alias("text")), root).agg(F.sum("bytes")).first()
+        got = web.read_texts(asked, base, timeout=60, max_bytes=TEXT_BYTES)
+    finally:
+        system.delete_dir(base)
+    return asked.join(got, "url").select("page_id", "outcome", "bytes", F.md5("raw").alias("raw_md5"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (literal_sources, document_issues, sidebar_sites, sidebar_errors, rebuild_requests, portal_catalog, portal_full_text, package_uses, action_rules)}
+    return {f.__name__: f for f in (literal_sources, document_issues, sidebar_sites, sidebar_errors, rebuild_requests, portal_catalog, portal_full_text, package_uses, action_rules, fetched_texts)}
 
 
 SQL: dict[str, str] = {
+    "fetched_texts": f"""WITH p AS (SELECT page_id, html, octet_length(encode(html)) AS n FROM pages WHERE page_id IS NOT NULL),
+o AS (SELECT *, CASE WHEN page_id % 5 = 4 THEN 'away' WHEN page_id % 5 = 3 THEN 'outside' WHEN html IS NULL THEN 'away' WHEN n = 0 THEN 'empty' WHEN n > {TEXT_BYTES} THEN 'too large' ELSE 'text' END AS outcome FROM p)
+SELECT page_id, outcome, CASE WHEN outcome IN ('text', 'empty') THEN n END AS bytes, CASE WHEN outcome = 'text' THEN md5(html) END AS raw_md5 FROM o""",
     "literal_sources": """SELECT doc_id, CASE doc_id % 7 WHEN 5 THEN 'no literal: make' WHEN 6 THEN 'a string has no end' END AS error,
   CASE WHEN ok THEN doc_id END AS id, CASE WHEN ok THEN coalesce(source, '') END AS source, CASE WHEN ok THEN length(coalesce(text, '')) END AS n_chars, CASE WHEN ok THEN md5(coalesce(text, '')) END AS text_md5,
   CASE WHEN ok THEN concat('a,b', CASE doc_id % 4 WHEN 0 THEN ',0' WHEN 1 THEN ',0,1' WHEN 2 THEN ',0,1,2' ELSE ',0,1,2,3' END) END AS tags, CASE WHEN ok THEN -1.5::DOUBLE END AS number,

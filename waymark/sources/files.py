@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 
 from waymark.functions import paths
 from waymark.operators.handoff import collated, with_position
+from waymark.sources import web
+from waymark.sources.stores import store
 
 SKIPPED = ("node_modules", ".git", "dist", "coverage", ".waymark")
 
@@ -24,16 +25,6 @@ class LimitError(ValueError):
     """A size limit is exceeded."""
 
 
-def store(root: str):
-    """The file system of an address and the path in it; null where only Spark reads it."""
-    if "://" not in root:
-        return fs.LocalFileSystem(), os.path.abspath(root)
-    try:
-        return fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
-    except (pa.ArrowInvalid, OSError):
-        return None
-
-
 def list_files(root: str, extensions: list[str], skip: tuple[str, ...] = SKIPPED) -> list[tuple[str, int]] | None:
     """(path below root, bytes) of files with one of the endings, hidden ones too, by path in byte order. Skipped directories aren't entered and links aren't followed.
 
@@ -184,34 +175,18 @@ def project_name(root: str, configured: str | None = None) -> str:
     return configured or str(_manifest(root).get("name") or os.path.basename(os.path.abspath(root)))
 
 
-#: Seconds that a fetch may take.
-TIMEOUT = 5
-
-
-def fetch_text(address: str, root: str = ".", timeout: float = TIMEOUT) -> str | None:
-    """The text of a web address or of a file, relative ones below root; null for what is away, too slow or no success."""
-    try:
-        if re.match(r"https?://", address):
-            with urllib.request.urlopen(address, timeout=timeout) as answer:  # noqa: S310
-                return answer.read().decode("utf-8", "replace")
-        with open(os.path.join(root, address), encoding="utf-8", errors="replace") as f:
-            return f.read()
-    except (OSError, ValueError):
-        return None
+def fetch_text(address: str, root: str = ".", timeout: float = web.TIMEOUT) -> str | None:
+    """The text of a web address or of a file below root; null for what is away, too slow or too large. web.fetch says which."""
+    return web.fetch(address, root, timeout)[0]
 
 
 def federated_sources(spark: SparkSession, sources: list[dict], fetch: Callable[[str], str | None] = fetch_text) -> DataFrame:
-    """(source_id, url, raw, base) of the configured texts, in their order. fetch gets an address and gives its text; what it can't get, or
-    fails at, is left out. Sources are a list of the settings, fetched on the driver.
+    """(source_id, url, raw, base) of the configured texts, fetched by the tasks. fetch gets an address and gives its text; what it can't get, or
+    fails at, is left out. web.federated_sources fetches each once and gives the outcomes, too.
     """
-    rows = []
-    for s in sources:
-        if s.get("includeInRetriever") is False or not s.get("llmsTxt"):
-            continue
-        raw = _soft(fetch, s["llmsTxt"])
-        if raw:
-            rows.append((s["id"], s["llmsTxt"], raw, s.get("rawBaseUrl")))
-    return spark.createDataFrame(rows, "source_id string, url string, raw string, base string")
+    rows = [(s["id"], s["llmsTxt"], s.get("rawBaseUrl")) for s in sources if s.get("includeInRetriever") is not False and s.get("llmsTxt")]
+    asked = spark.createDataFrame(rows, "source_id string, url string, base string")
+    return asked.join(fetch_texts(asked, fetch), "url").select("source_id", "url", "raw", "base")
 
 
 def _soft(fetch: Callable[[str], str | None], address: str) -> str | None:
@@ -230,7 +205,8 @@ def fetch_texts(links: DataFrame, fetch: Callable[[str], str | None] = fetch_tex
             rows = [r for r in rows if r[1]]
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], names=["url", "raw"])
 
-    return links.select("url").distinct().mapInArrow(got, "url string, raw string")
+    tasks = 4 * links.sparkSession.sparkContext.defaultParallelism
+    return links.select("url").distinct().repartition(tasks, "url").mapInArrow(got, "url string, raw string")
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
