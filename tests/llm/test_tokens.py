@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -167,7 +168,7 @@ def test_licenses(spark):
     got = {r["doc_id"]: r for r in rows}
     assert len(rows) == len(texts) + 1
     assert [got[k]["license_id"] for k in range(len(texts))] == ["MIT", "MIT", *[None] * 8, "MIT", "BSD-2-Clause", "Apache-2.0", None, None]
-    assert [got[k]["notices"] for k in range(len(texts))] == ["", "", "", "MIT", "MIT", "", "", "", "Apache-2.0,GPL-3.0", "", "", "", "", "", ""]
+    assert [got[k]["notices"] for k in range(len(texts))] == ["", "", "", "MIT", "MIT", "", "", "", "Apache-2.0,GPL-3.0", "", "", "", "Apache-2.0", "", ""]  # the whole text holds its own header
     assert got[13]["digest"] == got[14]["digest"] and all(got[k]["digest"] == licenses.plain_digest(t or "") for k, t in enumerate(texts))
     con = duckdb.connect()
     con.register("documents", docs(spark, texts).toPandas()[["doc_id", "text"]])
@@ -175,6 +176,25 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, []), licenses.known(spark)).count() == 0
 
 
+def test_licenses_under_titles_and_names(spark):
+    plain = dict(licenses.TEXTS[:7])
+    mit, bsd, isc = plain["MIT"], plain["BSD-3-Clause"], plain["ISC"]
+    heads = ["The MIT License (MIT)\n\n", "The MIT License\n", "(The MIT License)\n\n", "# MIT Licence\n=====\n", "Copyright Jane Roe\n\n", "MIT License\n\nCopyright Jane Roe and others\nCopyright Acme, Inc.\n\n", "// Copyright Jane Roe\nMIT License:\n", "\n\nLICENSE\n"]
+    texts = [h + mit for h in heads] + [f"The 3-Clause BSD License\nCopyright 2001 A\n{bsd}", f"ISC License (ISC)\n{isc}", isc.replace("copyright notice", "\ncopyright notice")]
+    known = len(texts)
+    texts += ["This isn't about any of the terms of the MIT License\n" + mit, f"{mit}\nMIT License", "MIT License\n", "Copyright law\nMIT License\n", "Copyright Jane Roe", f"Ελληνικά MIT License\n{mit}", "copyright " * 5000, "x\n" * 5000 + "mit license\n"]
+    got = sorted(licenses.scan(docs(spark, texts), licenses.known(spark)).collect(), key=lambda r: r["doc_id"])
+    assert [r["license_id"] for r in got[:known]] == ["MIT"] * len(heads) + ["BSD-3-Clause", "ISC", "ISC"] and not any(r["license_id"] for r in got[known:])
+    assert [r["digest"] for r in got] == [licenses.plain_digest(t) for t in texts]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    assert sorted(con.sql(f"SELECT doc_id, digest, license_id, notices FROM ({licenses.OP4_SQL})").fetchall()) == sorted(map(tuple, got))
+    lines = {'Licensed under the Apache License, Version 2.0 (the "License");': "Apache-2.0", "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", " * SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "Released under the Unlicense.": "Unlicense", "released under CC0 1.0": "CC0-1.0", "Licensed under MIT": "MIT"}
+    got = sorted(licenses.scan(docs(spark, list(lines)), licenses.known(spark)).collect(), key=lambda r: r["doc_id"])
+    assert [r["notices"] for r in got] == list(lines.values())
+    assert {k for k, _ in licenses.TEXTS} <= {k for k, _ in licenses.NOTICES}
+
+
 def test_licenses_of_long_texts_and_every_notice(spark):
     full = {k: t for k, t in licenses.TEXTS if k in ("Apache-2.0", "GPL-2.0", "LGPL-2.1", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0")}
     assert len(full) == 6

@@ -53,12 +53,17 @@ _FULL = [(f.name.removesuffix(".txt").split("~")[0], t) for f in sorted(resource
 #: (SPDX id, whole text): short ones with and without their title, then the long ones.
 TEXTS = [(k, t) for k, t, _ in _PLAIN] + [(k, f"{title}\n\n{t}") for k, t, title in _PLAIN] + _FULL
 
+# Names of licences in notices, by SPDX id.
 _NAMES = (
-    ("MIT", "MIT License"), ("MIT", "MIT license (MIT)"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache 2.0 License"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"),
-    ("MPL-2.0", "Mozilla Public License, Version 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("GPL-2.0", "GNU General Public License, version 2"), ("GPL-3.0", "GNU General Public License, version 3"), ("LGPL-3.0", "GNU Lesser General Public License, version 3"), ("AGPL-3.0", "GNU Affero General Public License, version 3"),
-    ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-NC-4.0", "CC BY-NC 4.0"), ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+    ("MIT", "MIT"), ("MIT", "MIT License"), ("MIT", "MIT license (MIT)"), ("MIT-0", "MIT No Attribution License"), ("ISC", "ISC License"), ("0BSD", "BSD Zero Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("Zlib", "zlib License"),
+    ("Unlicense", "Unlicense"), ("BSL-1.0", "Boost Software License 1.0"), ("BSL-1.0", "Boost Software License, Version 1.0"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache 2.0 License"),
+    ("MPL-1.1", "Mozilla Public License, Version 1.1"), ("MPL-1.1", "Mozilla Public License 1.1"), ("MPL-2.0", "Mozilla Public License, Version 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("GPL-1.0", "GNU General Public License, version 1"), ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"), ("LGPL-2.0", "GNU Library General Public License, version 2"), ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"), ("LGPL-3.0", "GNU Lesser General Public License, version 3"), ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("GFDL-1.2", "GNU Free Documentation License, Version 1.2"), ("GFDL-1.3", "GNU Free Documentation License, Version 1.3"), ("CC0-1.0", "CC0 1.0 Universal"), ("CC0-1.0", "CC0 1.0"), ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-NC-4.0", "CC BY-NC 4.0"), ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
 )
-_PHRASES = ("Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "This project is licensed under the {}.", "Distributed under the {}.", "SPDX-License-Identifier: {}")
+_PHRASES = ("Licensed under {}.", "Licensed under the {}.", 'Licensed under the {} (the "License");', "Released under {}.", "Released under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "This project is licensed under the {}.", "Distributed under the {}.")
+#: Ids in a file's header; those of the GNU licences say whether later versions count.
+_IDS = [(k, f"{k}{end}") for k in dict.fromkeys(k for k, _ in _NAMES) for end in ("", *(("-only", "-or-later", "+") if k.startswith(("GPL", "LGPL", "AGPL", "GFDL")) else ()))]
 
 #: (SPDX id, whole line).
-NOTICES = [(k, phrase.format(k if "SPDX" in phrase else name)) for k, name in _NAMES for phrase in _PHRASES]
+NOTICES = [(k, phrase.format(name)) for k, name in _NAMES for phrase in _PHRASES] + [(k, f"SPDX-License-Identifier: {name}") for k, name in _IDS]
