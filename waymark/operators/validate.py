@@ -196,18 +196,58 @@ def digest_mismatches(files: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.where(~F.col("sha256").eqNullSafe(F.col("actual"))).select("path", F.col("sha256").alias("expected"), "actual")
 
 
+# How images and badges stand in Markdown.
+IMAGES = ((r"!\[([^\]]*)\]\(([^)]+)\)", 1, 2), (r"""<img\s+[^>]*alt=["']([^"']*)["'][^>]*src=["']([^"']+)["'][^>]*>""", 1, 2))
+BADGES = "https://img.shields.io/"
+
+
+def images_of(c: Column) -> tuple[Column, Column, Column]:
+    """Of a Markdown text the number of images that are no badges, the number of badge addresses, and whether an image has no alternative text."""
+    of = lambda pattern, alt, src: F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(alt)).alias("alt"), F.regexp_extract_all(c, F.lit(pattern), F.lit(src)).alias("src"))
+    images = F.concat(*[of(*x) for x in IMAGES])
+    return F.size(F.filter(images, lambda x: ~x["src"].startswith(BADGES))), F.size(F.regexp_extract_all(c, F.lit(re.escape(BADGES)), F.lit(0))), F.exists(images, lambda x: F.trim(x["alt"]) == "")
+
+
 def readme_audit(files: DataFrame, markers: list[str], max_images: int, max_badges: int, min_images: int = 0) -> DataFrame:
     """(path, rule, ok) for each README: required markers, budgets of content images and of badges, alternative texts."""
     c = F.col("content")
-    of = lambda pattern, alt, src: F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(alt)).alias("alt"), F.regexp_extract_all(c, F.lit(pattern), F.lit(src)).alias("src"))
-    images = F.concat(of(r"!\[([^\]]*)\]\(([^)]+)\)", 1, 2), of(r"""<img\s+[^>]*alt=["']([^"']*)["'][^>]*src=["']([^"']+)["'][^>]*>""", 1, 2))
-    shields = "https://img.shields.io/"
-    content = F.size(F.filter(images, lambda x: ~x["src"].startswith(shields)))
-    badges = F.size(F.regexp_extract_all(c, F.lit(re.escape(shields)), F.lit(0)))
-    rules = [(f"marker:{m}", c.contains(m)) for m in markers] + [("image-budget", content.between(min_images, max_images)), ("badge-budget", badges <= max_badges), ("alt-text", ~F.exists(images, lambda x: F.trim(x["alt"]) == ""))]
+    content, badges, unnamed = images_of(c)
+    rules = [(f"marker:{m}", c.contains(m)) for m in markers] + [("image-budget", content.between(min_images, max_images)), ("badge-budget", badges <= max_badges), ("alt-text", ~unnamed)]
     return files.select("path", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in rules])).alias("r")).select("path", "r.*")
 
 
-def expired(df: DataFrame, due: str = "reviewBy") -> DataFrame:
-    """Rows whose review date has passed."""
-    return df.where(F.to_date(due) < F.current_date())
+SURFACE = """id string, path string, profileId string, dimensions array<struct<dimension: string, marker: string>>, visuals array<struct<src: string, darkMode: string>>,
+commands array<struct<id: string, command: string, test: string, testCommand: string>>, reviewedOn string, reviewDueOn string"""
+
+
+def surface_problems(surfaces: DataFrame, profiles: DataFrame, files: DataFrame, today: str | Column) -> DataFrame:
+    """(id, rule, detail): what READMEs break of what is declared for them. surfaces as SURFACE, profiles (profileId, min_images, max_images, max_badges), files (path, content).
+
+    A README that is away, or a profile that isn't known, ends a surface's checks. Files that are named (visuals, tests of commands) meet the files by equality. A review is due by the
+    end of its day; one without a date of review counts as expired, one without a due date doesn't.
+    """
+    rows = surfaces.join(files.select("path", F.col("content").alias("readme")), "path", "left").join(profiles.withColumn("known", F.lit(True)), "profileId", "left")
+    readme = F.col("readme")
+    content, badges, unnamed = images_of(readme)
+    lacks = lambda text: ~readme.contains(text)
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    problem = lambda rule, detail=None: F.struct(F.lit(rule).alias("rule"), F.coalesce(detail, F.lit("")).alias("detail") if detail is not None else F.lit("").alias("detail"))
+    if_ = lambda broken, *said: F.when(F.coalesce(broken, F.lit(False)), F.array(problem(*said))).otherwise(F.array().cast("array<struct<rule: string, detail: string>>"))
+    each = lambda items, broken, rule, detail: F.coalesce(F.transform(F.filter(items, broken), lambda x: problem(rule, x[detail])), F.array().cast("array<struct<rule: string, detail: string>>"))
+    markers = each("dimensions", lambda x: lacks(x["marker"]), "marker", "marker")
+    rest = F.concat(
+        if_(unnamed, "alt-text"), if_(~content.between(F.col("min_images"), F.col("max_images")), "image-budget", content.cast("string")), if_(badges > F.col("max_badges"), "badge-budget", badges.cast("string")),
+        each("visuals", lambda x: ~F.coalesce(x["darkMode"], F.lit("")).isin("neutral", "paired"), "dark-mode", "src"), each("commands", lambda x: lacks(x["command"]), "command", "command"),
+        each("commands", lambda x: empty(x["id"]) | empty(x["testCommand"]), "command-metadata", "command"),
+        if_(F.try_to_timestamp("reviewedOn", F.lit("yyyy-MM-dd")).isNull() | (F.try_to_timestamp("reviewDueOn", F.lit("yyyy-MM-dd")).cast("date") < F.to_date(today if isinstance(today, Column) else F.lit(today))), "review-expired", F.col("reviewDueOn")),
+    )
+    found = F.when(readme.isNull(), if_(F.lit(True), "readme-missing", F.col("path"))).when(F.col("known").isNull(), F.concat(markers, if_(F.lit(True), "profile", F.col("profileId")))).otherwise(F.concat(markers, rest))
+    own = rows.select("id", F.inline(found))
+    named = F.concat(F.coalesce(F.transform("visuals", lambda x: problem("visual-file", x["src"])), F.array().cast("array<struct<rule: string, detail: string>>")), F.coalesce(F.transform("commands", lambda x: problem("command-test", x["test"])), F.array().cast("array<struct<rule: string, detail: string>>")))
+    refs = rows.where(readme.isNotNull() & F.col("known").isNotNull()).select("id", F.inline(named))
+    return own.unionByName(refs.join(files.select(F.col("path").alias("detail")), "detail", "left_anti").select("id", "rule", "detail"))
+
+
+def expired(df: DataFrame, due: str = "reviewBy", today: Column | None = None) -> DataFrame:
+    """Rows whose review date has passed, by today's date if none is given."""
+    return df.where(F.to_date(due) < (F.current_date() if today is None else today))

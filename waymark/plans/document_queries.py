@@ -204,11 +204,45 @@ def fetched_texts(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(got, "url").select("page_id", "outcome", "bytes", F.md5("raw").alias("raw_md5"))
 
 
+def readme_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """What the READMEs made of all documents break of what is declared for them: markers, budgets, visuals, commands, profiles, reviews."""
+    docs = _documents(spark, d)
+    k, key = F.col("doc_id"), F.col("doc_id").cast("string")
+    of = lambda c, n: F.concat(F.lit(c), (k % n).cast("string"))
+    shown = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.when(k % 2 == 0, "## Install\n").otherwise(""), F.when(k % 3 != 0, F.concat(F.lit("run "), key, F.lit("!\n"))).otherwise(""), F.repeat(F.lit("![i](https://x/i.png) "), (k % 4).cast("int")), F.when(k % 5 == 0, "![](https://img.shields.io/b)").otherwise(""))
+    some = docs.select(F.explode(F.array(of("v/", 4), of("t/", 5))).alias("path")).distinct().withColumn("content", F.lit("x"))
+    files_ = docs.select(F.concat(F.lit("r/"), key, F.lit(".md")).alias("path"), shown.alias("content")).unionByName(some)
+    surfaces = docs.select(
+        F.concat(F.lit("s"), key).alias("id"), F.concat(F.when(k % 11 == 0, "gone/").otherwise("r/"), key, F.lit(".md")).alias("path"), F.when(k % 7 == 0, "none").otherwise(of("p", 2)).alias("profileId"),
+        F.array(F.struct(F.lit("install").alias("dimension"), F.lit("## Install").alias("marker"))).alias("dimensions"), F.array(F.struct(of("v/", 5).alias("src"), F.when(k % 4 == 0, "odd").otherwise("paired").alias("darkMode"))).alias("visuals"),
+        F.array(F.struct(F.when(k % 9 == 0, "").otherwise("c").alias("id"), F.concat(F.lit("run "), key, F.lit("!")).alias("command"), of("t/", 6).alias("test"), F.lit("x").alias("testCommand"))).alias("commands"),
+        F.when(k % 13 == 0, "soon").otherwise("2024-01-01").alias("reviewedOn"), F.when(k % 8 == 0, "2024-06-30").otherwise("2026-01-01").alias("reviewDueOn"),
+    )
+    profiles = spark.createDataFrame([("p0", 0, 2, 0), ("p1", 1, 3, 1)], "profileId string, min_images int, max_images int, max_badges int")
+    return validate.surface_problems(surfaces, profiles, files_, "2025-01-01")
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (literal_sources, document_issues, sidebar_sites, sidebar_errors, rebuild_requests, portal_catalog, portal_full_text, package_uses, action_rules, fetched_texts)}
+    return {f.__name__: f for f in (literal_sources, document_issues, sidebar_sites, sidebar_errors, rebuild_requests, portal_catalog, portal_full_text, package_uses, action_rules, fetched_texts, readme_surfaces)}
 
 
 SQL: dict[str, str] = {
+    "readme_surfaces": r"""WITH d AS (SELECT doc_id AS k, concat('s', doc_id) AS id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+m AS (SELECT DISTINCT concat('v/', k % 4) AS path FROM d UNION SELECT DISTINCT concat('t/', k % 5) FROM d),
+here AS (SELECT *, k % 7 <> 0 AS known, k % 4 + len(list_filter(regexp_extract_all(t, '!\[[^\]]*\]\([^)]+\)'), lambda x: NOT contains(x, '(https://img.shields.io/'))) AS images, CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END + (length(t) - length(replace(t, 'https://img.shields.io/', ''))) // 24 AS badges FROM d WHERE k % 11 <> 0),
+full_ AS (SELECT * FROM here WHERE known)
+SELECT id, 'readme-missing' AS rule, concat('gone/', k, '.md') AS detail FROM d WHERE k % 11 = 0
+UNION ALL SELECT id, 'marker', '## Install' FROM here WHERE k % 2 <> 0 AND NOT contains(t, '## Install')
+UNION ALL SELECT id, 'profile', 'none' FROM here WHERE NOT known
+UNION ALL SELECT id, 'alt-text', '' FROM full_ WHERE k % 5 = 0 OR regexp_matches(t, '!\[\s*\]\([^)]+\)')
+UNION ALL SELECT id, 'image-budget', images::VARCHAR FROM full_ WHERE NOT (images BETWEEN k % 2 AND 2 + k % 2)
+UNION ALL SELECT id, 'badge-budget', badges::VARCHAR FROM full_ WHERE badges > k % 2
+UNION ALL SELECT id, 'dark-mode', concat('v/', k % 5) FROM full_ WHERE k % 4 = 0
+UNION ALL SELECT id, 'command', concat('run ', k, '!') FROM full_ WHERE k % 3 = 0 AND NOT contains(t, concat('run ', k, '!'))
+UNION ALL SELECT id, 'command-metadata', concat('run ', k, '!') FROM full_ WHERE k % 9 = 0
+UNION ALL SELECT id, 'review-expired', CASE WHEN k % 8 = 0 THEN '2024-06-30' ELSE '2026-01-01' END FROM full_ WHERE k % 8 = 0 OR k % 13 = 0
+UNION ALL SELECT id, 'visual-file', concat('v/', k % 5) FROM full_ WHERE concat('v/', k % 5) NOT IN (SELECT path FROM m)
+UNION ALL SELECT id, 'command-test', concat('t/', k % 6) FROM full_ WHERE concat('t/', k % 6) NOT IN (SELECT path FROM m)""",
     "fetched_texts": f"""WITH p AS (SELECT page_id, html, octet_length(encode(html)) AS n FROM pages WHERE page_id IS NOT NULL),
 o AS (SELECT *, CASE WHEN page_id % 5 = 4 THEN 'away' WHEN page_id % 5 = 3 THEN 'outside' WHEN html IS NULL THEN 'away' WHEN n = 0 THEN 'empty' WHEN n > {TEXT_BYTES} THEN 'too large' ELSE 'text' END AS outcome FROM p)
 SELECT page_id, outcome, CASE WHEN outcome IN ('text', 'empty') THEN n END AS bytes, CASE WHEN outcome = 'text' THEN md5(html) END AS raw_md5 FROM o""",
