@@ -1,5 +1,7 @@
 """What READMEs break of what is declared for them, with nulls and repeats; review dates."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from waymark.operators import validate
@@ -29,3 +31,11 @@ def test_expired(spark):
     rows = spark.createDataFrame([("2020-01-01",), ("2020-01-02",), (None,)], "reviewBy string")
     assert [r[0] for r in validate.expired(rows, today=F.lit("2020-01-02").cast("date")).collect()] == ["2020-01-01"]
     assert validate.expired(rows).count() == 2
+
+
+def test_sources_hash(spark):
+    rows = [("b", b"two"), ("a\u00e9", b""), ("a", b"\0x"), ("a", b"\0x"), (None, b"n"), ("c", None)]
+    of = lambda r: validate.sources_hash(spark.createDataFrame(r, "path string, content binary").repartition(3)).collect()
+    want = b"".join(p.encode() + b"\0" + c + b"\0" for p, c in sorted((p.encode().decode(), c) for p, c in rows[:4]))
+    assert [r[0] for r in of(rows)] == [f"sha256:{hashlib.sha256(want).hexdigest()}"]
+    assert [r[0] for r in of([])] == [f"sha256:{hashlib.sha256().hexdigest()}"]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,11 +175,23 @@ def action_contract(files: DataFrame, action: str | Column, version: str, gate:
 
 
 def sources_hash(files: DataFrame) -> DataFrame:
-    """One row (sourceHash) of a listed set of files (path, content binary): SHA-256 over their paths and bytes, each followed by a zero byte, in the order of the paths."""
-    zero = F.lit(bytearray(1))
-    part = F.concat(F.col("path").cast("binary"), zero, F.col("content").cast("binary"), zero)
-    parts = F.array_sort(F.collect_list(F.struct("path", F.hex(part).alias("h"))))
-    return files.agg(F.concat(F.lit("sha256:"), F.sha2(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")), 256)).alias("sourceHash"))
+    """One row (sourceHash) of a listed set of files (path, content binary): SHA-256 over their paths and bytes, each followed by a zero byte, in the order of the paths.
+
+    Files with a null path or content don't count. The digest is one chain over all bytes, so one task folds it, but files stream through it in sorted order, which spills; no more than a batch is held.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = hashlib.sha256()
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                for part in (path, content):
+                    chain.update(part.as_buffer())
+                    chain.update(b"\0")
+        yield pa.RecordBatch.from_arrays([pa.array([f"sha256:{chain.hexdigest()}"])], names=["sourceHash"])
+
+    rows = files.select(F.col("path").cast("binary").alias("path"), F.col("content").cast("binary").alias("content")).where("path is not null and content is not null")
+    folded = rows.repartition(1).sortWithinPartitions("path", "content").mapInArrow(fold, "sourceHash string")
+    return folded.agg(F.coalesce(F.max("sourceHash"), F.lit(f"sha256:{hashlib.sha256().hexdigest()}")).alias("sourceHash"))  # without files the fold never runs
 
 
 def unsynced_examples(readmes: DataFrame, examples: DataFrame, files: DataFrame) -> DataFrame:

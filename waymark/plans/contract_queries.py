@@ -242,8 +242,9 @@ def unsynced_examples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sources_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Hash of a listed set of files."""
-    return validate.sources_hash(tables.read(spark, d, "nation").select(F.concat(F.lit("src/"), F.col("n_nationkey").cast("string")).alias("path"), F.col("n_name").cast("binary").alias("content")))
+    """Hash of a listed set of files, the texts of all documents."""
+    docs = tables.read(spark, d, "documents")
+    return validate.sources_hash(docs.select(F.concat(F.lit("src/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content")))
 
 
 def action_contract(spark: SparkSession, d: str) -> DataFrame:
@@ -480,7 +481,7 @@ SELECT kind, field, count(*) AS n FROM i WHERE field IS NOT NULL GROUP BY ALL"""
     "readme_rules": r"""WITH d AS (SELECT doc_id AS k, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL), c AS (SELECT k, t, length(t) - length(replace(t, 'https://img.shields.io/', '')) > 0 AS shielded, k % 4 + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END + len(regexp_extract_all(t, '!\[([^\]]*)\]\(([^)]+)\)')) AS images FROM d)
 SELECT cast(k AS string) AS path, 'marker:## Install' AS rule, k % 2 = 0 OR contains(t, '## Install') AS ok FROM c UNION ALL SELECT cast(k AS string), 'image-budget', images BETWEEN 1 AND 2 FROM c UNION ALL SELECT cast(k AS string), 'badge-budget', k % 3 <> 0 AND NOT shielded FROM c UNION ALL SELECT cast(k AS string), 'alt-text', k % 3 <> 0 AND k % 5 <> 0 FROM c""",
     "unsynced_examples": "SELECT cast(n_nationkey AS string) AS path, concat('e', n_nationkey) AS id FROM nation WHERE n_nationkey % 4 = 1 OR n_nationkey % 6 = 5",
-    "sources_hash": r"""SELECT concat('sha256:', sha256(string_agg(concat('src/', n_nationkey, chr(0), n_name, chr(0)), '' ORDER BY concat('src/', n_nationkey)))) AS "sourceHash" FROM nation""",
+    "sources_hash": r"""SELECT concat('sha256:', sha256(coalesce(string_agg(concat('src/', doc_id, chr(0), text, chr(0)), '' ORDER BY concat('src/', doc_id), text), ''))) AS "sourceHash" FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL""",
     "action_contract": """SELECT 'action.yml' AS path, unnest(['branding: is missing', 'the default version differs', 'an input enters a shell step directly', 'a reference is mutable']) AS problem UNION ALL SELECT concat('.github/workflows/', n_nationkey, '.yml'), 'a reference is mutable' FROM nation WHERE n_nationkey >= 5 AND n_nationkey % 3 <> 0""",
     "discovered_packages": """WITH p AS (SELECT p_partkey AS k, concat(CASE p_partkey % 4 WHEN 0 THEN 'libs/' WHEN 1 THEN 'apps/' WHEN 2 THEN 'libs/deep/x' ELSE 'other/' END, 'm', p_partkey) AS path FROM part) SELECT CASE WHEN k % 5 = 0 THEN concat('m', k) ELSE concat('n', k) END AS id, path, CASE WHEN k % 5 <> 0 THEN concat(CASE WHEN k % 2 = 0 THEN '@s/' ELSE '' END, 'n', k) END AS name FROM p WHERE k % 7 <> 0 AND k % 11 <> 0 AND k % 4 < 2""",
     "portal_artifact": rf"""WITH {_OWN}, {O._DOCS}, x AS (SELECT regexp_replace(path, '^docs/for-agents/', '') AS file, raw FROM docs WHERE pos % 2 = 0), y AS (SELECT file, regexp_replace(file, '\.md$', '') AS slug, coalesce(nullif(trim(regexp_extract(raw, '(?m)^#\s+(.+)$', 1)), ''), regexp_replace(file, '\.md$', '')) AS title, regexp_replace(raw, '\A---\r?\n(?s:.*?)\r?\n---\r?\n', '') AS body FROM x),
