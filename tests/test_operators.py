@@ -130,6 +130,14 @@ def test_last_seed_of_an_id_counts_in_ownership_and_the_first_in_packages(spark)
     assert (own["path"], own["purpose"], own["agentDoc"]) == ("p0", "purpose 0", "d0.md")
 
 
+def test_an_empty_path_that_nothing_fills_is_null(spark):
+    own = spark.createDataFrame([("a", ""), ("b", ""), ("c", ""), ("d", "own")], "id string, path string")
+    found = spark.createDataFrame([("b", "found", None, None, 0)], tables.DISCOVERED)
+    seeds = spark.createDataFrame([("c", "seed", None, None, None, None, "path", 0), ("d", "seed", None, None, None, None, "path", 1)], tables.SEED)
+    got = handoff.merge_packages(own, found, seeds)
+    assert {r["id"]: r["path"] for r in got.collect()} == {"a": None, "b": "found", "c": "seed", "d": "own"}
+
+
 def test_lookups(spark):
     settings, ix, _ = built(spark)
     ids = spark.createDataFrame([("auth",), ("nope",)], "id string")

@@ -109,14 +109,14 @@ def merge_packages(explicit: DataFrame, discovered: DataFrame, seeds: DataFrame)
     """(id, path, name, checks): explicit owners, then what was discovered, then seeds.
 
     An explicit path stays unless empty; name and checks come from the discovery, the last of an id. Seeds give
-    unknown ids and fill empty paths, the first of an id.
+    unknown ids and fill empty paths, the first of an id. An explicit path that is empty and that nothing fills is no path: null.
     """
     e = explicit.select("id", F.col("path").alias("e_path"))
     d = discovered.groupBy("id").agg(F.min_by("path", F.struct("pos")).alias("d_first"), F.max_by("name", F.when(F.col("name") != "", F.col("pos"))).alias("name"), F.max_by("checks", F.when(F.col("checks").isNotNull(), F.col("pos"))).alias("checks"), F.min_by(F.when(F.col("path") != "", F.col("path")), F.when(F.col("path") != "", F.col("pos"))).alias("d_path"))
     # in the order of the two kinds of seeds; an empty path never stands where a later seed has one
     s = seeds.withColumn("at", F.struct((F.col("origin") == "path").alias("late"), "pos")).groupBy("id").agg(F.min_by("path", F.when(F.col("path") != "", F.col("at"))).alias("s_path"))
     all_ids = e.join(d, "id", "full_outer").join(s, "id", "full_outer")
-    return all_ids.select("id", F.coalesce(non_empty(F.col("e_path")), "d_path", "s_path", "e_path", "d_first").alias("path"), "name", "checks")
+    return all_ids.select("id", F.coalesce(non_empty(F.col("e_path")), "d_path", "s_path", "d_first").alias("path"), "name", "checks")
 
 
 def agent_doc_guess(packages: DataFrame, knowledge: DataFrame) -> DataFrame:
