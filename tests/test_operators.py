@@ -138,6 +138,14 @@ def test_an_empty_path_that_nothing_fills_is_null(spark):
     assert {r["id"]: r["path"] for r in got.collect()} == {"a": None, "b": "found", "c": "seed", "d": "own"}
 
 
+def test_human_documents_meet_without_a_broadcast(spark):
+    packages = spark.createDataFrame([("a",), ("@x/b",), ("c",), ("d-pattern",)], "id string")
+    pages = spark.createDataFrame([("packages/a", "/a", 0), ("site/a", "/late", 1), ("b", "/b", 2), ("x/c/index", "/c", 3)], "id string, url string, pos long")
+    got = handoff.human_doc_match(packages, pages)
+    assert {tuple(r) for r in got.collect()} == {("a", "/a"), ("@x/b", "/b"), ("c", "/c")}
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lookups(spark):
     settings, ix, _ = built(spark)
     ids = spark.createDataFrame([("auth",), ("nope",)], "id string")

@@ -143,7 +143,8 @@ def agent_doc_guess(packages: DataFrame, knowledge: DataFrame) -> DataFrame:
 def human_doc_match(packages: DataFrame, human: DataFrame) -> DataFrame:
     """(id, url): the human document of a package by its id, its aliases in order, then the first whose id ends with it.
 
-    Suffixes are met by equality: each document offers its id and all that follows a slash or a hyphen in it.
+    Suffixes are met by equality: each document offers its id and all that follows a slash or a hyphen in it. Both sides are
+    dealt out by their keys: a plan takes exploded rows for far fewer than they are, and would gather them on the driver to broadcast them.
     """
     ident = F.col("id")
     aliases = F.array(
@@ -151,13 +152,13 @@ def human_doc_match(packages: DataFrame, human: DataFrame) -> DataFrame:
         *[F.concat(F.lit(head), ident, F.lit(tail)) for head, tail in (("packages/", ""), ("reference/packages/", ""), ("packages/", "/index"))],
     )
     named = packages.select("id", F.posexplode(aliases).alias("way", "key"))
-    by_alias = named.join(human.select(F.col("id").alias("key"), "url").where("url <> ''"), "key").groupBy("id").agg(F.min_by("url", "way").alias("alias_url"))
+    by_alias = named.hint("merge").join(human.select(F.col("id").alias("key"), "url").where("url <> ''"), "key").groupBy("id").agg(F.min_by("url", "way").alias("alias_url"))
     key = F.col("id")
     tails = lambda c: F.regexp_extract_all(c, F.lit(r"(?<=[/-])(?=(.+)\z)"), F.lit(1))
     after_slash = lambda c: F.regexp_extract_all(c, F.lit(r"(?<=/)(?=(.+)\z)"), F.lit(1))
     offered = F.array_distinct(F.concat(F.array(key), tails(key), F.transform(F.filter(after_slash(key), lambda x: x.endswith("/index")), lambda x: F.regexp_replace(x, r"/index\z", ""))))
     by_tail = human.select("url", "pos", F.explode(offered).alias("id")).groupBy("id").agg(F.min_by("url", "pos").alias("tail_url"))
-    out = packages.select("id").join(by_alias, "id", "left").join(by_tail, "id", "left")
+    out = packages.select("id").join(by_alias.hint("merge"), "id", "left").join(by_tail.hint("merge"), "id", "left")
     return out.select("id", F.coalesce("alias_url", "tail_url").alias("url")).where("url is not null")
 
 
