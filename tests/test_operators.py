@@ -76,6 +76,35 @@ def test_search_matches_the_fold(spark, monkeypatch, seed, k, block):
         assert all(best[p][:2] == (t, s) for p, t, s in mine), term
 
 
+@pytest.mark.parametrize(("k", "cells"), [(1, 1), (3, 60), (20, 1 << 20)])
+def test_entries_scored_where_they_are_read_give_what_all_pairs_give(spark, monkeypatch, k, cells):
+    rng = random.Random(k)
+    words = ["core", "auth", "edit", "os", "pkg-x", "data", "co", "x"]
+    know = [(rng.choice(words) if j % 9 == 0 else f"{rng.choice(words)}-{j}", "t", f"docs/{rng.choice(words[:4])}{rng.randrange(40)}.md", None, " ".join(rng.choices(words, k=rng.randrange(6)))) for j in range(150)]
+    own = [(f"{rng.choice(words)}{j // 2}", f"packages/{j}", rng.choice(words), rng.choice([None, f"docs/{rng.choice(words[:4])}{rng.randrange(40)}.md"])) for j in range(80)]
+    terms = ["core auth", "edit core", "os", "core core", "where is data", know[0][0], own[3][0], "edit pkg-x", "docs", "the co x", "t"]
+    asked = spark.createDataFrame(list(enumerate(terms)), "query_id int, term string")
+    both = []
+    for most in (search.MOST_NAMED, -1):
+        for name, v in (("MOST_NAMED", most), ("PATH_CELLS", cells), ("BLOCK_CELLS", cells), ("QUERY_CELLS", cells)):
+            monkeypatch.setattr(search, name, v)
+        both.append(sorted(map(tuple, search.search(knowledge(spark, know).repartition(3), owners(spark, own), asked, k).collect()), key=str))
+    assert both[0] == both[1] and len(both[0]) > 8 * min(k, 15)
+
+
+def test_only_entries_that_may_be_best_are_shuffled(spark):
+    rows = [(False, f"d{j}", f"p{j}", j, "some words here" + " wanted" * (j == 7)) for j in range(2000)]
+    entries = spark.createDataFrame(rows, "owner boolean, id string, path string, pos long, hay string").coalesce(1)
+    asked = search.prepared(spark.createDataFrame([(q, "some words wanted") for q in range(9)], "query_id int, term string"))
+    assert [(r["query_id"], r["pos"]) for r in search._best_hits(entries, asked, search._stated(asked), 1).orderBy("query_id").collect()] == [(q, 7) for q in range(9)]
+
+
+def test_equal_entries_of_two_paths_stand_in_the_order_of_their_first_rows(spark):
+    know = [("z", "only", "b.md", None, "hit"), ("same", "t", "a.md", None, "hit hit"), ("same", "t", "b.md", None, "hit hit")]
+    got = search.search(knowledge(spark, know), owners(spark, []), spark.createDataFrame([(1, "hit same")], "query_id int, term string"), 2).collect()
+    assert [r["path"] for r in sorted(got, key=lambda r: r["rank"])] == ["b.md", "a.md"]
+
+
 def test_exact_id_beats_a_mention(spark):
     o = owners(spark, [("os-core", "packages/os-core", "contracts", None), ("decoy", "packages/decoy", "mentions os-core twice os-core", None)])
     got = search.search(knowledge(spark, []), o, spark.createDataFrame([(1, "os-core")], "query_id int, term string")).collect()
