@@ -277,6 +277,20 @@ def test_retrieval(spark):
     assert retrieve.exact_answers(e, spark.createDataFrame([(1, " hello world ")], "query_id int, term string")).first()["id"] == "e"
 
 
+@pytest.mark.parametrize("kept", [1, 40, 1 << 20])
+def test_hybrid_of_chunks_is_hybrid_of_their_scores(spark, monkeypatch, kept):
+    rng = random.Random(9)
+    rows = [(f"k{j % 13}", "w", "federated", str(j), f"u/{j}", f"page {j}", " ".join(rng.choices(["alpha", "beta", "gammas", "x"], k=rng.randrange(4))), j) for j in range(90)]
+    chunks = spark.createDataFrame(rows, "chunkKey string, property string, type string, id string, path string, title string, summary string, at long")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "!"), (4, "page alpha alpha"), (5, "unheard")], "query_id int, term string")
+    local = spark.createDataFrame([(1, 1, "k3", "local", "t", "i", "p", None, None, 9), (2, 1, "mine", "local", "t", "i", "p", "t", "s", 5), (3, 1, "k1", "local", "t", "i", "p", None, None, 1)], "query_id int, rank int, chunkKey string, property string, type string, id string, path string, title string, summary string, score long")
+    want = sorted(map(tuple, retrieve.hybrid(local, retrieve.federated_scores(chunks, asked)).collect()), key=str)
+    monkeypatch.setattr(retrieve, "KEPT", kept)
+    got = retrieve.hybrid_of(local, chunks.repartition(3), asked)
+    assert sorted(map(tuple, got.collect()), key=str) == want and len(want) > 20
+    assert "summary" not in retrieve.best_federated(chunks, asked).columns  # texts are not dealt out with every query
+
+
 def test_sinks(spark):
     k = knowledge(spark, [("a", "A", "docs/a b.md", "desc", ""), ("b", "B", "docs/b.md", None, "")])
     text = sinks.llms_text(k, "demo", None, "https://x/base", "docs").first()["content"]

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from waymark.functions import markdown, paths, text
 from waymark.functions.markdown import non_empty
 from waymark.operators.handoff import with_position
-from waymark.operators.search import held_tokens, token_counts
+from waymark.operators.search import MOST_SIZE, bound_batches, held_bits, held_tokens, lookup, release_memory, token_counts
 from waymark.operators.vectors import exact_topk as vector_topk  # noqa: F401
-from waymark.tables import small_side
+from waymark.tables import small_side, written
 
 K = 8
+#: Numbers that a task holds of queries and chunk keys, and of queries and tokens.
+KEPT = 4 << 20
 
 
 def chunk_key(prop: Column, kind: Column, ident: Column) -> Column:
@@ -81,15 +89,92 @@ def federated_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return chunks.drop("score").join(sums, key)
 
 
+def _reduced(tokens: list[str], named: list[list[tuple[int, int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks (chunkKey, at, hay) -> (q, chunkKey, score, at, first) of what a task reads: of each query and key the best score with its first row, and the first row with any token. named: each query's tokens and their gains."""
+    run = re.compile("[a-z0-9]{2,}")
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, gains = lookup(tokens, ""), np.zeros((len(tokens), len(named)), np.int64)
+        for q, some in enumerate(named):
+            for t, gain in some:
+                gains[t, q] = gain
+        kept: dict[str, np.ndarray] = {}  # of a key: score, at, first by query
+        most = max(1, KEPT // max(1, 3 * len(named)))
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for key, got in kept.items():
+                q = np.flatnonzero(got[0])
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array([key] * len(q), pa.string()), *[pa.array(c[q]) for c in got]], names=["q", "chunkKey", "score", "at", "first"])
+            kept.clear()
+
+        for batch in batches:
+            for key, at, hay in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                scores = gains[held_bits(look(run.findall(hay))[0], len(tokens))].sum(axis=0)
+                got = kept.get(key)
+                if got is None:
+                    if len(kept) == most:
+                        yield from sent()
+                    got = kept[key] = np.zeros((3, len(named)), np.int64)
+                hit, new = scores > 0, got[0] == 0
+                got[2] = np.where(hit & (new | (at < got[2])), at, got[2])
+                better = hit & ((scores > got[0]) | (scores == got[0]) & (at < got[1]))
+                got[0][better], got[1][better] = scores[better], at
+        yield from sent()
+        release_memory()
+
+    return reduced
+
+
+def best_federated(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunkKey, score, at, first): of each query and key the best score with its first row's place, and the place of the first row that holds a token.
+
+    Stated queries go to every task, counted, which takes the best of its keys as it reads the chunks; more queries meet them by shuffles. Texts stay where they are. at tells chunks apart.
+    """
+    asked = queries.select("query_id", text.tokens(F.col("term"), "").alias("words"))
+    size = asked.agg(F.count("*"), F.sum(F.size("words")), F.max(F.array_max(F.transform("words", lambda t: F.length(t))))).first()
+    hay = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), "path"))
+    if (size[1] or 0) * size[0] > KEPT or (size[2] or 0) > MOST_SIZE:
+        scores = federated_scores(chunks, queries).select("query_id", "chunkKey", "score", F.col("at").cast("long").alias("at"))
+        return scores.groupBy("query_id", "chunkKey").agg(F.max("score").alias("score"), F.max_by("at", F.struct("score", -F.col("at"))).alias("at"), F.min("at").alias("first"))
+    rows = asked.where(F.size("words") > 0).collect()
+    if not rows:
+        return asked.select("query_id", F.lit("").alias("chunkKey"), F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("first")).limit(0)
+    tokens = sorted({t for r in rows for t in r["words"]})
+    bit = {t: k for k, t in enumerate(tokens)}
+    named = [[(bit[t], n * len(t)) for t, n in Counter(r["words"]).items()] for r in rows]
+    bound_batches(chunks.sparkSession)
+    got = chunks.where("chunkKey is not null").select("chunkKey", F.col("at").cast("long").alias("at"), hay.alias("hay")).mapInArrow(_reduced(tokens, named), "q int, chunkKey string, score long, at long, first long")
+    got = got.groupBy("q", "chunkKey").agg(F.max("score").alias("score"), F.max_by("at", F.struct("score", -F.col("at"))).alias("at"), F.min("first").alias("first"))
+    ids = chunks.sparkSession.createDataFrame([(q, r["query_id"]) for q, r in enumerate(rows)], StructType([StructField("q", IntegerType()), StructField("query_id", asked.schema["query_id"].dataType)]))
+    return got.join(F.broadcast(ids), "q").select("query_id", "chunkKey", "score", "at", "first")
+
+
 def hybrid(local: DataFrame, federated: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, chunk columns): the best of local and federated chunks; of equal keys the higher score, then the earlier row, local before federated."""
-    columns = ["query_id", "chunkKey", "property", "type", "id", "path", "title", "summary", "score"]
-    a = local.select(*columns, F.lit(0).alias("side"), F.col("rank").cast("long").alias("at"))
-    b = federated.select(*columns, F.lit(1).alias("side"), F.col("at").cast("long").alias("at"))
-    both = a.unionByName(b)
-    # a key stands where it came first
-    best = both.groupBy("query_id", "chunkKey").agg(F.max_by(F.struct(*[c for c in columns[2:]]), F.struct("score", -F.col("side"), -F.col("at"))).alias("c"), F.min(F.struct("side", "at")).alias("first"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("c.score"), "first")
+    b = federated.select("query_id", "chunkKey", "score", F.col("at").cast("long").alias("at"), F.struct("property", "type", "id", "path", "title", "summary").alias("said"))
+    best = _places(local).unionByName(b.select("query_id", "chunkKey", "score", "at", F.lit(1).alias("side"), F.col("at").alias("first"), "said"))
+    return _best(best, k).select("query_id", "rank", "chunkKey", "said.*", "score")
+
+
+def hybrid_of(local: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """What hybrid gives for the chunks' scores, whose texts are read for the best k of a query alone. at tells chunks apart."""
+    b = best_federated(chunks, queries)
+    none = F.lit(None).cast("struct<property: string, type: string, id: string, path: string, title: string, summary: string>")
+    best = written(_best(_places(local).unionByName(b.select("query_id", "chunkKey", "score", "at", F.lit(1).alias("side"), "first", none.alias("said"))), k))
+    far = small_side(best.where("side = 1").drop("said")).join(chunks.select(F.col("at").cast("long").alias("at"), F.struct("property", "type", "id", "path", "title", "summary").alias("said")), "at")
+    return best.where("side = 0").unionByName(far.select(best.columns)).select("query_id", "rank", "chunkKey", "said.*", "score")
+
+
+def _places(local: DataFrame) -> DataFrame:
+    said = F.struct("property", "type", "id", "path", "title", "summary").alias("said")
+    return local.select("query_id", "chunkKey", "score", F.col("rank").cast("long").alias("at"), F.lit(0).alias("side"), F.col("rank").cast("long").alias("first"), said)
+
+
+def _best(both: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, chunkKey, score, at, side, said) of rows (query_id, chunkKey, score, at, side, first, said): a key stands where it came first."""
+    best = both.groupBy("query_id", "chunkKey").agg(F.max_by(F.struct("score", "at", "side", "said"), F.struct("score", -F.col("side"), -F.col("at"))).alias("c"), F.min(F.struct("side", "first")).alias("place"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("c.score"), "place")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "chunkKey", "c.*")
 
 
