@@ -295,3 +295,18 @@ def test_quality(spark):
     assert right >= 0.95 * len(marks)
     assert quality.quality(docs, quality.fit(docs.limit(0), labels.limit(0))).where("kept").count() > 200
     assert quality.quality(docs.limit(0), quality.fit(docs, labels)).count() == 0
+
+
+def test_every_labelled_row_sets_the_threshold(spark, monkeypatch):
+    assert not hasattr(quality, "FIT_DOCS")
+    counted, cut = [], quality._threshold
+    monkeypatch.setattr(quality, "_threshold", lambda good, bad: counted.append((good.sum(), bad.sum())) or cut(good, bad))
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('word ', id, ' and then so many more words that are not the same as any of the other ones, so that rules pass')  as text")
+    quality.fit(docs, docs.selectExpr("doc_id", "if(doc_id % 10 = 0, 0, 1) as quality"))
+    assert 8000 * 0.45 < counted[0][0] < 9000 * 0.55 and 300 < counted[0][1] < 600  # half of all, not of a part
+
+
+def test_threshold_cuts_between_the_labels():
+    good, bad = np.zeros(quality.GRID + 1), np.zeros(quality.GRID + 1)
+    good[8000], good[8200], bad[9000] = 99, 1, 50
+    assert 8200 / quality.GRID < quality._threshold(good, bad) < 9000 / quality.GRID

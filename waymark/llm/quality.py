@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
@@ -18,9 +19,9 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: The forest: trees, rows drawn for each, depth at most.
 TREES, DRAWN, DEPTH = 100, 256, 8
-#: Fit: labelled rows of each label at most, and the share of good rows that the threshold must keep.
-FIT_DOCS = 2048
+#: Fit: the share of good rows that the threshold must keep, and its steps between 0 and 1.
 KEEP_GOOD = 0.98
+GRID = 20_000
 #: Bad rows in the forest's sample, to a good one.
 CONTAMINATION = 0.04
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -149,36 +150,52 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """A forest over rows that pass the base rules, nearly all of them good, and a threshold set on all labelled rows.
 
-    At most FIT_DOCS labelled rows of each label, those of least id hash, one of equal texts. The forest grows on
-    half of the good rows and a few bad ones, so that statistics that no good row varies can split too; the threshold is the one that
-    tells the other halves apart best among those that keep a share KEEP_GOOD of the good. Without good rows nothing is anomalous.
+    All labelled rows count, equal texts once. Half of the good rows and of the bad ones are the forest's: each tree draws DRAWN rows, as an isolation forest does, from a pool of as many rows as all trees draw, those of least hash in each of TREES shares
+    of all, with a few bad ones, so that statistics that no good row varies can split too. Every row of the other halves sets the threshold, the one that
+    tells them apart best among those that keep a share KEEP_GOOD of the good, at a resolution of GRID. Without good rows nothing is anomalous.
     """
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").withColumn("h", F.xxhash64("id"))
-    ids = [tuple(r) for y in (0, 1) for r in marks.where(F.col("y") == y).groupBy("id", "y", "h").count().orderBy("h", "id").limit(FIT_DOCS).select("id", "y").collect()]
-    if not ids:
-        return QualityModel(None, 1.0)
-    few = F.broadcast(docs.sparkSession.createDataFrame(ids, marks.select("id", "y").schema))
-    shape = F.pandas_udf(lambda s: s.map(lambda t: [float(x) for part in statistics(t) for x in part]), "array<double>")
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id").where(F.col("text").isNotNull())
-    got = sample.select("y", F.xxhash64("text").alias("h"), shape("text").alias("x")).groupBy("h").agg(F.max("y").alias("y"), F.first("x").alias("x")).toPandas().sort_values("h")
-    if not len(got):
-        return QualityModel(None, 1.0)
-    x, y, h = np.array(got["x"].tolist()), got["y"].to_numpy(), got["h"].to_numpy()
-    usable = np.array([not base_failed(r[0], r[4]) for r in x])
-    x, y, h = x[usable][:, len(COUNTS) :], y[usable], h[usable]
-    good, bad = x[y == 1], x[y == 0]
-    part, worse = (h[y == 1] & 1).astype(bool), (h[y == 0] & 1).astype(bool)
-    if part.sum() < 8 or (~part).sum() < 8:
-        return QualityModel(IsolationForest(good), 1.0) if len(good) else QualityModel(None, 1.0)
-    few_bad = bad[worse][: max(1, int(len(good[part]) * CONTAMINATION))]
-    forest = IsolationForest(np.concatenate((good[part], few_bad)))
-    a, b = np.sort(forest.anomaly(good[~part])), np.sort(forest.anomaly(bad[~worse])) if len(bad) else np.zeros(0)
-    floor = float(np.quantile(a, KEEP_GOOD))
-    cuts = np.unique(np.concatenate(([floor], a[a >= floor], b[b >= floor])))
-    lost = 1 - np.searchsorted(a, cuts, side="right") / len(a) + np.searchsorted(b, cuts, side="right") / max(1, len(b))
-    best = np.nonzero(lost == lost.min())[0]
-    threshold = (cuts[best[-1]] + cuts[min(best[-1] + 1, len(cuts) - 1)]) / 2
-    return QualityModel(forest, float(threshold))
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").groupBy("id").agg(F.max("y").alias("y"))
+    shape = F.pandas_udf(_shapes, "array<double>")
+    bound_batches(docs.sparkSession)
+    # texts stay where they are: rates meet the labels, of all documents
+    got = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), shape(text_col).alias("x")).where("x is not null").join(marks, "id").select("y", "h", "x")
+    got = got.groupBy("h").agg(F.max("y").alias("y"), F.first("x").alias("x")).persist(StorageLevel.DISK_ONLY)
+    try:
+        tally = {(r["y"], r["part"]): r["n"] for r in got.groupBy("y", (F.col("h").bitwiseAND(1) == 1).alias("part")).agg(F.count("*").alias("n")).collect()}
+        n = lambda y, part: tally.get((y, part), 0)
+        if not n(1, True) + n(1, False):
+            return QualityModel(None, 1.0)
+        halved = n(1, True) >= 8 and n(1, False) >= 8
+        grown = got.where("h & 1 = 1") if halved else got.where("y = 1")
+        least = Window.partitionBy("y", "tree").orderBy(F.xxhash64("h"), "h")
+        drawn = grown.withColumn("tree", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(TREES))).withColumn("at", F.row_number().over(least))
+        few_bad = max(1, int(min(n(1, True), TREES * DRAWN) * CONTAMINATION))  # to all trees
+        rows = drawn.where(F.col("at") <= F.when(F.col("y") == 1, DRAWN).otherwise(-(-few_bad // TREES))).orderBy("y", F.xxhash64("h"), "h").select("y", "x").toPandas()
+        x, y = np.array(rows["x"].tolist()).reshape(len(rows), -1), rows["y"].to_numpy()
+        forest = IsolationForest(np.concatenate((x[y == 1], x[y == 0][:few_bad])))
+        if not halved:
+            return QualityModel(forest, 1.0)
+        sent = docs.sparkSession.sparkContext.broadcast(forest)
+        cell = F.pandas_udf(lambda s: pd.Series(np.round(sent.value.anomaly(np.array(s.tolist()).reshape(len(s), -1)) * GRID).astype(np.int64)), "long")
+        cells = got.where("h & 1 = 0").select("y", cell("x").alias("cell")).groupBy("y", "cell").agg(F.count("*").alias("n")).toPandas()  # GRID rows a label at most
+    finally:
+        got.unpersist()
+    return QualityModel(forest, _threshold(*(np.bincount(c["cell"], c["n"], GRID + 1) for c in (cells[cells["y"] == 1], cells[cells["y"] == 0]))))
+
+
+def _shapes(texts: pd.Series) -> pd.Series:
+    """Shape rates of texts that pass the base rules, null for others."""
+    got = (statistics(t) for t in texts)
+    return pd.Series([None if base_failed(c[0], c[4]) else [float(v) for v in rates] for c, rates in got], dtype=object)
+
+
+def _threshold(good: np.ndarray, bad: np.ndarray) -> float:
+    """The cut between cells of the grid, counted for both labels, that loses least of all that keep KEEP_GOOD of the good; amid equal ones up to the next cell that holds a row."""
+    kept, passed = np.cumsum(good) / max(1, good.sum()), np.cumsum(bad) / max(1, bad.sum())
+    lost = np.where(kept >= KEEP_GOOD, 1 - kept + passed, np.inf)
+    best = int(np.nonzero(lost == lost.min())[0][0])
+    later = np.flatnonzero((good + bad)[best + 1 :])
+    return (2 * best + 1 + (later[0] if len(later) else 0)) / 2 / GRID
 
 
 def judge(spark: SparkSession, model: QualityModel) -> Callable:
