@@ -39,3 +39,13 @@ def test_sources_hash(spark):
     want = b"".join(p.encode() + b"\0" + c + b"\0" for p, c in sorted((p.encode().decode(), c) for p, c in rows[:4]))
     assert [r[0] for r in of(rows)] == [f"sha256:{hashlib.sha256(want).hexdigest()}"]
     assert [r[0] for r in of([])] == [f"sha256:{hashlib.sha256().hexdigest()}"]
+
+
+def test_sources_hash_is_carried_from_range_to_range(spark, monkeypatch):
+    rows = [(f"p{k % 90:03}", bytes([k % 7]) * (k % 130)) for k in range(300)]
+    files = spark.createDataFrame(rows, "path string, content binary").repartition(3)
+    steps, fold = [], validate._chained
+    monkeypatch.setattr(validate, "_chained", lambda state: steps.append(state) or fold(state))
+    want = hashlib.sha256(b"".join(p.encode() + b"\0" + c + b"\0" for p, c in sorted(rows))).hexdigest()
+    assert validate.sources_hash(files, step_bytes=7000).first()[0] == f"sha256:{want}"
+    assert 1 < len(steps) == len(set(steps))

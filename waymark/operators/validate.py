@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.digests import Sha256
+from waymark.tables import drop_at, written
+
 
 # Limits of the published schemas. A field is (kind, least, most, required); of lists the limits are the items', behind them the list's own.
 SCHEMAS: dict[str, dict[str, tuple]] = {
@@ -174,24 +176,48 @@ def action_contract(files: DataFrame, action: str | Column, version: str, gate:
     return files.select("path", F.explode(F.array_compact(F.array(*[F.when(broken, F.lit(said)) for broken, said in rules]))).alias("problem"))
 
 
-def sources_hash(files: DataFrame) -> DataFrame:
-    """One row (sourceHash) of a listed set of files (path, content binary): SHA-256 over their paths and bytes, each followed by a zero byte, in the order of the paths.
+#: Bytes that one step of the chain over files reads, about.
+STEP_BYTES = 128 << 20
 
-    Files with a null path or content don't count. The digest is one chain over all bytes, so one task folds it, but files stream through it in sorted order, which spills; no more than a batch is held.
-    """
+
+def _chained(state: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Files (path, content) in order -> the chain's state behind them, from the state before them."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = hashlib.sha256()
+        chain = Sha256(state)
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 for part in (path, content):
                     chain.update(part.as_buffer())
                     chain.update(b"\0")
-        yield pa.RecordBatch.from_arrays([pa.array([f"sha256:{chain.hexdigest()}"])], names=["sourceHash"])
+        yield pa.RecordBatch.from_arrays([pa.array([chain.state()], pa.binary())], names=["state"])
+
+    return fold
 
+
+def sources_hash(files: DataFrame, step_bytes: int = STEP_BYTES) -> DataFrame:
+    """One row (sourceHash) of a listed set of files (path, content binary): SHA-256 over their paths and bytes, each followed by a zero byte, in the order of the paths.
+
+    Files with a null path or content don't count. The digest is one chain over all bytes, so its steps follow one another, but no task reads all: files are dealt out by ranges of about step_bytes,
+    and a step takes up the chain's state behind the range before. Files of the same path and the same first characters, so many that they are more than a range, are one step.
+    """
+    spark, state = files.sparkSession, Sha256().state()
     rows = files.select(F.col("path").cast("binary").alias("path"), F.col("content").cast("binary").alias("content")).where("path is not null and content is not null")
-    folded = rows.repartition(1).sortWithinPartitions("path", "content").mapInArrow(fold, "sourceHash string")
-    return folded.agg(F.coalesce(F.max("sourceHash"), F.lit(f"sha256:{hashlib.sha256().hexdigest()}")).alias("sourceHash"))  # without files the fold never runs
+    total = rows.agg(F.sum(F.octet_length("path").cast("long") + F.octet_length("content") + 2)).first()[0] or 0
+    steps = -(-total // step_bytes)
+    if steps > 1:
+        dealt = rows.repartitionByRange(steps, "path", F.substring("content", 1, 64)).withColumn("step", F.spark_partition_id())
+        at = written(dealt, "step").written_at
+        parts = [spark.read.schema(rows.schema).parquet(f"{at}/step={k}") for k in sorted(r[0] for r in spark.read.parquet(at).select("step").distinct().collect())]
+    else:
+        at, parts = None, [rows] if steps else []
+    for part in parts:
+        one = part.coalesce(1) if at else part.repartition(1)
+        (state,) = one.sortWithinPartitions("path", "content").mapInArrow(_chained(state), "state binary").first()
+        state = bytes(state)
+    if at:
+        drop_at(spark, at)
+    return spark.range(1).select(F.lit(f"sha256:{Sha256(state).hexdigest()}").alias("sourceHash"))
 
 
 def unsynced_examples(readmes: DataFrame, examples: DataFrame, files: DataFrame) -> DataFrame:
