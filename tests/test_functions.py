@@ -1,10 +1,14 @@
 """Column expressions on literal rows."""
 
+import random
+import re
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import markdown as M
-from waymark.functions import paths, text
+from waymark.functions import occurrences, paths, text
 
 
 def one(spark, expr, **values):
@@ -104,3 +108,22 @@ def test_rewritten_links(spark):
     ]
     public = lambda p: one(spark, paths.is_public(F.col("p"), ["PLAN.md"], ["landing"], ["DRAFT"]), p=p)
     assert [public(p) for p in ("a.md", "./PLAN.md", "landing/x.md", "x/DRAFT-1.md")] == [True, False, False, False]
+
+
+def test_tokens_are_found_in_all_texts_at_once(monkeypatch):
+    rng = random.Random(5)
+    for window, cells, signs in ((3, 5, "-/"), (17, 100, ""), (1 << 16, 4 << 20, "-/")):
+        monkeypatch.setattr(occurrences, "CELLS", cells)
+        for _ in range(20):
+            kinds = "ab1" + signs
+            tokens = sorted({"".join(rng.choices(kinds, k=rng.choice([1, 2, 3, 4, 5, 6, 9, 40]))) for _ in range(12)})
+            texts = ["", *["".join(rng.choices(kinds * 3 + " \u00e9\0\U0001d518", k=rng.randrange(40))) for _ in range(6)], "ab" * 100 + tokens[-1]]
+            want = []
+            for e, h in enumerate(texts):
+                runs = re.findall(f"[a-z0-9{signs}]{{2,}}", h)
+                for k, t in enumerate(tokens):
+                    if any(t in r for r in runs):
+                        want.append((e, k, any(re.search(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", r) for r in runs)))
+            got = occurrences.Finder(tokens, signs, window).find(pa.array(["ab", *texts])[1:])
+            assert list(zip(*(c.tolist() for c in got), strict=True)) == want
+    assert [len(c) for c in occurrences.Finder([], "").find(pa.array(["ab"]))] == [0, 0, 0]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -16,8 +15,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from waymark.functions import markdown, paths, text
 from waymark.functions.markdown import non_empty
+from waymark.functions.occurrences import Finder
 from waymark.operators.handoff import with_position
-from waymark.operators.search import MOST_SIZE, bound_batches, held_bits, held_tokens, lookup, release_memory, token_counts
+from waymark.operators.search import MOST_SIZE, bound_batches, held_tokens, release_memory, token_counts
 from waymark.operators.vectors import exact_topk as vector_topk  # noqa: F401
 from waymark.tables import small_side, written
 
@@ -91,10 +91,9 @@ def federated_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 def _reduced(tokens: list[str], named: list[list[tuple[int, int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Chunks (chunkKey, at, hay) -> (q, chunkKey, score, at, first) of what a task reads: of each query and key the best score with its first row, and the first row with any token. named: each query's tokens and their gains."""
-    run = re.compile("[a-z0-9]{2,}")
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, gains = lookup(tokens, ""), np.zeros((len(tokens), len(named)), np.int64)
+        finder, gains = Finder(tokens, ""), np.zeros((len(tokens), len(named)), np.int64)
         for q, some in enumerate(named):
             for t, gain in some:
                 gains[t, q] = gain
@@ -109,8 +108,12 @@ def _reduced(tokens: list[str], named: list[list[tuple[int, int]]]) -> Callable[
             kept.clear()
 
         for batch in batches:
-            for key, at, hay in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                scores = gains[held_bits(look(run.findall(hay))[0], len(tokens))].sum(axis=0)
+            text, token, _ = finder.find(batch.column("hay"))
+            ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            for e, (key, at) in enumerate(zip(batch.column("chunkKey").to_pylist(), batch.column("at").to_pylist(), strict=True)):
+                if ends[e] == ends[e + 1]:
+                    continue
+                scores = gains[token[ends[e] : ends[e + 1]]].sum(axis=0)
                 got = kept.get(key)
                 if got is None:
                     if len(kept) == most:
