@@ -2,8 +2,10 @@
 
 import random
 import time
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +175,51 @@ def test_intervals_merge_in_any_order():
             k = rng.randrange(1, len(rest) + 1)
             some, rest = requests.merged(some, np.array(rest[:k]), 10), rest[k:]
         assert some == whole and sum(n for *_, n in whole) == len(times)
+
+
+class Store:
+    """State and timers of one key, with the number of messages that they cost."""
+
+    def __init__(self):
+        self.value, self.timers, self.sent = None, set(), 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        self.sent += 1
+        return self.value
+
+    def update(self, value):
+        self.sent, self.value = self.sent + 1, value
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.sent += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.sent += 1
+        self.timers.remove(ms)
+
+
+def test_a_key_costs_few_messages_however_many_changes():
+    times = sorted(t for _, t in changes_of(random.Random(4), 400, 3000))
+    store, requests_, now, got = Store(), requests.Requests(2 * SECOND, requests.EVENT_TIME, False), 0, []
+    requests_.init(store)
+
+    def taken(frames):
+        before = store.sent
+        for f in frames:
+            got.extend(f[["key", "number", "n", "first", "last", "at"]].itertuples(index=False, name=None))
+        assert store.sent - before <= 4 and len(store.timers) <= 1
+
+    values = SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+    for k in range(0, len(times), 100):
+        taken(requests_.handleInputRows(("a",), iter([pd.DataFrame({"ts": times[k : k + 50]}), pd.DataFrame({"ts": times[k + 50 : k + 100]})]), values))
+        now = times[k + 99] // 1000
+    while store.timers:
+        fired = min(store.timers)
+        now = max(now, fired)
+        store.timers.clear()  # Spark takes it away afterwards
+        taken(requests_.handleExpiredTimer(("a",), values, SimpleNamespace(getExpiryTimeInMs=lambda at=fired: at)))
+    assert got == plain_requests([("a", t) for t in times], [], 2 * SECOND, 1 << 62)

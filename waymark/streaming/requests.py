@@ -27,55 +27,69 @@ Interval = tuple[int, int, int]  # first, last, number of changes
 
 def merged(open_: list[Interval], times: np.ndarray, gap: int) -> list[Interval]:
     """Intervals, ascending, with further changes: those at most the gap apart are one, as in session windows."""
-    times = np.sort(times)
-    cuts = np.flatnonzero(np.diff(times) > gap) + 1
-    fresh = [(int(part[0]), int(part[-1]), len(part)) for part in np.split(times, cuts) if len(part)]
-    out: list[Interval] = []
-    for first, last, n in sorted(open_ + fresh):
-        if out and first - out[-1][1] <= gap:
-            out[-1] = (out[-1][0], max(last, out[-1][1]), out[-1][2] + n)
-        else:
-            out.append((first, last, n))
-    return out
+    return [tuple(r) for r in _merged(np.array(open_, np.int64).reshape(-1, 3), times, gap).tolist()]
+
+
+def _merged(open_: np.ndarray, times: np.ndarray, gap: int) -> np.ndarray:
+    """What merged gives, of rows and as rows."""
+    rows = np.concatenate([open_, np.stack([times, times, np.ones(len(times), np.int64)], axis=1)])
+    if not len(rows):
+        return rows
+    rows = rows[np.argsort(rows[:, 0])]
+    last = np.maximum.accumulate(rows[:, 1])
+    begins = np.flatnonzero(np.concatenate([[True], rows[1:, 0] - last[:-1] > gap]))
+    return np.stack([rows[begins, 0], np.maximum.reduceat(rows[:, 1], begins), np.add.reduceat(rows[:, 2], begins)], axis=1)
 
 
 class Requests(StatefulProcessor):
-    """Times are microseconds. in_flight: whether a request runs until it is told to be done; else it is done at once."""
+    """Times are microseconds. in_flight: whether a request runs until it is told to be done; else it is done at once.
+
+    A key's state is one value: each value, row of a list and timer costs a message to the store, and each row of a list its own conversion, so what is open and told is kept
+    packed, as 64-bit numbers, and the one timer that is set with it.
+    """
 
     def __init__(self, gap: int, mode: str, in_flight: bool) -> None:
         self.gap, self.mode, self.in_flight = gap, mode, in_flight
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, n long")
-        self.told = handle.getListState("told", "ts long, number long")
-        self.phase = handle.getValueState("phase", "number long, running boolean, n long, first long, last long")
+        self.phase = handle.getValueState("phase", "number long, running boolean, n long, first long, last long, open binary, told binary, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        open_, told = [tuple(map(int, r)) for r in self.open.get()], [tuple(map(int, r)) for r in self.told.get()]
+        phase, open_, told, timer = self._state()
         now = self._now(timerValues)
         for batch in rows:
             at = batch["ts"].to_numpy() if self.mode == EVENT_TIME else np.full(len(batch), now, np.int64)
-            done = (batch["kind"] == DONE).to_numpy()
-            open_ = merged(open_, at[~done], self.gap)
-            told += list(zip(at[done].tolist(), batch["number"][done].astype(int).tolist(), strict=True))
-        yield from self._advance(key, open_, told, now)
+            if self.in_flight:
+                done = (batch["kind"] == DONE).to_numpy()
+                told = np.concatenate([told, np.stack([at[done], batch["number"].to_numpy()[done].astype(np.int64)], axis=1)])
+                at = at[~done]
+            open_ = _merged(open_, at, self.gap)
+        yield from self._advance(key, phase, open_, told, timer, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._advance(key, [tuple(map(int, r)) for r in self.open.get()], [tuple(map(int, r)) for r in self.told.get()], self._now(timerValues))
+        phase, open_, told, timer = self._state()
+        fired = expiredTimerInfo.getExpiryTimeInMs()  # it goes by itself
+        yield from self._advance(key, phase, open_, told, None if timer == fired else timer, self._now(timerValues))
 
     def close(self) -> None:
         pass
 
+    def _state(self) -> tuple[list, np.ndarray, np.ndarray, int | None]:
+        """Number, whether it runs and what is held; open intervals; (time, number) of what is told; the timer that is set."""
+        *phase, open_, told, timer = self.phase.get() or (0, False, 0, 0, 0, b"", b"", None)
+        return phase, np.frombuffer(open_, np.int64).reshape(-1, 3), np.frombuffer(told, np.int64).reshape(-1, 2), timer
+
     def _now(self, timers) -> int:
         return 1000 * (timers.getCurrentWatermarkInMs() if self.mode == EVENT_TIME else timers.getCurrentProcessingTimeInMs())
 
-    def _advance(self, key, open_: list[Interval], told: list[tuple[int, int]], now: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, key, phase: list, open_: np.ndarray, told: np.ndarray, timer: int | None, now: int) -> Iterator[pd.DataFrame]:
         """Take all steps up to now in order of time, a close before what is told at the same time; keep the rest, and set a timer for its first step."""
-        number, running, *held = self.phase.get() if self.phase.exists() else (0, False, 0, 0, 0)
-        steps = sorted([(i[1] + self.gap, 0, i) for i in open_] + [(ts, 1, n) for ts, n in told])
+        number, running, *held = phase
+        closed, heard = open_[:, 1] + self.gap <= now, told[:, 0] <= now
+        steps = [(i[1] + self.gap, 0, i) for i in open_[closed].tolist()] + [(ts, 1, n) for ts, n in told[heard].tolist()]
         out = []
-        for at, is_told, what in (s for s in steps if s[0] <= now):
+        for at, is_told, what in sorted(steps):
             if is_told:
                 running = running and what != number  # what an older rebuild says again changes nothing
             elif held[0]:
@@ -84,18 +98,18 @@ class Requests(StatefulProcessor):
                 held = [what[2], what[0], what[1]]
             if held[0] and not running:
                 number += 1
-                out.append((key[0], number, *held, at))
+                out.append((number, *held, at))
                 running, held = self.in_flight, [0, 0, 0]
-        rest = [s for s in steps if s[0] > now]
-        self.open.put([s[2] for s in rest if not s[1]]) if any(not s[1] for s in rest) else self.open.clear()
-        self.told.put([(s[0], s[2]) for s in rest if s[1]]) if any(s[1] for s in rest) else self.told.clear()
-        self.phase.update((number, running, *held))
-        for timer in list(self.handle.listTimers()):
+        open_, told = open_[~closed], told[~heard]
+        rest = [int(t.min()) for t in (open_[:, 1] + self.gap, told[:, 0]) if len(t)]
+        first = -(-min(rest) // 1000) if rest else None
+        if timer is not None and timer != first:
             self.handle.deleteTimer(timer)
-        if rest:
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        if first is not None and timer != first:
+            self.handle.registerTimer(first)
+        self.phase.update((number, running, *held, open_.tobytes(), told.tobytes(), first))
         if out:
-            yield pd.DataFrame(out, columns=["key", "number", "n", "first", "last", "at"])
+            yield pd.DataFrame({"key": [key[0]] * len(out)} | dict(zip(("number", "n", "first", "last", "at"), np.array(out, np.int64).T, strict=True)))
 
 
 def requests(changes: DataFrame, done: DataFrame | None = None, key: str = "root", ts: str = "ts", gap_ms: int = 350, late: str = "0 seconds", mode: str = EVENT_TIME) -> DataFrame:
@@ -105,8 +119,9 @@ def requests(changes: DataFrame, done: DataFrame | None = None, key: str = "root
     session keeps its state in RocksDB from here on, as such operators need.
     """
     changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    rows = changes.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("time"), F.lit(CHANGE).alias("kind"), F.lit(0).cast("long").alias("number"))
+    rows = changes.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("time"))
     if done is not None:
+        rows = rows.select("*", F.lit(CHANGE).alias("kind"), F.lit(0).cast("long").alias("number"))
         rows = rows.unionByName(done.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("time"), F.lit(DONE).alias("kind"), F.col("number").cast("long").alias("number")))
     rows = rows.where("key is not null and time is not null").withColumn("ts", F.unix_micros("time"))
     rows = rows.withWatermark("time", late) if mode == EVENT_TIME else rows
