@@ -99,6 +99,16 @@ def test_only_entries_that_may_be_best_are_shuffled(spark):
     assert [(r["query_id"], r["pos"]) for r in search._best_hits(entries, asked, search._stated(asked), 1).orderBy("query_id").collect()] == [(q, 7) for q in range(9)]
 
 
+def test_owners_of_one_file_are_scored_by_as_many_tasks_as_there_are_cores(spark, tmp_path, monkeypatch):
+    rows = [(f"s-{j}", f"packages/s{j}", "serves", f"docs/{j}.md" if j % 3 else None) for j in range(300)]
+    owners(spark, rows).coalesce(1).write.parquet(str(tmp_path / "own"))
+    seen, hits, asked = [], search._best_hits, spark.createDataFrame([(1, "where is s-7"), (2, "serves")], "query_id int, term string")
+    monkeypatch.setattr(search, "_best_hits", lambda entries, *more: seen.append(entries) or hits(entries, *more))
+    both = [sorted(map(tuple, search.search(knowledge(spark, []), own, asked).collect())) for own in (spark.read.parquet(str(tmp_path / "own")), owners(spark, rows))]
+    assert both[0] == both[1] and len(both[0]) == 40
+    assert seen[0].where("owner").select(F.spark_partition_id().alias("part")).distinct().count() == spark.sparkContext.defaultParallelism
+
+
 def test_equal_entries_of_two_paths_stand_in_the_order_of_their_first_rows(spark):
     know = [("z", "only", "b.md", None, "hit"), ("same", "t", "a.md", None, "hit hit"), ("same", "t", "b.md", None, "hit hit")]
     got = search.search(knowledge(spark, know), owners(spark, []), spark.createDataFrame([(1, "hit same")], "query_id int, term string"), 2).collect()
