@@ -99,6 +99,45 @@ def test_only_entries_that_may_be_best_are_shuffled(spark):
     assert [(r["query_id"], r["pos"]) for r in search._best_hits(entries, asked, search._stated(asked), 1).orderBy("query_id").collect()] == [(q, 7) for q in range(9)]
 
 
+def test_queries_of_more_tokens_than_a_task_takes_go_there_in_groups(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{j}x" for j in range(300)]
+    know = [(f"d-{j}", "t", f"docs/{j % 20}.md", None, " ".join(rng.choices(words, k=60))) for j in range(120)]
+    own = [(f"s-{j}", f"packages/{j}", rng.choice(words), f"docs/{j}.md" if j % 3 else None) for j in range(60)]
+    terms = [" ".join(rng.choices(words, k=8)) for _ in range(50)] + ["where is w1x", "s-7", "w2x " + "long" * 100, " ".join(words)]
+    asked = spark.createDataFrame(list(enumerate(terms)), "query_id int, term string")
+    found = lambda: sorted(map(tuple, search.search(knowledge(spark, know).repartition(3), owners(spark, own), asked, 2).collect()))
+    want, large, hits = found(), [], search._hits
+    monkeypatch.setattr(search, "_hits", lambda entries, some, gain: large.extend(r["query_id"] for r in some.collect()) or hits(entries, some, gain))
+    monkeypatch.setattr(search, "MOST_TOKENS", 120)
+    assert found() == want and len(want) > 100
+    assert large == [len(terms) - 1]  # the one that holds more tokens than a task takes
+
+
+def test_owners_below_what_knowledge_reaches_are_not_shuffled(spark, monkeypatch):
+    rows = [(False, "d", "p", 0, "every wanted word of this uncommonly long explanatory paragraph stands here")] + [(True, f"s{j}", f"o{j}", j, "wanted") for j in range(500)]
+    entries = spark.createDataFrame(rows, "owner boolean, id string, path string, pos long, hay string").repartition(4, "owner")
+    asked = search.prepared(spark.createDataFrame([(q, "edit every wanted word of this uncommonly long explanatory paragraph that stands here") for q in range(9)], "query_id int, term string"))
+    monkeypatch.setattr(search, "FEW_QUERIES", 8)
+    assert search._best_hits(entries, asked, search._stated(asked), 1).where("not owner").count() == 9
+    assert search._best_hits(entries, asked, search._stated(asked), 1).count() == 9
+
+
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_owners_that_know_what_knowledge_reaches_are_found_as_before(spark, monkeypatch, k):
+    rng = random.Random(k)
+    words = ["core", "auth", "edit", "os", "pkg-x", "data", "co", "x", "serves"]
+    know = [(f"{rng.choice(words)}-{j}", "t", f"docs/{rng.randrange(30)}.md", None, " ".join(rng.choices(words, k=rng.randrange(6)))) for j in range(90)]
+    own = [(f"{rng.choice(words)}{j // 2}", f"packages/{j}", rng.choice(words), rng.choice([None, f"docs/{rng.randrange(40)}.md"])) for j in range(80)]
+    asked = spark.createDataFrame(list(enumerate(["core auth", "edit core", "os", "where is data", own[3][0], "edit pkg-x", "docs", "the co x", "nothing so", "serves"])), "query_id int, term string")
+    both = []
+    for few, common, some in ((1000, 512, 32), (0, 512, 32), (0, 2, 3)):
+        for name, v in (("FEW_QUERIES", few), ("MOST_COMMON", common), ("COMMON", some)):
+            monkeypatch.setattr(search, name, v)
+        both.append(sorted(map(tuple, search.search(knowledge(spark, know).repartition(3), owners(spark, own), asked, k).collect()), key=str))
+    assert both[0] == both[1] == both[2] and len(both[0]) >= 8
+
+
 def test_owners_of_one_file_are_scored_by_as_many_tasks_as_there_are_cores(spark, tmp_path, monkeypatch):
     rows = [(f"s-{j}", f"packages/s{j}", "serves", f"docs/{j}.md" if j % 3 else None) for j in range(300)]
     owners(spark, rows).coalesce(1).write.parquet(str(tmp_path / "own"))
